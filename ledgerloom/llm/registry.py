@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module of this package with ``query`` and, where SQL can express it, ``SQL``
 MODULES = {
+    "op4_packing": "packing",
     "op5_mixing": "mixing",
     "op8_line_cleaning": "line_cleaning",
 }
