@@ -121,7 +121,7 @@ class Encoder:
         except KeyError:
             if len(self.known) >= REMEMBERED:
                 self.older, self.known = self.known, {"": b""}
-            self._learn(set(words) - self.known.keys())
+            self._learn(set(words).difference(self.known))
             return b"".join(map(self.known.__getitem__, words))
 
 
