@@ -12,6 +12,7 @@ MODULES = {
     "op1_quality": "quality",
     "op4_packing": "packing",
     "op5_mixing": "mixing",
+    "op7_toxicity": "toxicity",
     "op8_line_cleaning": "line_cleaning",
 }
 
