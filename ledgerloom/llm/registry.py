@@ -15,6 +15,7 @@ MODULES = {
     "op5_mixing": "mixing",
     "op7_toxicity": "toxicity",
     "op8_line_cleaning": "line_cleaning",
+    "op9_chat": "chat",
 }
 
 
