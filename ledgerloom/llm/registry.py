@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> module of this package with ``query`` and, where SQL can express it, ``SQL``
 MODULES = {
     "op1_quality": "quality",
+    "op2_embedding_dedup": "embedding_dedup",
     "op3_warc": "warc",
     "op4_packing": "packing",
     "op5_mixing": "mixing",
