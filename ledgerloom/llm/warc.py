@@ -4,7 +4,7 @@ Only headers (id, digest, size) are shuffled by payload digest: an aggregate wit
 combining names the original of each digest, the record with the largest page id, and
 headers are joined to it. Payloads move once, by page id, to meet their verdict. Archives
 are written by Spark's own writer into the shared folder, so a lost task is written again
-and no executor keeps files of its own, and are read back whole file by whole file.
+and no executor keeps files of its own, are compressed, and are read back file by file.
 
 Cases: a null payload counts as empty; payloads under ``LEAST`` bytes are never revisits;
 rows with equal id and payload are equal records, all responses if theirs is the largest id;
@@ -15,6 +15,7 @@ records; other columns are not read.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -64,7 +65,7 @@ def write(pages: DataFrame, path: str) -> None:
             IF(page_id IS NULL, '', concat({line('X-Page-ID', 'page_id')})), {line('WARC-Payload-Digest', "concat('sha1:', d)")},
             IF(original IS NULL, '', concat({line('WARC-Profile', repr(PROFILE))}, {line('WARC-Refers-To', _record_id('original', 'd'))})),
             {line('Content-Type', "'application/http; msgtype=response'")}, 'Content-Length: ', octet_length(block), '\\r\\n\\r\\n', block) AS value"""
-    ).write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).text(path)
+    ).write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -100,7 +101,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         types = [pa.int64() if f.endswith("long") else pa.string() for f in READ.split(", ")]
         for batch in batches:
             for content in batch.column(0):
-                rows = list(parse(content.as_py()))
+                rows = list(parse(gzip.decompress(content.as_py())))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
