@@ -14,6 +14,7 @@ MODULES = {
     "op3_warc": "warc",
     "op4_packing": "packing",
     "op5_mixing": "mixing",
+    "op6_minhash_dedup": "minhash_dedup",
     "op7_toxicity": "toxicity",
     "op8_line_cleaning": "line_cleaning",
     "op9_chat": "chat",
