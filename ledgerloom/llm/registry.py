@@ -18,6 +18,7 @@ MODULES = {
     "op7_toxicity": "toxicity",
     "op8_line_cleaning": "line_cleaning",
     "op9_chat": "chat",
+    "op10_suffix_dedup": "suffix_dedup",
 }
 
 
