@@ -1,14 +1,15 @@
 """Conversations as a prefix tree in depth-first order.
 
 A node is a turn together with all turns before it, named by a running hash, so conversations
-that begin alike share nodes. Each node's text is formatted and tokenised once; sorting nodes
-by the hashes on their path is the depth-first order, a running total over it gives each
-node's place among all tokens, and a node attends to its ancestors' token intervals and its
-own. Position ids count on from the parent's. A conversation is the intervals of its last
-node, read in order.
+that begin alike share nodes. Equal conversations are merged first. The others are sorted by
+their nodes' names, which brings shared beginnings together: a node is new where it differs
+from the conversation before, and the new nodes in that order are the tree depth first. A
+node that two ranges of the sort both met is kept where it came first. A running total over
+ranges and within them gives each node's place among all tokens; it attends to its ancestors'
+intervals, joined where they touch, and its own; position ids count on from its parent's.
 
-Nodes are merged by an aggregate with map-side combining, so a first turn that a third of
-all conversations share costs one node; the order is a range sort with one sum per range.
+Every step handles each conversation's turns once, so neither a first turn that a third of
+all conversations share nor a very deep conversation costs more than its rows.
 
 Template: ``[INST]role\\ntext[/INST]`` for turns that are read, ``<s>assistant\\ntext</s>`` for
 those that are learnt from. Inside texts a control string gets a backslash after its first
@@ -40,9 +41,10 @@ READ, LEARN = ("[INST]", "[/INST]"), ("<s>", "</s>")
 CONTROL = re.compile(r"\\|<(?=/?s>)|\[(?=/?INST\])")
 TURN = re.compile(r"\[INST\](.*?)\n(.*?)\[/INST\]|<s>(.*?)\n(.*?)</s>", re.S)
 FIXED = "</s>[INST] ok [/INST]"
-TURNS = "conv_id long, turn int, node string, parent string, path string, text string, loss_start int, loss_length int"
-TREE = "node string, parent string, path string, text string, loss_start int, loss_length int, ids array<int>, part int, at long"
-OUT = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+CONVERSATION = "conv_id long, leaf string, nodes array<string>, texts array<string>, starts array<int>, lengths array<int>"
+NODE = "node string, parent string, owner string, text string, loss_start int, loss_length int, ids array<int>, part int, seq long"
+PLACE = "node string, position long, attends array<struct<start:bigint,end:bigint>>"
+OUT = "leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def escape(text: str) -> str:
@@ -82,89 +84,129 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """A row per turn: its node, the path to it, and its formatted text."""
+_TYPES = {
+    "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()),
+    "array<struct<start:bigint,end:bigint>>": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
+}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split(maxsplit=1) for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def named(conversations: DataFrame) -> DataFrame:
+    """A row per conversation: its nodes' names, the last one's, and the formatted turns."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("rows")).select("conv_id", "rows.role", "rows.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in TURNS.split(", ")]
-        types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]] for f in TURNS.split(", ")]
         for batch in batches:
             out = []
             for conv, roles, texts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                parent, path = "", ""
-                for k, (role, text) in enumerate(zip(roles, texts, strict=True)):
-                    said, start, length = format_turn(role, text)
-                    node = hashlib.blake2b(f"{parent}{said}".encode(), digest_size=16).hexdigest()
-                    path += node
-                    out.append((conv, k, node, parent, path, said, start, length))
-                    parent = node
+                said = [format_turn(role, text) for role, text in zip(roles, texts, strict=True)]
+                nodes, parent = [], ""
+                for text, _, _ in said:
+                    parent = hashlib.blake2b(f"{parent}{text}".encode(), digest_size=16).hexdigest()
+                    nodes.append(parent)
+                out.append((conv, parent, nodes, *([x[k] for x in said] for k in range(3))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                yield _batch(out, CONVERSATION)
 
-    return grouped.mapInArrow(run, TURNS)
+    return grouped.mapInArrow(run, CONVERSATION)
 
 
-def tree(rows: DataFrame, scratch: Scratch, vocabulary: str, pattern: str) -> DataFrame:
-    """Nodes in depth-first order: offset, token ids, first position id, attended intervals."""
-    nodes = rows.groupBy("node").agg(F.min(F.struct("parent", "path", "text", "loss_start", "loss_length")).alias("n")).select("node", "n.*")
+def laid_out(distinct: DataFrame, scratch: Scratch, vocabulary: str, pattern: str) -> DataFrame:
+    """Nodes depth first, with token ids and their offset among all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = _encoder(vocabulary, pattern).encode_ordinary, TaskContext.get().partitionId(), 0
+        encode, part, seq, before = _encoder(vocabulary, pattern).encode_ordinary, TaskContext.get().partitionId(), 0, []
         for batch in batches:
-            ids = [encode(t) for t in batch.column("text").to_pylist()]
-            starts = []
-            for x in ids:
-                starts.append(at)
-                at += len(x)
-            cols = [*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in TREE.replace("array<int>", "array").split(", ")])
-
-    # each range of the sorted nodes counts its own tokens; what stands before it is added below
-    placed = scratch.keep("ranges", nodes.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(run, TREE))
-    sums = placed.groupBy("part").agg(F.max(F.col("at") + F.size("ids")).alias("n"))
-    before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    laid = placed.join(before, "part").select("node", "parent", "path", "text", "loss_start", "loss_length", "ids", (F.col("at") + F.col("before")).alias("offset"), F.size("ids").cast("long").alias("length"))
-    laid = scratch.keep("laid", laid)
-    # a path names its nodes, 32 characters each
-    steps = laid.select("node", F.expr("posexplode(transform(sequence(1, length(path) div 32), k -> substr(path, 32 * k - 31, 32)))").alias("depth", "step"))
-    at = laid.select(F.col("node").alias("step"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"))
-    seen = steps.join(at, "step").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("depth", "start", "end"))).alias("attends"))
-    return laid.join(seen, "node").withColumn("position", F.expr("aggregate(attends, 0L, (sum, a) -> sum + a.end - a.start) - length"))
-
-
-def read_back(last: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Conversations put together again from their last nodes' attended intervals."""
-    spans = last.join(nodes.select("node", "attends"), "node").select("conv_id", F.explode("attends").alias("a")).select("conv_id", "a.depth", F.col("a.start").alias("offset"), "a.end")
-    texts = nodes.filter("length > 0").select("offset", "text", "loss_start", "loss_length")
-    whole = spans.join(texts, "offset").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "text", "loss_start", "loss_length"))).alias("s"))
-    whole = whole.select("conv_id", F.array_join("s.text", "").alias("text"), F.transform("s", lambda s: F.struct(F.length(s["text"]).alias("n"), s["loss_start"].alias("a"), s["loss_length"].alias("b"))).alias("mask"))
+            out = []
+            for leaf, nodes, texts, starts, lengths in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                shared = next((k for k, (x, y) in enumerate(zip(nodes, before, strict=False)) if x != y), min(len(nodes), len(before)))
+                for k in range(shared, len(nodes)):
+                    out.append((nodes[k], nodes[k - 1] if k else "", leaf, texts[k], starts[k], lengths[k], encode(texts[k]), part, seq))
+                    seq += 1
+                before = nodes
+            if out:
+                yield _batch(out, NODE)
+
+    key = F.concat_ws("", "nodes")
+    sorted_ = distinct.select("leaf", "nodes", "texts", "starts", "lengths", key.alias("key")).repartitionByRange("key").sortWithinPartitions("key").drop("key")
+    first = scratch.keep("first", sorted_.mapInArrow(run, NODE))
+    rest = [c for c in first.columns if c not in ("node", "part", "seq")]
+    once = first.groupBy("node").agg(F.min(F.struct("part", "seq", *rest)).alias("n")).select("node", "n.*")
+    once = scratch.keep("once", once.withColumn("length", F.size("ids").cast("long")))
+    sums = once.groupBy("part").agg(F.sum("length").alias("n"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("part", F.coalesce(F.sum("n").over(earlier.orderBy("part")), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("length").over(earlier.partitionBy("part").orderBy("seq")), F.lit(0))
+    return scratch.keep("laid", once.withColumn("at", within).join(before, "part").withColumn("offset", F.col("at") + F.col("before")).drop("at", "before", "part", "seq"))
+
+
+def paths(distinct: DataFrame, laid: DataFrame) -> DataFrame:
+    """Per distinct conversation its nodes in order: name, owner, start and length."""
+    steps = distinct.select("leaf", F.posexplode("nodes").alias("depth", "node"))
+    known = steps.join(laid.select("node", "owner", "offset", "length"), "node")
+    return known.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "offset", "length", "node", "owner"))).alias("path"))
+
+
+def attention(found: DataFrame) -> DataFrame:
+    """Per node its first position id and the intervals it attends to, its own included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for leaf, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                spans, position = [], 0
+                for step in path:
+                    start, end = step["offset"], step["offset"] + step["length"]
+                    if spans and spans[-1]["end"] == start:
+                        spans[-1] = {"start": spans[-1]["start"], "end": end}
+                    else:
+                        spans.append({"start": start, "end": end})
+                    if step["owner"] == leaf:
+                        out.append((step["node"], position, list(spans)))
+                    position += step["length"]
+            if out:
+                yield _batch(out, PLACE)
+
+    return found.mapInArrow(run, PLACE)
+
+
+def read_back(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct conversations put together again from the tree, parsed, and digested."""
+    spans = leaves.select("leaf", F.posexplode("starts").alias("depth", "offset"))
+    texts = nodes.select("offset", "text", "loss_start", "loss_length")
+    whole = spans.join(texts, "offset").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "text", "loss_start", "loss_length"))).alias("s"))
+    whole = whole.select("leaf", "s.text", "s.loss_start", "s.loss_length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for conv, text, mask in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                told, at, learnt = parse(text), 0, []
-                for m in mask:
-                    learnt.append(unescape(text[at + m["a"] : at + m["a"] + m["b"]]))
-                    at += m["n"]
-                loss = "".join(learnt)
+            for leaf, texts, starts, lengths in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                text, at, learnt = "".join(texts), 0, []
+                for t, a, n in zip(texts, starts, lengths, strict=True):
+                    learnt.append(unescape(text[at + a : at + a + n]))
+                    at += len(t)
+                loss, told = "".join(learnt), parse(text)
                 said = "".join(f"{role}\n{t}\n" for role, t, _ in told)
-                out.append((conv, len(told), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+                out.append((leaf, len(told), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             if out:
-                types = [pa.int64() if f.endswith("long") else pa.string() for f in OUT.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in OUT.split(", ")])
+                yield _batch(out, OUT)
 
     return whole.mapInArrow(run, OUT)
 
 
-def format_all(conversations: DataFrame, scratch: Scratch, vocabulary: str, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """(each conversation's last node, the tree)."""
-    rows = scratch.keep("turns", turns(conversations))
-    nodes = scratch.keep("tree", tree(rows, scratch, vocabulary, pattern))
-    last = rows.groupBy("conv_id").agg(F.max_by("node", "turn").alias("node"))
-    return last, nodes
+def format_all(conversations: DataFrame, scratch: Scratch, vocabulary: str, pattern: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(conv_id and leaf; per leaf the starts of its nodes; the tree)."""
+    own = scratch.keep("named", named(conversations))
+    distinct = own.groupBy("leaf").agg(F.min_by(F.struct("nodes", "texts", "starts", "lengths"), "conv_id").alias("c")).select("leaf", "c.*")
+    laid = laid_out(distinct, scratch, vocabulary, pattern)
+    found = scratch.keep("paths", paths(own.select("leaf", "nodes").dropDuplicates(["leaf"]), laid))
+    tree = scratch.keep("tree", laid.join(attention(found), "node"))
+    return own.select("conv_id", "leaf"), found.select("leaf", F.col("path.offset").alias("starts")), tree
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +214,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     fixed = spark.createDataFrame([(-1, 0, "user", FIXED), (-1, 1, "assistant", FIXED)], "conv_id long, turn long, role string, text string")
-    last, nodes = format_all(own.unionByName(fixed), Scratch(spark, "chat"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return read_back(last, nodes)
+    ids, leaves, tree = format_all(own.unionByName(fixed), Scratch(spark, "chat"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return ids.join(read_back(leaves, tree), "leaf").drop("leaf")
 
 
 SQL = f"""
