@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
@@ -208,5 +208,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out.select("doc_id", F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
+def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents, all columns, one of each component; rows without an id stay."""
+    ids = near_duplicates(docs, scratch).filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    ids = scratch.keep("ids", ids)
+    here = docs.join(ids, docs["doc_id"] == F.col("_id"))
+    single = here.filter("_n = 1").drop("_id", "_n")
+    # of rows that share the id, the first by text
+    rest = here.filter("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).filter("_k = 1").drop("_id", "_n", "_k")
+    return single.unionByName(rest).unionByName(docs.filter("doc_id IS NULL"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "minhash"))

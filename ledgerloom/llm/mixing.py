@@ -84,16 +84,20 @@ def _times(b: str, div: str) -> str:
     return f"({q} {div} {n} + CASE WHEN (({b} % shard) * {PRIME} + salt + {h}) % {n} < {q} % {n} THEN 1 ELSE 0 END)"
 
 
-def placed(docs: DataFrame, spark: SparkSession, scratch: Scratch) -> DataFrame:
-    """Per document: size, its source's figures, and ``start``, its place in the source's stream."""
-    sizes = scratch.keep("sizes", docs.select("doc_id", "source", F.coalesce(F.expr(f"CAST(regexp_count(text, r'{WORD}') AS BIGINT)"), F.lit(0)).alias("size")))
-    sources = scratch.keep("sources", source_figures(sizes, spark))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    known = sizes.join(sources, same(sizes, sources)).drop(sources["source"])
-    keyed = known.withColumn("h", F.expr(f"md5(concat('{SEED}:', coalesce(CAST(doc_id AS STRING), '')))")).withColumn(
-        "bucket", F.expr("CAST(conv(substr(h, 1, 7), 16, 10) AS BIGINT) * buckets div 268435456")
-    )
-    sums = keyed.groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"))
+def placed(docs: DataFrame, spark: SparkSession, scratch: Scratch, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: size, its source's figures, ``start``, its place in the source's stream,
+    and the struct ``_row`` of the columns in ``carry``."""
+    size = F.coalesce(F.expr(f"CAST(regexp_count(text, r'{WORD}') AS BIGINT)"), F.lit(0)).alias("size")
+    sizes = scratch.keep("sizes", docs.select("doc_id", "source", size))
+    sources = scratch.keep("sources", source_figures(sizes, spark)).withColumnRenamed("source", "_source")
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        known = rows.join(sources, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
+        hashed = known.withColumn("h", F.expr(f"md5(concat('{SEED}:', coalesce(CAST(doc_id AS STRING), '')))"))
+        return hashed.withColumn("bucket", F.expr("CAST(conv(substr(h, 1, 7), 16, 10) AS BIGINT) * buckets div 268435456"))
+
+    keyed = bucketed(docs.select("doc_id", "source", size, F.struct(*carry).alias("_row")) if carry else sizes)
+    sums = bucketed(sizes).groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("rank", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,6 +117,22 @@ def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
     return at.select("doc_id", "size", "source_size", "target", F.expr(total).alias("taken"))
 
 
+def mixed(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """The mix itself: the documents' columns, a row for each time that a document is read.
+
+    The text of a row is the words in the blocks taken then, with the white space after
+    them; n_chars is counted anew where there is such a column. Documents of which nothing
+    is taken are not in the mix.
+    """
+    at = placed(docs, spark, Scratch(spark, "mix"), tuple(docs.columns)).filter("size > 0")
+    counted = at.withColumn("_times", F.expr(f"transform(sequence(start div block, (start + size - 1) div block), b -> {_times('b', 'div')})"))
+    words = counted.withColumn("_words", F.expr(f"regexp_extract_all(_row.text, r'{WORD}[\\x20\\x09-\\x0D]*', 0)")).withColumn("_turn", F.explode(F.expr("sequence(1L, array_max(_times), 1L)")))
+    taken = "array_join(filter(_words, (w, i) -> get(_times, CAST((start + i) div block - start div block AS INT)) >= _turn), '')"
+    texts = words.filter("array_max(_times) >= 1").select("_row", F.expr(f"IF(array_min(_times) >= _turn, _row.text, {taken})").alias("_text"))
+    new = lambda c: F.col("_text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("_row")[c]
+    return texts.select(*[new(c).alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), spark)
 

@@ -141,6 +141,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
 
 
+def keep(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents, all columns, that score ``least`` or more."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([of(t.as_buffer().to_pybytes() if t.is_valid else b"") >= least for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id"):
     return F.expr(f"crc32(CAST({column} AS STRING)) % 3 = 1")
 

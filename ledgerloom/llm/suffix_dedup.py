@@ -317,7 +317,7 @@ def clean(docs: DataFrame, spark: SparkSession) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = repeats(own, Scratch(spark, "suffix"))
     whole = docs.join(found.withColumnRenamed("w", "_w"), F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
-    at = whole.columns.index("text")
+    at, names = whole.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,7 +328,7 @@ def clean(docs: DataFrame, spark: SparkSession) -> DataFrame:
                 texts.append(text.as_py() if gone is None else np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
             cols = list(batch.columns[:-1])
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     out = whole.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
