@@ -14,9 +14,12 @@ a pair shares none of them with a probability of one in 20,000.
 
 Joining: equal texts (word for word) are merged first. In a band's bucket every text is
 compared with two of the bucket's texts (those lowest by two hashes, found by an aggregate
-with map-side combining), exactly, on whole texts. After components are formed, texts of one
-bucket that are still in different components are compared pair by pair, so no pair that
-shares a bucket is left open, while a large group of copies costs a few comparisons a text.
+with map-side combining), exactly, on whole texts. After components are formed, a bucket
+that still holds several components is compared throughout: its texts are cut into tiles of
+about ``TILE``, each pair of tiles is one unit of work that counts the shared shingles of all
+its pairs by a matrix product and yields each text's smallest near copy reached in the unit,
+never the pairs. So no pair that shares a bucket is left open, a large group of copies costs
+a few comparisons a text, and a large group of lookalikes is spread over many tasks.
 
 Cases: null texts and texts without words are near nothing; equal texts are one class; ties
 don't matter, since a component's id is its smallest doc_id; rows that share an id and
@@ -47,6 +50,9 @@ K = BANDS * ROWS
 DARTS = K * (math.log(K) + 2)
 SIGNED = "doc_id long, key long, n long, bands array<long>"
 REMEMBERED = 500_000
+#: Texts of a tile, and cells of the matrix that a unit fills at a time.
+TILE = 256
+CELLS = 8_000_000
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BREAK = re.compile(r"[\x20\x09-\x0D]+")
@@ -93,11 +99,16 @@ class Shingler:
         return np.unique(h, return_counts=True)
 
 
+def _regions(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash for each unit of each element's weight."""
+    first = np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+    return _mix(np.repeat(elements, counts) + (np.arange(int(counts.sum())) - first).astype(np.uint64) * _STEP)
+
+
 def signature(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The earliest dart of each coordinate, as a hash of the dart."""
-    weight, rank = int(counts.sum()), DARTS / counts.sum()
-    first = np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-    regions = _mix(np.repeat(elements, counts) + (np.arange(weight) - first).astype(np.uint64) * _STEP)
+    regions = _regions(elements, counts)
+    weight, rank = len(regions), DARTS / len(regions)
     while True:
         own, at, done, found = regions, np.zeros(weight), 0, []
         while len(own):
@@ -177,6 +188,74 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _unit_roots(ids: list[int], texts: list[str], keys: list[int], shingler: Shingler) -> tuple[list[int], list[int]]:
+    """Texts of a unit with a near copy in it, and the smallest id each reaches."""
+    sets, own = [], []
+    for i, text, key in zip(ids, texts, keys, strict=True):
+        words = shingler.words(text or "")
+        if shingler.key(words) == key:
+            sets.append(_regions(*shingler.shingles(words)))
+            own.append(i)
+    if len(own) < 2:
+        return [], []
+    sizes = np.array([len(x) for x in sets])
+    values, place, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(own)), sizes)
+    # a shingle of one text is shared with none
+    number = np.cumsum(seen > 1) - 1
+    keep = seen[place] > 1
+    doc, feature = doc[keep], number[place[keep]]
+    shared, width = np.zeros((len(own), len(own)), np.float64), max(1, CELLS // len(own))
+    for lo in range(0, int(feature.max(initial=-1)) + 1, width):
+        some = (feature >= lo) & (feature < lo + width)
+        m = np.zeros((len(own), min(width, int(feature.max()) + 1 - lo)), np.float32)
+        m[doc[some], feature[some] - lo] = 1
+        shared += m @ m.T
+    near = shared * DENOMINATOR >= (sizes[:, None] + sizes[None, :] - shared) * NUMERATOR
+    rows, cols = np.nonzero(np.triu(near, 1))
+    if not len(rows):
+        return [], []
+    ids_ = np.array(own)
+    label = ids_.copy()
+    while True:
+        new = label.copy()
+        np.minimum.at(new, rows, label[cols])
+        np.minimum.at(new, cols, label[rows])
+        if (new == label).all():
+            break
+        label = new
+    return ids_[label != ids_].tolist(), label[label != ids_].tolist()
+
+
+def _compare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units come sorted; the rows of one are gathered until the next begins."""
+    shingler, unit, ids, texts, keys = Shingler(), None, [], [], []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        a, b = _unit_roots(ids, texts, keys, shingler)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for band, t1, t2, i, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if unit != (band, t1, t2):
+                yield from done()
+                unit, ids, texts, keys = (band, t1, t2), [], [], []
+            ids.append(i)
+            texts.append(text)
+            keys.append(key)
+    yield from done()
+
+
+def compare_throughout(there: DataFrame, texts: DataFrame) -> DataFrame:
+    """there: band, id, key. Links (a, b) that join all near copies of each band."""
+    tiles = there.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    placed = there.join(tiles, "band").withColumn("tile", F.expr("CAST(pmod(xxhash64(id), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
+    units = placed.select("band", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "id", "key")
+    whole = units.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("band", "t1", "t2", "id", "text", "key")
+    return whole.repartition("band", "t1", "t2").sortWithinPartitions("band", "t1", "t2").mapInArrow(_compare_units, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, class_id (equal texts), component_id and kept for every row of (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -195,12 +274,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # what shares a bucket and isn't in one component yet
     labelled = banded.join(buckets.select("band"), "band").join(joined.select(F.col("a").alias("id"), F.col("b").alias("least")), "id", "left").withColumn("least", F.coalesce("least", "id"))
     mixed = labelled.groupBy("band").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo < hi").select("band")
-    there = scratch.keep("open", labelled.join(mixed, "band"))
-    one = there.select("band", F.col("id").alias("a"), F.col("key").alias("a_key"), F.col("n").alias("an"), F.col("least").alias("al"))
-    two = there.select("band", F.col("id").alias("b"), F.col("key").alias("b_key"), F.col("n").alias("bn"), F.col("least").alias("bl"))
-    rest = one.join(two, "band").filter((F.col("al") < F.col("bl")) & close(F.col("an"), F.col("bn"))).select("a", "a_key", "b", "b_key").distinct()
-    seen = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = scratch.keep("more", verify(scratch.keep("rest", rest.join(seen, ["a", "b"], "left_anti")), texts))
+    there = scratch.keep("open", labelled.join(mixed, "band").select("band", "id", "key"))
+    more = scratch.keep("more", compare_throughout(there, texts))
     joined = components(joined.unionByName(more), scratch, "round2")
     named = classes.select("key", "id").join(joined.select(F.col("a").alias("id"), F.col("b").alias("least")), "id", "left").select("key", F.col("id").alias("class_id"), F.coalesce("least", "id").alias("least"))
     out = signed.select("doc_id", "key", "n").join(named, "key", "left")
