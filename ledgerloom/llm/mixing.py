@@ -63,7 +63,7 @@ aimed AS (SELECT *, CASE WHEN k_free IS NULL OR k < k_free THEN CAST({MOST} * so
     greatest(1, least({BLOCK}, total {div} {BLOCKS})) AS block FROM levelled),
 rounded AS (SELECT *, (source_size + block - 1) {div} block AS n_blocks, CAST(floor(target / block + 0.5) AS BIGINT) AS q0, sum(target) OVER () AS aim FROM aimed),
 off AS (SELECT *, CAST(floor(aim / block + 0.5) AS BIGINT) - CAST(sum(q0) OVER () AS BIGINT) AS d FROM rounded),
-offers AS (SELECT rank, d, row_number() OVER (ORDER BY CASE WHEN d > 0 THEN -(target / (2 * (q0 + i) + 1)) ELSE target / (2 * (q0 - i) - 1) END, rank, i) AS place
+offers AS (SELECT rank, d, row_number() OVER (ORDER BY CASE WHEN d > 0 THEN -(target / (2 * (q0 + i) + 1)) ELSE target / (2 * (q0 - i) - 1) END, CASE WHEN d > 0 THEN rank ELSE -rank END, i) AS place
     FROM (SELECT *, {{each}} AS i FROM off WHERE d <> 0) AS o WHERE d > 0 AND q0 + i + 1 <= {MOST} * n_blocks OR d < 0 AND q0 - i >= 1),
 given AS (SELECT rank, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE -1 END) AS BIGINT) AS more FROM offers WHERE place <= abs(d) GROUP BY rank),
 quotas AS (SELECT o.*, q0 + coalesce(more, 0) AS quota FROM off AS o LEFT JOIN given AS g ON o.rank = g.rank),
