@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # The number's form, and words before it that speak for or against it.
 CANONICAL = r"^[A-Z]{2,4}-\d-\d{5}-\d{4}-\d{2}$"
@@ -14,7 +15,7 @@ FORM = r"\b([A-Z0-9]{2,4})\s*[-–—.]\s*(\d)\s*[-–—.]\s*(\d{4,6})\s*[-–
 LABELS = ("ದಸ್ತಾವೇಜು ಸಂಖ್ಯೆ", "ದಸ್ತಾವೇಜು ಸಂ", "ನಂಬರ", "ದಸ್ತಾವೇಜು ಕ್ರಮಾಂಕ", "ಪುಸ್ತಕದ ದಸ್ತಾವೇಜು", "ನೋಂದಾಯಿಸಿ", "ನೋಂದಣಾಧಿಕಾರಿ", "document number", "document no", "doc number")
 PRIOR = ("vide doc", "vide document", "registered as document", "registered as doc", "earlier document", "previous document", "vide no", "as per document", "mother deed", "parent document", "ಮೂಲ ದಸ್ತಾವೇಜು")
 BEFORE = 90
-CANDIDATE = "array<struct<value:string,year:int,position:int,line:int>>"
+CANDIDATE = ArrayType(StructType([StructField("value", StringType()), *(StructField(f, IntegerType()) for f in ("year", "position", "line"))]))
 
 
 @F.pandas_udf(CANDIDATE)
