@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import classify, values
+from ledgerloom.functions import classify, language, values
+from ledgerloom.functions.places import city_town
 
 # The report's columns, in order.
 COLUMNS = (
@@ -45,7 +46,9 @@ def rows(deeds: DataFrame, parties: DataFrame) -> DataFrame:
     """deeds: deed, serial, deed_date, identity, paise, property_text, address, state, stamp. One row a party, one at least."""
     sides = split(dedupe(parties).join(deeds.select("deed", "paise"), "deed"))
     person = sides.select("deed", "relation", "ordinal", "share", "name", "father", "gender", "pan", "aadhaar", F.col("address").alias("p_address"))
-    joined = deeds.join(person, "deed", "left")
+    # places are read once for each distinct address, in Python
+    located = language.apply_once(deeds, ["address"], lambda d: d.withColumn("_city", city_town("address")))
+    joined = located.join(person, "deed", "left")
     c, e, none = F.col, lambda x: F.coalesce(x, F.lit("")), F.lit("")
     party = c("relation").isNotNull()
     amount = values.share_text(c("paise"), c("paise") % 100 == 0)
@@ -53,7 +56,7 @@ def rows(deeds: DataFrame, parties: DataFrame) -> DataFrame:
         "Report Serial Number": c("serial").cast("string"), "Transaction Date": values.day_first(c("deed_date").cast("string")), "Transaction Identity": values.cell(c("identity")),
         "Transaction Type": e(c("relation")), "Transaction Amount": values.cell(amount), "Property Type": classify.property_type(c("address"), c("property_text")),
         "Whether property is within municipal limits": classify.municipal_limits(c("address"), c("property_text")), "Property Address": values.cell(c("address")),
-        "Postal Code": values.pin_code(c("address")), "State Code": values.cell(c("state")), "Country Code": F.lit(COUNTRY), "Stamp Value": values.cell(c("stamp").cast("string")),
+        "City / Town": e(c("_city")), "City/Town (PC-L)": F.when(party, e(c("_city"))).otherwise(none), "Postal Code": values.pin_code(c("address")), "State Code": values.cell(c("state")), "Country Code": F.lit(COUNTRY), "Stamp Value": values.cell(c("stamp").cast("string")),
         "Transaction Relation (PC)": e(c("relation")), "Transaction Amount related to the person (PC)": e(c("share")), "Person Name (PC)": values.cell(values.primary_name(c("name"))),
         "Person Type (PC)": F.when(party, classify.person_type(c("pan"), c("father"), c("gender"))).otherwise(none), "Gender (PC)": values.cell(c("gender")),
         "Father's Name (PC)": values.cell(values.primary_name(c("father"))), "PAN (PC)": values.identifier(c("pan")), "Aadhaar Number (PC)": values.identifier(c("aadhaar")),
@@ -75,6 +78,38 @@ def violations(report: DataFrame) -> DataFrame:
     return cells.filter(~F.col("c.fine")).select("deed", "ordinal", "c.column", "c.value")
 
 
+#: Columns that deeds never fill, and why.
+UNFILLED = {
+    "Original Report Serial Number": "set only on a corrected report", "Remarks": "left empty on purpose", "Person Details Remarks (PC)": "left empty on purpose",
+    "Form 60 Acknowledgement (PC)": "not in a deed", "Identification Number (PC)": "carried by the PAN and Aadhaar columns", "Date of Birth/ Incorporation (PC)": "rarely in a deed",
+    "Primary STD Code (PC)": "not in a deed", "Primary Phone Number (PC)": "not in a deed", "Primary Mobile Number (PC)": "not in a deed", "Secondary STD Code (PC)": "not in a deed",
+    "Secondary Phone Number (PC)": "not in a deed", "Secondary Mobile Number (PC)": "not in a deed", "Email (PC)": "rarely in a deed",
+}
+
+
+def _cells(report: DataFrame) -> DataFrame:
+    return report.select("deed", "ordinal", F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"`{k}`").alias("value")) for k in COLUMNS])).alias("c")).select("deed", "ordinal", "c.column", "c.value")
+
+
+def untranslated(report: DataFrame) -> DataFrame:
+    """Per column the first cell that holds letters of another script."""
+    found = _cells(report).filter(language.needs_translation(F.col("value")))
+    return found.groupBy("column").agg(F.min_by("value", F.struct("deed", "ordinal")).alias("value"))
+
+
+def unpopulated(report: DataFrame) -> DataFrame:
+    """Columns that are empty throughout, with the reason where one is known."""
+    reasons = F.create_map(*[F.lit(x) for pair in UNFILLED.items() for x in pair])
+    return population(report).filter("filled = 0").select("column", F.coalesce(F.try_element_at(reasons, F.col("column")), F.lit("not found in the deeds")).alias("reason"))
+
+
+def failed_report(failed: DataFrame) -> DataFrame:
+    """failed: identity, source, stage, status, reason, flags, confidence. The seven columns of the failed export."""
+    cells = ("identity", "source", "stage", "status", "reason", "flags")
+    shown = [values.cell(F.col(c)) for c in cells] + [F.coalesce(F.format_string("%.2f", F.col("confidence")), F.lit(""))]
+    return failed.select(*[c.alias(name) for c, name in zip(shown, FAILED_COLUMNS, strict=True)])
+
+
 def population(report: DataFrame) -> DataFrame:
     """Per column how many cells hold something, in one pass."""
     total = report.agg(F.count("*").alias("n"), *[F.count_if(F.trim(F.col(f"`{k}`")) != "").alias(k) for k in COLUMNS])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify, cleanup, failures, grounding, identity, language, values
+from ledgerloom.functions.places import city_town
 from ledgerloom.operators import folds
 from ledgerloom.plans import export
 from ledgerloom.plans.adapters import VIEWS
@@ -107,6 +108,20 @@ def coded_column_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.violations(broken).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+def untranslated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = export_report(spark, sf_dir)
+    return export.untranslated(report.withColumn("Property Address", F.when(F.col("deed") % 7 == 0, F.concat(F.lit("ಮನೆ "), F.col("deed").cast("string"))).otherwise(F.col("Property Address"))))
+
+
+def unpopulated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.unpopulated(export_report(spark, sf_dir))
+
+
+def towns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deeds = _deeds(spark, sf_dir).select("deed", "address")
+    return language.apply_once(deeds, ["address"], lambda d: d.withColumn("town", city_town("address"))).select("deed", F.coalesce("town", F.lit("")).alias("town"))
+
+
 def failure_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = failures.explain(_view(spark, sf_dir, VIEWS["failures"], "events"), spark)
     return rows.select("id", "code", "code_stage", "message", "retryable", "detail")
@@ -178,7 +193,7 @@ def mock_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (ocr_cleanup, page_roundtrip, fit_to_context, boilerplate_lines, amounts, stamp_values, indian_amounts, property_codes, party_codes, export_rows_42, column_population, coded_column_violations,
+    for f in (ocr_cleanup, page_roundtrip, fit_to_context, boilerplate_lines, amounts, stamp_values, indian_amounts, property_codes, party_codes, export_rows_42, column_population, coded_column_violations, untranslated_cells, unpopulated_columns, towns,
         failure_codes, scripts, names_in_latin, identities, grounding_verdicts, pressure_levels, circuit_breaker, stream_progress, batch_twin, mock_extraction)
 }
 
@@ -229,6 +244,7 @@ ORACLES: dict[str, str] = {
     "scripts": "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-zÀ-ɏ]') THEN 'latin' ELSE 'neutral' END AS script, 'eng_Latn' AS language, false AS translate FROM documents",
     "batch_twin": "SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM events GROUP BY user_id, event_type",
     "stream_progress": "SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM events GROUP BY user_id, event_type",
+    "towns": f"{_with('deeds')} SELECT deed, CASE WHEN address LIKE '%Mysuru%' THEN 'Mysuru' ELSE '' END AS town FROM deeds",
     "mock_extraction": "SELECT doc_id, doc_id AS found FROM documents",
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import classify, cleanup, failures, grounding, identity, language, values
+from ledgerloom.functions import classify, cleanup, failures, grounding, identity, language, places, values
 from ledgerloom.operators import folds
 from ledgerloom.plans import export
 
@@ -133,6 +133,14 @@ def test_dedupe_goes_before_names(spark):
     assert [(r["relation"], r["ordinal"]) for r in got] == [("B", 1)]
 
 
+@pytest.mark.parametrize(
+    ("address", "want"),
+    [("Sy No 6, Hoskote Taluk, Bangalore District", "Hoskote"), ("Taluka & Dist: Belgaum", "Belgaum"), ("Koramangala, Bangalore - 560 034", "Bangalore"), ("Kasaba Hobli", ""), (None, "")],
+)
+def test_town(address, want):
+    assert places.town(address) == want
+
+
 def test_levels_fall_only_past_the_margin():
     level, seen = "normal", []
     for free in (0.5, 0.2, 0.07, 0.10, 0.14, 0.19, 0.5):
