@@ -123,6 +123,26 @@ QUERIES: dict[str, str] = {
     "delete_guard": f"SELECT b.id, b.state NOT IN ('running', 'stopping') AND r.batch_id IS NULL AS deletable FROM batches AS b LEFT JOIN (SELECT DISTINCT batch_id FROM docs WHERE {_ANY_RUNNING}) AS r ON b.id = r.batch_id",
     "seed_from_ocr": "SELECT id + 2000000 AS id, document_id, 'done' AS ocr_state, 'pending' AS extract_state, 'processing' AS overall_state FROM docs WHERE ocr_state = 'done'",
     "final_states": "SELECT id, CASE WHEN validate_state = 'done' AND id % 3 <> 0 THEN 'processed' WHEN validate_state = 'done' THEN 'needs_review' ELSE overall_state END AS overall_state FROM docs",
+    # outcomes of stages
+    "extraction_gates": """SELECT id, CASE WHEN NOT parsed THEN 'no_json' WHEN truncated THEN 'truncated' WHEN coverage < 0.6E0 AND unmatched >= 2 THEN 'low_coverage' ELSE 'accepted' END AS gate
+        FROM (SELECT id, id % 19 <> 0 AS parsed, id % 23 = 0 AS truncated, (id % 11) / 10.0E0 AS coverage, id % 4 AS unmatched FROM docs) AS a""",
+    "ocr_outcomes": f"""SELECT id, CASE WHEN ocr_state <> 'failed' THEN 'OCR_P' WHEN is_retryable IS DISTINCT FROM false AND ocr_attempts <= 1 AND (validation_status IS NULL OR validation_status NOT IN {_CORRUPT}) THEN 'retry' ELSE 'OCR_F' END AS outcome FROM docs""",
+    "extract_outcomes": "SELECT id, CASE WHEN extract_state = 'done' THEN 'done' WHEN extract_attempts <= 1 THEN 'retry' WHEN id % 2 = 0 THEN 'done_needs_review' ELSE 'failed' END AS outcome FROM docs WHERE ocr_state = 'done'",
+    "pending_translations": """SELECT deed, relation, ordinal, field, operation FROM (SELECT deed, relation, ordinal, 'name' AS field, 'transliterate' AS operation, name AS value FROM parties UNION ALL SELECT deed, relation, ordinal, 'father_name', 'transliterate', father FROM parties
+        UNION ALL SELECT deed, relation, ordinal, 'address', 'translate', address FROM parties) AS f WHERE value <> '' AND deed % 5 = 0""",
+    "capabilities": """SELECT b.id, true AS browse, s.db AS export, s.db AND s.disk AS upload, s.db AND s.ai AND s.disk AS process, CASE WHEN NOT s.db THEN 'database is down' WHEN NOT s.disk THEN 'disk is full' WHEN NOT s.ai THEN 'server is down' ELSE '' END AS reason
+        FROM batches AS b JOIN (SELECT id, id % 5 <> 0 AS db, id % 3 <> 0 AS ai, id % 7 <> 0 AS disk FROM batches) AS s ON b.id = s.id""",
+    "status_snapshot": "SELECT source, id, level FROM (SELECT batch_id AS source, id, CASE WHEN value < 8 THEN 'critical' WHEN value < 15 THEN 'high' ELSE 'normal' END AS level, row_number() OVER (PARTITION BY batch_id ORDER BY created_at DESC, id DESC) AS k FROM docs) AS s WHERE k = 1",
+    "dashboard": f"""SELECT b.id, b.name, b.state, coalesce(p.total, 0) AS total, coalesce(p.processed, 0) AS processed, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY total_bytes DESC, id) AS k FROM batches) AS b
+        LEFT JOIN {_PROGRESS} AS p ON b.id = p.batch_id WHERE (b.state IN ('queued', 'running') AND k <= 20) OR (b.state = 'completed' AND k <= 5)""",
+    "upload_summary": "SELECT count(*) AS files, CAST(sum(total_bytes) AS BIGINT) AS bytes, count(*) > 1000 AS too_many, sum(total_bytes) > 26843545600 AS too_large FROM batches",
+    "failure_panel": """SELECT id, batch_id, technical, greatest(n - 25, 0) AS hidden, can_rerun > 0 AS can_rerun FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY created_at, id) AS k, count(*) OVER (PARTITION BY batch_id) AS n,
+        sum(CASE WHEN technical LIKE '%timed out%' THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id) AS can_rerun FROM failures) AS f WHERE k <= 25""",
+    "data_view": """SELECT d.deed, p.relation, p.ordinal, p.name, coalesce(f.flags, 0) AS flags FROM (SELECT deed FROM deeds WHERE deed % 3 = 0 ORDER BY deed LIMIT 100 OFFSET 100) AS d LEFT JOIN parties AS p ON d.deed = p.deed
+        LEFT JOIN (SELECT deed, count(DISTINCT CASE WHEN name = '-' THEN 'NO_NAME' WHEN aadhaar IS NULL AND pan IS NULL THEN 'NO_ID' END) AS flags FROM parties GROUP BY deed) AS f ON d.deed = f.deed""",
+    "retention": """SELECT 'pages' AS kind, count(*) AS expired FROM deeds WHERE deed_date < DATE '1999-06-01' - INTERVAL 30 DAY UNION ALL SELECT 'logs', count(*) FROM failures WHERE created_at < TIMESTAMP '2024-01-15 00:00:00'
+        UNION ALL SELECT 'batches', count(DISTINCT batch_id) FROM deeds WHERE deed_date < DATE '1996-01-01'""",
+    "settings_merge": "SELECT k.name, coalesce(o.value, k.value) AS value FROM (SELECT n_name AS name, CAST(n_regionkey AS VARCHAR(20)) AS value FROM nation) AS k LEFT JOIN (SELECT r_name AS value, r_regionkey FROM region) AS o ON k.value = CAST(o.r_regionkey AS VARCHAR(20)) AND o.r_regionkey < 3",
     # models of machine settings
     "kv_ladder": """SELECT memory, max(ctx * 10 + kv) AS best FROM (SELECT m.memory, c.ctx, k.kv, q.weight + CAST(c.ctx AS BIGINT) * k.kv * 73728 AS need FROM (SELECT DISTINCT CAST(p_size AS BIGINT) * 268435456 AS memory FROM part) AS m
         CROSS JOIN (SELECT 8192 AS ctx UNION ALL SELECT 16384 UNION ALL SELECT 32768) AS c CROSS JOIN (SELECT 1 AS kv UNION ALL SELECT 2) AS k CROSS JOIN (SELECT CAST(2500000000 AS BIGINT) AS weight UNION ALL SELECT 4000000000) AS q) AS f WHERE need <= memory GROUP BY memory""",
