@@ -22,12 +22,12 @@ SELECT event_id AS id, user_id AS batch_id, concat('DOC-', CAST(event_id AS VARC
     CASE WHEN event_id % 8 = 0 THEN concat('/data/clean/', CAST(event_id AS VARCHAR(20)), '.pdf') WHEN event_id % 8 = 1 THEN '' END AS cleaned_path
 FROM (SELECT *, CASE event_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' WHEN 2 THEN 'pending' ELSE 'done' END AS ocr_state FROM events) AS e"""
 
-#: Batches: customers of the first thousand keys, so that some have documents and some none.
+#: Batches: every customer, so that each document has its batch and some batches have no document.
 BATCHES = """
 SELECT c_custkey AS id, c_name AS name,
     CASE c_custkey % 6 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'stopping' WHEN 3 THEN 'stopped' WHEN 4 THEN 'completed' ELSE 'draft' END AS state,
     CASE WHEN c_custkey % 6 < 2 THEN c_custkey % 50 END AS queue_position, c_nationkey AS user_key, CAST(round(c_acctbal * 100) AS BIGINT) AS total_bytes
-FROM customer WHERE c_custkey <= 1000"""
+FROM customer"""
 
 #: Failures: the failed documents' stages, with a time and a technical text.
 FAILURES = """
