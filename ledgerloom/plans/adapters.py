@@ -29,16 +29,18 @@ SELECT c_custkey AS id, c_name AS name,
     CASE WHEN c_custkey % 6 < 2 THEN c_custkey % 50 END AS queue_position, c_nationkey AS user_key, CAST(round(c_acctbal * 100) AS BIGINT) AS total_bytes
 FROM customer"""
 
-#: Failures: the failed documents' stages, with a time and a technical text.
-FAILURES = """
-SELECT event_id AS id, CAST(event_id % 500 AS BIGINT) AS document_pk, user_id AS batch_id, ts AS created_at,
-    CASE event_id % 4 WHEN 0 THEN 'ocr' WHEN 1 THEN 'extract' WHEN 2 THEN 'translate' ELSE 'validate' END AS stage,
-    CASE event_id % 12 WHEN 0 THEN 'the prompt exceeds the available context size (HTTP 400)' WHEN 1 THEN 'connection refused by localhost'
+#: Failures: one for each attempt at the stage that a failed document failed in, with a time and a technical text.
+FAILURES = f"""
+SELECT event_id * 4 + attempt AS id, event_id AS document_pk, batch_id, created_at, stage,
+    CASE (event_id + attempt) % 12 WHEN 0 THEN 'the prompt exceeds the available context size (HTTP 400)' WHEN 1 THEN 'connection refused by localhost'
         WHEN 2 THEN 'no parseable JSON in the answer' WHEN 3 THEN 'CUDA out of memory' WHEN 4 THEN 'timed out after 600 s' WHEN 5 THEN 'document is encrypted'
         WHEN 6 THEN 'only 12 characters across 9 pages: no usable text layer' WHEN 7 THEN 'OCR engine left no answer' WHEN 8 THEN 'translation returned nothing'
         WHEN 9 THEN 'IntegrityError: duplicate key' WHEN 10 THEN '' ELSE 'something else' END AS technical,
     CASE WHEN event_id % 10 = 0 THEN 'INCOMPLETE_PDF' END AS validation_status
-FROM events WHERE event_id % 2 = 0"""
+FROM (SELECT id AS event_id, batch_id, created_at, CASE WHEN ocr_state = 'failed' THEN 'ocr' WHEN extract_state = 'failed' THEN 'extract' WHEN translate_state = 'failed' THEN 'translate' ELSE 'validate' END AS stage,
+        CASE WHEN ocr_state = 'failed' THEN greatest(ocr_attempts, 1) WHEN extract_state = 'failed' THEN greatest(extract_attempts, 1) ELSE 1 END AS attempts
+    FROM ({DOCUMENTS}) AS d WHERE overall_state = 'failed') AS f
+JOIN (SELECT CAST(1 AS BIGINT) AS attempt UNION ALL SELECT 2 UNION ALL SELECT 3) AS a ON attempt <= attempts"""
 
 #: Deeds: an order is a deed; the consideration is in paise.
 DEEDS = """

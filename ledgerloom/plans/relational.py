@@ -88,7 +88,7 @@ QUERIES: dict[str, str] = {
     "identifier_difference": "SELECT deed, person FROM (SELECT deed, person FROM parties WHERE relation = 'S' EXCEPT SELECT deed, person FROM parties WHERE relation = 'B') AS x",
     "identifier_coverage": """SELECT s.deed, count(*) AS in_source, CAST(count(c.person) AS BIGINT) AS claimed, round(CAST(count(c.person) AS DOUBLE) / count(*), 3) AS coverage
         FROM (SELECT DISTINCT deed, person FROM parties) AS s LEFT JOIN (SELECT DISTINCT deed, person FROM parties WHERE person % 3 <> 1) AS c ON s.deed = c.deed AND s.person = c.person GROUP BY s.deed""",
-    "anti_insert": """SELECT id, document_id FROM (SELECT id, document_id, row_number() OVER (PARTITION BY document_id ORDER BY id) AS k FROM (SELECT id, document_id FROM docs WHERE id % 3 = 0 UNION ALL SELECT id + 1000000, document_id FROM docs WHERE id % 6 = 0) AS c) AS n
+    "anti_insert": """SELECT id, document_id FROM (SELECT id, document_id, row_number() OVER (PARTITION BY document_id ORDER BY id) AS k FROM (SELECT id, document_id FROM docs UNION ALL SELECT id + 1000000, document_id FROM docs) AS c) AS n
         WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM failures AS f WHERE f.document_pk = n.id)""",
     # joins
     "run_diff": """SELECT coalesce(a.deed, b.deed) AS deed, coalesce(a.field, b.field) AS field, CASE WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'lost' ELSE 'changed' END AS verdict
@@ -117,9 +117,9 @@ QUERIES: dict[str, str] = {
     "fail_stranded": "SELECT id, concat('ocr gave up after ', CAST(ocr_attempts AS VARCHAR(20)), ' attempts') AS reason, 'failed' AS overall_state FROM docs WHERE overall_state = 'processing' AND ocr_state = 'pending' AND ocr_attempts > 2",
     "purge_cascade": "SELECT p.deed, p.relation, p.ordinal FROM parties AS p WHERE NOT EXISTS (SELECT 1 FROM deeds AS d WHERE d.deed = p.deed AND d.deed_date < DATE '1998-01-01')",
     "ttl_purge": "SELECT deed FROM deeds WHERE deed_date >= DATE '1999-06-01' - INTERVAL 30 DAY",
-    "upsert_latest": """SELECT document_pk, id, stage FROM (SELECT *, row_number() OVER (PARTITION BY document_pk ORDER BY newer DESC, created_at DESC, id DESC) AS k FROM (SELECT document_pk, id, stage, created_at, 0 AS newer FROM failures WHERE id % 4 = 0
-        UNION ALL SELECT document_pk, id, stage, created_at, 1 FROM failures WHERE id % 4 = 2) AS u) AS m WHERE k = 1""",
-    "get_or_create_users": "SELECT name FROM (SELECT DISTINCT trim(s_name) AS name FROM supplier UNION SELECT DISTINCT trim(c_name) FROM customer WHERE c_custkey % 7 = 0) AS u",
+    "upsert_latest": """SELECT document_pk, id, stage FROM (SELECT *, row_number() OVER (PARTITION BY document_pk ORDER BY newer DESC, created_at DESC, id DESC) AS k FROM (SELECT document_pk, id, stage, created_at, 0 AS newer FROM failures WHERE id % 2 = 0
+        UNION ALL SELECT document_pk, id, stage, created_at, 1 FROM failures WHERE id % 2 <> 0) AS u) AS m WHERE k = 1""",
+    "get_or_create_users": "SELECT name FROM (SELECT DISTINCT trim(s_name) AS name FROM supplier UNION SELECT DISTINCT trim(c_name) FROM customer) AS u",
     "delete_guard": f"SELECT b.id, b.state NOT IN ('running', 'stopping') AND r.batch_id IS NULL AS deletable FROM batches AS b LEFT JOIN (SELECT DISTINCT batch_id FROM docs WHERE {_ANY_RUNNING}) AS r ON b.id = r.batch_id",
     "seed_from_ocr": "SELECT id + 2000000 AS id, document_id, 'done' AS ocr_state, 'pending' AS extract_state, 'processing' AS overall_state FROM docs WHERE ocr_state = 'done'",
     "final_states": "SELECT id, CASE WHEN validate_state = 'done' AND id % 3 <> 0 THEN 'processed' WHEN validate_state = 'done' THEN 'needs_review' ELSE overall_state END AS overall_state FROM docs",
@@ -138,7 +138,7 @@ QUERIES: dict[str, str] = {
     "upload_summary": "SELECT count(*) AS files, CAST(sum(total_bytes) AS BIGINT) AS bytes, count(*) > 1000 AS too_many, sum(total_bytes) > 26843545600 AS too_large FROM batches",
     "failure_panel": """SELECT id, batch_id, technical, greatest(n - 25, 0) AS hidden, can_rerun > 0 AS can_rerun FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY created_at, id) AS k, count(*) OVER (PARTITION BY batch_id) AS n,
         sum(CASE WHEN technical LIKE '%timed out%' THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id) AS can_rerun FROM failures) AS f WHERE k <= 25""",
-    "data_view": """SELECT d.deed, p.relation, p.ordinal, p.name, coalesce(f.flags, 0) AS flags FROM (SELECT deed FROM deeds WHERE deed % 3 = 0 ORDER BY deed LIMIT 100 OFFSET 100) AS d LEFT JOIN parties AS p ON d.deed = p.deed
+    "data_view": """SELECT d.deed, p.relation, p.ordinal, p.name, coalesce(f.flags, 0) AS flags FROM (SELECT deed FROM deeds ORDER BY deed LIMIT 100 OFFSET 100) AS d LEFT JOIN parties AS p ON d.deed = p.deed
         LEFT JOIN (SELECT deed, count(DISTINCT CASE WHEN name = '-' THEN 'NO_NAME' WHEN aadhaar IS NULL AND pan IS NULL THEN 'NO_ID' END) AS flags FROM parties GROUP BY deed) AS f ON d.deed = f.deed""",
     "retention": """SELECT 'pages' AS kind, count(*) AS expired FROM deeds WHERE deed_date < DATE '1999-06-01' - INTERVAL 30 DAY UNION ALL SELECT 'logs', count(*) FROM failures WHERE created_at < TIMESTAMP '2024-01-15 00:00:00'
         UNION ALL SELECT 'batches', count(DISTINCT batch_id) FROM deeds WHERE deed_date < DATE '1996-01-01'""",
