@@ -134,7 +134,8 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def names_in_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = ("ಮಂಜುನಾಥ", "रमेश कुमार", "முருகன்", "రామారావు", "রহিম", "ગણેશ", "Ravi")
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.element_at(F.array(*[F.lit(w) for w in words]), F.col("n_nationkey") % len(words) + 1).alias("name"))
+    word = F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("deed") % len(words) + 1).cast("int"))
+    rows = _parties(spark, sf_dir).select("deed", "relation", "ordinal", F.concat_ws(" ", word, "name").alias("name"))
     return language.apply_once(rows, ["name"], lambda d: d.withColumn("latin", language.transliterate("name")))
 
 
@@ -187,7 +188,7 @@ def batch_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mock_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with commentary around them, scanned for their first object."""
     d = F.col("doc_id")
-    answer = F.concat(F.lit("Here: ```json\n{\"broken\": }\n"), F.to_json(F.struct(d.alias("id"), F.left("text", F.lit(20)).alias("text"))), F.lit("\n``` done {\"later\": 1}"))
+    answer = F.concat(F.lit("Here: ```json\n{\"broken\": }\n"), F.to_json(F.struct(d.alias("id"), "text")), F.lit("\n``` done {\"later\": 1}"))
     return table(spark, sf_dir, "documents").select("doc_id", F.get_json_object(grounding.first_json(answer), "$.id").cast("long").alias("found"))
 
 
