@@ -39,7 +39,9 @@ SAMPLE = 3000
 SEED = "toxicity-1"
 FOLDS = 5
 #: Words a model may look at, each in so many documents of the sample at least.
-WORDS, LEAST = 300, 8
+WORDS, LEAST = 300, 4
+#: Standard errors by which a feature's shares in the two classes differ at least.
+APART = 3
 HOLD = 1.0
 #: Lengths of the beginnings of words that count as features of their own.
 STEMS = (3, 4, 5, 6)
@@ -84,7 +86,7 @@ class Sample:
         a, b = count(y), count(1 - y)
         p = (a + b) / (n1 + n0)
         z = np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-        z[(a + b < LEAST) | (z <= 4)] = 0
+        z[(a + b < LEAST) | (z <= APART)] = 0
         best = np.lexsort((np.arange(len(z)), -z))[:WORDS]
         return best[z[best] > 0]
 
