@@ -1,60 +1,97 @@
-"""Removal of every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere.
+"""Removal of what also stands elsewhere: strings of ``LENGTH`` bytes, or passages of words.
+
+A ``Rule`` says what a symbol is (a byte or a word), how many symbols in a row count as a
+repeat, and whether only other documents count. Every symbol covered by such a string that
+also starts elsewhere is a repeat; overlaps count, and strings are judged on the input.
 
 Strings are ordered by column-wise construction: a collection's suffixes are extended by one
-symbol per member each round, and the collection's transform (the order of the extended
-suffixes, and the symbols that follow) and the common prefixes of neighbours are updated
-from the round before. Columns go through a file that is written once and read back in
-sequence, so memory holds an order and a prefix length for each member, not the texts.
-
-Inserting a symbol of every document of the whole corpus each round would rewrite the whole
-transform as often as the longest text has bytes. So the collection is first cut into small
-ones that can be built by themselves. Every string of ``LENGTH`` bytes has an anchor, the
-first of its ``LEAST``-byte strings with the lowest hash; equal strings have equal anchors at
-equal places. A window is a run of starts with one anchor, together with all their bytes;
-windows with equal anchors are aligned there, and only they can share a string. Equal
-windows are merged and counted, a window alone with its anchor is dropped, and an anchor
-with one distinct window needs no order: all its starts repeat. For all others, starts are
-taken ``BLOCK`` at a time, the bytes common to all starts of a block (the core) part the
-windows further, and members with one core form a collection whose columns are the bytes on
-either side, right ones first. A start repeats if the prefix it shares with a neighbour has
-``LENGTH`` bytes, or if its member stands for several.
+symbol per member each round, and the order of the extended suffixes and the common prefixes
+of neighbours are updated from the round before. Columns go through a file that is written
+once and read back in sequence, so memory holds an order and a prefix length for each
+member, not the texts. Of the transform only the order is kept, since nothing else is asked.
+
+Inserting a symbol of every document of the whole corpus each round would rewrite the order
+as often as the longest text has symbols. So the collection is first cut into small ones that
+can be built by themselves. Every string of a rule's length has an anchor, the first of its
+``least``-symbol strings with the lowest hash; equal strings have equal anchors at equal
+places. A window is a run of starts with one anchor, together with all their symbols; windows
+with equal anchors are aligned there, and only they can share a string. Equal windows are
+merged and counted, a window alone with its anchor is dropped, and an anchor with one
+distinct window needs no order: all its starts repeat. For all others, starts are taken
+``block`` at a time, the symbols common to all starts of a block (the core) part the windows
+further, and members with one core form a collection whose columns are the symbols on either
+side, right ones first. A start repeats if the run of neighbours that share its whole string
+has another start (or one of another document), or if its member stands for several.
 
 Aligned members extend in step, so the order after a round is the order before it, dealt
 stably by the new symbols, and a common prefix is one more than the least in between.
 
-Cases: a null text counts as empty; texts shorter than ``LENGTH`` keep all; equal rows repeat
-each other wholly; rows that share an id are told apart by their text; matches never cross
-documents, and the input alone decides; an empty table gives no rows; other columns are not
-read. No group of windows meets in one task before it is merged.
+A collection with more than ``LARGE`` members, such as a notice that very many documents
+carry amid texts of their own, is not built in one task: its strings are hashed and counted
+with map-side combining, to the same result.
+
+Cases: a null text counts as empty; texts shorter than a string keep all; rows that share an
+id are told apart by their text; equal rows repeat each other wholly under a rule that counts
+every place, and are one document under a rule that counts other documents; matches never
+cross documents, and the input alone decides; an empty table gives no rows; columns of any
+name are carried as they are. No group of windows meets in one task before it is merged.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.minhash_dedup import Shingler
 from ledgerloom.session import Scratch, table
 
-LENGTH, LEAST, BLOCK = 400, 80, 32
-SPAN = LENGTH - LEAST + 1
-#: Bytes of one round of window search; a power of two, since places share a word with hashes.
+
+@dataclass(frozen=True)
+class Rule:
+    """What repeats: ``length`` symbols of ``width`` bytes each, anywhere or in other documents."""
+
+    number: int
+    length: int
+    least: int
+    block: int
+    width: int
+    across: bool
+
+    @property
+    def span(self) -> int:
+        """Anchors that a string may have."""
+        return self.length - self.least + 1
+
+
+LENGTH = 400
+BYTES = Rule(number=0, length=LENGTH, least=80, block=32, width=1, across=False)
+#: Passages of over 50 words that another document has too; a word is its 64-bit hash.
+WORDS = Rule(number=1, length=51, least=10, block=16, width=8, across=True)
+RULES = {r.number: r for r in (BYTES, WORDS)}
+#: Symbols of one round of window search; a power of two, since places share a word with hashes.
 CHUNK = 1 << 20
-#: Members of collections that are built together, in whole collections.
-MEMBERS = 50_000
-WINDOW = "doc_id long, text_key long, s1 int, s2 int, p int, anchor long, full long"
-FINE = "anchor long, full long, rel int, core long, unit long, left binary, right binary, n long"
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Members of collections that are built together, in whole collections; and of one that isn't built in a task.
+MEMBERS, LARGE = 50_000, 50_000
+#: At most so many collections are large: the bound rises with the number of members.
+LARGE_KEYS = 10_000
+WINDOW = "key long, rule int, s1 int, s2 int, p int, anchor long, full long"
+FINE = "rule int, anchor long, full long, rel int, core long, unit long, left binary, right binary, n long, lo long, hi long"
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, n_passages long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _RULE = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D
 _BYTES = np.random.default_rng(400).integers(1, 1 << 63, 256, dtype=np.uint64)
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
 
 
 def _powers(base: int) -> np.ndarray:
@@ -63,35 +100,48 @@ def _powers(base: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def _text_key(data) -> int:
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+class Symbols:
+    """The symbols of a text under a rule, as bytes."""
+
+    def __init__(self):
+        self.shingler = Shingler()
+
+    def of(self, text, rule: Rule) -> bytes:
+        """text: an Arrow string that isn't null."""
+        return text.as_buffer().to_pybytes() if rule.width == 1 else self.shingler.words(text.as_py()).tobytes()
 
 
 class Windows:
     """Finds the windows of texts, many short ones at a time or a long one in parts."""
 
-    def __init__(self):
+    def __init__(self, rule: Rule):
+        self.rule = rule
         self.up, self.down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
-    def find(self, data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-        """data: bytes; valid: whether a string may start there. (first, last start, anchor, its hash)."""
-        n = len(data)
+    def find(self, values: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
+        """values: hashed symbols; valid: whether a string may start there. (first, last start, anchor, its hash)."""
+        n, least, span = len(values), self.rule.least, self.rule.span
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[data] * self.up[:n], out=sums[1:])
-        h = (sums[LEAST:] - sums[:-LEAST]) * self.down[: n - LEAST + 1]
+        np.cumsum(values * self.up[:n], out=sums[1:])
+        h = (sums[least:] - sums[:-least]) * self.down[: n - least + 1]
         h = (h ^ (h >> np.uint64(29))) * _MIX1
         h = (h ^ (h >> np.uint64(32))) * _MIX2
-        h ^= h >> np.uint64(31)
+        h ^= (h >> np.uint64(31)) ^ np.uint64(_RULE * self.rule.number)
         place = np.uint64(CHUNK - 1)
         v = (h & ~place) | np.arange(len(h), dtype=np.uint64)
-        rows = -(-len(v) // SPAN)
-        grid = np.full(rows * SPAN, np.uint64(0xFFFFFFFFFFFFFFFF))
+        rows = -(-len(v) // span)
+        grid = np.full(rows * span, np.uint64(0xFFFFFFFFFFFFFFFF))
         grid[: len(v)] = v
-        grid = grid.reshape(rows, SPAN)
+        grid = grid.reshape(rows, span)
         ahead = np.minimum.accumulate(grid, axis=1).ravel()
         behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = n - LENGTH + 1
-        at = (np.minimum(behind[:starts], ahead[SPAN - 1 : SPAN - 1 + starts]) & place).astype(np.int64)
+        starts = n - self.rule.length + 1
+        at = (np.minimum(behind[:starts], ahead[span - 1 : span - 1 + starts]) & place).astype(np.int64)
         at[~valid[:starts]] = -1
         edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.concatenate([edge[1:], [starts]]) - 1
@@ -100,147 +150,166 @@ class Windows:
         return first, last, at[first], h[at[first]].view(np.int64)
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """All windows of all texts."""
+def windows(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """All windows of all texts; docs: key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Windows()
+        finders = {r.number: Windows(r) for r in rules}
+        symbols, held = Symbols(), {r.number: ([], 0) for r in rules}
 
-        def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            # parts: (doc id, text key, place in the text, bytes)
+        def flush(rule: Rule, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            # parts: (key, place in the text, symbols)
             if not parts:
                 return
-            joined = b"".join(p[3] for p in parts)
-            sizes = np.array([len(p[3]) for p in parts])
+            joined, width = b"".join(p[2] for p in parts), rule.width
+            sizes = np.array([len(p[2]) // width for p in parts])
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            valid = np.zeros(len(joined), bool)
+            valid = np.zeros(int(sizes.sum()), bool)
             for o, n in zip(offsets, sizes, strict=False):
-                valid[o : o + n - LENGTH + 1] = True
-            first, last, at, anchor = finder.find(np.frombuffer(joined, np.uint8), valid)
+                valid[o : o + n - rule.length + 1] = True
+            values = _BYTES[np.frombuffer(joined, np.uint8)] if width == 1 else np.frombuffer(joined, np.uint64)
+            first, last, at, anchor = finders[rule.number].find(values, valid)
             # one text may end and the next begin without a start in between that breaks the run
             owner = np.searchsorted(offsets, first, side="right") - 1
             view, hash64 = memoryview(joined), xxhash.xxh3_64_intdigest
-            full = np.array([hash64(view[a : b + LENGTH], p - a) for a, b, p in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)], np.uint64)
-            ids = pa.array([p[0] for p in parts], pa.int64()).take(pa.array(owner))
-            keys = np.array([p[1] for p in parts], np.int64)[owner]
-            shift = np.array([p[2] for p in parts])[owner] - offsets[owner]
+            full = np.array([hash64(view[a * width : (b + rule.length) * width], p - a) for a, b, p in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)], np.uint64)
+            keys = np.array([p[0] for p in parts], np.int64)[owner]
+            shift = np.array([p[1] for p in parts])[owner] - offsets[owner]
             place = [pa.array((x + shift).astype(np.int32)) for x in (first, last, at)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys), *place, pa.array(anchor), pa.array(full.view(np.int64))], names=[f.split()[0] for f in WINDOW.split(", ")])
+            number = pa.array(np.full(len(first), rule.number, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), number, *place, pa.array(anchor), pa.array(full.view(np.int64))], names=[f.split()[0] for f in WINDOW.split(", ")])
 
-        parts, size = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if len(data) < LENGTH:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not text.is_valid:
                     continue
-                key = _text_key(data)
-                for a in range(0, len(data) - LENGTH + 1, CHUNK // 2):
-                    piece = data[a : a + CHUNK // 2 + LENGTH - 1]
-                    if size + len(piece) > CHUNK:
-                        yield from flush(parts)
-                        parts, size = [], 0
-                    parts.append((doc, key, a, piece))
-                    size += len(piece)
-        yield from flush(parts)
-
-    return docs.select("doc_id", "text").mapInArrow(run, WINDOW)
+                for rule in rules:
+                    data = symbols.of(text, rule)
+                    n = len(data) // rule.width
+                    for a in range(0, n - rule.length + 1, CHUNK // 2):
+                        piece = data[a * rule.width : (a + CHUNK // 2 + rule.length - 1) * rule.width]
+                        parts, size = held[rule.number]
+                        if size + len(piece) // rule.width > CHUNK:
+                            yield from flush(rule, parts)
+                            parts, size = [], 0
+                        parts.append((key, a, piece))
+                        held[rule.number] = parts, size + len(piece) // rule.width
+        for rule in rules:
+            yield from flush(rule, held[rule.number][0])
+
+    return docs.select("key", "text").mapInArrow(run, WINDOW)
 
 
 def fine_members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Blocks of the chosen windows (one of each kind), with the bytes beside the cores."""
-    lists = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "s1", "s2", "p", "anchor", "full", "n")).alias("w"))
-    joined = docs.join(lists.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "w")
+    """Blocks of the chosen windows (one of each kind), with the symbols beside the cores."""
+    lists = chosen.groupBy("key").agg(F.collect_list(F.struct("rule", "s1", "s2", "p", "anchor", "full", "n", "lo", "hi")).alias("w"))
+    joined = docs.join(lists, "key").select("text", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in FINE.split(", ")]
-        types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]] for f in FINE.split(", ")]
-        hash64, out = xxhash.xxh3_64_intdigest, []
-
-        def take() -> pa.RecordBatch:
-            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(cols, names=names)
-
+        hash64, out, symbols = xxhash.xxh3_64_intdigest, [], Symbols()
         for batch in batches:
             for text, found in zip(batch.column(0), batch.column(1), strict=True):
-                data = text.as_buffer().to_pybytes()
-                key, view = _text_key(data), memoryview(data)
+                data = {}
                 for w in found.as_py():
-                    if w["text_key"] != key:
-                        continue
+                    rule = RULES[w["rule"]]
+                    if rule.number not in data:
+                        data[rule.number] = symbols.of(text, rule)
+                    own, width, block = data[rule.number], rule.width, rule.block
+                    view = memoryview(own)
                     s1, s2, p = w["s1"], w["s2"], w["p"]
-                    for j in range((p - s2) // BLOCK, (p - s1) // BLOCK + 1):
-                        zero = p - j * BLOCK  # the start of the core; starts are zero - t, 0 <= t < BLOCK
-                        end = zero - BLOCK + 1 + LENGTH
-                        lo, hi = max(s1, zero - BLOCK + 1), min(s2, zero)
-                        left, right = data[lo:zero], data[end : hi + LENGTH]
-                        core = hash64(view[zero:end], j) - (1 << 63)
+                    for j in range((p - s2) // block, (p - s1) // block + 1):
+                        zero = p - j * block  # the start of the core; starts are zero - t, 0 <= t < block
+                        end = zero - block + 1 + rule.length
+                        lo, hi = max(s1, zero - block + 1), min(s2, zero)
+                        left, right = own[lo * width : zero * width], own[end * width : (hi + rule.length) * width]
+                        core = hash64(view[zero * width : end * width], j) - (1 << 63)
                         unit = hash64(left + b"\0" + right, len(left)) - (1 << 63)
-                        out.append((w["anchor"], w["full"], zero - s1, core, unit, left, right, w["n"]))
+                        out.append((rule.number, w["anchor"], w["full"], zero - s1, core, unit, left, right, w["n"], w["lo"], w["hi"]))
                 if len(out) >= 20_000:
-                    yield take()
+                    yield _batch(out, FINE)
+                    out.clear()
         if out:
-            yield take()
+            yield _batch(out, FINE)
 
     return joined.mapInArrow(run, FINE)
 
 
-def repeated_starts(group: np.ndarray, left: list[bytes], right: list[bytes], n: np.ndarray) -> np.ndarray:
+def repeated_starts(group: np.ndarray, left: list[bytes], right: list[bytes], n: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None, rule: Rule = BYTES) -> np.ndarray:
     """Column-wise construction of collections given by ascending ``group`` numbers.
 
-    Bit t of a member's result: the string that starts t bytes left of its core repeats.
+    n: the places that a member stands for; lo, hi: the lowest and highest of their documents.
+    Bit t of a member's result: the string that starts t symbols left of its core repeats.
     """
-    m = len(group)
-    side = BLOCK - 1
+    m, side = len(group), rule.block - 1
+    kind = np.uint8 if rule.width == 1 else np.uint64
+    flat = {place: np.frombuffer(b"".join(texts), kind) for place, texts in (("right", right), ("left", left))}
+    lengths = {place: np.array([len(x) // rule.width for x in texts]) for place, texts in (("right", right), ("left", left))}
+    if rule.width > 1:
+        # words are numbered anew within what is built together
+        names, number = np.unique(np.concatenate([flat["right"], flat["left"]]), return_inverse=True)
+        flat = {"right": number[: len(flat["right"])], "left": number[len(flat["right"]) :]}
+        kinds = len(names) + 2
+    else:
+        kinds = 512
     with tempfile.TemporaryFile() as file:
         # right columns from the last to the first, then left ones from the core outwards; 0: no symbol
-        for place, texts in (("right", right), ("left", left)):
-            grid = np.zeros((m, side), np.uint16)
-            lengths = np.array([len(x) for x in texts])
-            mask = np.arange(side)[None, :] < lengths[:, None]
-            grid[mask] = np.frombuffer(b"".join(x if place == "right" else x[::-1] for x in texts), np.uint8).astype(np.uint16) + 1
+        for place in ("right", "left"):
+            grid, size = np.zeros((m, side), np.uint32), lengths[place]
+            mask = np.arange(side)[None, :] < size[:, None]
+            grid[mask] = flat[place].astype(np.uint32) + 1
+            if place == "left":
+                grid = np.where(mask, np.take_along_axis(grid, np.clip(size[:, None] - 1 - np.arange(side)[None, :], 0, side - 1), axis=1), 0).astype(np.uint32)
             np.ascontiguousarray(grid.T[::-1] if place == "right" else grid.T).tofile(file)
         file.seek(0)
         order, prefix = np.arange(m), np.zeros(m, np.int32)  # prefix[k]: shared by order[k - 1] and order[k]
         out = np.zeros(m, np.int64)
-        base = group.astype(np.int64) * 512
+        base = group.astype(np.int64) * kinds
 
         def insert(symbols: np.ndarray, order: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             key = (base + symbols)[order]
             deal = np.argsort(key, kind="stable")
             now, sorted_key = order[deal], key[deal]
             # the least common prefix between two places of the order before, by doubling spans
-            lo, hi = deal[:-1] + 1, deal[1:] + 1
+            a, b = deal[:-1] + 1, deal[1:] + 1
             fresh = np.zeros(m, np.int32)
             same = np.flatnonzero((sorted_key[1:] == sorted_key[:-1]) & (symbols[now[1:]] > 0))
-            lo, hi = lo[same], hi[same]
-            level, spans, width = np.frexp((hi - lo).astype(np.float64))[1] - 1, prefix, 1
+            a, b = a[same], b[same]
+            level, spans, width = np.frexp((b - a).astype(np.float64))[1] - 1, prefix, 1
             least = np.zeros(len(same), np.int32)
             for k in range(int(level.max(initial=-1)) + 1):
                 own = level == k
-                least[own] = np.minimum(spans[lo[own]], spans[hi[own] - width])
+                least[own] = np.minimum(spans[a[own]], spans[b[own] - width])
                 spans = np.minimum(spans[: len(spans) - width], spans[width:]) if len(spans) > width else spans
                 width *= 2
             fresh[same + 1] = least + 1
             return now, fresh
 
         def mark(t: int) -> None:
-            there = np.zeros(m + 1, bool)
-            there[:m] = prefix >= LENGTH
-            out[order] |= (there[:m] | there[1:]).astype(np.int64) << t
+            alike = prefix >= rule.length
+            if rule.across:
+                starts = np.flatnonzero(~alike)
+                several = np.minimum.reduceat(lo[order], starts) < np.maximum.reduceat(hi[order], starts)
+                repeated = several[np.cumsum(~alike) - 1]
+            else:
+                there = np.append(alike, False)
+                repeated = there[:m] | there[1:]
+            out[order] |= repeated.astype(np.int64) << t
 
         for _ in range(side):
-            order, prefix = insert(np.fromfile(file, np.uint16, m).astype(np.int64), order, prefix)
+            order, prefix = insert(np.fromfile(file, np.uint32, m).astype(np.int64), order, prefix)
         # all members of a collection have its core: the order stays, prefixes grow by its length
-        prefix = np.where(np.concatenate([[False], group[order][1:] == group[order][:-1]]), prefix + LENGTH - side, 0).astype(np.int32)
+        prefix = np.where(np.concatenate([[False], group[order][1:] == group[order][:-1]]), prefix + rule.length - side, 0).astype(np.int32)
         mark(0)
-        for t in range(1, BLOCK):
-            order, prefix = insert(np.fromfile(file, np.uint16, m).astype(np.int64), order, prefix)
+        for t in range(1, rule.block):
+            order, prefix = insert(np.fromfile(file, np.uint32, m).astype(np.int64), order, prefix)
             mark(t)
-    own_lo = BLOCK - 1 - np.array([len(x) for x in right])
-    own_hi = np.array([len(x) for x in left])
-    mine = ((np.int64(1) << (own_hi + 1)) - 1) & ~((np.int64(1) << own_lo) - 1)
-    return np.where(n > 1, mine, out & mine)
+    mine = _own_starts(lengths["left"], lengths["right"], rule)
+    return np.where(lo < hi if rule.across else n > 1, mine, out & mine)
+
+
+def _own_starts(left: np.ndarray, right: np.ndarray, rule: Rule) -> np.ndarray:
+    """Bits of the starts whose whole strings a member with so many symbols on either side has."""
+    return ((np.int64(1) << (left.astype(np.int64) + 1)) - 1) & ~((np.int64(1) << (rule.block - 1 - right.astype(np.int64))) - 1)
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +317,15 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: pa.Table | None = None
 
     def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if len(t):
-            key = np.stack([t.column(k).to_numpy() for k in ("anchor", "core")])
-            group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
-            got = repeated_starts(group, t.column("left").to_pylist(), t.column("right").to_pylist(), t.column("n").to_numpy())
-            some = np.flatnonzero(got)
-            yield pa.RecordBatch.from_arrays([*(pa.array(t.column(k).to_numpy()[some]) for k in ("anchor", "core", "unit")), pa.array(got[some])], names=["anchor", "core", "unit", "mask"])
+        numbers = t.column("rule").to_numpy()
+        for rule in RULES.values():
+            own = t.filter(pa.array(numbers == rule.number))
+            if len(own):
+                key = np.stack([own.column(k).to_numpy() for k in ("anchor", "core")])
+                group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
+                got = repeated_starts(group, own.column("left").to_pylist(), own.column("right").to_pylist(), *(own.column(k).to_numpy() for k in ("n", "lo", "hi")), rule)
+                some = np.flatnonzero(got)
+                yield pa.RecordBatch.from_arrays([*(pa.array(own.column(k).to_numpy()[some]) for k in ("anchor", "core", "unit")), pa.array(got[some])], names=["anchor", "core", "unit", "mask"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -267,93 +339,157 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(held)
 
 
-def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, w) for documents with repeated starts; w: text_key, s1, s2, and marks (null: all starts)."""
-    found = scratch.keep("windows", windows(docs))
-    kinds = found.groupBy("anchor", "full").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "s1", "s2", "p")).alias("w"))
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For members of large collections: each start's string, hashed."""
+    schema = "rule int, anchor long, core long, unit long, t int, string long, n long, lo long, hi long"
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            rule = RULES[row["rule"]]
+            w, left, right = rule.width, row["left"], row["right"]
+            for t in range(rule.block - 1 - len(right) // w, len(left) // w + 1):
+                string = xxhash.xxh3_64_intdigest(left[len(left) - t * w :] + right[: (rule.block - 1 - t) * w], t) - (1 << 63)
+                out.append((rule.number, row["anchor"], row["core"], row["unit"], t, string, row["n"], row["lo"], row["hi"]))
+        if out:
+            yield _batch(out, schema)
+
+
+def _several(rule: str, n: str, lo: str, hi: str) -> str:
+    """SQL: what is counted or bounded so is a repeat under its rule."""
+    across = ", ".join(str(r.number) for r in RULES.values() if r.across)
+    return f"IF({rule} IN ({across}), {lo} < {hi}, {n} > 1)"
+
+
+def _masks(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(anchor, core, unit, mask): the repeated starts of members; large collections by counting."""
+    total = members.count()
+    sizes = members.groupBy("anchor", "core").count().filter(F.col("count") > max(LARGE, total // LARGE_KEYS)).select("anchor", "core")
+    large = scratch.keep("large", sizes)  # at most LARGE_KEYS rows
+    mask = "anchor long, core long, unit long, mask long"
+    if not large.limit(1).count():
+        return members.repartition("anchor", "core").sortWithinPartitions("anchor", "core").mapInArrow(_build, mask)
+    rest = members.join(F.broadcast(large), ["anchor", "core"], "left_anti").select(*members.columns)
+    built = rest.repartition("anchor", "core").sortWithinPartitions("anchor", "core").mapInArrow(_build, mask)
+    strings = members.join(F.broadcast(large), ["anchor", "core"], "left_semi").select(*members.columns)
+    strings = scratch.keep("strings", strings.mapInArrow(_strings, "rule int, anchor long, core long, unit long, t int, string long, n long, lo long, hi long"))
+    keys = ["anchor", "core", "t", "string"]
+    counted = strings.groupBy("rule", *keys).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counted = counted.filter(_several("rule", "n", "lo", "hi")).select(*keys)
+    hashed = strings.select("unit", *keys).join(counted, keys).groupBy("anchor", "core", "unit").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("mask"))
+    return built.unionByName(hashed)
+
+
+def repeats(docs: DataFrame, scratch: Scratch, rules: tuple[Rule, ...]) -> DataFrame:
+    """docs: key, text. (key, w) of texts with repeated starts; w: rule, s1, s2, and marks (null: all starts)."""
+    found = scratch.keep("windows", windows(docs, rules))
+    kinds = found.groupBy("rule", "anchor", "full").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min(F.struct("key", "s1", "s2", "p")).alias("w"))
     kinds = scratch.keep("kinds", kinds)
-    shared = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).filter("total > 1")
-    kinds = scratch.keep("shared", kinds.join(shared, "anchor").select("anchor", "full", "n", "distinct", "w"))
-    fine = scratch.keep("fine", fine_members(docs, kinds.filter("distinct > 1").select("w.*", "anchor", "full", "n")))
-    members = fine.groupBy("anchor", "core", "unit").agg(F.sum("n").alias("n"), F.min("left").alias("left"), F.min("right").alias("right"))
-    sorted_ = members.repartition("anchor", "core").sortWithinPartitions("anchor", "core")
-    masks = scratch.keep("masks", sorted_.mapInArrow(_build, "anchor long, core long, unit long, mask long"))
-    marks = fine.join(masks, ["anchor", "core", "unit"]).groupBy("anchor", "full").agg(F.collect_list(F.struct("rel", "mask")).alias("marks"))
-    whole = kinds.filter("n > 1").select("anchor", "full", F.lit(None).cast("array<struct<rel:int,mask:bigint>>").alias("marks"))
-    part = kinds.filter("n = 1 AND distinct > 1").select("anchor", "full").join(marks, ["anchor", "full"])
-    hit = found.join(whole.unionByName(part), ["anchor", "full"]).select("doc_id", F.struct("text_key", "s1", "s2", "marks").alias("w"))
-    return hit.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("w").alias("w"))
-
-
-def removed(data: bytes, found: list[dict] | None) -> np.ndarray:
-    """Which bytes of a text go."""
-    delta = np.zeros(len(data) + 1, np.int32)
-    if found:
-        key = _text_key(data)
-        for w in found:
-            if w["text_key"] != key:
-                continue
-            if w["marks"] is None:
-                delta[w["s1"]] += 1
-                delta[w["s2"] + LENGTH] -= 1
-                continue
-            for mark in w["marks"]:
-                for t in range(BLOCK):
-                    if mark["mask"] >> t & 1:
-                        delta[w["s1"] + mark["rel"] - t] += 1
-                        delta[w["s1"] + mark["rel"] - t + LENGTH] -= 1
+    shared = kinds.groupBy("rule", "anchor").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.min("lo").alias("least"), F.max("hi").alias("most"))
+    shared = shared.filter(_several("rule", "total", "least", "most")).select("anchor", "distinct")
+    kinds = scratch.keep("shared", kinds.join(shared, "anchor").select("rule", "anchor", "full", "n", "lo", "hi", "distinct", "w"))
+    scratch.drop("kinds")
+    fine = scratch.keep("fine", fine_members(docs, kinds.filter("distinct > 1").select("w.*", "rule", "anchor", "full", "n", "lo", "hi")))
+    members = fine.groupBy("anchor", "core", "unit").agg(F.min("rule").alias("rule"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("left").alias("left"), F.min("right").alias("right"))
+    masks = scratch.keep("masks", _masks(scratch.keep("members", members), scratch))
+    marks = fine.join(masks, ["anchor", "core", "unit"]).groupBy("anchor", "full").agg(F.collect_set(F.struct("rel", "mask")).alias("marks"))
+    several = _several("rule", "n", "lo", "hi")
+    whole = kinds.filter(several).select("anchor", "full", F.lit(None).cast("array<struct<rel:int,mask:bigint>>").alias("marks"))
+    part = kinds.filter(f"NOT {several} AND distinct > 1").select("anchor", "full").join(marks, ["anchor", "full"])
+    hit = found.join(whole.unionByName(part), ["anchor", "full"]).select("key", F.struct("rule", "s1", "s2", "marks").alias("w"))
+    # a set: rows with equal ids and texts give each entry many times, combined before the shuffle
+    out = scratch.keep("hits", hit.groupBy("key").agg(F.collect_set("w").alias("w")))
+    scratch.drop("windows", "shared", "fine", "members", "masks", "large", "strings")
+    return out
+
+
+def covered(n: int, found: list[dict] | None, rule: Rule) -> np.ndarray:
+    """Which of a text's n symbols stand in a repeat."""
+    delta = np.zeros(n + 1, np.int32)
+    for w in found or []:
+        if w["rule"] != rule.number:
+            continue
+        if w["marks"] is None:
+            delta[w["s1"]] += 1
+            delta[w["s2"] + rule.length] -= 1
+            continue
+        for mark in w["marks"]:
+            for t in range(rule.block):
+                if mark["mask"] >> t & 1:
+                    delta[w["s1"] + mark["rel"] - t] += 1
+                    delta[w["s1"] + mark["rel"] - t + rule.length] -= 1
     return np.cumsum(delta[:-1]) > 0
 
 
-def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
+def _runs(flags: np.ndarray) -> int:
+    return int(np.count_nonzero(np.diff(flags.astype(np.int8), prepend=0) == 1))
+
+
+def without(text: str, found: list[dict], rules: tuple[Rule, ...]) -> str:
+    """A text less its repeats: bytes with the rest of their character, words with the space after them."""
+    numbers = {w["rule"] for w in found}
+    for rule in sorted((r for r in rules if r.number in numbers), key=lambda r: -r.width):
+        if rule.width == 1:
+            data = text.encode()
+            gone = covered(len(data), found, rule)
+            text = np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        else:
+            places = [m.start() for m in WORD.finditer(text)]
+            gone = covered(len(places), found, rule)
+            edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+            kept, at = [], 0
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                kept.append(text[at : places[a]])
+                at = places[b] if b < len(places) else len(text)
+            text = "".join(kept) + text[at:]
+    return text
 
 
-def clean(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """The documents, all columns, with repeated bytes removed from their texts.
+def _key() -> Column:
+    """Which document a row is: rows with equal ids and texts are one."""
+    return F.xxhash64("doc_id", "text").alias("key")
 
-    A character of which a byte goes, goes; n_chars is counted anew where there is such a column.
+
+def clean(docs: DataFrame, spark: SparkSession, rule: Rule = BYTES) -> DataFrame:
+    """The documents, all columns, with what repeats under a rule removed from their texts.
+
+    n_chars is counted anew where there is such a column.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = repeats(own, Scratch(spark, "suffix"))
-    whole = docs.join(found.withColumnRenamed("w", "_w"), F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
-    at, names = whole.columns.index("text"), docs.columns
+    found = repeats(docs.select(_key(), "text"), Scratch(spark, "suffix"), (rule,))
+    rows = docs.select(_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, w in zip(batch.column(at), batch.column(len(batch.columns) - 1), strict=True):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                gone = removed(data, w.as_py()) if w.is_valid else None
-                texts.append(text.as_py() if gone is None else np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
-            cols = list(batch.columns[:-1])
+            cols = batch.column(0).flatten()
+            texts = [without(text.as_py(), w.as_py(), (rule,)) if w.is_valid and text.is_valid else text.as_py() for text, w in zip(cols[at], batch.column(1), strict=True)]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = whole.mapInArrow(run, docs.schema)
+    out = rows.join(found, "key", "left").select("row", "w").mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def digest(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = repeats(own, Scratch(spark, "suffix"))
+    """What of each text is repeated bytes, and (n_passage_words, n_passages) repeated passages of words."""
+    found = repeats(docs.select(_key(), "text"), Scratch(spark, "suffix"), (BYTES, WORDS))
+    own = docs.select(_key(), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, text, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
+                kept, gone, words = data, np.zeros(0, bool), np.zeros(0, bool)
                 if w.is_valid:
-                    gone = removed(data, w.as_py())
-                    kept, lost, spans = np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                else:
-                    kept, lost, spans = data, 0, 0
-                out.append((doc, len(data), lost, spans, hashlib.sha256(kept).hexdigest()))
+                    entries = w.as_py()
+                    gone = covered(len(data), entries, BYTES)
+                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                    words = covered(max([0, *(x["s2"] + WORDS.length for x in entries if x["rule"] == WORDS.number)]), entries, WORDS)
+                out.append((doc, len(data), int(gone.sum()), _runs(gone), hashlib.sha256(kept).hexdigest(), int(words.sum()), _runs(words)))
             if out:
-                types = [pa.int64() if f.endswith("long") else pa.string() for f in DIGEST.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in DIGEST.split(", ")])
+                yield _batch(out, DIGEST)
 
-    return _joined(own, found).mapInArrow(run, DIGEST)
+    return own.join(found, "key", "left").select("doc_id", "text", "w").mapInArrow(run, DIGEST)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

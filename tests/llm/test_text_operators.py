@@ -62,7 +62,7 @@ def test_suffix_dedup_removes_what_brute_force_removes(spark, docs, empty):
                 gone[k : k + 400] = True
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         want.append((doc, len(b), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(int), prepend=0) == 1)), hashlib.sha256(kept).hexdigest()))
-    assert sorted(tuple(r) for r in suffix_dedup.digest(docs, spark).collect()) == sorted(want)
+    assert sorted(tuple(r)[:5] for r in suffix_dedup.digest(docs, spark).collect()) == sorted(want)
     assert suffix_dedup.digest(empty, spark).count() == 0
     cleaned = {r["doc_id"]: r for r in suffix_dedup.clean(docs, spark).collect()}
     sizes = {w[0]: w[1] - w[2] for w in want}
