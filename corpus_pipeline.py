@@ -24,8 +24,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that also stand elsewhere."""
-    return suffix_dedup.clean(docs, spark)
+    """Texts without the passages of over 50 words that another document has too."""
+    return suffix_dedup.clean(docs, spark, suffix_dedup.WORDS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
