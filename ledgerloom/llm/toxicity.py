@@ -5,16 +5,22 @@ words and beginnings of words that tell the category's labels apart, and on the
 A later model is trained with out-of-fold figures of the earlier ones, so that it learns from
 what it will be given when scoring; scoring uses the models fitted on the whole sample.
 
-Here ``labels`` names toxic texts and poor ones, from which three categories follow: toxic,
-toxic in a text of poor quality, toxic in fluent text. Folds are crc32 of the id modulo
-``FOLDS``; rows with crc32(doc_id) mod 3 = 1 are held out of training altogether.
+``labels`` has a toxic mark and a quality mark, and no finer kinds. Crossed, they give two
+kinds that are written differently and never hold together: toxic in fluent text, and toxic
+in poor text (junk, repeats). These come first. The general mark, their union, comes last
+and is fed by both, so the verdict ``is_toxic`` is the chain's last link and moves with the
+earlier probabilities. Folds are crc32 of the id modulo ``FOLDS``; rows with crc32(doc_id)
+mod 3 = 1 are held out of training altogether.
 
 Fitting sees a bounded sample of labelled rows (``SAMPLE`` toxic and as many others, lowest
-by a seeded hash); scoring reads every whole text once, without a shuffle.
+by a seeded hash). Its features are found on the executors; the driver gets the names of
+those in ``LEAST`` rows or more and their numbers in each row, never a text. Scoring reads
+every whole text once, without a shuffle.
 
 Cases: a null text counts as empty and gets the curve's value without words; labels that are
-null are not learnt from; repeated rows are scored alike; an empty table gives no rows; a
-category with fewer than ten labelled rows on either side gets its share as a constant.
+null are not learnt from; of rows that share an id the lowest text trains; repeated rows are
+scored alike; an empty table gives no rows; other columns are not read; a category with
+fewer than ten labelled rows on either side gets its share as a constant.
 """
 
 from __future__ import annotations
@@ -32,9 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.quality import held_out
-from ledgerloom.session import table
+from ledgerloom.session import Scratch, table
 
-CATEGORIES = ("toxic", "toxic_poor", "toxic_fluent")
+CATEGORIES = ("toxic_fluent", "toxic_poor", "toxic")
 SAMPLE = 3000
 SEED = "toxicity-1"
 FOLDS = 5
@@ -73,11 +79,30 @@ class Sample:
     def __init__(self, texts: list[str]):
         found = [features(t) for t in texts]
         seen = Counter(f for fs in found for f in fs)
-        self.names = sorted(f for f, n in seen.items() if n >= LEAST)
-        at = {f: k for k, f in enumerate(self.names)}
-        own = [[at[f] for f in fs if f in at] for fs in found]
+        names = sorted(f for f, n in seen.items() if n >= LEAST)
+        at = {f: k for k, f in enumerate(names)}
+        self._set(names, [[at[f] for f in fs if f in at] for fs in found])
+
+    @classmethod
+    def of(cls, names: list[str], own: list) -> Sample:
+        """own: the numbers of each row's features among ``names``."""
+        out = cls.__new__(cls)
+        out._set(names, own)
+        return out
+
+    def _set(self, names: list[str], own: list) -> None:
+        self.names, self.size = names, len(own)
         self.rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        self.cols = np.array([k for x in own for k in x], dtype=np.int64)
+        self.cols = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, dtype=np.int64) for x in own)])
+
+    def matrix(self, chosen: np.ndarray) -> np.ndarray:
+        """Rows by the chosen features, 1 where a row has one."""
+        place = np.full(len(self.names), -1)
+        place[chosen] = np.arange(len(chosen))
+        keep = place[self.cols] >= 0
+        out = np.zeros((self.size, len(chosen)))
+        out[self.rows[keep], place[self.cols[keep]]] = 1
+        return out
 
     def telling(self, use: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The features whose shares in the two classes differ most, in standard errors."""
@@ -91,59 +116,80 @@ class Sample:
         return best[z[best] > 0]
 
 
-def _link(sample: Sample, use: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Link:
-    """A model from the rows in ``use``."""
-    some, use, y_all = np.flatnonzero(use), use.astype(float), y
-    y = y[some]
-    if min(y.sum(), len(y) - y.sum()) < 10:
-        p = (y.sum() + 0.5) / (len(y) + 1)
-        return Link(math.log(p / (1 - p)), {}, (0.0,) * earlier.shape[1])
-    chosen = sample.telling(use > 0, y_all)
-    words = [sample.names[c] for c in chosen]
-    place = np.full(len(sample.names), -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[sample.cols] >= 0
-    m, k = len(words), earlier.shape[1]
-    whole = np.zeros((len(y_all), m + k + 1))
-    whole[sample.rows[keep], place[sample.cols[keep]]] = 1
-    x = whole[some]
-    x[:, m : m + k], x[:, -1] = earlier[some], 1
+def _link(sample: Sample, use: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> tuple[Link, np.ndarray]:
+    """A model from the rows in ``use``, and the log-odds it gives to all rows."""
+    k, some = earlier.shape[1], y[use]
+    if min(some.sum(), len(some) - some.sum()) < 10:
+        p = (some.sum() + 0.5) / (len(some) + 1)
+        link = Link(math.log(p / (1 - p)), {}, (0.0,) * k)
+        return link, np.full(len(y), link.base)
+    chosen = sample.telling(use, y)
+    whole = np.hstack([sample.matrix(chosen), earlier, np.ones((len(y), 1))])
+    m, x = len(chosen), whole[use]
     w, hold = np.zeros(m + k + 1), np.array([HOLD] * (m + k) + [1e-6])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(hold), x.T @ (y - p) - hold * w)
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(hold), x.T @ (some - p) - hold * w)
         w += step * min(1.0, 5 / np.abs(step).max(initial=1e-9))
         if np.abs(step).max(initial=0) < 1e-6:
             break
-    return Link(float(w[-1]), dict(zip(words, map(float, w), strict=False)), tuple(map(float, w[m:-1])))
+    words = dict(zip((sample.names[c] for c in chosen), map(float, w), strict=False))
+    return Link(float(w[-1]), words, tuple(map(float, w[m:-1]))), np.clip(whole @ w, -20, 20)
 
 
-def train(rows: list[tuple[int, str, tuple[int, ...]]]) -> list[Link]:
-    """rows: (fold, text, a 0 or 1 for each category)."""
-    sample = Sample([t for _, t, _ in rows])
-    sets = [features(t) for _, t, _ in rows]
-    folds = np.array([f for f, _, _ in rows])
-    y = np.array([c for _, _, c in rows], float).reshape(len(rows), len(CATEGORIES))
-    chain, earlier = [], np.zeros((len(rows), 0))
-    for c in range(len(CATEGORIES)):
-        chain.append(_link(sample, folds >= 0, earlier, y[:, c]))
-        out = np.zeros(len(rows))
+def chain_of(sample: Sample, folds: np.ndarray, y: np.ndarray) -> list[Link]:
+    """y: a row's marks, a column for each category in order."""
+    chain, earlier = [], np.zeros((len(y), 0))
+    for c in range(y.shape[1]):
+        chain.append(_link(sample, folds >= 0, earlier, y[:, c])[0])
+        out = np.zeros(len(y))
         for fold in range(FOLDS):
-            link = _link(sample, folds != fold, earlier, y[:, c])
-            for k in np.flatnonzero(folds == fold):
-                out[k] = link.of(sets[k], list(earlier[k]))
+            out[folds == fold] = _link(sample, folds != fold, earlier, y[:, c])[1][folds == fold]
         earlier = np.column_stack([earlier, out])
     return chain
 
 
+def train(rows: list[tuple[int, str, tuple[int, ...]]]) -> list[Link]:
+    """rows: (fold, text, a 0 or 1 for each category)."""
+    y = np.array([c for _, _, c in rows], float).reshape(len(rows), len(CATEGORIES))
+    return chain_of(Sample([t for _, t, _ in rows]), np.array([f for f, _, _ in rows]), y)
+
+
+def marks(toxic: int, quality: int) -> tuple[int, ...]:
+    """The categories' marks, from the labels."""
+    return toxic * quality, toxic * (1 - quality), toxic
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [sorted(features(t or "")) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names[1:], "features"])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> list[Link]:
     own = labels.select(F.col("doc_id").alias("id"), "toxic", "quality").filter("toxic IN (0, 1) AND quality IN (0, 1) AND doc_id IS NOT NULL")
     order = F.md5(F.concat(F.lit(SEED), F.col("id").cast("string")))
     some = [own.filter(F.col("toxic") == k).orderBy(order, "id").limit(SAMPLE) for k in (0, 1)]
-    ids = some[0].unionByName(some[1]).withColumn("at", order)
-    found = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(ids), "id").select("id", "t", "toxic", "quality", "at").collect()
-    found.sort(key=lambda r: (r["at"], r["id"], r["t"]))
-    return train([(zlib.crc32(str(r["id"]).encode()) % FOLDS, r["t"], (r["toxic"], r["toxic"] * (1 - r["quality"]), r["toxic"] * r["quality"])) for r in found])
+    ids = some[0].unionByName(some[1]).withColumn("at", order).select(F.col("id").cast("long").alias("id"), F.col("toxic").cast("int"), F.col("quality").cast("int"), "at")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(ids.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+    rows = texts.join(F.broadcast(ids), "id").select("t", "id", "toxic", "quality", "at")
+    rows = scratch.keep("sample", rows.mapInArrow(_featured, "id long, toxic int, quality int, at string, features array<string>"))
+    seen = rows.select(F.explode("features").alias("f")).groupBy("f").count().filter(F.col("count") >= LEAST)
+    names = sorted(r["f"] for r in seen.select("f").collect())
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {f: k for k, f in enumerate(names)}
+        for batch in batches:
+            found = [[at[f] for f in fs if f in at] for fs in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int32()))], names=batch.schema.names)
+
+    found = rows.mapInArrow(numbered, "id long, toxic int, quality int, at string, features array<int>").collect()
+    scratch.drop("sample")
+    found.sort(key=lambda r: (r["at"], r["id"], r["toxic"], r["quality"]))
+    folds = np.array([zlib.crc32(str(r["id"]).encode()) % FOLDS for r in found], np.int64)
+    y = np.array([marks(r["toxic"], r["quality"]) for r in found], float).reshape(len(found), len(CATEGORIES))
+    return chain_of(Sample.of(names, [np.array(r["features"], np.int32) for r in found]), folds, y)
 
 
 def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
@@ -164,7 +210,7 @@ def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, a probability for each category, and is_toxic (first category at 0.5 or more)."""
+    """doc_id, held_out, a probability for each category, and is_toxic (the last category at 0.5 or more)."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs, fit(docs, labels.filter(~held_out())))
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), *CATEGORIES, (F.col("toxic") >= 0.5).alias("is_toxic"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), *CATEGORIES, (F.col(CATEGORIES[-1]) >= 0.5).alias("is_toxic"))
