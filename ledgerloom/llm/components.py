@@ -5,8 +5,10 @@ larger neighbours point at its smallest one, and the smaller ones too, which hal
 depth of a chain at least; it ends when a round changes nothing. Rounds are kept as tables
 in the shared folder, so the plan does not grow and a lost executor costs a round at most.
 
-Hot vertices: the smallest neighbour is an aggregate with map-side combining, and edges join
-it by a join that adaptive execution may split. No edge list ever meets in one task.
+Hot vertices: the smallest neighbour is an aggregate with map-side combining. Vertices with
+more than ``HOT`` neighbours, and more than the ``MOST``-th part of all edges, are at most
+2 * ``MOST``: these few are broadcast to their edges, which stay where they are, and only the
+edges of other vertices are shuffled to meet their smallest neighbour.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from ledgerloom.session import Scratch
 EDGES = "a long, b long"
 #: A task contracts so many edges at a time.
 CHUNK = 1_000_000
+HOT, MOST = 256, 8192
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,11 +55,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, count: int) -> DataFrame:
     """Every neighbour of a vertex, and the vertex, points at the smallest of them all."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    far = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+    bound = max(HOT, count // MOST)
+    hot = F.broadcast(least.filter(F.col("n") > bound).select("a", "m"))
+    near = both.join(hot, "a").unionByName(both.join(hot.select("a"), "a", "left_anti").join(least.filter(F.col("n") <= bound).select("a", "m"), "a"))
+    far = near.select(F.col("b").alias("a"), F.col("m").alias("b"))
     own = least.select("a", F.col("m").alias("b"))
     return far.unionByName(own).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -72,5 +78,5 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "components") ->
         if not wrong.limit(1).count():
             return edges
         k += 1
-        edges = scratch.keep(f"{label}-{k}", _star(edges))
+        edges = scratch.keep(f"{label}-{k}", _star(edges, edges.count()))
         scratch.drop(f"{label}-{k - 1}")

@@ -12,9 +12,11 @@ agree in a coordinate with the probability of their similarity, and short texts
 little as long ones. Runs of ``ROWS`` coordinates are hashed to ``BANDS`` band keys: at 0.8
 a pair shares none of them with a probability of one in 20,000.
 
-Joining: equal texts (word for word) are merged first. In a band's bucket every text is
-compared with two of the bucket's texts (those lowest by two hashes, found by an aggregate
-with map-side combining), exactly, on whole texts. After components are formed, a bucket
+Joining: equal texts (word for word) are merged first; what is joined from then on are texts,
+by a hash of their words, and not ids. In a band's bucket every text is compared with two of
+the bucket's texts (those lowest by two hashes, found by an aggregate with map-side
+combining), exactly, on whole texts. Only texts that some comparison needs are shuffled to
+it, and a text that very many are compared with goes to several tasks. After components are formed, a bucket
 that still holds several components is compared throughout: its texts are cut into tiles of
 about ``TILE``, each pair of tiles is one unit of work that counts the shared shingles of all
 its pairs by a matrix product and yields each text's smallest near copy reached in the unit,
@@ -23,7 +25,8 @@ a few comparisons a text, and a large group of lookalikes is spread over many ta
 
 Cases: null texts and texts without words are near nothing; equal texts are one class; ties
 don't matter, since a component's id is its smallest doc_id; rows that share an id and
-differ in text count as one vertex; an empty table gives no rows; other columns are not read.
+differ in text are apart; an empty table gives no rows; columns of any name are carried as
+they are.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
@@ -48,8 +51,10 @@ THRESHOLD = NUMERATOR / DENOMINATOR
 BANDS, ROWS = 26, 5
 K = BANDS * ROWS
 DARTS = K * (math.log(K) + 2)
-SIGNED = "doc_id long, key long, n long, bands array<long>"
+SIGNED = "doc_id long, h long, key long, n long, bands array<long>"
 REMEMBERED = 500_000
+#: Comparisons with one text that a task may get.
+SALT = 512
 #: Texts of a tile, and cells of the matrix that a unit fills at a time.
 TILE = 256
 CELLS = 8_000_000
@@ -140,44 +145,51 @@ def bands(signed: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of the words, the number of shingles, and the band keys."""
+    """docs: doc_id, text. doc_id, hashes of the text and of its words, the number of shingles, and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             keys, sizes, out = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 words = shingler.words(text.as_py() or "")
                 elements, counts = shingler.shingles(words)
                 keys.append(shingler.key(words))
                 sizes.append(int(counts.sum()))
                 out.append(bands(signature(elements, counts)) if len(words) else np.zeros(0, np.int64))
             column = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(b) for b in out])]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), column], names=["doc_id", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), column], names=["doc_id", "h", "key", "n", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, SIGNED)
+
+
+def bodies(needed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, text) of the classes in ``needed`` (key), with the class's key for an id."""
+    rows = classes.join(needed, "key").select("key", F.col("id").alias("doc_id"), "h")
+    # of equal rows one is read; they are combined before the shuffle
+    once = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
+    return once.join(rows, ["doc_id", "h"]).select(F.col("key").alias("doc_id"), "text")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b; a_key, b_key) whose texts are near copies."""
+    """The pairs (a, b) whose texts are near copies; size: of the largest bucket that both are in."""
+    parts = F.ceil(F.col("size") / SALT).cast("int")
+    salted = pairs.withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int"))
+    spread = pairs.groupBy("b").agg(F.max(parts).alias("parts"))
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")).join(spread, "b").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
     # many pairs share b, a bucket's chosen text, and few share a
-    joined = pairs.join(one, "a").join(two, "b").select("a", "a_key", "a_text", "b", "b_key", "b_text")
+    joined = salted.join(one, "a").join(two.drop("parts"), ["b", "part"]).select("a", "a_text", "b", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, kept = Shingler(), (None, None)
         for batch in batches:
             near = []
-            a, ak, at, b, bk, bt = batch.columns
+            a, at, b, bt = batch.columns
             for k in range(len(batch)):
-                if kept[0] != (other := (b[k].as_py(), bk[k].as_py())):
-                    words = shingler.words(bt[k].as_py() or "")
-                    kept = (other, shingler.shingles(words) if shingler.key(words) == other[1] else None)
-                words = shingler.words(at[k].as_py() or "")
-                if kept[1] is None or shingler.key(words) != ak[k].as_py():
-                    continue
-                (x, n), (y, m) = shingler.shingles(words), kept[1]
+                if kept[0] != (other := b[k].as_py()):
+                    kept = (other, shingler.shingles(shingler.words(bt[k].as_py())))
+                (x, n), (y, m) = shingler.shingles(shingler.words(at[k].as_py())), kept[1]
                 _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                 shared = int(np.minimum(n[i], m[j]).sum())
                 if shared * DENOMINATOR >= (int(n.sum() + m.sum()) - shared) * NUMERATOR:
@@ -256,42 +268,61 @@ def compare_throughout(there: DataFrame, texts: DataFrame) -> DataFrame:
     return whole.repartition("band", "t1", "t2").sortWithinPartitions("band", "t1", "t2").mapInArrow(_compare_units, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, class_id (equal texts), component_id and kept for every row of (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.keep("signed", sign(texts))
-    classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by("n", "doc_id").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = scratch.keep("classes", classes)
-    banded = classes.select(F.explode("bands").alias("band"), "id", "key", "n")
-    lowest = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "id"), "id", "key", "n"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("count"), lowest(1).alias("c1"), lowest(2).alias("c2")).filter("count > 1")
+def grouped(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id long, text. What ``sign`` gives, and per class its key, id, h and its component's id and h.
+
+    A class is what has words and an id; its own id is the smallest of its rows.
+    """
+    signed = scratch.keep("signed", sign(docs))
+    classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = scratch.keep("classes", classes.select("key", F.col("r.doc_id").alias("id"), "r.h", "n", "bands"))
+    banded = classes.select(F.explode("bands").alias("band"), "key", "n")
+    lowest = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "key"), "key", "n"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), lowest(1).alias("c1"), lowest(2).alias("c2")).filter("size > 1")
     close = lambda n, m: F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
-    met = banded.join(buckets, "band").select("id", "key", "n", F.explode(F.array("c1", "c2")).alias("c"))
-    first = met.filter((F.col("id") != F.col("c.id")) & close(F.col("n"), F.col("c.n"))).select(F.col("id").alias("a"), F.col("key").alias("a_key"), F.col("c.id").alias("b"), F.col("c.key").alias("b_key"))
-    first = scratch.keep("first", first.distinct())
-    links = scratch.keep("links", verify(first, texts))
-    joined = components(links, scratch, "round1")
+    met = banded.join(buckets, "band").select("key", "n", "size", F.explode(F.array("c1", "c2")).alias("c"))
+    met = met.filter((F.col("key") != F.col("c.key")) & close(F.col("n"), F.col("c.n"))).select(F.col("key").alias("a"), F.col("c.key").alias("b"), "size")
+    first = scratch.keep("first", met.groupBy("a", "b").agg(F.max("size").alias("size")))
+    needed = first.select(F.col("a").alias("key")).unionByName(first.select(F.col("b").alias("key"))).distinct()
+    texts = scratch.keep("texts1", bodies(needed, classes, docs))
+    joined = components(scratch.keep("links", verify(first, texts)), scratch, "round1")
     # what shares a bucket and isn't in one component yet
-    labelled = banded.join(buckets.select("band"), "band").join(joined.select(F.col("a").alias("id"), F.col("b").alias("least")), "id", "left").withColumn("least", F.coalesce("least", "id"))
+    labelled = banded.join(buckets.select("band"), "band").join(joined.select(F.col("a").alias("key"), F.col("b").alias("least")), "key", "left").withColumn("least", F.coalesce("least", "key"))
     mixed = labelled.groupBy("band").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo < hi").select("band")
-    there = scratch.keep("open", labelled.join(mixed, "band").select("band", "id", "key"))
-    more = scratch.keep("more", compare_throughout(there, texts))
-    joined = components(joined.unionByName(more), scratch, "round2")
-    named = classes.select("key", "id").join(joined.select(F.col("a").alias("id"), F.col("b").alias("least")), "id", "left").select("key", F.col("id").alias("class_id"), F.coalesce("least", "id").alias("least"))
-    out = signed.select("doc_id", "key", "n").join(named, "key", "left")
+    there = scratch.keep("open", labelled.join(mixed, "band").select("band", F.col("key").alias("id"), "key"))
+    scratch.drop("first", "texts1", "links")
+    if there.limit(1).count():
+        texts = scratch.keep("texts2", bodies(there.select("key").distinct(), classes, docs))
+        more = scratch.keep("more", compare_throughout(there, texts))
+        joined = components(joined.unionByName(more), scratch, "round2")
+        scratch.drop("texts2", "more")
+    roots = classes.select("key", "id", "h").join(joined.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = roots.groupBy("root").agg(F.min(F.struct("id", "h")).alias("least"))
+    return signed, roots.join(least, "root").select("key", "id", "h", F.col("least.id").alias("component_id"), F.col("least.h").alias("component_h"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, class_id (equal texts), component_id and kept for every row of (doc_id, text)."""
+    signed, classes = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch)
+    out = signed.select("doc_id", "key", "n").join(classes.select("key", "id", "component_id"), "key", "left")
     own = F.expr("n > 0 AND doc_id IS NOT NULL")
-    return out.select("doc_id", F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    return out.select("doc_id", F.when(own, F.col("id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents, all columns, one of each component; rows without an id stay."""
-    ids = near_duplicates(docs, scratch).filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    ids = scratch.keep("ids", ids)
-    here = docs.join(ids, docs["doc_id"] == F.col("_id"))
-    single = here.filter("_n = 1").drop("_id", "_n")
-    # of rows that share the id, the first by text
-    rest = here.filter("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).filter("_k = 1").drop("_id", "_n", "_k")
-    return single.unionByName(rest).unionByName(docs.filter("doc_id IS NULL"))
+    """The documents, all columns, one of each component; rows without an id or without words stay."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed, classes = grouped(own, scratch)
+    chosen = classes.filter("id = component_id AND h = component_h").select(F.col("id").alias("doc_id"), "h", F.lit(True).alias("one"))
+    wordless = signed.filter("n = 0").select("doc_id", "h", F.lit(False).alias("one"))
+    copies = signed.groupBy("doc_id", "h").count()
+    keys = scratch.keep("keys", copies.join(chosen.unionByName(wordless.distinct()), ["doc_id", "h"]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    here = rows.join(keys, ["doc_id", "h"])
+    single = here.filter("count = 1 OR NOT one").select("row")
+    # of equal rows of a group's document the first by its other columns; combined before the shuffle
+    rest = here.filter("count > 1 AND one").groupBy("doc_id", "h").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return single.unionByName(rest).unionByName(rows.filter("doc_id IS NULL").select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
