@@ -10,8 +10,8 @@ lightest group.
 
 Packing needs only token counts and may happen anywhere, so each task packs what it reads:
 there is no shuffle, no key and no group, and a lost task redoes its own part alike. Waiting
-pieces are bounded by ``WAITING`` documents and ``WAITING_TOKENS`` tokens; full windows never
-wait.
+pieces are bounded by ``WAITING`` documents and ``WAITING_TOKENS`` tokens, and hold their own
+ids only; full windows never wait.
 
 Tokens: ids of the tokenizer, then ``END``. White space never joins two words, so each run of
 other characters is encoded once and remembered (at most ``REMEMBERED`` of them); a text that
@@ -146,9 +146,8 @@ class Packer:
             heapq.heappush(self.groups, (load + used, group))
         sequence, at = self.task * TASK + self.sequences, 0
         self.sequences += 1
-        for doc, start, length, ids, total in pieces:
-            crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])
-            self.done.append((doc, start, length, crc, total, sequence, at, tier, group))
+        for doc, start, length, ids, total in pieces:  # ids: those of the piece
+            self.done.append((doc, start, length, zlib.crc32(ids), total, sequence, at, tier, group))
             at += length
 
     def _wait(self, piece: tuple) -> None:
@@ -158,11 +157,11 @@ class Packer:
             self.tokens += piece[2]
 
     def take(self, doc, ids: bytes) -> None:
-        total, start = len(ids) // 4, 0
+        total, start, view = len(ids) // 4, 0, memoryview(ids)
         while total - start >= LONGEST:
-            self._emit([(doc, start, LONGEST, ids, total)], LONGEST)
+            self._emit([(doc, start, LONGEST, view[4 * start : 4 * (start + LONGEST)], total)], LONGEST)
             start += LONGEST
-        self._wait((doc, start, total - start, ids, total))
+        self._wait((doc, start, total - start, ids[4 * start :], total))
         if self.count >= WAITING or self.tokens >= WAITING_TOKENS:
             self.pack()
 
@@ -185,8 +184,8 @@ class Packer:
                             self._wait(p)
                         return
                     doc, start, length, ids, total = pool[t].pop(0)
-                    pieces.append((doc, start, gap, ids, total))
-                    rest = (doc, start + gap, length - gap, ids, total)
+                    pieces.append((doc, start, gap, ids[: 4 * gap], total))
+                    rest = (doc, start + gap, length - gap, ids[4 * gap :], total)
                     insort(pool[next(x for x in TIERS if rest[2] <= x)], rest, key=_length)
                 self._emit(pieces, tier)
 
@@ -202,10 +201,10 @@ class Packer:
             while gap:
                 doc, start, length, ids, total = rest.pop()
                 cut = min(gap, length)
-                pieces.append((doc, start, cut, ids, total))
+                pieces.append((doc, start, cut, ids[: 4 * cut], total))
                 gap -= cut
                 if cut < length:
-                    rest.append((doc, start + cut, length - cut, ids, total))
+                    rest.append((doc, start + cut, length - cut, ids[4 * cut :], total))
             self._emit(pieces, size)
             left -= size
 
