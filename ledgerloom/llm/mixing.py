@@ -27,8 +27,8 @@ WEIGHTS = (3, 1, 2)
 #: The mix's size over that of all documents, and a source's most over its own.
 SHARE, MOST = 1.5, 2
 SEED = "mix-1"
-#: Words of a block: a two hundred thousandth of all words, from 1 to 64.
-BLOCK, BLOCKS = 64, 200_000
+#: Words of a block, at every size.
+BLOCK = 32
 #: Blocks of a shard; more where a source would have over 4096 shards.
 SHARD, SHARDS = 1024, 4096
 #: Documents of a bucket, within which places are counted; at most 65,536 buckets a source.
@@ -60,7 +60,7 @@ risen AS (SELECT *, CAST(wanted - below AS DOUBLE) / CAST(weights - gone AS DOUB
 levelled AS (SELECT *, min(CASE WHEN lambda0 <= full_at THEN k END) OVER () AS k_free FROM risen),
 aimed AS (SELECT *, CASE WHEN k_free IS NULL OR k < k_free THEN CAST({MOST} * source_size AS DOUBLE)
     ELSE max(CASE WHEN k = k_free THEN lambda0 END) OVER () * weight END AS target,
-    greatest(1, least({BLOCK}, total {div} {BLOCKS})) AS block FROM levelled),
+    CAST({BLOCK} AS BIGINT) AS block FROM levelled),
 rounded AS (SELECT *, (source_size + block - 1) {div} block AS n_blocks, CAST(floor(target / block + 0.5) AS BIGINT) AS q0, sum(target) OVER () AS aim FROM aimed),
 off AS (SELECT *, CAST(floor(aim / block + 0.5) AS BIGINT) - CAST(sum(q0) OVER () AS BIGINT) AS d FROM rounded),
 offers AS (SELECT rank, d, row_number() OVER (ORDER BY CASE WHEN d > 0 THEN -(target / (2 * (q0 + i) + 1)) ELSE target / (2 * (q0 - i) - 1) END, CASE WHEN d > 0 THEN rank ELSE -rank END, i) AS place
@@ -96,7 +96,7 @@ def placed(docs: DataFrame, spark: SparkSession, scratch: Scratch, carry: tuple[
         hashed = known.withColumn("h", F.expr(f"md5(concat('{SEED}:', coalesce(CAST(doc_id AS STRING), '')))"))
         return hashed.withColumn("bucket", F.expr("CAST(conv(substr(h, 1, 7), 16, 10) AS BIGINT) * buckets div 268435456"))
 
-    keyed = bucketed(docs.select("doc_id", "source", size, F.struct(*carry).alias("_row")) if carry else sizes)
+    keyed = bucketed(docs.select("doc_id", "source", size, F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")) if carry else sizes)
     sums = bucketed(sizes).groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("rank", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
@@ -120,15 +120,19 @@ def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
 def mixed(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """The mix itself: the documents' columns, a row for each time that a document is read.
 
-    The text of a row is the words in the blocks taken then, with the white space after
-    them; n_chars is counted anew where there is such a column. Documents of which nothing
-    is taken are not in the mix.
+    A row is a whole passage: the words of neighbouring blocks that are taken then, with the
+    white space after them, so nothing is joined that didn't stand together; a document that
+    is read with gaps gives several rows. n_chars is counted anew where there is such a
+    column. Documents of which nothing is taken are not in the mix.
     """
     at = placed(docs, spark, Scratch(spark, "mix"), tuple(docs.columns)).filter("size > 0")
     counted = at.withColumn("_times", F.expr(f"transform(sequence(start div block, (start + size - 1) div block), b -> {_times('b', 'div')})"))
     words = counted.withColumn("_words", F.expr(f"regexp_extract_all(_row.text, r'{WORD}[\\x20\\x09-\\x0D]*', 0)")).withColumn("_turn", F.explode(F.expr("sequence(1L, array_max(_times), 1L)")))
-    taken = "array_join(filter(_words, (w, i) -> get(_times, CAST((start + i) div block - start div block AS INT)) >= _turn), '')"
-    texts = words.filter("array_max(_times) >= 1").select("_row", F.expr(f"IF(array_min(_times) >= _turn, _row.text, {taken})").alias("_text"))
+    edge = lambda step: f"filter(sequence(0, size(_times) - 1), k -> _times[k] >= _turn AND coalesce(get(_times, k + {step}), 0) < _turn)"
+    runs = words.filter("array_max(_times) >= 1").withColumn("_run", F.explode(F.expr(f"zip_with({edge(-1)}, {edge(1)}, (a, b) -> struct(a, b))")))
+    place = lambda k: f"CAST(least(size, greatest(0, (start div block + {k}) * block - start)) AS INT)"
+    passage = f"array_join(slice(_words, {place('_run.a')} + 1, {place('(_run.b + 1)')} - {place('_run.a')}), '')"
+    texts = runs.select("_row", F.expr(f"IF(_run.a = 0 AND _run.b = size(_times) - 1, _row.text, {passage})").alias("_text"))
     new = lambda c: F.col("_text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("_row")[c]
     return texts.select(*[new(c).alias(c) for c in docs.columns])
 
