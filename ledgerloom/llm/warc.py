@@ -4,7 +4,9 @@ Only headers (id, digest, size) are shuffled by payload digest: an aggregate wit
 combining names the original of each digest, the record with the largest page id, and
 headers are joined to it. Payloads move once, by page id, to meet their verdict. Archives
 are written by Spark's own writer into the shared folder, so a lost task is written again
-and no executor keeps files of its own, are compressed, and are read back file by file.
+and no executor keeps files of its own, are compressed (one gzip member a file), and are
+read back as a stream that holds one record at a time. Files are bounded: ``PER_FILE``
+records of at most ``LARGE`` bytes, or ``LARGE_PER_FILE`` larger ones.
 
 Cases: a null payload counts as empty; payloads under ``LEAST`` bytes are never revisits;
 rows with equal id and payload are equal records, all responses if theirs is the largest id;
@@ -15,9 +17,9 @@ records; other columns are not read.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from ledgerloom.session import Scratch, table
 
 LEAST = 1000
-#: Records of an archive file, so that readers can hold a file.
-PER_FILE = 1000
+#: Records of an archive file; payloads above ``LARGE`` bytes go to files of their own.
+PER_FILE, LARGE, LARGE_PER_FILE = 1000, 1 << 20, 8
+#: Bytes that the reader unpacks at a time.
+CHUNK = 1 << 20
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "record_id string, page_id long, record_type string, digest string, payload_bytes long, refers string"
@@ -58,32 +62,88 @@ def write(pages: DataFrame, path: str) -> None:
     known = own.join(revisits, own["page_id"].eqNullSafe(revisits["id"]) & (own["d"] == revisits["digest"]), "left")
     line = lambda name, value: f"'{name}: ', {value}, '\\r\\n'"
     http = "concat('HTTP/1.1 200 OK\\r\\nContent-Type: text/html; charset=utf-8\\r\\nContent-Length: ', octet_length(body), '\\r\\n\\r\\n')"
-    parts = known.selectExpr("page_id", "d", "original", "regexp_replace(regexp_replace(url, '\\r', '%0D'), '\\n', '%0A') AS uri", f"IF(original IS NULL, concat({http}, body), {http}) AS block")
-    parts.selectExpr(
+    parts = known.selectExpr("page_id", "octet_length(body) AS size", "d", "original", "regexp_replace(regexp_replace(url, '\\r', '%0D'), '\\n', '%0A') AS uri", f"IF(original IS NULL, concat({http}, body), {http}) AS block")
+    records = parts.selectExpr(
+        "size",
         f"""concat('WARC/1.1\\r\\n', {line('WARC-Type', "IF(original IS NULL, 'response', 'revisit')")}, {line('WARC-Record-ID', _record_id('page_id', 'd'))},
             {line('WARC-Date', "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")}, IF(uri IS NULL, '', concat({line('WARC-Target-URI', 'uri')})),
             IF(page_id IS NULL, '', concat({line('X-Page-ID', 'page_id')})), {line('WARC-Payload-Digest', "concat('sha1:', d)")},
             IF(original IS NULL, '', concat({line('WARC-Profile', repr(PROFILE))}, {line('WARC-Refers-To', _record_id('original', 'd'))})),
             {line('Content-Type', "'application/http; msgtype=response'")}, 'Content-Length: ', octet_length(block), '\\r\\n\\r\\n', block) AS value"""
-    ).write.option("lineSep", END).option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
+    )
+    put = lambda rows, per_file, mode: rows.select("value").write.mode(mode).option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    put(records.filter(F.col("size") <= LARGE), PER_FILE, "errorifexists")
+    if pages.filter(F.octet_length("html") > LARGE).limit(1).count():
+        put(records.filter(F.col("size") > LARGE), LARGE_PER_FILE, "append")
+
+
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """A gzip file's content in bounded parts."""
+    while data:
+        packer = zlib.decompressobj(wbits=31)
+        while not packer.eof:
+            part = packer.decompress(data, CHUNK)
+            if not part and not packer.unconsumed_tail and not packer.eof:
+                raise ValueError("a file is cut short")
+            data = packer.unconsumed_tail
+            if part:
+                yield part
+        data = packer.unused_data
+
+
+class _Stream:
+    """Bytes of a sequence of parts; only what is asked for is held."""
+
+    def __init__(self, parts: Iterable[bytes]):
+        self.parts, self.held, self.at = iter(parts), b"", 0
+
+    def _more(self) -> bool:
+        part = next(self.parts, None)
+        if part is None:
+            return False
+        self.held, self.at = self.held[self.at :] + part, 0
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before a mark, which is passed over; null at the end."""
+        while (found := self.held.find(mark, self.at)) < 0:
+            if not self._more():
+                if self.at < len(self.held):
+                    raise ValueError("no record where one should begin")
+                return None
+        out = self.held[self.at : found]
+        self.at = found + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes:
+        parts, got = [], 0
+        while True:
+            part = self.held[self.at : self.at + n - got]
+            parts.append(part)
+            got, self.at = got + len(part), self.at + len(part)
+            if got == n or not self._more():
+                return b"".join(parts)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """The records of an archive: id, page, type, digest, payload size, record referred to.
+    """The records of an archive, see ``records_of``."""
+    return records_of([data])
+
+
+def records_of(parts: Iterable[bytes]) -> Iterator[tuple]:
+    """id, page, type, digest, payload size, record referred to, of each record.
 
     The digest of a response is computed from its payload and must be the one it declares.
     """
-    at, size = 0, len(data)
-    while at < size:
-        head = data.index(b"\r\n\r\n", at)
-        lines = data[at:head].decode().split("\r\n")
+    stream = _Stream(parts)
+    while (head := stream.until(b"\r\n\r\n")) is not None:
+        lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/1."):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError("no record where one should begin")
         named = dict(x.split(": ", 1) for x in lines[1:])
-        start, length = head + 4, int(named["Content-Length"])
-        block = data[start : start + length]
-        at = start + length + 4
-        if len(block) != length or data[at - 4 : at] != b"\r\n\r\n":
+        length = int(named["Content-Length"])
+        block = stream.take(length)
+        if len(block) != length or stream.take(4) != b"\r\n\r\n":
             raise ValueError("a record is cut short")
         digest, bytes_, kind = named["WARC-Payload-Digest"].removeprefix("sha1:"), None, named["WARC-Type"]
         if kind == "response":
@@ -101,8 +161,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         types = [pa.int64() if f.endswith("long") else pa.string() for f in READ.split(", ")]
         for batch in batches:
             for content in batch.column(0):
-                rows = list(parse(gzip.decompress(content.as_py())))
-                if rows:
+                if rows := list(records_of(unpacked(content.as_py()))):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
