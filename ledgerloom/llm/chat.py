@@ -202,7 +202,7 @@ def read_back(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
 def format_all(conversations: DataFrame, scratch: Scratch, vocabulary: str, pattern: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(conv_id and leaf; per leaf the starts of its nodes; the tree)."""
     own = scratch.keep("named", named(conversations))
-    distinct = own.groupBy("leaf").agg(F.min_by(F.struct("nodes", "texts", "starts", "lengths"), "conv_id").alias("c")).select("leaf", "c.*")
+    distinct = own.groupBy("leaf").agg(F.first(F.struct("nodes", "texts", "starts", "lengths")).alias("c")).select("leaf", "c.*")
     laid = laid_out(distinct, scratch, vocabulary, pattern)
     found = scratch.keep("paths", paths(own.select("leaf", "nodes").dropDuplicates(["leaf"]), laid))
     tree = scratch.keep("tree", laid.join(attention(found), "node"))
