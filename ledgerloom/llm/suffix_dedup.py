@@ -1,6 +1,6 @@
 """Removal of what also stands elsewhere: strings of ``LENGTH`` bytes, or passages of words.
 
-A ``Rule`` says what a symbol is (a byte or a word), how many symbols in a row count as a
+A ``Rule`` says what a symbol is (a byte, or a word by its 64-bit hash), how many symbols in a row count as a
 repeat, and whether only other documents count. Every symbol covered by such a string that
 also starts elsewhere is a repeat; overlaps count, and strings are judged on the input.
 
@@ -51,7 +51,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.minhash_dedup import Shingler
 from ledgerloom.session import Scratch, table
 
 
@@ -68,7 +67,11 @@ class Rule:
 
     @property
     def span(self) -> int:
-        """Anchors that a string may have."""
+        """Anchors that a string may have, and starts that a window may have.
+
+        Less than a string's length, so the strings of one window's starts all overlap, and
+        what its repeats cover is one run.
+        """
         return self.length - self.least + 1
 
 
@@ -83,14 +86,20 @@ CHUNK = 1 << 20
 MEMBERS, LARGE = 50_000, 50_000
 #: At most so many collections are large: the bound rises with the number of members.
 LARGE_KEYS = 10_000
-WINDOW = "key long, rule int, s1 int, s2 int, p int, anchor long, full long"
+#: Words of more bytes are hashed apart.
+LONG_WORD = 4096
+WINDOW = "key long, place long, anchor long, full long"
 FINE = "rule int, anchor long, full long, rel int, core long, unit long, left binary, right binary, n long, lo long, hi long"
+MASK = "anchor long, core long, unit long, low int, high int"
+STRINGS = "rule int, anchor long, core long, unit long, t int, string long, n long, lo long, hi long"
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, n_passages long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE, _RULE = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D
 _BYTES = np.random.default_rng(400).integers(1, 1 << 63, 256, dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_SPACE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
 
 
@@ -105,15 +114,54 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _hashed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _MIX1
+    h = (h ^ (h >> np.uint64(32))) * _MIX2
+    return h ^ (h >> np.uint64(31))
+
+
 class Symbols:
-    """The symbols of a text under a rule, as bytes."""
+    """The symbols of texts under a rule, as bytes."""
 
     def __init__(self):
-        self.shingler = Shingler()
+        self.up, self.down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
-    def of(self, text, rule: Rule) -> bytes:
-        """text: an Arrow string that isn't null."""
-        return text.as_buffer().to_pybytes() if rule.width == 1 else self.shingler.words(text.as_py()).tobytes()
+    def of(self, texts: list[bytes], rule: Rule) -> list[bytes]:
+        if rule.width == 1:
+            return texts
+        if len(texts) > 1 and sum(map(len, texts)) + len(texts) < CHUNK:
+            joined = b" ".join(texts)
+            hashes, starts = self._words(joined)
+            edges = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+            return [hashes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return [self._long(t) for t in texts]
+
+    def _long(self, text: bytes) -> bytes:
+        """Part by part, each to the end of a word."""
+        out, at = [], 0
+        while at < len(text):
+            space = _SPACE_BYTE.search(text, at + CHUNK // 2)
+            end = space.start() if space else len(text)
+            out.append(self._words(text[at:end])[0].tobytes())
+            at = end
+        return b"".join(out)
+
+    def _words(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words, from sums over bytes; and where they start."""
+        data = np.frombuffer(text, np.uint8)
+        inside = np.concatenate([[False], ~_SPACE[data], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        apart = np.flatnonzero(ends - starts > LONG_WORD)
+        if len(data) > CHUNK:  # one word takes up all that is over
+            out = np.array([xxhash.xxh3_64_intdigest(text[a:b]) if b - a > LONG_WORD else self._words(text[a:b])[0][0] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+            return out, starts
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * self.up[: len(data)], out=sums[1:])
+        out = _hashed(((sums[ends] - sums[starts]) * self.down[starts]) ^ (ends - starts).astype(np.uint64))
+        for k in apart.tolist():
+            out[k] = xxhash.xxh3_64_intdigest(text[starts[k] : ends[k]])
+        return out, starts
 
 
 class Windows:
@@ -129,9 +177,7 @@ class Windows:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * self.up[:n], out=sums[1:])
         h = (sums[least:] - sums[:-least]) * self.down[: n - least + 1]
-        h = (h ^ (h >> np.uint64(29))) * _MIX1
-        h = (h ^ (h >> np.uint64(32))) * _MIX2
-        h ^= (h >> np.uint64(31)) ^ np.uint64(_RULE * self.rule.number)
+        h = _hashed(h) ^ np.uint64(_RULE * self.rule.number)
         place = np.uint64(CHUNK - 1)
         v = (h & ~place) | np.arange(len(h), dtype=np.uint64)
         rows = -(-len(v) // span)
@@ -151,11 +197,10 @@ class Windows:
 
 
 def windows(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """All windows of all texts; docs: key, text."""
+    """All windows of all texts; docs: key, text. place: the rule, p, p - s1 and s2 - s1 in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = {r.number: Windows(r) for r in rules}
-        symbols, held = Symbols(), {r.number: ([], 0) for r in rules}
+        finders, symbols = {r.number: Windows(r) for r in rules}, Symbols()
 
         def flush(rule: Rule, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
             # parts: (key, place in the text, symbols)
@@ -174,35 +219,44 @@ def windows(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             view, hash64 = memoryview(joined), xxhash.xxh3_64_intdigest
             full = np.array([hash64(view[a * width : (b + rule.length) * width], p - a) for a, b, p in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)], np.uint64)
             keys = np.array([p[0] for p in parts], np.int64)[owner]
-            shift = np.array([p[1] for p in parts])[owner] - offsets[owner]
-            place = [pa.array((x + shift).astype(np.int32)) for x in (first, last, at)]
-            number = pa.array(np.full(len(first), rule.number, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), number, *place, pa.array(anchor), pa.array(full.view(np.int64))], names=[f.split()[0] for f in WINDOW.split(", ")])
-
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not text.is_valid:
-                    continue
-                for rule in rules:
-                    data = symbols.of(text, rule)
+            shift = np.array([p[1] for p in parts], np.int64)[owner] - offsets[owner]
+            place = (np.int64(rule.number) << 60) | ((at + shift) << 20) | ((at - first) << 10) | (last - first)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, place, anchor, full.view(np.int64))], names=[f.split()[0] for f in WINDOW.split(", ")])
+
+        def found(keys: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for rule in rules:
+                parts, size = [], 0
+                for key, data in zip(keys, symbols.of(texts, rule), strict=True):
                     n = len(data) // rule.width
                     for a in range(0, n - rule.length + 1, CHUNK // 2):
                         piece = data[a * rule.width : (a + CHUNK // 2 + rule.length - 1) * rule.width]
-                        parts, size = held[rule.number]
                         if size + len(piece) // rule.width > CHUNK:
                             yield from flush(rule, parts)
                             parts, size = [], 0
                         parts.append((key, a, piece))
-                        held[rule.number] = parts, size + len(piece) // rule.width
-        for rule in rules:
-            yield from flush(rule, held[rule.number][0])
+                        size += len(piece) // rule.width
+                yield from flush(rule, parts)
+
+        keys, texts, size = [], [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not text.is_valid:
+                    continue
+                data = text.as_buffer().to_pybytes()
+                if size + len(data) > CHUNK // 2:
+                    yield from found(keys, texts)
+                    keys, texts, size = [], [], 0
+                keys.append(key)
+                texts.append(data)
+                size += len(data)
+        yield from found(keys, texts)
 
     return docs.select("key", "text").mapInArrow(run, WINDOW)
 
 
 def fine_members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """Blocks of the chosen windows (one of each kind), with the symbols beside the cores."""
-    lists = chosen.groupBy("key").agg(F.collect_list(F.struct("rule", "s1", "s2", "p", "anchor", "full", "n", "lo", "hi")).alias("w"))
+    lists = chosen.groupBy("key").agg(F.collect_list(F.struct("place", "anchor", "full", "n", "lo", "hi")).alias("w"))
     joined = docs.join(lists, "key").select("text", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,12 +265,13 @@ def fine_members(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             for text, found in zip(batch.column(0), batch.column(1), strict=True):
                 data = {}
                 for w in found.as_py():
-                    rule = RULES[w["rule"]]
+                    place = w["place"]
+                    rule, p = RULES[place >> 60], place >> 20 & 0xFFFFFFFFFF
                     if rule.number not in data:
-                        data[rule.number] = symbols.of(text, rule)
+                        data[rule.number] = symbols.of([text.as_buffer().to_pybytes()], rule)[0]
                     own, width, block = data[rule.number], rule.width, rule.block
-                    view = memoryview(own)
-                    s1, s2, p = w["s1"], w["s2"], w["p"]
+                    view, s1 = memoryview(own), p - (place >> 10 & 1023)
+                    s2 = s1 + (place & 1023)
                     for j in range((p - s2) // block, (p - s1) // block + 1):
                         zero = p - j * block  # the start of the core; starts are zero - t, 0 <= t < block
                         end = zero - block + 1 + rule.length
@@ -325,7 +380,9 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
                 got = repeated_starts(group, own.column("left").to_pylist(), own.column("right").to_pylist(), *(own.column(k).to_numpy() for k in ("n", "lo", "hi")), rule)
                 some = np.flatnonzero(got)
-                yield pa.RecordBatch.from_arrays([*(pa.array(own.column(k).to_numpy()[some]) for k in ("anchor", "core", "unit")), pa.array(got[some])], names=["anchor", "core", "unit", "mask"])
+                mask = got[some]
+                bits = [np.log2(x).astype(np.int32) for x in (mask & -mask, mask)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(own.column(k).to_numpy()[some]) for k in ("anchor", "core", "unit")), *map(pa.array, bits)], names=[f.split()[0] for f in MASK.split(", ")])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -341,7 +398,6 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For members of large collections: each start's string, hashed."""
-    schema = "rule int, anchor long, core long, unit long, t int, string long, n long, lo long, hi long"
     for batch in batches:
         out = []
         for row in batch.to_pylist():
@@ -351,7 +407,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 string = xxhash.xxh3_64_intdigest(left[len(left) - t * w :] + right[: (rule.block - 1 - t) * w], t) - (1 << 63)
                 out.append((rule.number, row["anchor"], row["core"], row["unit"], t, string, row["n"], row["lo"], row["hi"]))
         if out:
-            yield _batch(out, schema)
+            yield _batch(out, STRINGS)
 
 
 def _several(rule: str, n: str, lo: str, hi: str) -> str:
@@ -361,43 +417,46 @@ def _several(rule: str, n: str, lo: str, hi: str) -> str:
 
 
 def _masks(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(anchor, core, unit, mask): the repeated starts of members; large collections by counting."""
+    """(anchor, core, unit, low, high): the last and the first repeated start of members, counted leftwards; large collections by counting."""
     total = members.count()
     sizes = members.groupBy("anchor", "core").count().filter(F.col("count") > max(LARGE, total // LARGE_KEYS)).select("anchor", "core")
     large = scratch.keep("large", sizes)  # at most LARGE_KEYS rows
-    mask = "anchor long, core long, unit long, mask long"
     if not large.limit(1).count():
-        return members.repartition("anchor", "core").sortWithinPartitions("anchor", "core").mapInArrow(_build, mask)
+        return members.repartition("anchor", "core").sortWithinPartitions("anchor", "core").mapInArrow(_build, MASK)
     rest = members.join(F.broadcast(large), ["anchor", "core"], "left_anti").select(*members.columns)
-    built = rest.repartition("anchor", "core").sortWithinPartitions("anchor", "core").mapInArrow(_build, mask)
+    built = rest.repartition("anchor", "core").sortWithinPartitions("anchor", "core").mapInArrow(_build, MASK)
     strings = members.join(F.broadcast(large), ["anchor", "core"], "left_semi").select(*members.columns)
-    strings = scratch.keep("strings", strings.mapInArrow(_strings, "rule int, anchor long, core long, unit long, t int, string long, n long, lo long, hi long"))
+    strings = scratch.keep("strings", strings.mapInArrow(_strings, STRINGS))
     keys = ["anchor", "core", "t", "string"]
     counted = strings.groupBy("rule", *keys).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     counted = counted.filter(_several("rule", "n", "lo", "hi")).select(*keys)
-    hashed = strings.select("unit", *keys).join(counted, keys).groupBy("anchor", "core", "unit").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("mask"))
+    hashed = strings.select("unit", *keys).join(counted, keys).groupBy("anchor", "core", "unit").agg(F.min("t").alias("low"), F.max("t").alias("high"))
     return built.unionByName(hashed)
 
 
 def repeats(docs: DataFrame, scratch: Scratch, rules: tuple[Rule, ...]) -> DataFrame:
-    """docs: key, text. (key, w) of texts with repeated starts; w: rule, s1, s2, and marks (null: all starts)."""
+    """docs: key, text. (key, w) of texts with repeats; w: rule, first symbol, and the first after it."""
     found = scratch.keep("windows", windows(docs, rules))
-    kinds = found.groupBy("rule", "anchor", "full").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min(F.struct("key", "s1", "s2", "p")).alias("w"))
+    rule = F.expr("CAST(shiftright(place, 60) AS INT)").alias("rule")
+    # numbers only, so these aggregates hash and combine before the shuffle
+    kinds = found.groupBy("anchor", "full").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min_by("place", "key").alias("place"))
     kinds = scratch.keep("kinds", kinds)
-    shared = kinds.groupBy("rule", "anchor").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.min("lo").alias("least"), F.max("hi").alias("most"))
+    shared = kinds.groupBy("anchor").agg(F.min(rule).alias("rule"), F.sum("n").alias("total"), F.count("*").alias("distinct"), F.min("lo").alias("least"), F.max("hi").alias("most"))
     shared = shared.filter(_several("rule", "total", "least", "most")).select("anchor", "distinct")
-    kinds = scratch.keep("shared", kinds.join(shared, "anchor").select("rule", "anchor", "full", "n", "lo", "hi", "distinct", "w"))
+    kinds = scratch.keep("shared", kinds.join(shared, "anchor").select(rule, "anchor", "full", "n", "lo", "hi", "distinct", "place"))
     scratch.drop("kinds")
-    fine = scratch.keep("fine", fine_members(docs, kinds.filter("distinct > 1").select("w.*", "rule", "anchor", "full", "n", "lo", "hi")))
+    fine = scratch.keep("fine", fine_members(docs, kinds.filter("distinct > 1").select(F.col("lo").alias("key"), "place", "anchor", "full", "n", "lo", "hi")))
     members = fine.groupBy("anchor", "core", "unit").agg(F.min("rule").alias("rule"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("left").alias("left"), F.min("right").alias("right"))
     masks = scratch.keep("masks", _masks(scratch.keep("members", members), scratch))
-    marks = fine.join(masks, ["anchor", "core", "unit"]).groupBy("anchor", "full").agg(F.collect_set(F.struct("rel", "mask")).alias("marks"))
+    runs = fine.select("anchor", "full", "rel", "core", "unit").join(masks, ["anchor", "core", "unit"]).groupBy("anchor", "full").agg(F.min(F.expr("rel - high")).alias("from"), F.max(F.expr("rel - low")).alias("to"))
     several = _several("rule", "n", "lo", "hi")
-    whole = kinds.filter(several).select("anchor", "full", F.lit(None).cast("array<struct<rel:int,mask:bigint>>").alias("marks"))
-    part = kinds.filter(f"NOT {several} AND distinct > 1").select("anchor", "full").join(marks, ["anchor", "full"])
-    hit = found.join(whole.unionByName(part), ["anchor", "full"]).select("key", F.struct("rule", "s1", "s2", "marks").alias("w"))
+    whole = kinds.filter(several).select("anchor", "full", F.lit(0).alias("from"), F.expr("CAST(place & 1023 AS INT)").alias("to"))
+    part = kinds.filter(f"NOT {several} AND distinct > 1").select("anchor", "full").join(runs, ["anchor", "full"])
+    length = f"CASE shiftright(place, 60) {' '.join(f'WHEN {r.number} THEN {r.length}' for r in RULES.values())} END"
+    hit = found.join(whole.unionByName(part), ["anchor", "full"]).select("key", rule, F.expr("CAST((shiftright(place, 20) & 1099511627775) - (shiftright(place, 10) & 1023) AS INT)").alias("s1"), "from", F.expr(f"to + {length}").alias("end"))
     # a set: rows with equal ids and texts give each entry many times, combined before the shuffle
-    out = scratch.keep("hits", hit.groupBy("key").agg(F.collect_set("w").alias("w")))
+    out = hit.groupBy("key").agg(F.collect_set(F.struct("rule", F.expr("s1 + from AS a"), F.expr("s1 + end AS b"))).alias("w"))
+    out = scratch.keep("hits", out)
     scratch.drop("windows", "shared", "fine", "members", "masks", "large", "strings")
     return out
 
@@ -406,17 +465,9 @@ def covered(n: int, found: list[dict] | None, rule: Rule) -> np.ndarray:
     """Which of a text's n symbols stand in a repeat."""
     delta = np.zeros(n + 1, np.int32)
     for w in found or []:
-        if w["rule"] != rule.number:
-            continue
-        if w["marks"] is None:
-            delta[w["s1"]] += 1
-            delta[w["s2"] + rule.length] -= 1
-            continue
-        for mark in w["marks"]:
-            for t in range(rule.block):
-                if mark["mask"] >> t & 1:
-                    delta[w["s1"] + mark["rel"] - t] += 1
-                    delta[w["s1"] + mark["rel"] - t + rule.length] -= 1
+        if w["rule"] == rule.number:
+            delta[w["a"]] += 1
+            delta[w["b"]] -= 1
     return np.cumsum(delta[:-1]) > 0
 
 
@@ -484,7 +535,7 @@ def digest(docs: DataFrame, spark: SparkSession) -> DataFrame:
                     entries = w.as_py()
                     gone = covered(len(data), entries, BYTES)
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    words = covered(max([0, *(x["s2"] + WORDS.length for x in entries if x["rule"] == WORDS.number)]), entries, WORDS)
+                    words = covered(max([0, *(x["b"] for x in entries if x["rule"] == WORDS.number)]), entries, WORDS)
                 out.append((doc, len(data), int(gone.sum()), _runs(gone), hashlib.sha256(kept).hexdigest(), int(words.sum()), _runs(words)))
             if out:
                 yield _batch(out, DIGEST)

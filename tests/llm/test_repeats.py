@@ -101,3 +101,22 @@ def test_very_long_texts_and_empty_tables(spark):
     assert got[1]["n_passage_words"] > 50
     none = docs.filter(F.lit(False))
     assert sd.digest(none, spark).count() == sd.clean(none, spark, sd.WORDS).count() == 0
+
+
+def test_words_have_one_hash_wherever_they_stand(monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcé漢", k=rng.randint(1, 9))).encode() for _ in range(300)] + [b"x" * 5000, b"y" * 4096]
+    texts = [b"".join(rng.choice(words) + rng.choice([b" ", b"\n\t", b"  "]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [b"", b" ", b"a"]
+    def read(texts):
+        return [np.frombuffer(x, np.uint64).tolist() for x in sd.Symbols().of(texts, sd.WORDS)]
+    found = read(texts)
+    assert [len(x) for x in found] == [len(t.split()) for t in texts]
+    names = {}
+    for t, hashes in zip(texts, found, strict=True):
+        for w, h in zip(t.split(), hashes, strict=True):
+            assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)
+    assert found == [read([t])[0] for t in texts]
+    monkeypatch.setattr(sd, "CHUNK", 1 << 13)
+    joined = b" ".join(texts)
+    assert read([joined])[0] == [h for hashes in found for h in hashes]
