@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Page markers.
 PAGE_LINE = r"(?m)^===== PAGE (\d+) =====$"
@@ -19,6 +22,7 @@ class Options:
     mask_ids: bool = False
     padding: bool = False
     page_markers: bool = True
+    compose: bool = False
 
 
 def line_ends(t: Column) -> Column:
@@ -53,11 +57,11 @@ def markup(t: Column) -> Column:
 
 
 def masked_ids(t: Column) -> Column:
-    return F.regexp_replace(t, r"(?i)X{4}[ -]?X{4}[ -]?\d{4}", "")
+    return F.regexp_replace(t, r"(?U)\b[Xx]{4}[\s-]*[Xx]{4}[\s-]*\d{4}\b", "")
 
 
 def trailing_space(t: Column) -> Column:
-    return F.regexp_replace(t, r"(?m)[ \t\x0B\f\u00a0]+$", "")
+    return F.regexp_replace(t, r"(?Um)[\s&&[^\n]]+$", "")
 
 
 def padding(t: Column) -> Column:
@@ -71,6 +75,7 @@ def blank_lines(t: Column) -> Column:
 def clean(t: Column, options: Options = Options()) -> Column:  # noqa: B008
     """All steps in their fixed order; ends in one line feed."""
     t = control(line_ends(F.coalesce(t, F.lit(""))))
+    t = composed(t) if options.compose else t
     t = page_markers(t) if options.page_markers else t
     t = rules(t)
     t = markup(t) if options.markup else t
@@ -95,13 +100,36 @@ def full_text(page_rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, least_pages: int = 3, least_chars: int = 12) -> DataFrame:
-    """lines: (doc_id, page, line). Lines on six tenths of a document's pages or more."""
-    total = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
-    once = lines.filter(F.length("line") >= least_chars).dropDuplicates(["doc_id", "page", "line"])
+    """lines: (doc_id, page, line). Lines, without space around them, on six tenths of a document's pages or more.
+
+    Pages without a word don't count.
+    """
+    stripped = lines.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).filter("line <> ''")
+    total = stripped.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
+    once = stripped.filter(F.length("line") >= least_chars).dropDuplicates(["doc_id", "page", "line"])
     seen = once.groupBy("doc_id", "line").agg(F.count("*").alias("n"))
     return seen.join(total, "doc_id").filter(F.col("n") >= F.greatest(F.lit(least_pages), F.floor(F.col("pages") * 6 / 10))).select("doc_id", "line", "n")
 
 
+def without_headers(page_rows: DataFrame, key: str = "doc_id", least_pages: int = 3) -> DataFrame:
+    """(key, page_number, body) without the lines that recur on most pages of a document."""
+    lines = page_rows.select(key, "page_number", F.posexplode(F.split("body", "\n")).alias("place", "line"))
+    common = boilerplate(lines.select(F.col(key).alias("doc_id"), F.col("page_number").alias("page"), "line"), least_pages).select(F.col("doc_id").alias(key), F.col("line").alias("_bare"))
+    kept = lines.withColumn("_bare", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).join(common, [key, "_bare"], "left_anti")
+    bodies = kept.groupBy(key, "page_number").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "line")))["line"], "\n").alias("body"))
+    return page_rows.select(key, "page_number").join(bodies, [key, "page_number"], "left").withColumn("body", F.coalesce("body", F.lit("")))
+
+
+def composed(t: Column) -> Column:
+    """Canonical composition, which Spark has no function for; plain ASCII stays in the JVM."""
+    return F.coalesce(_nfc(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
+
+
+@F.pandas_udf(StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def fit(t: Column, budget: int = 40_000, marker: str = "\n[...]\n") -> Column:
     """Head and tail of a long text, three to two, within a budget of characters."""
     room = budget - len(marker)

@@ -28,10 +28,15 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def match_form(text: Column, composed: bool = False) -> Column:
-    """Upper case without white space and separators; ``composed`` says NFKC is done already."""
+def composed(text: Column) -> Column:
+    """Compatibility composition; plain ASCII needs none, and only other text goes to Python."""
     t = F.coalesce(text, F.lit(""))
-    return F.upper(F.regexp_replace(t if composed else nfkc(t), r"(?U)[\s\-.,:;/\\|_()\[\]{}]+", ""))
+    return F.coalesce(nfkc(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
+
+
+def match_form(text: Column) -> Column:
+    """Composed, in upper case, without white space and separators."""
+    return F.upper(F.regexp_replace(composed(text), r"(?U)[\s\-.,:;/\\|_()\[\]{}]+", ""))
 
 
 @F.pandas_udf(StringType())

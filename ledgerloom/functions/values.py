@@ -97,6 +97,12 @@ def calendar_date(value: Column) -> Column:
     return F.when(value.rlike(ISO_DATE), F.try_to_date(value, "yyyy-MM-dd"))
 
 
+def persisted_date(value: Column) -> Column:
+    """As stored: a real date written in ten characters, or null."""
+    v = F.trim(value)
+    return F.when(F.length(v) == 10, calendar_date(v))
+
+
 def pan_valid(value: Column) -> Column:
     return F.coalesce(F.upper(strip(value)).rlike(PAN), F.lit(False))
 

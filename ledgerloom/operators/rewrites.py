@@ -13,11 +13,40 @@ from pyspark.sql import functions as F
 STAGES = ("ocr", "extract", "translate", "validate")
 
 
-def insert_new(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def new_rows(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows whose key is not there yet, the first of those that share one."""
     first = Window.partitionBy(*keys).orderBy(*order)
     once = new.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
-    return old.unionByName(once.join(old.select(*keys), keys, "left_anti"))
+    return once.join(old.select(*keys), keys, "left_anti")
+
+
+def insert_new(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The old rows and those new ones whose key is not there yet."""
+    return old.unionByName(new_rows(old, new, keys, order))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """Rows with their places from 1 among those that share the keys."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def serials(rows: DataFrame, order: list[str], given: str, scratch) -> DataFrame:
+    """Adds ``serial``: a given number where there is one, else one more than that of the row before.
+
+    One order over all rows: they are dealt by ranges of it and kept, each range is numbered
+    by itself, and what a range ends with, one row of figures each, goes to the next.
+    """
+    kept = scratch.keep("serials", rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_part").orderBy(*order)
+    k = F.row_number().over(own)
+    placed = kept.withColumn("_k", k).withColumn("_last", F.last(F.when(F.col(given).isNotNull(), F.struct(F.col(given).alias("value"), F.col("_k").alias("at"))), ignorenulls=True).over(own))
+    ends = placed.groupBy("_part").agg(F.max("_k").alias("n"), F.max_by("_last", "_k").alias("last")).orderBy("_part").collect()  # a row a range
+    carried, before = [], 0
+    for end in ends:
+        carried.append((end["_part"], before))
+        before = end["last"]["value"] + end["n"] - end["last"]["at"] if end["last"] is not None else before + end["n"]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(carried, "_part int, _before long"))
+    return placed.join(starts, "_part").withColumn("serial", F.coalesce(F.col("_last.value") + F.col("_k") - F.col("_last.at"), F.col("_before") + F.col("_k"))).drop("_part", "_k", "_last", "_before")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

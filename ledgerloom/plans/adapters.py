@@ -17,7 +17,7 @@ SELECT event_id AS id, user_id AS batch_id, concat('DOC-', CAST(event_id AS VARC
         WHEN ocr_state = 'done' AND event_id % 11 > 2 AND event_id % 13 > 1 AND event_id % 17 > 1 THEN CASE WHEN event_id % 5 = 0 THEN 'needs_review' ELSE 'processed' END
         ELSE 'processing' END AS overall_state,
     CAST(event_id % 4 AS BIGINT) AS ocr_attempts, CAST(event_id % 3 AS BIGINT) AS extract_attempts,
-    CASE event_id % 9 WHEN 0 THEN 'CORRUPTED_PDF' WHEN 1 THEN 'PASSWORD_PROTECTED' WHEN 2 THEN 'EMPTY_PDF' WHEN 3 THEN 'OK' END AS validation_status,
+    CASE event_id % 9 WHEN 0 THEN 'CORRUPTED_PDF' WHEN 1 THEN 'PASSWORD_PROTECTED' WHEN 2 THEN 'EMPTY_PDF' WHEN 3 THEN 'VALID' WHEN 4 THEN 'PROCESSING_ERROR' WHEN 5 THEN 'PARTIALLY_CORRUPTED' WHEN 6 THEN 'UNKNOWN_FAILURE' END AS validation_status,
     CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false END AS is_retryable,
     CASE WHEN event_id % 8 = 0 THEN concat('/data/clean/', CAST(event_id AS VARCHAR(20)), '.pdf') WHEN event_id % 8 = 1 THEN '' END AS cleaned_path
 FROM (SELECT *, CASE event_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'running' WHEN 2 THEN 'pending' ELSE 'done' END AS ocr_state FROM events) AS e"""
@@ -63,5 +63,24 @@ SELECT l_orderkey AS deed, CASE WHEN l_returnflag = 'R' THEN 'B' ELSE 'S' END AS
     CASE l_suppkey % 5 WHEN 0 THEN 'residing at House 12, Mysuru - 570001' WHEN 1 THEN 'Registered Office, MG Road 560 015' WHEN 2 THEN 'Shop 4, market' WHEN 3 THEN 'office at his house' ELSE '' END AS address
 FROM lineitem"""
 
-VIEWS = {"docs": DOCUMENTS, "batches": BATCHES, "failures": FAILURES, "deeds": DEEDS, "parties": PARTIES}
+#: Short texts of several scripts and languages.
+PHRASES = """
+SELECT doc_id AS id, CASE doc_id % 8 WHEN 0 THEN 'ಮಂಜುನಾಥ' WHEN 1 THEN 'रमेश कुमार है' WHEN 2 THEN 'முருகன்' WHEN 3 THEN 'రామారావు' WHEN 4 THEN 'রহিম' WHEN 5 THEN 'मिळकत आहे'
+    WHEN 6 THEN concat('plain words ', CAST(doc_id % 10 AS VARCHAR(20))) ELSE '12/4' END AS text
+FROM documents"""
+
+#: Parties with some names and addresses in other scripts.
+NAMES = f"""
+SELECT deed, relation, ordinal, person, CASE WHEN person % 4 = 0 THEN 'ಮಂಜುನಾಥ' WHEN person % 4 = 1 THEN concat('रमेश ', CAST(person AS VARCHAR(20))) ELSE name END AS name, father,
+    CASE WHEN person % 6 = 0 THEN 'ಮನೆ 12, Mysuru' ELSE address END AS address
+FROM ({PARTIES}) AS p"""
+
+#: Two runs over the deeds, field by field; the second misses some deeds and differs in others.
+FIRST_RUN = f"""
+SELECT deed AS document, 'property' AS field, property_text AS value FROM ({DEEDS}) AS d UNION ALL SELECT deed, 'address', address FROM ({DEEDS}) AS e"""
+SECOND_RUN = f"""
+SELECT deed AS document, 'property' AS field, CASE WHEN deed % 9 = 0 THEN 'other' WHEN deed % 9 = 1 THEN upper(property_text) ELSE property_text END AS value FROM ({DEEDS}) AS d WHERE deed % 17 <> 0
+UNION ALL SELECT deed, 'address', CASE WHEN deed % 4 = 0 THEN NULL ELSE address END FROM ({DEEDS}) AS e WHERE deed % 17 <> 0"""
+
+VIEWS = {"docs": DOCUMENTS, "batches": BATCHES, "failures": FAILURES, "deeds": DEEDS, "parties": PARTIES, "phrases": PHRASES, "names": NAMES, "first_run": FIRST_RUN, "second_run": SECOND_RUN}
 INPUTS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "benchmark", "pages", "conversations", "embeddings")

@@ -46,8 +46,7 @@ def rows(deeds: DataFrame, parties: DataFrame) -> DataFrame:
     """deeds: deed, serial, deed_date, identity, paise, property_text, address, state, stamp. One row a party, one at least."""
     sides = split(dedupe(parties).join(deeds.select("deed", "paise"), "deed"))
     person = sides.select("deed", "relation", "ordinal", "share", "name", "father", "gender", "pan", "aadhaar", F.col("address").alias("p_address"))
-    # places are read once for each distinct address, in Python
-    located = language.apply_once(deeds, ["address"], lambda d: d.withColumn("_city", city_town("address")))
+    located = deeds.withColumn("_city", city_town(F.col("address")))
     joined = located.join(person, "deed", "left")
     c, e, none = F.col, lambda x: F.coalesce(x, F.lit("")), F.lit("")
     party = c("relation").isNotNull()
@@ -106,7 +105,7 @@ def unpopulated(report: DataFrame) -> DataFrame:
 def failed_report(failed: DataFrame) -> DataFrame:
     """failed: identity, source, stage, status, reason, flags, confidence. The seven columns of the failed export."""
     cells = ("identity", "source", "stage", "status", "reason", "flags")
-    shown = [values.cell(F.col(c)) for c in cells] + [F.coalesce(F.format_string("%.2f", F.col("confidence")), F.lit(""))]
+    shown = [values.cell(F.col(c)) for c in cells] + [F.when(F.col("confidence").isNotNull(), F.format_string("%.2f", F.col("confidence"))).otherwise("")]
     return failed.select(*[c.alias(name) for c, name in zip(shown, FAILED_COLUMNS, strict=True)])
 
 

@@ -117,9 +117,13 @@ def unpopulated_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.unpopulated(export_report(spark, sf_dir))
 
 
+#: Ends of addresses: a town before its kind, after it, the better of two kinds, a part that can be a town, none, one without a direction.
+PLACES = ("near old Hubli City", "District: Kolar", "Mandya Taluk, Tumkur District", "Hosur", "4th Cross", "North Sira")
+
+
 def towns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deeds = _deeds(spark, sf_dir).select("deed", "address")
-    return language.apply_once(deeds, ["address"], lambda d: d.withColumn("town", city_town("address"))).select("deed", F.coalesce("town", F.lit("")).alias("town"))
+    a = F.concat_ws(", ", F.col("address"), F.element_at(F.array(*[F.lit(x) for x in PLACES]), (F.col("deed") % len(PLACES) + 1).cast("int")))
+    return _deeds(spark, sf_dir).select("deed", city_town(a).alias("town"))
 
 
 def failure_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,11 +143,20 @@ def names_in_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.apply_once(rows, ["name"], lambda d: d.withColumn("latin", language.transliterate("name")))
 
 
-def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def numbered_documents(documents: DataFrame) -> DataFrame:
+    """Documents with registration numbers in text and file name, and the number wanted, where one is known."""
     d = F.col("doc_id")
     number = lambda n, y: F.concat(F.lit("ABC-1-"), (d + n).cast("string"), F.lit(f"-{y}-{(y + 1) % 100}"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", F.lit("===== PAGE 1 ====="), F.when(d % 3 != 0, F.concat(F.lit("document number "), number(10000, 2025))), F.when(d % 4 == 0, F.concat(F.lit("vide doc "), number(20000, 2019))), F.col("text")).alias("text"), F.concat(F.lit("/in/"), F.when(d % 6 == 0, number(30000, 2024)).otherwise(d.cast("string")), F.lit(".pdf")).alias("source"))
-    return identity.choose(docs)
+    wanted = F.when(d % 3 != 0, F.when(d % 5 == 0, number(40000, 2025)).otherwise(number(10000, 2025)))
+    return documents.select("doc_id", wanted.alias("wanted"), F.concat_ws("\n", F.lit("===== PAGE 1 ====="), F.when(d % 3 != 0, F.concat(F.lit("document number "), number(10000, 2025))), F.when(d % 4 == 0, F.concat(F.lit("vide doc "), number(20000, 2019))), F.col("text")).alias("text"), F.concat(F.lit("/in/"), F.when(d % 6 == 0, number(30000, 2024)).otherwise(d.cast("string")), F.lit(".pdf")).alias("source"))
+
+
+def identified(documents: DataFrame) -> DataFrame:
+    return identity.choose(numbered_documents(documents).drop("wanted"))
+
+
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(table(spark, sf_dir, "documents")).withColumn("confidence", F.col("confidence").cast("double"))
 
 
 def grounding_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,14 +226,21 @@ _PLAIN = {
 }
 _KIND = lambda c: _first_hit(c, [(p, k) for k, p in _PLAIN.items()])
 _TOWN, _VILLAGE = r"municipal|corporation|\bBBMP\b", r"grama\s*panchayat|gram\s*panchayat|village\s+panchayat"
+_NUMBER = lambda n, y: f"concat('ABC-1-', CAST(doc_id + {n} AS VARCHAR), '-{y}-{(y + 1) % 100}')"
+IDENTITY_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN {_NUMBER(10000, 2025)} WHEN doc_id % 4 = 0 THEN {_NUMBER(20000, 2019)} WHEN doc_id % 6 = 0 THEN {_NUMBER(30000, 2024)} ELSE '' END AS identity,
+    CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN 0.85E0 WHEN doc_id % 3 <> 0 OR doc_id % 4 = 0 THEN 0.95E0 WHEN doc_id % 6 = 0 THEN 0.6E0 ELSE 0.0E0 END AS confidence, CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS kinds,
+    CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN {_NUMBER(40000, 2025)} ELSE {_NUMBER(10000, 2025)} END END AS want FROM documents"""
 _CODE = f"coalesce(CASE validation_status {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in failures.VERDICTS.items())} END, {_first_hit('technical', failures.PATTERNS)}, CASE stage {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in failures.STAGE_CODES.items())} END, 'UNKNOWN_ERROR')"
-_CODES = ", ".join(f"('{c}', '{s}', '{m}', {str(r).lower()})" for c, s, m, r in failures.CODES)
+CODE_SQL = _CODE
+CODE_SQL_NO_STAGE = f"coalesce(CASE validation_status {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in failures.VERDICTS.items())} END, {_first_hit('technical', failures.PATTERNS)}, 'UNKNOWN_ERROR')"
+CODES_SQL = _CODES = ", ".join(f"('{c}', '{s}', '{m}', {str(r).lower()})" for c, s, m, r in failures.CODES)
 _WORK, _HOME = r"\boffice\b|\bshop\b|godown|factory|premises|industrial|business|showroom", r"\bresiding\b|\bhouse\b|\bflat\b|apartment|layout|colony"
 _HOLDER = "substr(upper(pan), 4, 1)"
 _MONEY_CELL = "CASE WHEN left(amount, 1) IN ('=', '+', '-', '@') THEN concat(chr(39), amount) ELSE amount END"
 _GROUP = "CASE WHEN length(r) <= 3 THEN r ELSE concat(reverse(regexp_replace(reverse(left(r, length(r) - 3)), '(\\d\\d)(\\d)', '\\1,\\2', 'g')), ',', right(r, 3)) END"
 
 ORACLES: dict[str, str] = {
+    "identities": f"SELECT doc_id, identity, confidence, CAST(kinds AS BIGINT) AS kinds FROM ({IDENTITY_SQL}) AS i",
     "ocr_cleanup": f"""WITH n AS ({NOISY}), a AS (SELECT doc_id, concat('===== PAGE 1 =====', chr(10), regexp_replace(replace(text, chr(13), ''), '[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F-\\x9F]', '', 'g')) AS t FROM n),
         b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^[=\\-]{{20,}}[ \\t]*$', '', 'g'), '(?i)</?[a-z][^<>]*>', '', 'g') AS t FROM a), c AS (SELECT doc_id, regexp_replace(t, '(?i)X{{4}}[ -]?X{{4}}[ -]?\\d{{4}}', '', 'g') AS t FROM b)
         SELECT doc_id, md5(concat(regexp_replace(regexp_replace(regexp_replace(t, '(?m)[ \\t]+$', '', 'g'), '\\n{{3,}}', concat(chr(10), chr(10)), 'g'), '^\\s+|\\s+$', '', 'g'), chr(10))) AS digest FROM c""",
@@ -245,7 +265,7 @@ ORACLES: dict[str, str] = {
     "scripts": "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-zÀ-ɏ]') THEN 'latin' ELSE 'neutral' END AS script, 'eng_Latn' AS language, false AS translate FROM documents",
     "batch_twin": "SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM events GROUP BY user_id, event_type",
     "stream_progress": "SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM events GROUP BY user_id, event_type",
-    "towns": f"{_with('deeds')} SELECT deed, CASE WHEN address LIKE '%Mysuru%' THEN 'Mysuru' ELSE '' END AS town FROM deeds",
+    "towns": f"""{_with('deeds')} SELECT deed, CASE deed % {len(PLACES)} WHEN 0 THEN 'Hubli' WHEN 1 THEN 'Kolar' WHEN 2 THEN 'Mandya' ELSE CASE WHEN address LIKE '%Mysuru%' THEN 'Mysuru' WHEN deed % {len(PLACES)} = 3 THEN 'Hosur' WHEN deed % {len(PLACES)} = 5 THEN 'Sira' ELSE '' END END AS town FROM deeds""",
     "mock_extraction": "SELECT doc_id, doc_id AS found FROM documents",
 }
 

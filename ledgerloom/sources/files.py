@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """PDF files by name and header, once each, with their verdict from the bytes alone."""
+    """PDF files by name and header, once each, with their verdict from the bytes alone; Spark's reader lists no file without bytes."""
     files = spark.read.format("binaryFile").load(path).dropDuplicates(["path"])
     head, tail = F.substring("content", 1, 1024), F.expr("substring(content, -4096, 4096)")
     text = lambda b: F.decode(b, "ISO-8859-1")
-    verdict = F.when(F.col("length") == 0, "EMPTY_PDF").when(F.instr(text(head), "%PDF-") == 0, "INVALID_PDF").when(F.instr(text(tail), "%%EOF") == 0, "INCOMPLETE_PDF").otherwise("OK")
+    verdict = F.when(F.instr(text(head), "%PDF-") == 0, "INVALID_PDF").when(F.instr(text(tail), "%%EOF") == 0, "INCOMPLETE_PDF").otherwise("VALID")
     return files.filter(F.lower("path").endswith(".pdf")).select("path", "length", "modificationTime", verdict.alias("verdict"))
 
 
@@ -22,6 +22,34 @@ def settings(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:
     return stored.select(F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key("m", k)), "m").alias("settings"))
 
 
+def precedence(defaults: DataFrame, stored: DataFrame, environment: DataFrame) -> DataFrame:
+    """All: key, value. The environment's value of each setting, else the stored one, else the default."""
+    side = lambda df, name: df.select("key", F.nullif(F.trim("value"), F.lit("")).alias(name))
+    joined = side(defaults, "d").join(side(stored, "s"), "key", "full_outer").join(side(environment, "e"), "key", "full_outer")
+    return joined.select("key", F.coalesce("e", "s", "d").alias("value"))
+
+
+def as_boolean(value: Column) -> Column:
+    """Whether a setting's word means yes."""
+    return F.coalesce(F.lower(F.trim(value)).isin("1", "true", "yes", "on"), F.lit(False))
+
+
+def set_values(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """Stored settings (key, value) after writing others."""
+    return rows.join(values.select("key"), "key", "left_anti").unionByName(values)
+
+
+def value_of(rows: DataFrame, key: str, default: str) -> str:
+    """One setting, or its default."""
+    found = rows.filter(F.col("key") == key).select("value").first()
+    return default if found is None or found["value"] is None else found["value"]
+
+
+def rule_settings(rules: dict[str, bool], thresholds: dict[str, str]) -> list[tuple[str, str]]:
+    """Switches and bounds of rules as settings: ``rule_`` and the name, yes as ``true``."""
+    return [(f"rule_{k}", "true" if v else "false") for k, v in rules.items()] + [(k, str(v)) for k, v in thresholds.items()]
+
+
 def same_header(spark: SparkSession, path: str, columns: tuple[str, ...]) -> list[tuple[int, str, str]]:
     """Places where a CSV file's header differs from the columns."""
     found = spark.read.option("header", True).csv(path).columns

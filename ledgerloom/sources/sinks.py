@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+from datetime import datetime
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,46 @@ def write_csv(report: DataFrame, columns: tuple[str, ...], path: str, order: lis
 
 def write_parts(report: DataFrame, path: str) -> None:
     """The distributed form: a CSV part for each partition."""
-    report.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    report.write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
+
+
+def export_report(report: DataFrame, folder: str, name: str, now: datetime, failed_only: bool = False) -> dict:
+    """Writes a batch's report as one file; its path and rows, cells that hold no code, and untranslated ones.
+
+    ``report`` is that of ``plans.export``; one batch's rows pass through the driver a partition
+    at a time, ``write_parts`` is the way for more.
+    """
+    from ledgerloom.operators.batches import export_name
+    from ledgerloom.plans import export
+
+    spark = report.sparkSession
+    file = spark.range(1).select(export_name(F.lit(name), F.lit(now), failed_only).alias("n")).first()["n"]
+    path = f"{folder}/{file}"
+    ordered = report.orderBy("deed", F.col("`Transaction Relation (PC)`") == "B", "ordinal")
+    count = write_csv(ordered, export.COLUMNS, path)
+    told = export.violations(report).orderBy("deed", "ordinal", "column").limit(100).collect()
+    untranslated = {r["column"]: r["value"] for r in export.untranslated(report).collect()}
+    return {"path": path, "rows": count, "violations": [f"row {r['ordinal']}: {r['column']} = '{r['value']}'" for r in told], "untranslated": untranslated}
+
+
+def write_texts(rows: DataFrame, path: str) -> None:
+    """rows: folder, name, text. A file for each folder's texts that there are, by the folder's name."""
+    rows.filter("text IS NOT NULL").select(F.col("text").alias("value"), "folder").repartition("folder").write.mode("overwrite").partitionBy("folder").option("lineSep", "\n").text(path)
+
+
+def failure_notes(rows: DataFrame, width: int = 5) -> DataFrame:
+    """rows: folder, name, reason. Per folder a note that lists what failed and why, by name."""
+    line = F.concat(F.rpad("name", F.greatest(F.length("name"), F.lit(width - 2)), F.lit(" ")), F.lit("  "), "reason")
+    failed = rows.filter("reason IS NOT NULL").select("folder", F.struct("name", line.alias("line")).alias("l"))
+    return failed.groupBy("folder").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "\n").alias("note"))
+
+
+def sound_archive(spark: SparkSession, path: str, wanted: int) -> bool:
+    """Whether an archive can be read and has so many rows."""
+    try:
+        return spark.read.parquet(path).count() == wanted
+    except AnalysisException:
+        return False
 
 
 def snapshot(spark: SparkSession, frame: DataFrame, path: str) -> int:

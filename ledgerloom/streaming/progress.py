@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerloom.operators import documents, validation
 from ledgerloom.operators.folds import next_level
+from ledgerloom.sources import scrape
 
 
 def counts(events: DataFrame) -> DataFrame:
@@ -18,11 +20,44 @@ def counts(events: DataFrame) -> DataFrame:
 
 
 def stream_progress(spark: SparkSession, path: str, name: str, checkpoint: str) -> DataFrame:
-    """Reads what is there as a stream, in one go, and returns the counts it ended with."""
+    """Reads what is there as a stream, in one go, and returns the counts it ended with.
+
+    Each micro-batch writes the counts that changed under its number; the last of each key
+    holds. The result stays in the shared store, and nothing of it in the driver.
+    """
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64).parquet(path)
-    query = counts(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = f"{checkpoint}-counts"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{number:06d}")
+
+    query = counts(events).writeStream.outputMode("update").queryName(name).option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    keys = ["user_id", "event_type"]
+    schema = counts(spark.read.parquet(path)).schema.simpleString()[7:-1] + ",batch:int"
+    return spark.read.schema(schema).parquet(f"{out}/*").groupBy(*keys).agg(F.max_by(F.struct("n", "hundredths"), "batch").alias("c")).select(*keys, "c.*")
+
+
+def run_to_table(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream over what is there into a table in the shared store."""
+    rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+
+
+def process_documents(spark: SparkSession, path: str, out: str, checkpoint: str) -> None:
+    """New documents (doc_id, text) through gate, extraction, report and state, each micro-batch as one plan.
+
+    A micro-batch that is run again after a failure overwrites what it wrote.
+    """
+    docs = spark.readStream.schema("doc_id long, text string").parquet(path)
+
+    def run(batch: DataFrame, number: int) -> None:
+        gated = batch.withColumn("reason", documents.text_gate(F.col("text"), F.lit(1)))
+        fine = gated.filter("reason IS NULL").select("doc_id", scrape.answer(F.col("text")).alias("answer"), "text", F.lit(False).alias("truncated"), F.lit(True).alias("ocr_ok"))
+        told = validation.validate(fine).select("doc_id", F.col("disposition").alias("state"), F.lit(None).cast("string").alias("reason"))
+        lost = gated.filter("reason IS NOT NULL").select("doc_id", F.lit("failed").alias("state"), "reason")
+        told.unionByName(lost).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def hourly(events: DataFrame, late: str = "10 minutes") -> DataFrame:

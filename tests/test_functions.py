@@ -137,8 +137,8 @@ def test_dedupe_goes_before_names(spark):
     ("address", "want"),
     [("Sy No 6, Hoskote Taluk, Bangalore District", "Hoskote"), ("Taluka & Dist: Belgaum", "Belgaum"), ("Koramangala, Bangalore - 560 034", "Bangalore"), ("Kasaba Hobli", ""), (None, "")],
 )
-def test_town(address, want):
-    assert places.town(address) == want
+def test_town(spark, address, want):
+    assert one(spark, places.city_town(F.col("a")), a=(address, "string")) == want
 
 
 def test_levels_fall_only_past_the_margin():
