@@ -27,8 +27,8 @@ WEIGHTS = (3, 1, 2)
 #: The mix's size over that of all documents, and a source's most over its own.
 SHARE, MOST = 1.5, 2
 SEED = "mix-1"
-#: Words of a block, at every size.
-BLOCK = 32
+#: Words of a block, at every size; and where blocks are to be read as passages.
+BLOCK, PASSAGE = 32, 256
 #: Blocks of a shard; more where a source would have over 4096 shards.
 SHARD, SHARDS = 1024, 4096
 #: Documents of a bucket, within which places are counted; at most 65,536 buckets a source.
@@ -38,14 +38,14 @@ PRIME = 1_500_450_271
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def source_figures(sizes: DataFrame, spark: SparkSession) -> DataFrame:
+def source_figures(sizes: DataFrame, spark: SparkSession, block: int = BLOCK) -> DataFrame:
     """One row a source: size, target, and the figures from which any block's count follows."""
     sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).createOrReplaceTempView("mix_sources")
     # windows without a partition see one row a source, never one a document
-    return spark.sql(_figures("mix_sources", "least(65536, (n_docs + 127) div 128)".replace("65536", str(BUCKETS)).replace("128", str(BUCKET)).replace("127", str(BUCKET - 1)), "div", "get(filter(sequence({0}, {0} + 6), {1}), 0)", "q ->", "CAST(conv(substr(md5(concat('{0}:', coalesce(source, ''), ':', source IS NULL)), 1, 7), 16, 10) AS BIGINT)"))
+    return spark.sql(_figures("mix_sources", "least(65536, (n_docs + 127) div 128)".replace("65536", str(BUCKETS)).replace("128", str(BUCKET)).replace("127", str(BUCKET - 1)), "div", "get(filter(sequence({0}, {0} + 6), {1}), 0)", "q ->", "CAST(conv(substr(md5(concat('{0}:', coalesce(source, ''), ':', source IS NULL)), 1, 7), 16, 10) AS BIGINT)", block))
 
 
-def _figures(sources: str, buckets: str, div: str, first: str, q: str, number: str) -> str:
+def _figures(sources: str, buckets: str, div: str, first: str, q: str, number: str, block: int = BLOCK) -> str:
     """SQL for the source figures; the dialects differ in the arguments only."""
     weight = f"CASE (rank - 1) % {len(WEIGHTS)} " + " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(WEIGHTS)) + " END"
     salt = number.replace("{0}", SEED)
@@ -60,7 +60,7 @@ risen AS (SELECT *, CAST(wanted - below AS DOUBLE) / CAST(weights - gone AS DOUB
 levelled AS (SELECT *, min(CASE WHEN lambda0 <= full_at THEN k END) OVER () AS k_free FROM risen),
 aimed AS (SELECT *, CASE WHEN k_free IS NULL OR k < k_free THEN CAST({MOST} * source_size AS DOUBLE)
     ELSE max(CASE WHEN k = k_free THEN lambda0 END) OVER () * weight END AS target,
-    CAST({BLOCK} AS BIGINT) AS block FROM levelled),
+    CAST({block} AS BIGINT) AS block FROM levelled),
 rounded AS (SELECT *, (source_size + block - 1) {div} block AS n_blocks, CAST(floor(target / block + 0.5) AS BIGINT) AS q0, sum(target) OVER () AS aim FROM aimed),
 off AS (SELECT *, CAST(floor(aim / block + 0.5) AS BIGINT) - CAST(sum(q0) OVER () AS BIGINT) AS d FROM rounded),
 offers AS (SELECT rank, d, row_number() OVER (ORDER BY CASE WHEN d > 0 THEN -(target / (2 * (q0 + i) + 1)) ELSE target / (2 * (q0 - i) - 1) END, CASE WHEN d > 0 THEN rank ELSE -rank END, i) AS place
@@ -84,12 +84,12 @@ def _times(b: str, div: str) -> str:
     return f"({q} {div} {n} + CASE WHEN (({b} % shard) * {PRIME} + salt + {h}) % {n} < {q} % {n} THEN 1 ELSE 0 END)"
 
 
-def placed(docs: DataFrame, spark: SparkSession, scratch: Scratch, carry: tuple[str, ...] = ()) -> DataFrame:
+def placed(docs: DataFrame, spark: SparkSession, scratch: Scratch, carry: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """Per document: size, its source's figures, ``start``, its place in the source's stream,
     and the struct ``_row`` of the columns in ``carry``."""
     size = F.coalesce(F.expr(f"CAST(regexp_count(text, r'{WORD}') AS BIGINT)"), F.lit(0)).alias("size")
     sizes = scratch.keep("sizes", docs.select("doc_id", "source", size))
-    sources = scratch.keep("sources", source_figures(sizes, spark)).withColumnRenamed("source", "_source")
+    sources = scratch.keep("sources", source_figures(sizes, spark, block)).withColumnRenamed("source", "_source")
 
     def bucketed(rows: DataFrame) -> DataFrame:
         known = rows.join(sources, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, spark: SparkSession) -> DataFrame:
     return at.select("doc_id", "size", "source_size", "target", F.expr(total).alias("taken"))
 
 
-def mixed(docs: DataFrame, spark: SparkSession) -> DataFrame:
+def mixed(docs: DataFrame, spark: SparkSession, block: int = BLOCK) -> DataFrame:
     """The mix itself: the documents' columns, a row for each time that a document is read.
 
     A row is a whole passage: the words of neighbouring blocks that are taken then, with the
@@ -125,7 +125,7 @@ def mixed(docs: DataFrame, spark: SparkSession) -> DataFrame:
     is read with gaps gives several rows. n_chars is counted anew where there is such a
     column. Documents of which nothing is taken are not in the mix.
     """
-    at = placed(docs, spark, Scratch(spark, "mix"), tuple(docs.columns)).filter("size > 0")
+    at = placed(docs, spark, Scratch(spark, "mix"), tuple(docs.columns), block).filter("size > 0")
     counted = at.withColumn("_times", F.expr(f"transform(sequence(start div block, (start + size - 1) div block), b -> {_times('b', 'div')})"))
     words = counted.withColumn("_words", F.expr(f"regexp_extract_all(_row.text, r'{WORD}[\\x20\\x09-\\x0D]*', 0)")).withColumn("_turn", F.explode(F.expr("sequence(1L, array_max(_times), 1L)")))
     edge = lambda step: f"filter(sequence(0, size(_times) - 1), k -> _times[k] >= _turn AND coalesce(get(_times, k + {step}), 0) < _turn)"

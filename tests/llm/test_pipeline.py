@@ -26,5 +26,5 @@ def test_stages(spark, data):
     words = lambda df: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in df.collect())
     # a mix is whole blocks of each source
     sources = kept["repeats"].select("source").distinct().count()
-    assert abs(words(kept["mixing"]) - 1.5 * words(kept["repeats"])) < mixing.BLOCK * (sources + 1)
+    assert abs(words(kept["mixing"]) - 1.5 * words(kept["repeats"])) < mixing.PASSAGE * (sources + 1)
     assert kept["packing"].groupBy("sequence_id").sum("length").filter("`sum(length)` > 4096").count() == 0
