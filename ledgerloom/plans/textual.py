@@ -270,6 +270,54 @@ ORACLES: dict[str, str] = {
 }
 
 
+
+# The report, column by column, and what is told about it.
+_KEY = "CASE WHEN length(aadhaar) = 12 THEN concat('a:', aadhaar) WHEN pan IS NOT NULL THEN concat('p:', pan) ELSE concat('n:', lower(name), ':', lower(father)) END"
+_PLACED = f"""placed AS (SELECT *, count(*) OVER (PARTITION BY deed, relation) AS n, row_number() OVER (PARTITION BY deed, relation ORDER BY ordinal) AS i
+    FROM (SELECT *, row_number() OVER (PARTITION BY deed, relation, {_KEY} ORDER BY ordinal) AS copy FROM parties) AS c WHERE copy = 1 AND name <> '-')"""
+_PERSON = f"coalesce(CASE {_HOLDER} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in classify.HOLDERS.items())} END, 'Individual')"
+_PLACE = f"""CASE WHEN p.address = '' THEN '5' WHEN p.address LIKE 'Registered%' THEN '4' WHEN {_HOLDER} IN ('C', 'F', 'T', 'A', 'B', 'L', 'J', 'G') THEN '3' WHEN regexp_matches(p.address, '(?i){_WORK}') AND regexp_matches(p.address, '(?i){_HOME}') THEN '1'
+    WHEN regexp_matches(p.address, '(?i){_WORK}') THEN '3' WHEN regexp_matches(p.address, '(?i){_HOME}') THEN '2' ELSE '5' END"""
+_MONEY = lambda x, whole: f"CASE WHEN {whole} THEN CAST({x} // 100 AS VARCHAR) ELSE concat(CAST({x} // 100 AS VARCHAR), '.', lpad(CAST({x} % 100 AS VARCHAR), 2, '0')) END"
+_TOLD = {
+    1: "CAST(d.deed AS VARCHAR)", 3: "strftime(deed_date, '%d-%m-%Y')", 4: "concat('ABC-1-', lpad(CAST(d.deed % 100000 AS VARCHAR), 5, '0'), '-2025-26')", 5: "coalesce(relation, '')", 6: _MONEY("paise", "paise % 100 = 0"),
+    7: f"coalesce({_KIND('d.address')}, {_KIND('property_text')}, 'X')",
+    8: f"CASE WHEN regexp_matches(concat_ws(' ', d.address, property_text), '(?i){_TOWN}') THEN CASE WHEN regexp_matches(concat_ws(' ', d.address, property_text), '(?i){_VILLAGE}') THEN '' ELSE 'Yes' END WHEN regexp_matches(concat_ws(' ', d.address, property_text), '(?i){_VILLAGE}') THEN 'No' ELSE '' END",
+    9: "coalesce(d.address, '')", 10: "CASE WHEN d.address LIKE '%Mysuru%' THEN 'Mysuru' ELSE '' END", 11: "CASE WHEN d.address LIKE '%Mysuru%' THEN right(d.address, 6) ELSE '' END", 12: "'Karnataka'", 13: "'IN'", 14: "CAST(paise // 10000 AS VARCHAR)",
+    16: "coalesce(relation, '')", 17: "CASE WHEN p.deed IS NULL THEN '' ELSE " + _MONEY("(paise // n + CASE WHEN i <= paise % n THEN 1 ELSE 0 END)", "paise % (100 * n) = 0") + " END", 18: "coalesce(trim(string_split(name, '@')[1]), '')", 19: f"CASE WHEN p.deed IS NULL THEN '' ELSE {_PERSON} END",
+    20: "coalesce(gender, '')", 21: "coalesce(father, '')", 22: "coalesce(pan, '')", 23: "coalesce(aadhaar, '')", 25: "CASE WHEN pan IS NOT NULL THEN 'C' WHEN aadhaar IS NOT NULL THEN 'G' ELSE '' END", 28: "CASE WHEN p.deed IS NULL THEN '' ELSE 'IN' END",
+    29: f"CASE WHEN p.deed IS NULL THEN '5' ELSE {_PLACE} END", 30: "coalesce(p.address, '')", 31: "CASE WHEN p.deed IS NOT NULL AND d.address LIKE '%Mysuru%' THEN 'Mysuru' ELSE '' END", 32: "CASE WHEN p.address LIKE '%570001' THEN '570001' WHEN p.address LIKE '%560 015' THEN '560015' ELSE '' END", 34: "CASE WHEN p.deed IS NULL THEN '' ELSE 'IN' END",
+}
+_REPORT = f"{_with('deeds', 'parties')}, {_PLACED}, report AS (SELECT d.deed, coalesce(ordinal, 0) AS ordinal, {', '.join(f'{_TOLD.get(k, chr(39) * 2)} AS c{k:02d}' for k in range(1, 43))} FROM deeds AS d LEFT JOIN placed AS p ON d.deed = p.deed)"
+_FILLED = " UNION ALL ".join(f"SELECT '{c.replace(chr(39), chr(39) * 2)}' AS \"column\", CAST(sum(CASE WHEN trim(c{k:02d}) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS filled, round(100.0E0 * sum(CASE WHEN trim(c{k:02d}) <> '' THEN 1 ELSE 0 END) / greatest(count(*), 1), 2) AS percent FROM report" for k, c in enumerate(export.COLUMNS, 1))
+_WHY = " ".join(f"WHEN '{c.replace(chr(39), chr(39) * 2)}' THEN '{w}'" for c, w in export.UNFILLED.items())
+ORACLES |= {
+    "export_rows_42": f"{_REPORT} SELECT * FROM report",
+    "column_population": f"{_REPORT} {_FILLED}",
+    "unpopulated_columns": f"{_REPORT} SELECT \"column\", CASE \"column\" {_WHY} ELSE 'not found in the deeds' END AS reason FROM ({_FILLED}) AS f WHERE filled = 0",
+    "coded_column_violations": f"{_REPORT} SELECT 'Property Type' AS \"column\", 'Q' AS value, count(*) AS n FROM report WHERE deed % 10 = 0 HAVING count(*) > 0",
+    "untranslated_cells": f"{_REPORT} SELECT 'Property Address' AS \"column\", concat('ಮನೆ ', CAST(min(deed) AS VARCHAR)) AS value FROM report WHERE deed % 7 = 0",
+    "names_in_latin": f"""{_with("parties")} SELECT deed, relation, ordinal, concat_ws(' ', (['ಮಂಜುನಾಥ', 'रमेश कुमार', 'முருகன்', 'రామారావు', 'রহিম', 'ગણેશ', 'Ravi'])[deed % 7 + 1], name) AS name, concat_ws(' ', (['Manjunatha', 'Ramesh Kumar', 'Murukan', 'Ramaravu', 'Rahim', 'Ganesh', 'Ravi'])[deed % 7 + 1], name) AS latin FROM parties""",
+    "grounding_verdicts": """WITH a AS (SELECT doc_id, concat('ABCPE', lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0'), 'K') AS pan, CAST(200000000000 + doc_id AS VARCHAR) AS aadhaar, coalesce(text, '') AS t FROM documents),
+        b AS (SELECT *, concat(CASE WHEN doc_id % 3 = 0 THEN pan ELSE '' END, ' ', CASE WHEN doc_id % 2 = 0 THEN concat(left(aadhaar, 4), ' ', substr(aadhaar, 5, 4), ' ', right(aadhaar, 4), ' ') ELSE '' END, ' SELLER NAME sold for 15,00,000=00 registration fee: 200.00 ', t) AS text FROM a WHERE t IS NOT NULL),
+        c AS (SELECT *, list_distinct(regexp_extract_all(upper(text), '\\b[A-Z]{5}[0-9]{4}[A-Z]\\b')) AS source, upper(regexp_replace(text, '[\\s\\-.,:;/\\\\|_()\\[\\]{}]+', '', 'g')) AS norm FROM b),
+        d AS (SELECT *, contains(norm, pan) AS pan_there, contains(norm, aadhaar) AS aadhaar_there, doc_id % 5 = 0 AND NOT regexp_matches(text, '(^|[^0-9])1[\\s,]*5[\\s,]*0[\\s,]*0[\\s,]*0[\\s,]*0[\\s,]*0[\\s,]*0($|[^0-9])') AS wrong,
+            CASE WHEN len(source) = 0 THEN 1.0E0 ELSE round_even(CASE WHEN list_contains(source, pan) THEN 1.0E0 ELSE 0.0E0 END / len(source), 3) END AS coverage, CAST(len(list_filter(source, lambda x: x <> pan)) AS INTEGER) AS unmatched FROM c)
+        SELECT doc_id, concat_ws(' ', CASE WHEN pan_there THEN 'PAN_MATCHED' ELSE 'HALLUCINATED_PAN' END, CASE WHEN NOT aadhaar_there THEN 'WRONG_AADHAAR' END, CASE WHEN wrong THEN 'WRONG_CONSIDERATION' END) AS remarks, coverage, unmatched, '200' AS fees,
+            CASE WHEN coverage < 0.6E0 AND unmatched >= 2 THEN 'retry' WHEN NOT pan_there OR NOT aadhaar_there OR wrong THEN 'review' ELSE 'accept' END AS disposition FROM d""",
+    # folds, a step at a time
+    "pressure_levels": """WITH RECURSIVE e AS (SELECT *, CASE WHEN free <= 0.08E0 THEN 3 WHEN free <= 0.15E0 THEN 2 WHEN free <= 0.25E0 THEN 1 ELSE 0 END AS now, CASE WHEN free <= 0.08E0 + 0.05E0 THEN 3 WHEN free <= 0.15E0 + 0.05E0 THEN 2 WHEN free <= 0.25E0 + 0.05E0 THEN 1 ELSE 0 END AS eased
+        FROM (SELECT user_id AS source, event_id AS id, ts, event_id * 37 % 100 / 100.0E0 AS free, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) AS s),
+        r AS (SELECT source, id, ts, free, k, now AS level FROM e WHERE k = 1 UNION ALL SELECT e.source, e.id, e.ts, e.free, e.k, CASE WHEN e.now >= r.level THEN e.now ELSE least(r.level, e.eased) END FROM r JOIN e ON e.source = r.source AND e.k = r.k + 1)
+        SELECT source, id, ts, free, (['normal', 'elevated', 'high', 'critical'])[level + 1] AS level, level < 3 OR free >= 0.08E0 AS admitted FROM r""",
+    "circuit_breaker": """WITH RECURSIVE e AS (SELECT user_id AS source, event_id AS id, ts, event_id % 3 = 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+        r AS (SELECT source, id, ts, ok, k, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS f, CAST(NULL AS TIMESTAMP) AS opened FROM e WHERE k = 1 UNION ALL
+        SELECT source, id, ts, ok, k, state, CASE WHEN state = 'open' THEN f WHEN ok THEN 0 ELSE f + 1 END, CASE WHEN state = 'open' THEN opened WHEN ok THEN NULL WHEN f + 1 >= 2 THEN ts ELSE opened END
+        FROM (SELECT e.source, e.id, e.ts, e.ok, e.k, r.f, r.opened, CASE WHEN r.opened IS NULL THEN 'closed' WHEN epoch(e.ts) - epoch(r.opened) >= 15 THEN 'half_open' ELSE 'open' END AS state FROM r JOIN e ON e.source = r.source AND e.k = r.k + 1) AS n)
+        SELECT source, id, ts, ok, state FROM r""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
