@@ -53,6 +53,8 @@ K = BANDS * ROWS
 DARTS = K * (math.log(K) + 2)
 SIGNED = "doc_id long, h long, key long, n long, bands array<long>"
 REMEMBERED = 500_000
+#: Buckets with more texts than this, and than the MOST-th part of all, are broadcast to their texts: at most MOST.
+HOT, MOST = 256, 8192
 #: Comparisons with one text that a task may get.
 SALT = 512
 #: Texts of a tile, and cells of the matrix that a unit fills at a time.
@@ -268,6 +270,13 @@ def compare_throughout(there: DataFrame, texts: DataFrame) -> DataFrame:
     return whole.repartition("band", "t1", "t2").sortWithinPartitions("band", "t1", "t2").mapInArrow(_compare_units, "a long, b long")
 
 
+def _at_bands(rows: DataFrame, there: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows (band, ...) joined with ``there`` (band, ...); bands in ``hot`` by broadcast, so that their rows stay where they are."""
+    few = F.broadcast(hot)
+    cold = rows.join(few, "band", "left_anti").join(there.join(few, "band", "left_anti"), "band")
+    return rows.join(F.broadcast(there.join(few, "band", "left_semi")), "band").unionByName(cold)
+
+
 def grouped(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id long, text. What ``sign`` gives, and per class its key, id, h and its component's id and h.
 
@@ -280,16 +289,19 @@ def grouped(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     lowest = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "key"), "key", "n"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("size"), lowest(1).alias("c1"), lowest(2).alias("c2")).filter("size > 1")
     close = lambda n, m: F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
-    met = banded.join(buckets, "band").select("key", "n", "size", F.explode(F.array("c1", "c2")).alias("c"))
+    buckets = scratch.keep("buckets", buckets)
+    # so large that few can be: the sizes of all buckets add up to BANDS rows a class
+    hot = buckets.filter(F.col("size") > max(HOT, classes.count() * BANDS // MOST)).select("band")
+    met = _at_bands(banded, buckets, hot).select("key", "n", "size", F.explode(F.array("c1", "c2")).alias("c"))
     met = met.filter((F.col("key") != F.col("c.key")) & close(F.col("n"), F.col("c.n"))).select(F.col("key").alias("a"), F.col("c.key").alias("b"), "size")
     first = scratch.keep("first", met.groupBy("a", "b").agg(F.max("size").alias("size")))
     needed = first.select(F.col("a").alias("key")).unionByName(first.select(F.col("b").alias("key"))).distinct()
     texts = scratch.keep("texts1", bodies(needed, classes, docs))
     joined = components(scratch.keep("links", verify(first, texts)), scratch, "round1")
     # what shares a bucket and isn't in one component yet
-    labelled = banded.join(buckets.select("band"), "band").join(joined.select(F.col("a").alias("key"), F.col("b").alias("least")), "key", "left").withColumn("least", F.coalesce("least", "key"))
+    labelled = _at_bands(banded, buckets.select("band"), hot).join(joined.select(F.col("a").alias("key"), F.col("b").alias("least")), "key", "left").withColumn("least", F.coalesce("least", "key"))
     mixed = labelled.groupBy("band").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo < hi").select("band")
-    there = scratch.keep("open", labelled.join(mixed, "band").select("band", F.col("key").alias("id"), "key"))
+    there = scratch.keep("open", _at_bands(labelled, mixed, hot).select("band", F.col("key").alias("id"), "key"))
     scratch.drop("first", "texts1", "links")
     if there.limit(1).count():
         texts = scratch.keep("texts2", bodies(there.select("key").distinct(), classes, docs))
