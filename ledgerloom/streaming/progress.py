@@ -34,7 +34,7 @@ def stream_progress(spark: SparkSession, path: str, name: str, checkpoint: str)
     query = counts(events).writeStream.outputMode("update").queryName(name).option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
     keys = ["user_id", "event_type"]
-    schema = counts(spark.read.parquet(path)).schema.simpleString()[7:-1] + ",batch:int"
+    schema = counts(spark.read.parquet(path)).withColumn("batch", F.lit(0)).schema
     return spark.read.schema(schema).parquet(f"{out}/*").groupBy(*keys).agg(F.max_by(F.struct("n", "hundredths"), "batch").alias("c")).select(*keys, "c.*")
 
 
