@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.values import strip
 
+# Word boundaries that also hold beside letters of Indic scripts.
 _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 # Words that tell a kind of property, in the order in which kinds are tried.
@@ -18,15 +19,17 @@ PROPERTY_WORDS = {
     "A": rf"agricultur|{_B}kharab{_E}|{_B}acres?{_E}|{_B}guntas?{_E}|ಕೃಷಿ|ಜಮೀನು|ಗುಂಟೆ|ಎಕರೆ",
     "Z": rf"temple|{_B}church{_E}|{_B}mosque{_E}|burial|graveyard|{_B}school{_E}|{_B}college{_E}|hospital|{_B}wakf{_E}|charitable|ದೇವಸ್ಥಾನ|ಶಾಲೆ",
 }
+# How a schedule begins, and how much of it is read.
 NOT_AFTER = r"(?<!\bthe )(?<!\bof )(?<!\bon )(?<!\bin )(?<!\bsaid )"
 SCHEDULE = r"schedule\b|ಅನುಸೂಚಿ|ಶೆಡ್ಯೂಲ್|ಪರಿಶಿಷ್ಟ"
 SCHEDULE_CHARS = 2000
+# Words that tell limits and kinds of address.
 MUNICIPAL = rf"municipal|mahanagara|corporation|city\s+council|town\s+council|{_B}BBMP{_E}|{_B}CMC{_E}|{_B}TMC{_E}|ಮಹಾನಗರ|ನಗರಸಭೆ|ಪುರಸಭೆ"
 PANCHAYAT = r"grama\s*panchayat|gram\s*panchayat|village\s+panchayat|ಗ್ರಾಮ\s*ಪಂಚಾಯ|ಪಂಚಾಯತ"
 REGISTERED = rf"registered\s+office|corporate\s+office|{_B}regd\.?\s*off"
 BUSINESS = rf"{_B}office{_E}|{_B}shop{_E}|godown|factory|premises|industrial|{_B}unit\s*n|business|showroom"
 RESIDENTIAL = rf"{_B}residing{_E}|{_B}resident{_E}|{_B}house{_E}|{_B}flat{_E}|{_B}dwelling{_E}|{_B}village{_E}|{_B}nagar{_E}|{_B}h\.?\s?no{_E}|apartment|layout|colony"
-#: The fourth letter of a PAN.
+# What the fourth letter of a PAN says about its holder.
 HOLDERS = {"P": "Individual", "C": "Company", "H": "HUF", "F": "Firm", "A": "AOP", "T": "Trust", "B": "BOI", "L": "Local Authority", "J": "Artificial Juridical Person", "G": "Government"}
 BUSINESS_HOLDERS = ("C", "F", "T", "A", "B", "L", "J", "G")
 

@@ -48,11 +48,13 @@ PATTERNS = (
     (r"IntegrityError|OperationalError|database|psycopg", "DATABASE_ERROR"),
     (r"PermissionError|FileNotFoundError|OSError|could not read", "FILE_ACCESS_ERROR"),
 )
+# The code of a verdict on a file, and of a stage that failed without saying why.
 VERDICTS = {
     "CORRUPTED_PDF": "PDF_CORRUPTED", "INVALID_PDF": "PDF_INVALID", "PASSWORD_PROTECTED": "PDF_ENCRYPTED", "EMPTY_PDF": "PDF_EMPTY",
     "INCOMPLETE_PDF": "PDF_INCOMPLETE", "UNREADABLE_PDF": "FILE_ACCESS_ERROR", "PDF_PARSE_ERROR": "PDF_CORRUPTED", "PDF_RENDER_ERROR": "PDF_CORRUPTED",
 }
 STAGE_CODES = {"ocr": "OCR_FAILED", "extract": "AI_PROCESSING_FAILED", "translate": "TRANSLATION_FAILED", "validate": "AI_EXTRACTION_FAILED"}
+# Fixed value: what counts as a path in a text; codes are read from texts without paths, so it decides codes too.
 PATHS = r"""'[^']*[/\\][^']*'|"[^"]*[/\\][^"]*"|\b[A-Za-z]:\\[^\s,;)]*|(?<![\w'"])/[^\s,;)]{3,}"""
 
 

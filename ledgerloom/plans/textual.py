@@ -51,7 +51,8 @@ def fit_to_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lines = docs.select((F.col("doc_id") % 50).alias("doc_id"), F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("line"))
+    text = F.concat(F.lit("  Office of the Registrar \n"), F.coalesce("text", F.lit("")))
+    lines = docs.select((F.col("doc_id") % 50).alias("doc_id"), F.col("doc_id").alias("page"), F.explode(F.split(text, "\n")).alias("line"))
     return cleanup.boilerplate(lines, least_pages=2)
 
 
@@ -133,7 +134,7 @@ def failure_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", language.script(t).alias("script"), language.language(t).alias("language"), language.needs_translation(t).alias("translate"))
+    return _view(spark, sf_dir, VIEWS["phrases"], "documents").select(F.col("id").alias("doc_id"), language.script(t).alias("script"), language.language(t).alias("language"), language.needs_translation(t).alias("translate"))
 
 
 def names_in_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +247,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, md5(concat(regexp_replace(regexp_replace(regexp_replace(t, '(?m)[ \\t]+$', '', 'g'), '\\n{{3,}}', concat(chr(10), chr(10)), 'g'), '^\\s+|\\s+$', '', 'g'), chr(10))) AS digest FROM c""",
     "page_roundtrip": "SELECT doc_id, CAST(CASE WHEN contains(text, chr(10)) THEN len(string_split(text, chr(10))) ELSE 1 END AS BIGINT) AS pages, true AS same FROM documents",
     "fit_to_context": "SELECT doc_id, md5(CASE WHEN length(text) <= 1000 THEN text ELSE concat(left(text, 595), chr(10), '[...]', chr(10), right(text, 398)) END) AS digest, length(text) > 1000 AS trimmed FROM documents",
-    "boilerplate_lines": """WITH l AS (SELECT DISTINCT doc_id % 50 AS doc_id, doc_id AS page, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY doc_id)
+    "boilerplate_lines": """WITH s AS (SELECT doc_id % 50 AS doc_id, doc_id AS page, unnest(string_split(concat('Office of the Registrar', chr(10), text), chr(10))) AS line FROM documents), l AS (SELECT DISTINCT doc_id, page, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM s), t AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY doc_id)
         SELECT l.doc_id, line, count(*) AS n FROM l JOIN t ON l.doc_id = t.doc_id WHERE length(line) >= 12 GROUP BY l.doc_id, line, pages HAVING count(*) >= greatest(2, pages * 6 // 10)""",
     "amounts": f"""WITH m AS ({MONEY}) SELECT id, {_MONEY_CELL} AS cell, CASE WHEN amount = '=cmd' OR amount = '' THEN NULL WHEN amount LIKE '%=00' THEN rupees WHEN amount LIKE 'Rs%' THEN rupees ELSE rupees END AS rupees,
         TRY_CAST(nullif(regexp_replace(amount, '[^0-9]', '', 'g'), '') AS BIGINT) AS all_digits, CASE WHEN id % 6 IN (1, 2) THEN rupees WHEN id % 6 = 3 THEN -rupees END AS consideration, strftime(CAST(day AS DATE), '%d-%m-%Y') AS day_first FROM m""",
@@ -262,7 +263,8 @@ ORACLES: dict[str, str] = {
         trim(string_split(name, '@')[1]) AS primary_name, pan IS NOT NULL AND regexp_matches(pan, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$') AS pan_valid FROM parties""",
     "failure_codes": f"""{_with("failures")}, c(code, code_stage, message, retryable) AS (VALUES {_CODES}), f AS (SELECT id, technical AS detail, {_CODE} AS code FROM failures)
         SELECT id, f.code, code_stage, message, retryable, detail FROM f JOIN c ON f.code = c.code""",
-    "scripts": "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-zÀ-ɏ]') THEN 'latin' ELSE 'neutral' END AS script, 'eng_Latn' AS language, false AS translate FROM documents",
+    "scripts": """SELECT doc_id, (['kannada', 'devanagari', 'tamil', 'telugu', 'bengali', 'devanagari', 'latin', 'neutral'])[doc_id % 8 + 1] AS script,
+        (['kan_Knda', 'hin_Deva', 'tam_Taml', 'tel_Telu', 'ben_Beng', 'mar_Deva', 'eng_Latn', 'eng_Latn'])[doc_id % 8 + 1] AS language, doc_id % 8 < 6 AS translate FROM documents""",
     "batch_twin": "SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM events GROUP BY user_id, event_type",
     "stream_progress": "SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM events GROUP BY user_id, event_type",
     "towns": f"""{_with('deeds')} SELECT deed, CASE deed % {len(PLACES)} WHEN 0 THEN 'Hubli' WHEN 1 THEN 'Kolar' WHEN 2 THEN 'Mandya' ELSE CASE WHEN address LIKE '%Mysuru%' THEN 'Mysuru' WHEN deed % {len(PLACES)} = 3 THEN 'Hosur' WHEN deed % {len(PLACES)} = 5 THEN 'Sira' ELSE '' END END AS town FROM deeds""",
