@@ -85,3 +85,23 @@ def pages_to_read(page_count: Column, depth: int = 2) -> Column:
     """The first and last pages, without repeats."""
     ends = F.concat(F.sequence(F.lit(1), F.lit(depth)), F.sequence(page_count - depth + 1, page_count))
     return F.when(page_count <= 0, F.array().cast("array<int>")).when(page_count <= 2 * depth, F.sequence(F.lit(1), F.greatest(page_count, F.lit(1)))).otherwise(ends)
+
+
+def certificate_pages(pages: DataFrame, depth: int = 2) -> DataFrame:
+    """pages: doc_id, page_number, body, page_count. The first and last pages, where certificates stand."""
+    return pages.filter(F.array_contains(pages_to_read(F.col("page_count"), depth), F.col("page_number")))
+
+
+def pages_without_text(pages: DataFrame, least: int = 40) -> DataFrame:
+    """Pages with fewer characters than a page of text has."""
+    return pages.filter(F.length(F.trim(F.coalesce("body", F.lit("")))) < least)
+
+
+def second_chance(docs: DataFrame, pages: DataFrame, depth: int = 2) -> DataFrame:
+    """docs as for ``choose``; a document without a number gets that of its certificate pages, read again in order."""
+    body = F.array_join(F.sort_array(F.collect_list(F.struct("page_number", "body")))["body"], "\n")
+    again = choose(certificate_pages(pages, depth).groupBy("doc_id").agg(body.alias("text")).withColumn("source", F.lit("")))
+    first = choose(docs)
+    both = first.join(again.select("doc_id", F.col("identity").alias("_identity"), F.col("confidence").alias("_confidence")), "doc_id", "left")
+    none = (F.col("identity") == "") & F.col("_identity").isNotNull()
+    return both.select("doc_id", F.when(none, F.col("_identity")).otherwise(F.col("identity")).alias("identity"), F.when(none, F.col("_confidence")).otherwise(F.col("confidence")).alias("confidence"), (none & (F.col("_identity") != "")).alias("from_pages"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import cleanup, grounding, language, values
+from ledgerloom.functions import cleanup, identity, language, values
 from ledgerloom.operators import documents as D
 from ledgerloom.operators import reports
 from ledgerloom.operators import validation as V
@@ -131,7 +131,29 @@ def headerless_pages(spark, sf_dir):
     return cleanup.without_headers(pages).select(F.col("page_number").alias("page"), F.md5("body").alias("digest"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (validation_persons, validation_documents, validation_suspects, flag_rows, extraction_gates, final_states, persisted_rows, flattened_fields, scraped, identifier_recall, tidied, written_names, headerless_pages)}
+def _pages(spark, sf_dir):
+    """Documents as pages of lines, the number on the last page of some."""
+    d = F.col("doc_id")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("page_count"), F.posexplode(lines).alias("k", "line"))
+    number = F.concat(F.lit("document number ABC-1-"), (d + 10000).cast("string"), F.lit("-2025-26"))
+    return docs.select("doc_id", "page_count", (F.col("k") + 1).alias("page_number"), F.when((d % 2 == 0) & (F.col("k") + 1 == F.col("page_count")), number).otherwise(F.col("line")).alias("body"))
+
+
+def pages_without_text(spark, sf_dir):
+    return identity.pages_without_text(_pages(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("page_number").alias("first"))
+
+
+def certificate_pages(spark, sf_dir):
+    return identity.certificate_pages(_pages(spark, sf_dir)).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("page_number")).cast("array<string>"), ",").alias("pages"))
+
+
+def second_chances(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("none here").alias("text"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("XYZ-1-"), (F.col("doc_id") + 10000).cast("string"), F.lit("-2024-25.pdf"))).otherwise("").alias("source"))
+    return identity.second_chance(docs, _pages(spark, sf_dir)).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (validation_persons, validation_documents, validation_suspects, flag_rows, extraction_gates, final_states, persisted_rows, flattened_fields, scraped, identifier_recall, tidied, written_names, headerless_pages, pages_without_text, certificate_pages, second_chances)}
 
 _Q = "'"
 
@@ -167,6 +189,9 @@ k AS (SELECT *, CASE WHEN sale_there THEN 1.0E0 ELSE 0.25E0 END + CASE WHEN fee_
 v AS (SELECT *, CASE WHEN NOT parsed OR coverage < 0.6E0 AND len(extra) >= 2 THEN 'retry' WHEN bad OR list_has_any(flags, ['TRC', 'WSC', 'WSV']) THEN 'review' ELSE 'accept' END AS disposition FROM k)
 """
 
+_PAGES = """WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), p AS (SELECT doc_id, len(l) AS n, k, CASE WHEN doc_id % 2 = 0 AND k = len(l) THEN concat('document number ABC-1-', CAST(doc_id + 10000 AS VARCHAR), '-2025-26') ELSE l[k] END AS body
+    FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM s) AS u) """
+
 SQL: dict[str, str] = {
     "validation_persons": _WITH + "SELECT deed, relation, CAST(ordinal AS INTEGER) AS ordinal, array_to_string(flags, ' ') AS remarks, round_even(points / checks, 3) AS confidence, CASE WHEN pan_there THEN pan END AS pan, CASE WHEN NOT pan_there THEN pan END AS discarded_pan FROM g",
     "validation_documents": _WITH + """SELECT deed, parsed, concat(array_to_string(flags, ' '), CASE WHEN len(extra) > 0 THEN concat(' XPAN:', array_to_string(extra, ',')) ELSE '' END) AS remarks, coverage AS pan_coverage,
@@ -186,6 +211,10 @@ SQL: dict[str, str] = {
         SELECT i.deed, len(ids) AS in_text, len(list_filter(ids, lambda x: list_contains(coalesce(pans, []), x) OR list_contains(coalesce(aadhaars, []), x))) AS extracted FROM i JOIN j ON i.deed = j.deed""",
     "tidied": f"SELECT doc_id, CASE doc_id % {len(FRAGMENTS)} {' '.join(f'WHEN {k} THEN {_Q}{b}{_Q}' for k, (_, b) in enumerate(FRAGMENTS))} END AS shown FROM documents",
     "written_names": f"SELECT doc_id, CASE doc_id % {len(WRITTEN)} {' '.join(f'WHEN {k} THEN {_Q}{b}{_Q}' for k, (_, b) in enumerate(WRITTEN))} END AS shown FROM documents",
+    "pages_without_text": _PAGES + "SELECT doc_id, count(*) AS n, CAST(min(k) AS INTEGER) AS first FROM p WHERE length(trim(body)) < 40 GROUP BY doc_id",
+    "certificate_pages": _PAGES + "SELECT doc_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS pages FROM p WHERE k <= 2 OR k > n - 2 GROUP BY doc_id",
+    "second_chances": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('XYZ-1-', CAST(doc_id + 10000 AS VARCHAR), '-2024-25') WHEN doc_id % 2 = 0 THEN concat('ABC-1-', CAST(doc_id + 10000 AS VARCHAR), '-2025-26') ELSE '' END AS identity,
+        CASE WHEN doc_id % 4 = 0 THEN 0.6E0 WHEN doc_id % 2 = 0 THEN 0.95E0 ELSE 0.0E0 END AS confidence, doc_id % 4 = 2 AS from_pages FROM documents""",
     "headerless_pages": "SELECT doc_id AS page, md5(replace(text, chr(10), ' ')) AS digest FROM documents WHERE text IS NOT NULL",
 }
 

@@ -321,3 +321,16 @@ def test_new_documents_go_through_their_stages_as_a_stream(spark, tmp_path):
 def test_hours_are_counted_with_a_watermark(spark):
     rows = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1, h, 5), "a") for h in (0, 0, 1)], "id long, ts timestamp, event_type string")
     assert sorted(r["n"] for r in progress.hourly(rows).collect()) == [1, 2]
+
+
+def test_translators_get_texts_by_language(spark):
+    rows = spark.createDataFrame([(k, f"t{k}", "kan_Knda" if k % 3 else "hin_Deva") for k in range(50)], "id long, text string, language string").repartition(3)
+    got = {r["id"]: r["text"] for r in language.translated(rows, lambda name, texts: [f"{name}:{len(texts) <= 4}:{t}" for t in texts], chunk=4).collect()}
+    assert got == {k: f"{'kan_Knda' if k % 3 else 'hin_Deva'}:True:t{k}" for k in range(50)}
+
+
+def test_attempts_are_replaced_by_later_answers(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "document_id long, attempt int, id long, created_at timestamp, raw string")
+    at = datetime.datetime(2024, 1, 1)
+    got = D.upsert_attempts(rows((1, 1, 1, at, "a"), (1, 2, 2, at, "b")), rows((1, 2, 3, at, "c"), (1, 2, 4, at, "d"), (2, 1, 5, at, "e")))
+    assert sorted((r["document_id"], r["attempt"], r["raw"]) for r in got.collect()) == [(1, 1, "a"), (1, 2, "d"), (2, 1, "e")]
