@@ -203,6 +203,23 @@ def batch_actions(v):
     return B.actions(v.batches, _progress(v))
 
 
+@query
+def batch_detail(v):
+    """The first documents of a batch's page as rows of the report, by what they are and sell for."""
+    page, _ = B.page(v.deeds, 1, 10, [F.col("deed")])
+    shown = page.select("deed", F.col("deed").alias("serial"), "deed_date", F.lit("").alias("identity"), "paise", "property_text", "address", F.lit("Karnataka").alias("state"), F.lit(None).cast("bigint").alias("stamp"))
+    people = v.parties.join(F.broadcast(page.select("deed")), "deed", "left_semi")
+    return export.rows(shown, people).select("deed", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), F.col("Transaction Relation (PC)").alias("relation"), F.col("Property Type").alias("kind"), F.col("Person Name (PC)").alias("name"))
+
+
+@query
+def document_texts(v):
+    """Each document's text put together again from its pages."""
+    from ledgerloom.functions import cleanup
+
+    return cleanup.full_text(cleanup.pages(v.documents.select("doc_id", cleanup.clean(F.col("text")).alias("text")))).select("doc_id", F.length("text").alias("n_chars"))
+
+
 @query
 def run_guards(v):
     return B.guard(v.batches, "run").join(B.guard(v.batches, "stop").withColumnRenamed("message", "stop_message"), "id")
@@ -756,6 +773,9 @@ SQL: dict[str, str] = {
     "corrupted_report": f"""SELECT document_id AS document, coalesce(b.name, '') AS batch, concat('/in/', document_id, '.pdf') AS source_filename, validation_status AS pdf_status, '' AS reason, CAST(ocr_attempts AS VARCHAR) AS pages, '1, 3' AS corrupted_pages, validation_status AS error_code, 'no' AS retryable, '1' AS validator, strftime(d.created_at, '%Y-%m-%d %H:%M') AS checked_at
         FROM docs AS d LEFT JOIN batches AS b ON d.batch_id = b.id WHERE validation_status IN {_CORRUPT}""",
     "scheduler_choice": "SELECT id, state, true AS started FROM batches WHERE state = 'queued' ORDER BY queue_position, id LIMIT 1",
+    "batch_detail": f"""SELECT d.deed, coalesce(p.ordinal, 0) AS ordinal, coalesce(p.relation, '') AS relation, kind, coalesce(trim(string_split(name, '@')[1]), '') AS name
+        FROM (SELECT deed, coalesce({textual.KIND_SQL('address')}, {textual.KIND_SQL('property_text')}, 'X') AS kind FROM deeds ORDER BY deed LIMIT 10) AS d LEFT JOIN (SELECT * FROM {_FIRST} AS c WHERE copy = 1 AND name <> '-') AS p ON d.deed = p.deed""",
+    "document_texts": """SELECT doc_id, CAST(length(concat('===== PAGE 1 =====', chr(10), regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t]+(\\n|$)', '\\1', 'g'), '(?i)</?[a-z][^<>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g'))) AS INTEGER) AS n_chars FROM documents""",
     "run_guards": """SELECT id, CASE WHEN state IN ('draft', 'stopped') THEN '' ELSE concat('A batch that is ', state, ' can''t be started.') END AS message, CASE WHEN state IN ('queued', 'running') THEN '' ELSE concat('A batch that is ', state, ' can''t be stopped.') END AS stop_message FROM batches""",
     "failure_history": """SELECT document_pk, md5(string_agg(concat(strftime(created_at, '%Y-%m-%d %H:%M'), '  ', stage, ' #', CAST(attempt AS VARCHAR), ': ', CASE WHEN trim(technical) = '' THEN 'no detail' ELSE technical END), chr(10) ORDER BY created_at, id)) AS digest, count(*) AS n
         FROM (SELECT *, row_number() OVER (PARTITION BY document_pk, stage ORDER BY created_at, id) AS attempt FROM failures) AS f GROUP BY document_pk""",

@@ -226,6 +226,7 @@ _PLAIN = {
     "N": r"\bconvert(ed|ion)\b", "A": r"agricultur|\bkharab\b|\bacres?\b|\bguntas?\b", "Z": r"temple|\bchurch\b|\bschool\b",
 }
 _KIND = lambda c: _first_hit(c, [(p, k) for k, p in _PLAIN.items()])
+KIND_SQL = _KIND
 _TOWN, _VILLAGE = r"municipal|corporation|\bBBMP\b", r"grama\s*panchayat|gram\s*panchayat|village\s+panchayat"
 _NUMBER = lambda n, y: f"concat('ABC-1-', CAST(doc_id + {n} AS VARCHAR), '-{y}-{(y + 1) % 100}')"
 IDENTITY_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN {_NUMBER(10000, 2025)} WHEN doc_id % 4 = 0 THEN {_NUMBER(20000, 2019)} WHEN doc_id % 6 = 0 THEN {_NUMBER(30000, 2024)} ELSE '' END AS identity,
