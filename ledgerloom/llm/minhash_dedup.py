@@ -54,7 +54,7 @@ DARTS = K * (math.log(K) + 2)
 SIGNED = "doc_id long, h long, key long, n long, bands array<long>"
 REMEMBERED = 500_000
 #: Buckets with more texts than this, and than the MOST-th part of all, are broadcast to their texts: at most MOST.
-HOT, MOST = 256, 8192
+HOT, MOST = 64, 8192
 #: Comparisons with one text that a task may get.
 SALT = 512
 #: Texts of a tile, and cells of the matrix that a unit fills at a time.
