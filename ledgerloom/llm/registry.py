@@ -19,6 +19,9 @@ MODULES = {
     "op8_line_cleaning": "line_cleaning",
     "op9_chat": "chat",
     "op10_suffix_dedup": "suffix_dedup",
+    "op11_decontamination": "decontamination",
+    "op12_whitening": "whitening",
+    "op13_alignment": "alignment",
 }
 
 
