@@ -49,10 +49,15 @@ def plain(docs):
                 at += len(x)
             ranges.append(own)
         cuts = sorted({e for _, e in ranges[0]} & {e for _, e in ranges[1]})
-        groups, start = [], 0
+        groups, at = [], [0, 0]
         for cut in cuts:
-            groups.append("|".join(",".join(str(i) for i, (s, e) in zip(ids[k], ranges[k], strict=True) if start <= s and e <= cut) for k in (0, 1)))
-            start = cut
+            sides = []
+            for k in (0, 1):
+                start = at[k]
+                while at[k] < len(ids[k]) and ranges[k][at[k]][1] <= cut:
+                    at[k] += 1
+                sides.append(",".join(map(str, ids[k][start : at[k]])))
+            groups.append("|".join(sides))
         links, j = [], 0
         for i, (s, e) in zip(ids[0], ranges[0], strict=True):
             while ranges[1][j][1] <= s:
