@@ -192,8 +192,8 @@ def test_mix_meets_targets(spark, docs, empty):
         assert taken <= 2 * size
         by[source_size, target][0] += taken
     assert abs(sum(t for _, t in by) - 1.5 * total) < 1e-6
-    assert abs(sum(taken for taken, *_ in by.values()) - 1.5 * total) <= mixing.BLOCK * len(by)
-    assert all(abs(taken - target) <= mixing.BLOCK and target <= 2 * size for (size, target), (taken, *_) in by.items())
+    assert abs(sum(taken for taken, *_ in by.values()) - 1.5 * total) <= 0.5
+    assert all(abs(taken - target) <= 1 and target <= 2 * size for (size, target), (taken, *_) in by.items())
     assert mixing.mix(empty, spark).count() == 0
     again = mixing.mixed(docs, spark)
     assert again.columns == docs.columns
@@ -201,11 +201,25 @@ def test_mix_meets_targets(spark, docs, empty):
     assert words == sum(r[4] for r in rows)
 
 
+def test_small_and_many_sources_meet_their_targets(spark):
+    rng = random.Random(9)
+    few = [(k, "word " * n, f"t{k}") for k, n in enumerate((33, 10, 50, 5, 1, 0, 2000))]
+    many = [(k, "w " * rng.randint(0, 110), f"s{k // 2:04d}") for k in range(2000)]
+    for rows in (few, many):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+        by = defaultdict(lambda: [0, 0, 0.0])
+        for r in mixing.mix(docs, spark).join(docs.select("doc_id", "source"), "doc_id").collect():
+            assert 0 <= r["taken"] <= 2 * r["size"]
+            by[r["source"]] = [by[r["source"]][0] + r["taken"], r["source_size"], r["target"]]
+        assert all(abs(taken - target) <= max(1, 0.01 * target) for taken, _, target in by.values())
+        assert abs(sum(taken for taken, *_ in by.values()) - 1.5 * sum(size for _, size, _ in by.values())) <= 0.5
+
+
 def test_apportionment_goes_by_highest_quotients(spark):
     rng = random.Random(5)
-    sizes = [(k, f"s{rng.randint(0, 6)}", rng.randint(0, 90_000)) for k in range(60)]
+    sizes = [(k, f"s{rng.randint(0, 6)}", rng.randint(0, 9_000)) for k in range(60)]
     got = mixing.source_figures(spark.createDataFrame(sizes, "doc_id long, source string, size long"), spark).collect()
-    block = got[0]["block"]
+    block = 1  # quotas are counted in words
     heap = [(-r["target"], r["source"], 0, r["target"]) for r in got]
     heapq.heapify(heap)
     quota = Counter()
