@@ -40,7 +40,7 @@ def match_form(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def first_json(texts: pd.Series) -> pd.Series:
+def _first_json_anywhere(texts: pd.Series) -> pd.Series:
     """The first complete JSON object within a model's answer, as text; null without one.
 
     Decoding is tried at each opening brace; one inside a failed object is tried in turn.
@@ -60,6 +60,16 @@ def first_json(texts: pd.Series) -> pd.Series:
     return texts.map(find)
 
 
+def first_json(text: Column) -> Column:
+    """The first complete JSON object within a model's answer, as text; null without one.
+
+    Spark's parser reads the object that begins at the first brace and stops at its end; only
+    answers that have none there go to Python.
+    """
+    found = F.try_parse_json(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*", 0), F.lit("")))
+    return F.coalesce(F.to_json(found), _first_json_anywhere(F.when(found.isNull(), text)))
+
+
 def shape_problems(answer: Column) -> Column:
     """Which required parts of a parsed answer (a variant) are missing or of the wrong kind."""
     kind = lambda k: F.schema_of_variant(F.try_variant_get(answer, f"$.{k}", "variant"))

@@ -141,11 +141,11 @@ def consideration(value: Column) -> Column:
 
 def share(paise: Column, parties: Column, place: Column) -> Column:
     """Paise for the party at ``place`` (from 1): what is left over goes to the first ones."""
-    return ((paise - paise % parties) / parties).cast("bigint") + F.when(place <= paise % parties, 1).otherwise(0)
+    return F.call_function("div", paise, parties) + F.when(place <= paise % parties, 1).otherwise(0)
 
 
 def share_text(paise: Column, whole: Column) -> Column:
-    rupees, rest = F.floor(paise / 100).cast("bigint").cast("string"), F.lpad((paise % 100).cast("string"), 2, "0")
+    rupees, rest = F.call_function("div", paise, F.lit(100)).cast("string"), F.lpad((paise % 100).cast("string"), 2, "0")
     return F.when(whole, rupees).otherwise(F.concat(rupees, F.lit("."), rest))
 
 

@@ -108,8 +108,8 @@ def parsed(docs: DataFrame) -> DataFrame:
     return found.withColumns({"x": F.from_json("object", ANSWER), "problems": grounding.shape_problems(F.try_parse_json("object"))})
 
 
-def validate(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """docs: doc_id, answer, text, truncated, ocr_ok. A report for each."""
+def validate(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """docs: doc_id, answer, text, truncated, ocr_ok. A report for each, beside the columns to keep (``x`` is the parsed answer)."""
     clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
     known = parsed(docs.withColumn("text", clean)).withColumn("norm", grounding.match_form(F.col("text")))
     empty = F.array().cast(f"array<{PERSON}>")
@@ -161,13 +161,18 @@ def validate(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B00
     raised = F.concat("document_flags", F.flatten(F.transform("people", lambda p: p["flags"])))
     doubted = F.arrays_overlap(raised, F.array(*[F.lit(f) for f in UNGROUNDED]))
     verdict = F.when(~parsed_ok | ((F.col("pan_coverage") < rules.coverage) & (F.size("extra_pans") >= rules.unmatched)), "retry").when(doubted | ~schema_ok, "review").otherwise("accept")
-    return t.select("doc_id", parsed_ok.alias("parsed"), schema_ok.alias("schema_ok"), "document_flags", "document_checks", F.transform("people", person).alias("persons"), "pan_coverage", "stamp_value", "extra_pans", F.col("fees").alias("fee_candidates"), sure.alias("confidence"), verdict.alias("disposition"))
+    return t.select("doc_id", parsed_ok.alias("parsed"), schema_ok.alias("schema_ok"), "document_flags", "document_checks", F.transform("people", person).alias("persons"), "pan_coverage", "stamp_value", "extra_pans", F.col("fees").alias("fee_candidates"), sure.alias("confidence"), verdict.alias("disposition"), *keep)
 
 
-def remarks(report: DataFrame) -> DataFrame:
-    """doc_id and the document's remark codes in order, with the identifiers of no party."""
+def remark_codes() -> Column:
+    """Of a report's row: the document's codes in order without repeats, with the identifiers of no party."""
     extra = F.when(F.size("extra_pans") > 0, F.array(F.concat(F.lit(f"{FLAGS['EXTRA_OCR_PANS']}:"), F.array_join("extra_pans", ",")))).otherwise(F.array().cast("array<string>"))
-    return report.select("doc_id", F.array_join(F.concat(F.array_distinct("document_flags"), extra), " ").alias("remarks"))
+    return F.array_join(F.concat(F.array_distinct("document_flags"), extra), " ")
+
+
+def remarks(report: DataFrame) -> DataFrame:
+    """doc_id and the document's remark codes."""
+    return report.select("doc_id", remark_codes().alias("remarks"))
 
 
 def person_remarks(report: DataFrame) -> DataFrame:
@@ -200,14 +205,19 @@ def flag_rows(report: DataFrame) -> DataFrame:
     return of_document.unionByName(of_person).withColumn("flag", F.left("flag", F.lit(12)))
 
 
+def outcome(disposition: Column) -> tuple[Column, Column]:
+    """ok and needs_review of a verdict: a review is no failure."""
+    return (disposition != "retry").alias("ok"), disposition.eqNullSafe(F.lit("review")).alias("needs_review")
+
+
 def stage_outcome(report: DataFrame) -> DataFrame:
-    """Whether the stage failed (a review is no failure), and the document's state to be."""
-    return report.select("doc_id", (F.col("disposition") != "retry").alias("ok"), F.col("disposition").eqNullSafe(F.lit("review")).alias("needs_review"))
+    """Whether the stage failed, and the document's state to be."""
+    return report.select("doc_id", *outcome(F.col("disposition")))
 
 
-def persisted(report: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
-    """What a report writes, in the order of writing: property, document, persons, flags."""
-    x = parsed(docs).select("doc_id", "x").join(report.select("doc_id", "stamp_value"), "doc_id")
+def persisted(report: DataFrame) -> dict[str, DataFrame]:
+    """What a report that keeps ``x`` writes, in the order of writing: property, document, persons, flags."""
+    x = report.select("doc_id", "x", "stamp_value")
     prop, people = F.col("x.property_details"), []
     for side, key in SIDES:
         people.append(x.select("doc_id", F.lit(side).alias("relation"), F.posexplode(F.col("x")[key]).alias("k", "p")).select("doc_id", "relation", (F.col("k") + 1).alias("ordinal"), "p.*"))

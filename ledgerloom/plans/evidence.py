@@ -12,7 +12,7 @@ from ledgerloom.operators import documents as D
 from ledgerloom.operators import reports
 from ledgerloom.operators import validation as V
 from ledgerloom.plans.adapters import VIEWS
-from ledgerloom.session import table
+from ledgerloom.session import Scratch, table
 from ledgerloom.sources import scrape
 
 SEPARATORS = r"[\s\-.,:;/\\|_()\[\]{}]+"
@@ -53,11 +53,11 @@ def validation_persons(spark, sf_dir):
 
 def validation_documents(spark, sf_dir):
     r = _report(spark, sf_dir)
-    return r.join(V.remarks(r), "doc_id").select(F.col("doc_id").alias("deed"), "parsed", "remarks", "pan_coverage", "stamp_value", F.array_join(F.col("fee_candidates").cast("array<string>"), ",").alias("fees"), "confidence", "disposition")
+    return r.select(F.col("doc_id").alias("deed"), "parsed", V.remark_codes().alias("remarks"), "pan_coverage", "stamp_value", F.array_join(F.col("fee_candidates").cast("array<string>"), ",").alias("fees"), "confidence", "disposition")
 
 
 def validation_suspects(spark, sf_dir):
-    return V.suspect_fields(_report(spark, sf_dir)).select(F.col("doc_id").alias("deed"), F.size("fields").cast("bigint").alias("n"))
+    return V.suspect_fields(_report(spark, sf_dir)).select(F.col("doc_id").alias("deed"), F.array_join(F.array_sort("fields"), " ").alias("fields"))
 
 
 def flag_rows(spark, sf_dir):
@@ -65,20 +65,29 @@ def flag_rows(spark, sf_dir):
 
 
 def extraction_gates(spark, sf_dir):
-    docs = extractions(spark, sf_dir).select("doc_id", "truncated")
-    r = _report(spark, sf_dir).join(docs, "doc_id")
+    r = V.validate(extractions(spark, sf_dir), keep=("truncated",))
     return r.select(F.col("doc_id").alias("deed"), D.extraction_gate(F.col("parsed"), F.col("truncated"), F.col("pan_coverage"), F.size("extra_pans")).alias("gate"))
 
 
 def final_states(spark, sf_dir):
     identity = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("ABC-1-"), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0")))
-    return V.stage_outcome(_report(spark, sf_dir)).join(_report(spark, sf_dir).select("doc_id", "disposition"), "doc_id").select(F.col("doc_id").alias("deed"), "ok", "needs_review", D.final_state(F.col("disposition"), identity).alias("state"))
+    return _report(spark, sf_dir).select(F.col("doc_id").alias("deed"), *V.outcome(F.col("disposition")), D.final_state(F.col("disposition"), identity).alias("state"))
 
 
 def persisted_rows(spark, sf_dir):
-    docs = extractions(spark, sf_dir)
-    parts = V.persisted(V.validate(docs), docs)
-    return reports.table_counts(parts)
+    """Every row that a report writes, as its table's name, its document and its values."""
+    kept = Scratch(spark, "persisted").keep("report", V.validate(extractions(spark, sf_dir), keep=("x",)))
+    parts = V.persisted(kept)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    shown = {
+        "properties": ("consideration", "fee", "stamp_value", "paid_in_cash"), "documents": ("transaction_date",),
+        "persons": ("relation", "ordinal", "name", "pan_card_number", "aadhaar_number"), "flags": ("relation", "ordinal", "flag"),
+    }
+    rows = [parts[t].select(F.lit(t).alias("kind"), F.col("doc_id").alias("deed"), F.concat_ws("|", *map(text, columns)).alias("row")) for t, columns in shown.items()]
+    found = rows[0]
+    for r in rows[1:]:
+        found = found.unionByName(r)
+    return found
 
 
 def flattened_fields(spark, sf_dir):
@@ -196,11 +205,17 @@ SQL: dict[str, str] = {
     "validation_persons": _WITH + "SELECT deed, relation, CAST(ordinal AS INTEGER) AS ordinal, array_to_string(flags, ' ') AS remarks, round_even(points / checks, 3) AS confidence, CASE WHEN pan_there THEN pan END AS pan, CASE WHEN NOT pan_there THEN pan END AS discarded_pan FROM g",
     "validation_documents": _WITH + """SELECT deed, parsed, concat(array_to_string(flags, ' '), CASE WHEN len(extra) > 0 THEN concat(' XPAN:', array_to_string(extra, ',')) ELSE '' END) AS remarks, coverage AS pan_coverage,
         CASE WHEN parsed AND deed % 9 <> 0 THEN CAST(floor(CAST(fee AS BIGINT) * 0.5E0 + 0.5E0) AS BIGINT) END AS stamp_value, fees, CASE WHEN parsed THEN round_even((points + more) / (checks + more_checks), 3) ELSE 0.0E0 END AS confidence, disposition FROM v""",
-    "validation_suspects": _WITH + "SELECT deed, CASE WHEN parsed THEN CAST(doubts + more_doubts AS BIGINT) ELSE 0 END AS n FROM v",
+    "validation_suspects": _WITH + """, o AS (SELECT deed, flatten(list(list_filter([CASE WHEN pan IS NOT NULL AND NOT pan_there THEN concat(relation, ordinal, '.pan') END, CASE WHEN aadhaar IS NOT NULL AND NOT aadhaar_there THEN concat(relation, ordinal, '.aadhaar') END,
+            CASE WHEN NOT name_there THEN concat(relation, ordinal, '.name') END, CASE WHEN far THEN concat(relation, ordinal, '.pan_aadhaar_proximity') END], lambda x: x IS NOT NULL))) AS own FROM g GROUP BY deed)
+        SELECT v.deed, CASE WHEN parsed THEN array_to_string(list_sort(list_concat(coalesce(own, []), list_filter([CASE WHEN NOT sale_there THEN 'sale_consideration' END, CASE WHEN NOT fee_there THEN 'registration_fee' END,
+            CASE WHEN v.deed % 9 = 0 THEN 'transaction_date' END, CASE WHEN v.deed % 4 = 0 THEN 'paid_in_cash' END], lambda x: x IS NOT NULL))), ' ') ELSE '' END AS fields FROM v LEFT JOIN o ON v.deed = o.deed""",
     "flag_rows": _WITH + "SELECT deed, relation, CAST(ordinal AS INTEGER) AS ordinal, unnest(flags) AS flag FROM g UNION ALL SELECT deed, NULL, NULL, unnest(flags) FROM v",
     "extraction_gates": _WITH + "SELECT deed, CASE WHEN NOT parsed THEN 'no_json' WHEN deed % 29 = 0 THEN 'truncated' WHEN coverage < 0.6E0 AND len(extra) >= 2 THEN 'low_coverage' ELSE 'accepted' END AS gate FROM v",
     "final_states": _WITH + "SELECT deed, disposition <> 'retry' AS ok, disposition = 'review' AS needs_review, CASE WHEN disposition = 'accept' AND deed % 3 <> 0 THEN 'processed' ELSE 'needs_review' END AS state FROM v",
-    "persisted_rows": _WITH + "SELECT 'properties' AS name, count(*) AS n FROM n UNION ALL SELECT 'documents', count(*) FROM n UNION ALL SELECT 'persons', count(*) FROM g UNION ALL SELECT 'flags', (SELECT sum(len(flags)) FROM g) + (SELECT sum(len(flags)) FROM v)",
+    "persisted_rows": _WITH + """SELECT 'properties' AS kind, deed, CASE WHEN parsed THEN concat_ws('|', sale, fee, CASE WHEN deed % 9 <> 0 THEN CAST(CAST(floor(CAST(fee AS BIGINT) * 0.5E0 + 0.5E0) AS BIGINT) AS VARCHAR) ELSE '-' END, CASE WHEN deed % 4 <> 0 THEN 'true' ELSE '-' END) ELSE '-|-|-|-' END AS row FROM n
+        UNION ALL SELECT 'documents', deed, CASE WHEN parsed AND deed % 9 <> 0 THEN strftime(deed_date, '%Y-%m-%d') ELSE '-' END FROM n
+        UNION ALL SELECT 'persons', deed, concat_ws('|', relation, CAST(ordinal AS VARCHAR), name, coalesce(pan, '-'), coalesce(aadhaar, '-')) FROM g
+        UNION ALL SELECT 'flags', deed, concat_ws('|', relation, CAST(ordinal AS VARCHAR), unnest(flags)) FROM g UNION ALL SELECT 'flags', deed, concat_ws('|', '-', '-', unnest(flags)) FROM v""",
     "flattened_fields": _WITH + "SELECT n.deed, p.pan AS first_buyer, CASE WHEN parsed THEN sale END AS sale, NULL AS none FROM n LEFT JOIN parties AS p ON n.deed = p.deed AND relation = 'B' AND ordinal = 1 AND parsed",
     "scraped": _WITH + """, s AS (SELECT deed, deed_date, sale, fee, r, text, p, q, greatest(CASE WHEN len(p) > 0 THEN 1 ELSE 0 END, len(p) // 2) AS half FROM (SELECT n.*, r, list_filter(regexp_extract_all(text, '\\b[A-Z]{5}[0-9]{4}[A-Z]\\b'), lambda x, i: list_position(regexp_extract_all(text, '\\b[A-Z]{5}[0-9]{4}[A-Z]\\b'), x) = i) AS p,
         list_filter(regexp_extract_all(text, '\\b\\d{4} \\d{4} \\d{4}\\b'), lambda x, i: list_position(regexp_extract_all(text, '\\b\\d{4} \\d{4} \\d{4}\\b'), x) = i) AS q FROM n JOIN b ON n.deed = b.deed) AS z),

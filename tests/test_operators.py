@@ -179,6 +179,29 @@ def test_retention_needs_an_archive(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/archive/batches").first()["id"] == 1
 
 
+def test_all_that_is_purged_can_be_read_back(spark, tmp_path):
+    at = datetime.datetime
+    tables = {
+        "batches": spark.createDataFrame([(1, at(2019, 1, 1)), (2, at(2021, 1, 1))], "id long, created_at timestamp"),
+        "documents": spark.createDataFrame([(10, 1), (11, 1), (20, 2)], "id long, batch_id long"),
+        "pages": spark.createDataFrame([(100, 10, at(2021, 6, 1), "page"), (200, 20, at(2021, 6, 1), "other")], "id long, document_id long, created_at timestamp, body string"),
+        "persons": spark.createDataFrame([(10, "asha"), (11, None), (20, "ravi")], "document_id long, name string"),
+        "failures": spark.createDataFrame([(11, "no text"), (20, "x")], "document_id long, reason string"),
+        "logs": spark.createDataFrame([], "id long, created_at timestamp"),
+    }
+    kept, _ = retention.run(spark, tables, F.to_timestamp(F.lit("2021-06-02")), 30, 30, 2020, f"file://{tmp_path}/archive")
+    for name in ("batches", "documents", "pages", "persons", "failures"):
+        back = spark.read.parquet(f"file://{tmp_path}/archive/{name}")
+        both = sorted(map(tuple, back.unionByName(kept[name]).collect()), key=str)
+        assert both == sorted(map(tuple, tables[name].collect()), key=str) and back.count() and kept[name].count()
+    assert spark.read.parquet(f"file://{tmp_path}/archive/pages").first()["body"] == "page"
+
+
+def test_shares_beyond_the_whole_numbers_of_a_double(spark):
+    row = spark.range(1).select(values.share(F.lit(9007199254740993), F.lit(1), F.lit(1)).alias("s"), values.share(F.lit(9007199254740995), F.lit(2), F.lit(1)).alias("h"), values.share_text(F.lit(900719925474099301), F.lit(False)).alias("t")).first()
+    assert (row["s"], row["h"], row["t"]) == (9007199254740993, 4503599627370498, "9007199254740993.01")
+
+
 REPORT = [("1", "=cmd", 'say "x"', "a,b"), ("2", "", None, "line\nbreak")]
 
 
