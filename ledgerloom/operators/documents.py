@@ -183,10 +183,10 @@ def ocr_outcome(state: Column, attempts: Column, retryable: Column, status: Colu
     return F.when(state != "failed", "OCR_P").when(again, "retry").otherwise("OCR_F")
 
 
-def text_gate(text: Column, pages: Column) -> Column:
+def text_gate(text: Column, pages: Column, least: int = LEAST_CHARS) -> Column:
     """Why text can't be a document's: none, or fewer than so many characters a page; null if it can."""
     size = F.length(F.trim(F.coalesce(text, F.lit(""))))
-    return F.when(size == 0, "OCR produced no text").when(size / F.greatest(pages, F.lit(1)) < LEAST_CHARS, F.format_string("only %d characters across %d pages: no usable text layer", size, pages))
+    return F.when(size == 0, "OCR produced no text").when(size / F.greatest(pages, F.lit(1)) < least, F.format_string("only %d characters across %d pages: no usable text layer", size, pages))
 
 
 def extraction_gate(parsed: Column, truncated: Column, coverage: Column, unmatched: Column, least: float = 0.6, most: int = 2) -> Column:

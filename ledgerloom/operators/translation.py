@@ -85,7 +85,7 @@ def repair(docs: DataFrame, persons: DataFrame, known: VersionedTable, runner: R
     Chooses the documents, translates their persons' fields, and writes what came back beside
     the originals; a field without an answer keeps what it had. ``written`` says which rows changed.
     """
-    chosen = needing_translation(docs, persons, batch).select(F.col("id").alias("document_id")).orderBy()
+    chosen = needing_translation(docs, persons, batch).select(F.col("id").alias("document_id"))
     own = ["document_id", "relation", "ordinal"]
     each = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), F.col(f"{f}_translated").alias("had")) for f in fields]))
     lacking = persons.join(chosen, "document_id", "left_semi").select(*own, each).filter(F.coalesce("had", F.lit("")) == "")

@@ -66,9 +66,9 @@ def rows(deeds: DataFrame, parties: DataFrame) -> DataFrame:
     return joined.select("deed", "ordinal", *[given.get(name, none).alias(name) for name in COLUMNS])
 
 
-def in_order(report: DataFrame) -> DataFrame:
+def order() -> list[Column]:
     """By deed, sellers before buyers, as they were listed."""
-    return report.orderBy("deed", F.col("Transaction Relation (PC)") == "B", "ordinal")
+    return [F.col("deed"), F.col("`Transaction Relation (PC)`") == "B", F.col("ordinal")]
 
 
 def violations(report: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import nested
+from ledgerloom.operators import documents
+
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
     """PDF files by name and header, once each, with their verdict from the bytes alone; Spark's reader lists no file without bytes."""
@@ -56,3 +59,19 @@ def same_header(spark: SparkSession, path: str, columns: tuple[str, ...]) -> lis
     width = max(len(found), len(columns))
     pairs = zip([*found, *[""] * (width - len(found))], [*columns, *[""] * (width - len(columns))], strict=True)
     return [(k, a, b) for k, (a, b) in enumerate(pairs) if a != b]
+
+
+def recognised(rows: DataFrame, raw: Column, pages: Column, least: int = documents.LEAST_CHARS) -> DataFrame:
+    """rows with text, lines, bad_lines and reason of an engine's answer: malformed, without text, or with too little a page."""
+    told = rows.withColumns({"_answer": nested.recognised(raw), "_pages": pages})
+    reason = F.coalesce("_answer.reason", documents.text_gate(F.col("_answer.text"), F.col("_pages"), least))
+    return told.select(*rows.columns, "_answer.text", "_answer.lines", "_answer.bad_lines", reason.alias("reason"))
+
+
+def recognised_files(spark: SparkSession, path: str, least: int = documents.LEAST_CHARS) -> DataFrame:
+    """Answers of a recognition engine, one JSON file each: document (the file's stem), text, lines, bad_lines and reason.
+
+    A file that holds no usable answer is a row with the reason, not a lost file.
+    """
+    files = spark.read.text(path, wholetext=True).withColumn("document", F.url_decode(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)))
+    return recognised(files, F.col("value"), F.lit(1), least).drop("value")

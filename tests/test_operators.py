@@ -218,6 +218,19 @@ def test_csv_has_a_mark_and_windows_line_ends(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(tuple(x or "" for x in r) for r in REPORT)
 
 
+def test_one_file_of_many_ranges_equals_a_csv_writer(spark, data, tmp_path):
+    source = spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("string").alias("day"), F.when(F.col("o_orderkey") % 3 == 0, F.concat("o_orderstatus", F.lit(' "x", y\r\n'))).alias("note"))
+    n = sinks.write_csv(source.repartition(7), ("o_orderkey", "day", "note"), f"file://{tmp_path}/o.csv", [F.desc("day"), "o_orderkey"])
+    rows = sorted(source.collect(), key=lambda r: (r["day"], -r["o_orderkey"]), reverse=True)
+    with (tmp_path / "want.csv").open("w", encoding="utf-8-sig", newline="") as f:
+        csv.writer(f).writerows([("o_orderkey", "day", "note"), *rows])
+    assert n == len(rows) and (tmp_path / "o.csv").read_bytes() == (tmp_path / "want.csv").read_bytes()
+    assert not list(tmp_path.glob("*parts*"))
+    none = spark.createDataFrame([], "a string")
+    assert sinks.write_csv(none, ("a",), str(tmp_path / "none.csv"), ["a"]) == 0 and (tmp_path / "none.csv").read_bytes() == b"\xef\xbb\xbfa\r\n"
+    assert sinks.write_csv(spark.createDataFrame([(None,)], "a string"), ("a",), str(tmp_path / "one.csv")) == 1 and (tmp_path / "one.csv").read_bytes().endswith(b'a\r\n""\r\n')
+
+
 def test_exports_are_named_and_violations_told(spark, tmp_path):
     rows = [{c: "" for c in export.COLUMNS} | {"Transaction Type": "Q", "Property Type": "A", "Address Type (PC-L)": "1", "Property Address": "ಮನೆ"}]
     df = spark.createDataFrame([(1, 1, *rows[0].values())], "deed long, ordinal long, " + ", ".join(f"`{c}` string" for c in export.COLUMNS))
@@ -235,6 +248,11 @@ def test_text_files_and_notes(spark, tmp_path):
     found = spark.read.text(f"file://{tmp_path}/out", wholetext=True).collect()
     assert len(found) == 2 and any(r["value"].startswith("text one\nmore") for r in found)
     assert {r["folder"]: r["note"] for r in sinks.failure_notes(rows).collect()} == {"in/a": "two  no text"}
+    assert (tmp_path / "out" / "in_a" / "one.txt").read_text() == "text one\nmore" and (tmp_path / "out" / "in_b" / "three.txt").read_text() == "t"
+    again = spark.createDataFrame([("in/a", "one", "new"), ("", "../x", "y"), ("in/b", "three", "a"), ("in/b", "three", "b")], "folder string, name string, text string")
+    sinks.write_texts(again, f"file://{tmp_path}/out")
+    found = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {"in_a/one.txt": "new", "in_b/three.txt": "b", "_/_x.txt": "y"}
 
 
 def test_files_are_told_by_name_and_bytes(spark, tmp_path):
@@ -257,6 +275,11 @@ def test_settings(spark):
 def test_snapshots_are_read_back(spark, tmp_path):
     assert sinks.snapshot(spark, spark.range(10), f"file://{tmp_path}/s") == 10
     assert sinks.sound_archive(spark, f"file://{tmp_path}/s", 10) and not sinks.sound_archive(spark, f"file://{tmp_path}/s", 11) and not sinks.sound_archive(spark, f"file://{tmp_path}/none", 1)
+    assert sinks.archive_faults(spark, f"file://{tmp_path}/s", ["id", "name"], 9) == ["no column name", "10 rows of 9"] and sinks.archive_faults(spark, f"file://{tmp_path}/none", [], 1) == ["the archive is empty"]
+    (tmp_path / "torn").mkdir()
+    (tmp_path / "torn" / "part-0.parquet").write_bytes(b"PAR1 torn")
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.archive_faults(spark, f"file://{tmp_path}/torn", [], 1)
 
 
 def values_of(spark, *columns):

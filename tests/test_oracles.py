@@ -7,9 +7,9 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans import evidence, relational, textual
+from ledgerloom.plans import evidence, flows, relational, textual
 
-MODULES = (relational, textual, evidence)
+MODULES = (relational, textual, evidence, flows)
 PAIRS = [(m, name) for m in MODULES for name in m.oracle_sql()]
 
 
