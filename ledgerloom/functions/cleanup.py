@@ -138,9 +138,22 @@ def fit(t: Column, budget: int = 40_000, marker: str = "\n[...]\n") -> Column:
 
 
 def report(before: Column, after: Column) -> Column:
-    """Counts before and after, and per rule."""
+    """What a clean-up changed: sizes before and after, and what each rule had to do."""
+    lines = lambda t: F.when(t == "", 0).otherwise(F.regexp_count(t, F.lit("\n")) + 1)
+    pages = F.regexp_count(after, F.lit(r"(?m)^===== PAGE \d+ =====$"))
+    rewritten = F.when(before.rlike(BANNER), F.regexp_count(before, F.lit(BANNER))).otherwise(F.regexp_count(before, F.lit(LOOSE_PAGE)))
     return F.struct(
-        F.length(before).alias("chars_before"), F.length(after).alias("chars_after"),
-        F.regexp_count(before, F.lit(r"\r\n?")).alias("line_ends"), F.regexp_count(before, F.lit(r"(?i)</?[a-z][^<>]*>")).alias("tags"),
-        F.regexp_count(before, F.lit(r"\n{3,}")).alias("blank_runs"), F.when(F.length(before) > 0, 100 * (F.length(before) - F.length(after)) / F.length(before)).otherwise(0.0).alias("percent"),
+        F.length(before).alias("chars_before"), F.length(after).alias("chars_after"), lines(line_ends(before)).alias("lines_before"), lines(after).alias("lines_after"),
+        F.regexp_count(before, F.lit(r"\r\n?")).alias("line_ends"), F.regexp_count(line_ends(before), F.lit(r"[\p{C}&&[^\n\t\f]]")).alias("control"),
+        F.regexp_count(before, F.lit(r"(?i)</?[a-z][^<>]*>")).alias("tags"), F.regexp_count(before, F.lit(r"(?m)^[=\-]{20,}[ \t]*$")).alias("rules"),
+        F.regexp_count(before, F.lit(r"\n{3,}")).alias("blank_runs"), F.regexp_count(before, F.lit(" {9,}")).alias("padding"),
+        F.regexp_count(before, F.lit(r"(?U)\b[Xx]{4}[\s-]*[Xx]{4}[\s-]*\d{4}\b")).alias("masked"),
+        pages.alias("pages"), F.least(rewritten, pages).alias("markers_rewritten"), F.greatest(pages - rewritten, F.lit(0)).alias("markers_inserted"),
+        F.when(F.length(before) > 0, 100 * (F.length(before) - F.length(after)) / F.length(before)).otherwise(0.0).alias("percent"),
     )
+
+
+def summary(told: Column) -> Column:
+    """A report in a line."""
+    line = F.format_string("%,d -> %,d chars (%+.1f%%), %d pages, %d line ends, %d markers rewritten, %d inserted", told["chars_before"], told["chars_after"], told["percent"], told["pages"], told["line_ends"], told["markers_rewritten"], told["markers_inserted"])
+    return F.concat(line, F.when(told["tags"] > 0, F.format_string(", %d tags removed", told["tags"])).otherwise(""))

@@ -160,16 +160,38 @@ def stamp_value(fee: Column, when: Column, cutoff: str = STAMP_CUTOFF, multiplie
 
 
 def human_bytes(n: Column) -> Column:
-    out = F.format_string("%d B", n)
+    """Bytes in the largest unit that leaves one or more of it, up to TB; null is none."""
+    size = F.coalesce(n, F.lit(0)).cast("double")
+    out = F.format_string("%,.0f B", size)
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), start=1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", n / float(1024**k))).otherwise(out)
+        out = F.when(size >= 1024**k, F.format_string(f"%,.1f {unit}", F.bround(size / float(1024**k), 1))).otherwise(out)  # halves to even
     return out
 
 
 def human_duration(seconds: Column) -> Column:
+    """Hours and minutes, minutes and seconds, or seconds; a dash for none."""
     s = F.floor(seconds).cast("bigint")
     return (
-        F.when(s >= 3600, F.format_string("%dh %02dm", F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint")))
-        .when(s >= 60, F.format_string("%dm %02ds", F.floor(s / 60).cast("bigint"), s % 60))
-        .otherwise(F.format_string("%ds", s))
+        F.when(s >= 3600, F.format_string("%dh %02dm", F.call_function("div", s, F.lit(3600)), F.call_function("div", s % 3600, F.lit(60))))
+        .when(s >= 60, F.format_string("%dm %02ds", F.call_function("div", s, F.lit(60)), s % 60))
+        .when(seconds > 0, F.format_string("%ds", s))
+        .otherwise("-")
     )
+
+
+def whole_percent(done: Column, total: Column) -> Column:
+    """A share in whole percent, halves to even; 0 of nothing."""
+    return F.when(total > 0, F.bround(F.lit(100.0) * done / total, 0).cast("int")).otherwise(0)
+
+
+def local_time(moment: Column, zone: str = "Asia/Kolkata") -> Column:
+    """A moment of UTC as the clock of a zone shows it; a dash for none."""
+    return F.coalesce(F.date_format(F.from_utc_timestamp(moment.cast("timestamp"), zone), "dd-MM-yyyy HH:mm"), F.lit("-"))
+
+
+# The look of a state. A stopped batch can be resumed, so it isn't shown as a fault.
+BADGES = {"completed": "ok", "processed": "ok", "running": "accent", "stopping": "accent", "needs_review": "review", "paused": "review", "stopped": "review", "failed": "danger"}
+
+
+def badge(state: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in BADGES.items() for x in pair]), state), F.lit(""))

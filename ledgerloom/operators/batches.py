@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import values
 from ledgerloom.operators.rewrites import STAGES, next_batch_state
 
 OVERALL = ("processed", "failed", "needs_review")
@@ -122,6 +123,27 @@ def limit_messages(found: DataFrame, queued: int = 0) -> DataFrame:
     return found.withColumn("messages", F.array_compact(F.array(*say)))
 
 
+def upload_page(files: DataFrame, queued: int = 0, shown: int = 200) -> tuple[DataFrame, DataFrame]:
+    """files: path, bytes. The summary of a selection (one row), and its first files with their places, by path."""
+    total = files.select(F.col("bytes").alias("total_bytes")).groupBy().agg(F.count("*").alias("files"), F.coalesce(F.sum("total_bytes"), F.lit(0)).cast("bigint").alias("bytes"))
+    limits = total.withColumns({"too_many": F.col("files") > MOST_FILES, "too_large": F.col("bytes") > MOST_BYTES})
+    told = limit_messages(limits, queued).withColumns({
+        "size": values.human_bytes(F.col("bytes")), "shown": F.least("files", F.lit(shown)), "truncated": F.col("files") > shown,
+        "can_submit": (F.col("files") > 0) & (F.size("messages") == 0), "next_position": F.lit(queued + 1),
+    })
+    first = files.orderBy("path").limit(shown)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    listed = first.select(F.row_number().over(Window.orderBy("path")).alias("place"), name.alias("name"), F.regexp_replace(name, r"\.[^.]+$", "").alias("document_id"), values.human_bytes(F.col("bytes")).alias("size"))
+    return told, listed
+
+
+def processing_page(progressed: DataFrame) -> DataFrame:
+    """Per batch: finished of all documents as a line and in whole percent, and how many are still to come."""
+    done = F.col("processed") + F.col("failed") + F.col("needs_review")
+    share = F.when(F.col("total") > 0, F.lit(100.0) * done / F.col("total")).otherwise(0.0)
+    return progressed.select("batch_id", "total", done.alias("finished"), values.whole_percent(done, F.col("total")).alias("overall_percent"), F.format_string("%d / %d (%.1f%%)", done, "total", share).alias("readout"), F.greatest(F.col("total") - done, F.lit(0)).alias("in_queue"))
+
+
 def in_flight(docs: DataFrame) -> DataFrame:
     return docs.groupBy("batch_id").agg(F.count_if(busy(docs)).alias("in_flight"))
 

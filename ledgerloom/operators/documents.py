@@ -81,7 +81,7 @@ def with_children(parents: DataFrame, children: dict[str, tuple[DataFrame, str,
     out = parents
     for name, (table, reference, columns) in children.items():
         keys = parents.select(F.col("id").alias(reference))
-        lists = table.join(F.broadcast(keys), reference, "left_semi").groupBy(reference).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+        lists = table.join(keys, reference, "left_semi").groupBy(reference).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
         out = out.join(lists.withColumnRenamed(reference, "_ref"), F.col("id") == F.col("_ref"), "left").drop("_ref")
     return out
 
@@ -234,9 +234,11 @@ def history(failures: DataFrame) -> DataFrame:
 def failure_panel(failures: DataFrame, spark, shown: int = 25) -> DataFrame:
     """Per batch its first failures explained, how many are hidden, and whether any may be run again."""
     known = codes.explain(failures, spark)
-    own = Window.partitionBy("batch_id")
-    placed = known.withColumns({"k": F.row_number().over(own.orderBy("created_at", "id")), "n": F.count("*").over(own), "can_rerun": F.max("retryable").over(own)})
-    return placed.filter(F.col("k") <= shown).select("id", "batch_id", "code", "message", F.greatest(F.col("n") - shown, F.lit(0)).alias("hidden"), "can_rerun")
+    # the first of each batch are chosen before rows are dealt; totals are sums
+    first = known.withColumn("k", F.row_number().over(Window.partitionBy("batch_id").orderBy("created_at", "id"))).filter(F.col("k") <= shown)
+    totals = known.groupBy("batch_id").agg(F.count("*").alias("n"), F.max("retryable").alias("can_rerun"))
+    placed = first.join(totals.withColumnRenamed("batch_id", "_b"), F.col("batch_id").eqNullSafe(F.col("_b")))
+    return placed.select("id", "batch_id", "code", "message", F.greatest(F.col("n") - shown, F.lit(0)).alias("hidden"), "can_rerun")
 
 
 def record_verdicts(docs: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def run(spark: SparkSession, tables: dict[str, DataFrame], now: Column, page_day
         gone = before_year(tables["batches"], "created_at", year)
         lost = {"batches": gone}
         for parent, key, child, reference in links:
-            lost[child] = out[child].join(lost[parent].select(F.col(key).alias(reference)), reference, "left_semi")
+            lost[child] = out[child].join(lost[parent].select(F.col(key).alias(reference)), reference, "left_semi").select(*out[child].columns)
         for name, rows in lost.items():
             archived = snapshot(spark, rows, f"{archive}/{name}")
             if name in ("batches", "documents"):

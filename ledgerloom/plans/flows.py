@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import language, nested
-from ledgerloom.operators import claims, layout, translation
+from ledgerloom.functions import classify, cleanup, grounding, language, nested, values, watermark
+from ledgerloom.operators import batches, claims, layout, translation
 from ledgerloom.plans.adapters import VIEWS
 from ledgerloom.session import Scratch, table
 from ledgerloom.sources import files, sinks
@@ -136,9 +136,124 @@ def detected(spark, sf_dir):
     return d.select("doc_id", "d.language", "d.script", F.round("d.confidence", 6).alias("confidence"), F.round(F.try_element_at("d.shares", F.lit("kannada")), 6).alias("kannada"), "d.reason", language.wants(F.col("t"), "kan_Knda").alias("wanted"))
 
 
+#: Letters of both scripts, and the names of the Latin ones in Kannada.
+SOUNDS, DEVANAGARI, KANNADA = "kgmnrlvsiua", "कगमनरलवसिु", "ಕಗಮನರಲವಸಿು"
+LETTERS = {"k": "ಕೆ", "g": "ಜಿ", "m": "ಎಂ", "n": "ಎನ್", "r": "ಆರ್", "l": "ಎಲ್", "v": "ವಿ", "s": "ಎಸ್"}
+
+
+def names_from_text(spark, sf_dir):
+    """Syllables of documents written in two scripts, with an initial in one of them, back in Latin letters."""
+    parts = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[kgmnrlvs][aiu]"), F.lit(0)), 1, 4)
+    d = table(spark, sf_dir, "documents").withColumn("w", F.array_join(parts, "")).filter("length(w) >= 4")
+    initial = F.element_at(F.create_map(*[F.lit(x) for pair in LETTERS.items() for x in pair]), F.left("w", F.lit(1)))
+    return d.select("doc_id", language.transliterate(F.translate("w", SOUNDS, DEVANAGARI)).alias("devanagari"), language.transliterate(F.concat(initial, F.lit("."), F.translate("w", SOUNDS, KANNADA))).alias("kannada"))
+
+
+def tidied_names(spark, sf_dir):
+    """Names of parts as a translator frames them, and as a cell shows them."""
+    p, n = table(spark, sf_dir, "part"), F.length("p_name") % 4
+    framed = F.when(n == 0, F.concat(F.lit("What is "), "p_name", F.lit("?"))).when(n == 1, F.concat(F.lit("It is located at  "), "p_name", F.lit("."))).when(n == 2, F.concat(F.lit(" "), F.regexp_replace("p_name", " ", "   "), F.lit("!"))).otherwise(F.concat(F.lit("THE "), F.regexp_replace("p_name", " .*", "")))
+    return p.select("p_partkey", language.tidy(framed).alias("shown"))
+
+
+def detected_languages(spark, sf_dir):
+    """How many documents' beginnings are in which language, their vowels in Kannada."""
+    return detected(spark, sf_dir).filter("script <> 'neutral'").groupBy("language").agg(F.count("*").alias("n"))
+
+
+def normalised_texts(spark, sf_dir):
+    """Documents with letters taken apart and invisible signs between words, in their usual form."""
+    t = F.regexp_replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), " ", "\u200b \ufeff\t")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(language.normalised(t)).alias("digest"))
+
+
+def human_values(spark, sf_dir):
+    """Order totals as bytes and seconds, dates as a local time, and statuses as badges, as a page shows them."""
+    o = table(spark, sf_dir, "orders")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    state = F.element_at(F.array(*map(F.lit, ("completed", "stopping", "needs_review", "failed", "draft"))), (F.length("o_orderpriority") % 5 + 1).cast("int"))
+    return o.select("o_orderkey", values.human_bytes(cents * (F.col("o_custkey") % 3) * F.col("o_custkey")).alias("size"), values.human_duration(cents % 100_000 - 50).alias("took"), values.whole_percent(cents % 200, F.lit(200)).alias("percent"), values.local_time(F.col("o_orderdate").cast("timestamp")).alias("at"), values.badge(state).alias("badge"))
+
+
+def cleanup_figures(spark, sf_dir):
+    """What the clean-up of line ends would have to do to documents with other line ends, and how they would be told."""
+    before = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\r\n"))
+    told = table(spark, sf_dir, "documents").select("doc_id", cleanup.report(before, cleanup.page_markers(cleanup.line_ends(before))).alias("r"))
+    return told.select("doc_id", *[F.col(f"r.{c}").cast("long").alias(c) for c in ("chars_before", "chars_after", "lines_before", "lines_after", "line_ends", "tags", "pages", "markers_inserted")], cleanup.summary(F.col("r")).startswith(F.format_string("%,d -> %,d chars (", "r.chars_before", "r.chars_after")).alias("told"))
+
+
+def schedules(spark, sf_dir):
+    """Documents with references to a schedule around the schedule itself."""
+    t = F.concat(F.lit("Schedule one "), F.coalesce("text", F.lit("")), F.lit("\nSCHEDULE: "), F.right(F.coalesce("text", F.lit("")), F.lit(2500)), F.lit(" of the schedule "), F.left(F.coalesce("text", F.lit("")), F.lit(40)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(classify.schedule_section(t)).alias("digest"))
+
+
+def excel_identifiers(spark, sf_dir):
+    """Identifiers of parties as cells that a spreadsheet leaves alone."""
+    return _view(spark, sf_dir, "parties", "orders", "lineitem").select("deed", "relation", "ordinal", values.identifier(F.col("aadhaar"), True).alias("aadhaar"), values.identifier(F.concat(F.lit("="), "pan")).alias("pan"))
+
+
+def first_objects(spark, sf_dir):
+    """The first object of answers around documents' first words: among braces that open nothing, before others, or broken."""
+    word = F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0)
+    n = F.length("text") % 4
+    whole = F.to_json(F.struct(F.length("text").alias("n"), word.alias("word"), F.array(F.struct(word.alias("again"))).alias("list")))
+    answer = F.when(n == 0, whole).when(n == 1, F.concat(F.lit("Here { it is: ```json"), whole, F.lit("``` {\"n\": 1}"))).when(n == 2, F.concat(whole, F.lit("} {"))).otherwise(F.left(whole, F.length(whole) - 1))
+    found = F.try_parse_json(grounding.first_json(answer))
+    get = lambda path, kind: F.try_variant_get(found, path, kind)
+    return table(spark, sf_dir, "documents").select("doc_id", get("$.n", "long").alias("n"), get("$.word", "string").alias("word"), F.coalesce(get("$.list[0].again", "string"), get("$.again", "string")).alias("again"))
+
+
+def stamped_orders(spark, sf_dir):
+    """Texts that repeat over an order's lines as stamps do: some say so, some are set at an angle, faint or large."""
+    i = table(spark, sf_dir, "lineitem")
+    text = F.when(F.col("l_linestatus") == "O", "Certified TRUE Copy").otherwise(F.concat(F.lit("Registrar's hall "), "l_returnflag"))
+    spans = i.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), text.alias("text"), F.lit(1.0).alias("dx"), F.when(F.col("l_discount") > 0.08, 0.2).otherwise(0.0).alias("dy"), F.when(F.col("l_quantity") > 45, 0xAAAAAA).otherwise(0).alias("colour"), F.when(F.col("l_tax") > 0.07, 20.0).otherwise(10.0).alias("size"))
+    pages = i.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.countDistinct("l_linenumber").alias("page_count"))
+    return watermark.overlays(spans, pages).select("doc_id", "text", F.col("n_pages").cast("long").alias("n_pages"), F.array_join("pages", ",").alias("pages"))
+
+
+def upload_lists(spark, sf_dir):
+    """The first files of a selection of parts, as the upload page lists them."""
+    files_of = table(spark, sf_dir, "part").select(F.concat(F.lit("/in/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit(".v1.PDF")).alias("path"), (F.col("p_size") * 1000).alias("bytes"))
+    return batches.upload_page(files_of)[1]
+
+
+def upload_summaries(spark, sf_dir):
+    files_of = table(spark, sf_dir, "part").select(F.concat(F.lit("/in/"), F.col("p_partkey").cast("string")).alias("path"), (F.col("p_size") * 1_000_000).cast("bigint").alias("bytes"))
+    told = batches.upload_page(files_of, 4)[0]
+    return told.select("files", "bytes", "too_many", "too_large", F.size("messages").cast("long").alias("n_messages"), "size", F.col("shown").cast("long").alias("shown"), "truncated", "can_submit", "next_position")
+
+
+def processing_pages(spark, sf_dir):
+    """How far each batch is, as the processing page reads."""
+    docs = _view(spark, sf_dir, "docs", "events")
+    return batches.processing_page(batches.progress(docs, docs.select(F.col("batch_id").alias("id")).distinct()))
+
+
+def saved_rules(spark, sf_dir):
+    """Settings after rules named as nations and thresholds named as regions are saved over stored ones."""
+    n = table(spark, sf_dir, "nation")
+    stored = n.select(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("rule_"), "n_name")).otherwise(F.col("n_name")).alias("key"), F.lit("old").alias("value"))
+    rules = n.select(F.col("n_name").alias("key"), (F.length("n_name") > 6).alias("enabled"))
+    return files.save_rules(stored, rules, table(spark, sf_dir, "region").select(F.col("r_name").alias("key"), F.length("r_name").alias("value")))
+
+
+def chosen_files(spark, sf_dir):
+    """Pages taken for files: with a version at the front or not, cut off or whole."""
+    p = table(spark, sf_dir, "pages")
+    n = F.length("html") % 5
+    content = F.encode(F.concat(F.when(n == 0, "%PDF-x.4 ").when(n == 1, F.repeat(F.lit(" "), F.lit(2000))).otherwise("junk "), F.lit("%PDF-1.7\n"), F.coalesce("html", F.lit("")), F.when(n == 2, F.repeat(F.lit("x"), F.lit(5000))).otherwise(""), F.when(n == 3, "%%EO").otherwise("%%EOF"), F.when(n == 4, F.repeat(F.lit(" "), F.lit(4100))).otherwise("")), "UTF-8")
+    return p.filter("html IS NOT NULL").select("page_id", files.verdict(content).alias("verdict"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (concurrent_claims, settled_claims, cached_translations, answers_in_rounds, repaired_names, document_stages, page_texts, flattened_answers, recognised_answers, csv_lines, detected)
-}
+    f.__name__: f
+    for f in (
+        concurrent_claims, settled_claims, cached_translations, answers_in_rounds, repaired_names, document_stages, page_texts, flattened_answers, recognised_answers, csv_lines, detected, names_from_text, tidied_names, detected_languages,
+        normalised_texts, human_values, cleanup_figures, schedules, excel_identifiers, first_objects, stamped_orders, upload_lists, upload_summaries, processing_pages, saved_rules, chosen_files,
+    )
+}
 
 _READY = "overall_state = 'processing' AND ocr_state = 'pending'"
 _PLACED = f"WITH documents_of AS ({VIEWS['docs']}), ready AS (SELECT id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY id) AS k FROM documents_of WHERE {_READY})"
@@ -171,12 +286,39 @@ SQL: dict[str, str] = {
         CAST(CASE WHEN coalesce(length(text) % 7 = 0, false) THEN 0 WHEN regexp_matches(text, '[^\x20\x09-\x0D]') THEN 2 ELSE 3 END AS INTEGER) AS bad_lines,
         CASE WHEN length(text) % 7 <> 0 THEN nullif(regexp_extract(text, '[^\x20\x09-\x0D]+'), '') END AS first FROM documents""",
     "csv_lines": """WITH c AS (SELECT page_id, list_transform([CAST(page_id AS VARCHAR), coalesce(url, ''), coalesce(html, ''), ''], lambda x: CASE WHEN regexp_matches(x, '[",\\r\\n]') THEN concat('"', replace(x, '"', '""'), '"') ELSE x END) AS cells FROM pages) SELECT page_id, md5(array_to_string(cells, ',')) AS digest FROM c""",
+    "names_from_text": """WITH w AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[kgmnrlvs][aiu]')[1:4], '') AS w FROM documents), c AS (SELECT *, concat(upper(left(w, 1)), substr(w, 2)) AS c FROM w WHERE length(w) >= 4)
+        SELECT doc_id, CASE WHEN right(c, 1) = 'a' THEN left(c, length(c) - 1) ELSE c END AS devanagari, concat(left(c, 1), '. ', c) AS kannada FROM c""",
+    "tidied_names": """SELECT p_partkey, CASE WHEN length(p_name) % 4 = 3 THEN concat(upper(left(w, 1)), substr(w, 2)) ELSE concat(upper(left(p_name, 1)), substr(p_name, 2)) END AS shown FROM (SELECT *, regexp_replace(p_name, ' .*', '') AS w FROM part)""",
+    "normalised_texts": r"""SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS digest FROM documents""",
+    "human_values": """WITH v AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders), b AS (SELECT *, CAST(cents * (o_custkey % 3) * o_custkey AS DOUBLE) AS n, cents % 100000 - 50 AS s FROM v)
+        SELECT o_orderkey, CASE WHEN n >= 1024.0E0 ** 4 THEN format('{:,.1f} TB', n / 1024.0E0 ** 4) WHEN n >= 1024.0E0 ** 3 THEN format('{:,.1f} GB', n / 1024.0E0 ** 3) WHEN n >= 1024 * 1024 THEN format('{:,.1f} MB', n / (1024 * 1024)) WHEN n >= 1024 THEN format('{:,.1f} KB', n / 1024) ELSE format('{:,.0f} B', n) END AS size,
+            CASE WHEN s >= 3600 THEN format('{}h {:02d}m', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN format('{}m {:02d}s', s // 60, s % 60) WHEN s > 0 THEN format('{}s', s) ELSE '-' END AS took,
+            CAST(round_even((cents % 200) / 2.0E0, 0) AS INTEGER) AS percent, strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 330 MINUTE, '%d-%m-%Y %H:%M') AS at, ['ok', 'accent', 'review', 'danger', ''][length(o_orderpriority) % 5 + 1] AS badge FROM b""",
+    "cleanup_figures": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT *, length(t) - length(replace(t, chr(10), '')) AS lf FROM t)
+        SELECT doc_id, length(t) + lf AS chars_before, length(t) + 19 AS chars_after, CASE WHEN t = '' THEN 0 ELSE lf + 1 END AS lines_before, lf + 2 AS lines_after, lf AS line_ends, CAST(len(regexp_extract_all(replace(t, chr(10), concat(chr(13), chr(10))), '(?i)</?[a-z][^<>]*>')) AS BIGINT) AS tags, CAST(1 AS BIGINT) AS pages, CAST(1 AS BIGINT) AS markers_inserted, true AS told FROM n""",
+    "schedules": "SELECT doc_id, md5(left(concat('SCHEDULE: ', right(t, 2500), ' of the schedule ', left(t, 40)), 2000)) AS digest FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    "excel_identifiers": f"""WITH parties AS ({VIEWS['parties']}) SELECT deed, relation, ordinal, CASE WHEN aadhaar IS NULL THEN '' ELSE concat('="', aadhaar, '"') END AS aadhaar, CASE WHEN pan IS NULL THEN '' ELSE concat(chr(39), '=', pan) END AS pan FROM parties""",
+    "first_objects": r"""SELECT doc_id, CASE WHEN length(text) % 4 < 3 THEN length(text) END AS n, CASE WHEN length(text) % 4 < 3 THEN word END AS word, word AS again FROM (SELECT *, regexp_extract(text, '[^\x20\x09-\x0D]+') AS word FROM documents)""",
+    "stamped_orders": """WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, CASE WHEN l_linestatus = 'O' THEN 'Certified TRUE Copy' ELSE concat('Registrar''s hall ', l_returnflag) END AS text, l_discount > 0.08 OR l_quantity > 45 OR l_tax > 0.07 AS odd FROM lineitem),
+        g AS (SELECT doc_id, text, list_sort(list_distinct(list(page))) AS pages, bool_or(odd) AS odd FROM s GROUP BY doc_id, text), n AS (SELECT doc_id, count(DISTINCT page) AS n FROM s GROUP BY doc_id)
+        SELECT g.doc_id, text, CAST(len(pages) AS BIGINT) AS n_pages, array_to_string(pages, ',') AS pages FROM g JOIN n ON g.doc_id = n.doc_id WHERE len(pages) >= greatest(2, floor(n * 0.6)) AND (text LIKE 'Cert%' OR odd)""",
+    "upload_lists": """SELECT CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS place, concat(lpad(CAST(p_partkey AS VARCHAR), 9, '0'), '.v1.PDF') AS name, concat(lpad(CAST(p_partkey AS VARCHAR), 9, '0'), '.v1') AS document_id,
+        CASE WHEN p_size * 1000 >= 1024 THEN format('{:,.1f} KB', p_size * 1000 / 1024.0E0) ELSE format('{:,.0f} B', p_size * 1000.0E0) END AS size FROM part QUALIFY place <= 200""",
+    "upload_summaries": """WITH t AS (SELECT count(*) AS files, CAST(sum(p_size) AS BIGINT) * 1000000 AS bytes FROM part) SELECT files, bytes, files > 1000 AS too_many, bytes > 26843545600 AS too_large, CAST(CASE WHEN files > 1000 THEN 1 ELSE 0 END + CASE WHEN bytes > 26843545600 THEN 1 ELSE 0 END + 1 AS BIGINT) AS n_messages,
+        CASE WHEN bytes >= 1024.0E0 ** 4 THEN format('{:,.1f} TB', bytes / 1024.0E0 ** 4) WHEN bytes >= 1024.0E0 ** 3 THEN format('{:,.1f} GB', bytes / 1024.0E0 ** 3) ELSE format('{:,.1f} MB', bytes / 1024.0E0 ** 2) END AS size, least(files, 200) AS shown, files > 200 AS truncated, false AS can_submit, CAST(5 AS INTEGER) AS next_position FROM t""",
+    "processing_pages": f"""WITH docs AS ({VIEWS['docs']}), c AS (SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE overall_state <> 'processing') AS finished FROM docs GROUP BY batch_id)
+        SELECT batch_id, total, finished, CAST(round_even(100.0E0 * finished / total, 0) AS INTEGER) AS overall_percent, format('{{}} / {{}} ({{:.1f}}%)', finished, total, 100.0E0 * finished / total) AS readout, total - finished AS in_queue FROM c""",
+    "saved_rules": """WITH stored AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN concat('rule_', n_name) ELSE n_name END AS key, 'old' AS value FROM nation), new AS (SELECT concat('rule_', n_name) AS key, CASE WHEN length(n_name) > 6 THEN 'true' ELSE 'false' END AS value FROM nation UNION ALL SELECT r_name, CAST(length(r_name) AS VARCHAR) FROM region)
+        SELECT * FROM new UNION ALL SELECT * FROM stored WHERE key NOT IN (SELECT key FROM new)""",
+    "chosen_files": "SELECT page_id, CASE WHEN length(html) % 5 = 1 THEN 'INVALID_PDF' WHEN length(html) % 5 IN (3, 4) THEN 'INCOMPLETE_PDF' ELSE 'VALID' END AS verdict FROM pages WHERE html IS NOT NULL",
     "detected": """WITH t AS (SELECT doc_id, left(coalesce(text, ''), 200) AS t FROM documents), n AS (SELECT *, len(regexp_extract_all(t, '[aeiou]')) AS k, len(regexp_extract_all(t, '[A-Za-zÀ-ɏ]')) - len(regexp_extract_all(t, '[aeiou]')) AS l, len(regexp_extract(t, '^[^aeiou]*')) AS k_at, len(regexp_extract(t, '^[^A-Zb-df-hj-np-tv-zÀ-ɏ]*')) AS l_at FROM t),
         s AS (SELECT *, CASE WHEN k + l = 0 THEN 'neutral' WHEN k > l OR k = l AND k_at < l_at THEN 'kannada' ELSE 'latin' END AS script FROM n)
         SELECT doc_id, CASE script WHEN 'kannada' THEN 'kan_Knda' ELSE 'eng_Latn' END AS language, script, CASE WHEN script = 'neutral' THEN CASE WHEN trim(t) = '' THEN 0.0E0 ELSE 1.0E0 END ELSE round(greatest(k, l) / CAST(k + l AS DOUBLE), 6) END AS confidence,
             CASE WHEN k > 0 THEN round(k / CAST(k + l AS DOUBLE), 6) END AS kannada, '' AS reason, script <> 'neutral' AND (script <> 'kannada' OR k > 0) AS wanted FROM s""",
 }
 
+SQL["detected_languages"] = f"SELECT language, count(*) AS n FROM ({SQL['detected']}) WHERE script <> 'neutral' GROUP BY language"
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -9,13 +9,25 @@ from ledgerloom.functions import nested
 from ledgerloom.operators import documents
 
 
+HEADER, TRAILER = r"%PDF-\d\.\d", "%%EOF"
+
+
+def verdict(content: Column) -> Column:
+    """What a file's bytes say: a version within the first 1,024, and the trailer within the last 4,096."""
+    text = lambda b: F.decode(b, "ISO-8859-1")
+    head, tail = F.substring(content, 1, 1024), F.when(F.octet_length(content) > 4096, F.substring(content, -4096, 4096)).otherwise(content)
+    return F.when(~text(head).rlike(HEADER), "INVALID_PDF").when(F.instr(text(tail), TRAILER) == 0, "INCOMPLETE_PDF").otherwise("VALID")
+
+
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """PDF files by name and header, once each, with their verdict from the bytes alone; Spark's reader lists no file without bytes."""
+    """PDF files by name, once each, with the verdict from their bytes; Spark's reader lists no file without bytes."""
     files = spark.read.format("binaryFile").load(path).dropDuplicates(["path"])
-    head, tail = F.substring("content", 1, 1024), F.expr("substring(content, -4096, 4096)")
-    text = lambda b: F.decode(b, "ISO-8859-1")
-    verdict = F.when(F.instr(text(head), "%PDF-") == 0, "INVALID_PDF").when(F.instr(text(tail), "%%EOF") == 0, "INCOMPLETE_PDF").otherwise("VALID")
-    return files.filter(F.lower("path").endswith(".pdf")).select("path", "length", "modificationTime", verdict.alias("verdict"))
+    return files.filter(F.lower("path").endswith(".pdf")).select("path", "length", "modificationTime", verdict(F.col("content")).alias("verdict"))
+
+
+def selected(files: DataFrame) -> DataFrame:
+    """files: path, length, verdict. One row: how many PDF files are chosen, and their bytes."""
+    return files.filter("verdict <> 'INVALID_PDF'").agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def settings(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:
@@ -53,6 +65,12 @@ def rule_settings(rules: dict[str, bool], thresholds: dict[str, str]) -> list[tu
     return [(f"rule_{k}", "true" if v else "false") for k, v in rules.items()] + [(k, str(v)) for k, v in thresholds.items()]
 
 
+def save_rules(stored: DataFrame, rules: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Stored settings (key, value) after saving rules (key, enabled) and thresholds (key, value); of equal keys the greatest value counts."""
+    new = rules.select(F.concat(F.lit("rule_"), "key").alias("key"), F.when(F.col("enabled"), "true").otherwise("false").alias("value")).unionByName(thresholds.select("key", F.col("value").cast("string").alias("value")))
+    return set_values(stored, new.groupBy("key").agg(F.max("value").alias("value")))
+
+
 def same_header(spark: SparkSession, path: str, columns: tuple[str, ...]) -> list[tuple[int, str, str]]:
     """Places where a CSV file's header differs from the columns."""
     found = spark.read.option("header", True).csv(path).columns

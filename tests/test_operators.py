@@ -192,7 +192,7 @@ def test_all_that_is_purged_can_be_read_back(spark, tmp_path):
     kept, _ = retention.run(spark, tables, F.to_timestamp(F.lit("2021-06-02")), 30, 30, 2020, f"file://{tmp_path}/archive")
     for name in ("batches", "documents", "pages", "persons", "failures"):
         back = spark.read.parquet(f"file://{tmp_path}/archive/{name}")
-        both = sorted(map(tuple, back.unionByName(kept[name]).collect()), key=str)
+        both = sorted(map(tuple, back.unionByName(kept[name]).select(*tables[name].columns).collect()), key=str)
         assert both == sorted(map(tuple, tables[name].collect()), key=str) and back.count() and kept[name].count()
     assert spark.read.parquet(f"file://{tmp_path}/archive/pages").first()["body"] == "page"
 
@@ -245,7 +245,7 @@ def test_exports_are_named_and_violations_told(spark, tmp_path):
 def test_text_files_and_notes(spark, tmp_path):
     rows = spark.createDataFrame([("in/a", "one", "text one\nmore", None), ("in/a", "two", None, "no text"), ("in/b", "three", "t", None)], "folder string, name string, text string, reason string")
     sinks.write_texts(rows, f"file://{tmp_path}/out")
-    found = spark.read.text(f"file://{tmp_path}/out", wholetext=True).collect()
+    found = spark.read.option("recursiveFileLookup", True).text(f"file://{tmp_path}/out", wholetext=True).collect()
     assert len(found) == 2 and any(r["value"].startswith("text one\nmore") for r in found)
     assert {r["folder"]: r["note"] for r in sinks.failure_notes(rows).collect()} == {"in/a": "two  no text"}
     assert (tmp_path / "out" / "in_a" / "one.txt").read_text() == "text one\nmore" and (tmp_path / "out" / "in_b" / "three.txt").read_text() == "t"
@@ -256,10 +256,12 @@ def test_text_files_and_notes(spark, tmp_path):
 
 
 def test_files_are_told_by_name_and_bytes(spark, tmp_path):
+    (tmp_path / "g.pdf").write_bytes(b"%PDF-x.4 x %%EOF")
     for name, data in (("a.pdf", b"%PDF-1.4 x %%EOF"), ("b.PDF", b"%PDF-1.4 cut"), ("c.pdf", b"hello"), ("d.txt", b"%PDF-1.4 %%EOF"), ("e.pdf", b""), ("f.pdf", b"\n" * 2000 + b"%PDF-1.4 %%EOF")):
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/", 1)[1]: r["verdict"] for r in files.uploads(spark, f"file://{tmp_path}").collect()}
-    assert got == {"a.pdf": "VALID", "b.PDF": "INCOMPLETE_PDF", "c.pdf": "INVALID_PDF", "f.pdf": "INVALID_PDF"}
+    assert got == {"a.pdf": "VALID", "b.PDF": "INCOMPLETE_PDF", "c.pdf": "INVALID_PDF", "f.pdf": "INVALID_PDF", "g.pdf": "INVALID_PDF"}
+    assert files.selected(files.uploads(spark, f"file://{tmp_path}")).first().asDict() == {"files": 2, "bytes": 28}
 
 
 def test_settings(spark):
@@ -299,7 +301,14 @@ def test_small_functions(spark):
     assert values_of(spark, *[D.text_gate(lit(t), lit(2)) for t in (" ", "x" * 79, "x" * 80)]) == ("OCR produced no text", "only 79 characters across 2 pages: no usable text layer", None)
     assert values_of(spark, D.translate_outcome(lit(0), lit(0)), D.final_state(lit("accept"), lit("")), D.may_retry(none), D.is_corrupt(lit("EMPTY_PDF"))) == ("skipped", "needs_review", True, True)
     clean = cleanup.report(lit("a\r\n<b>x</b>\n\n\n\n"), lit("a\nx\n"))
-    assert values_of(spark, clean)[0].asDict() | {"percent": 0} == {"chars_before": 15, "chars_after": 4, "line_ends": 1, "tags": 2, "blank_runs": 1, "percent": 0}
+    told = values_of(spark, clean)[0].asDict()
+    assert {k: told[k] for k in ("chars_before", "chars_after", "line_ends", "tags", "blank_runs")} == {"chars_before": 15, "chars_after": 4, "line_ends": 1, "tags": 2, "blank_runs": 1}
+    assert (told["lines_before"], told["lines_after"], told["control"], told["rules"], told["masked"], told["pages"]) == (6, 3, 0, 0, 0, 0)
+    page = cleanup.report(lit("-- Page 2 --\nx\x07XXXX XXXX 1234" + "=" * 0 + "\n" + "-" * 25), cleanup.page_markers(lit("-- Page 2 --\nx")))
+    more = values_of(spark, page)[0]
+    assert (more["control"], more["masked"], more["rules"], more["pages"]) == (1, 1, 1, 1) and more["markers_rewritten"] + more["markers_inserted"] == 1
+    assert values_of(spark, cleanup.summary(clean))[0].startswith("15 -> 4 chars (+73.3%), 0 pages, 1 line ends") and values_of(spark, cleanup.summary(clean))[0].endswith(", 2 tags removed")
+    assert values_of(spark, values.human_bytes(none.cast("long")), values.human_bytes(lit(3 * 1024**5)), values.human_duration(lit(0)), values.human_duration(lit(None).cast("int")), values.whole_percent(lit(1), lit(0)), values.whole_percent(lit(5), lit(1000)), values.local_time(none), values.badge(lit("x")), values.badge(none)) == ("0 B", "3,072.0 TB", "-", "-", 0, 0, "-", "", "")
 
 
 def test_cleaning_of_masks_spaces_and_composition(spark):
