@@ -8,11 +8,13 @@ table's key is ``batch_id``.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import documents
-from ledgerloom.operators.rewrites import release_running, upsert
+from ledgerloom.operators import batches, documents
+from ledgerloom.operators.rewrites import cascade, release_running, upsert
 from ledgerloom.sources.versions import VersionedTable
 
 
@@ -61,3 +63,39 @@ def release(table: VersionedTable, worker: str) -> int:
 def replace(table: VersionedTable, rows: DataFrame, keys: list[str], order: list[str]) -> int:
     """Rows in place of those with their key, on whatever version is the last."""
     return table.update(lambda old: upsert(old, rows, keys, order), about="upsert")
+
+
+def _without(rows: DataFrame, before: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows but those that went from ``before`` to ``kept``, by their ids; rows that came since stay."""
+    gone = before.select("id").join(kept.select("id"), "id", "left_anti")
+    return rows.join(gone, "id", "left_anti").select(*rows.columns)
+
+
+class Busy(Exception):
+    """A batch that is to go still has documents at work."""
+
+
+def delete_batch(tables: dict[str, VersionedTable], links: list[tuple[str, str, str, str]], batch: int, force: bool = False, waits: int = 5, pause: float = 1.0) -> dict[str, int]:
+    """Delete a batch and what depends on it; the new version of each table.
+
+    A batch at work isn't deleted. Forced, it is stopped first, and so many times waited for
+    its documents to come to rest; raises ``Busy`` if they don't. Children go before their
+    parents, so a run that breaks off leaves no child without a parent and can be repeated.
+    """
+    def free() -> bool:
+        batch_rows, docs = tables["batches"].read().filter(F.col("id") == batch), tables["documents"].read()
+        row = batches.deletable(batch_rows, docs, force).first()
+        return row is None or bool(row["deletable"])
+
+    if force:
+        tables["batches"].update(lambda rows: rows.withColumn("state", F.when((F.col("id") == batch) & F.col("state").isin("queued", "running"), "stopping").otherwise(F.col("state"))), about=f"stop {batch}")
+    for k in range(waits + 1):
+        if free():
+            break
+        if not force or k == waits:
+            raise Busy(f"batch {batch} has documents at work")
+        time.sleep(pause)
+    held = {name: t.read() for name, t in tables.items()}
+    gone = held["batches"].filter(F.col("id") == batch).select("id")
+    kept, order = cascade(held, gone, links), [*reversed([child for _, _, child, _ in links]), "batches"]
+    return {name: tables[name].update(lambda rows, name=name: _without(rows, held[name], kept[name]), about=f"delete batch {batch}") for name in dict.fromkeys(order)}

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import classify, cleanup, grounding, language, nested, values, watermark
-from ledgerloom.operators import batches, claims, layout, translation
+from ledgerloom.functions import classify, cleanup, grounding, identity, language, nested, values, watermark
+from ledgerloom.operators import batches, claims, documents, layout, rewrites, translation
+from ledgerloom.plans import export
 from ledgerloom.plans.adapters import VIEWS
 from ledgerloom.session import Scratch, table
 from ledgerloom.sources import files, sinks
@@ -247,11 +248,65 @@ def chosen_files(spark, sf_dir):
     return p.filter("html IS NOT NULL").select("page_id", files.verdict(content).alias("verdict"))
 
 
+def failed_rows(spark, sf_dir):
+    """The export of failed documents: every failure with its seven cells."""
+    f = _view(spark, sf_dir, "failures", "events")
+    rows = f.select(F.when(F.col("document_pk") % 3 == 0, F.concat(F.lit("=ABC-"), "document_pk")).alias("identity"), F.concat(F.lit("  d "), "document_pk", F.lit(".pdf ")).alias("source"), "stage", F.lit("FAILED").alias("status"), F.col("technical").alias("reason"), F.col("validation_status").alias("flags"), (F.col("attempt") / 3).alias("confidence") if "attempt" in f.columns else (F.col("id") % 4 / 3).alias("confidence"))
+    told = export.failed_report(rows)
+    return told.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(told.columns)])
+
+
+def csv_read_back(spark, sf_dir):
+    """Pages written as one ordered CSV file and read again."""
+    path = Scratch(spark, "csv").path("pages.csv")
+    sinks.write_csv(table(spark, sf_dir, "pages"), ("page_id", "url", "html"), path, [F.desc("url"), F.col("page_id")])
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("lineSep", "\r\n").schema("page_id long, url string, html string").csv(path)
+    return back.select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("digest"))
+
+
+def texts_read_back(spark, sf_dir):
+    """Documents written as a text file each in their source's folder, and read again."""
+    path = Scratch(spark, "texts").path("out")
+    docs = table(spark, sf_dir, "documents")
+    sinks.write_texts(docs.select(F.coalesce("source", F.lit("none")).alias("folder"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), "text"), path)
+    back = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path)
+    return back.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"doc(?: |%20)(\d+)\.txt$", 1).cast("long").alias("doc_id"), F.md5("content").alias("digest"))
+
+
+def replaced_children(spark, sf_dir):
+    """Parties of every third deed replaced by their buyers in other words."""
+    people = _view(spark, sf_dir, "parties", "orders", "lineitem").select("deed", "relation", "ordinal", "name")
+    new = people.filter("deed % 3 = 0 AND relation = 'B'").withColumn("name", F.lower("name"))
+    return rewrites.replace_children(people, new, "deed")
+
+
+def upserted_attempts(spark, sf_dir):
+    """Answers by document and attempt: a later event of the same user and kind takes the place of an earlier one."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.ascii("event_type").alias("attempt"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"), "value")
+    old, new = e.filter("id % 2 = 0"), e.filter("id % 2 = 1")
+    first = documents.upsert_attempts(e.limit(0), old)
+    return documents.upsert_attempts(first, new).select("document_id", "attempt", "id", "value")
+
+
+def small_values(spark, sf_dir):
+    """Numbers, serials, names and places of pages as single cells, from customers' names."""
+    c = table(spark, sf_dir, "customer")
+    name, key = F.col("c_name"), F.col("c_custkey").cast("string")
+    stem = F.concat(F.lit("ABC-1-"), F.lpad(key, 5, "0"), F.lit("-2024-25"))
+    text = F.concat(F.lit("== PAGE 1 ==\n"), F.repeat(F.lit("x"), F.col("c_nationkey") * 3), F.lit("\n== PAGE 2 ==\n"), name)
+    return c.select(
+        "c_custkey", values.exact_digits(name, 9).alias("nine"), values.exact_digits(name, 8).alias("eight"), values.pan_or_null(F.concat(F.lit(" "), F.left(F.regexp_replace(name, "[^a-zA-Z]", ""), F.lit(5)), F.right(name, F.lit(4)), F.left("c_mktsegment", F.lit(1)))).alias("pan"),
+        values.filled(F.when(F.col("c_nationkey") % 2 == 0, F.upper("c_name")), name).alias("shown"), rewrites.expected_serial(stem).alias("serial"), identity.page_of(text, F.lit(40)).alias("page"),
+        language.title_case(F.lower(F.concat("c_mktsegment", F.lit(" of the "), F.col("c_mktsegment")))).alias("title"), cleanup.padding(F.concat("c_mktsegment", F.repeat(F.lit(" "), F.col("c_nationkey")), F.lit("|"))).alias("padded"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         concurrent_claims, settled_claims, cached_translations, answers_in_rounds, repaired_names, document_stages, page_texts, flattened_answers, recognised_answers, csv_lines, detected, names_from_text, tidied_names, detected_languages,
         normalised_texts, human_values, cleanup_figures, schedules, excel_identifiers, first_objects, stamped_orders, upload_lists, upload_summaries, processing_pages, saved_rules, chosen_files,
+        failed_rows, csv_read_back, texts_read_back, replaced_children, upserted_attempts, small_values,
     )
 }
 
@@ -311,6 +366,15 @@ SQL: dict[str, str] = {
     "saved_rules": """WITH stored AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN concat('rule_', n_name) ELSE n_name END AS key, 'old' AS value FROM nation), new AS (SELECT concat('rule_', n_name) AS key, CASE WHEN length(n_name) > 6 THEN 'true' ELSE 'false' END AS value FROM nation UNION ALL SELECT r_name, CAST(length(r_name) AS VARCHAR) FROM region)
         SELECT * FROM new UNION ALL SELECT * FROM stored WHERE key NOT IN (SELECT key FROM new)""",
     "chosen_files": "SELECT page_id, CASE WHEN length(html) % 5 = 1 THEN 'INVALID_PDF' WHEN length(html) % 5 IN (3, 4) THEN 'INCOMPLETE_PDF' ELSE 'VALID' END AS verdict FROM pages WHERE html IS NOT NULL",
+    "failed_rows": f"""WITH failures AS ({VIEWS['failures']}) SELECT CASE WHEN document_pk % 3 = 0 THEN concat(chr(39), '=ABC-', document_pk) ELSE '' END AS c0, concat('d ', document_pk, '.pdf') AS c1, stage AS c2, 'FAILED' AS c3, technical AS c4, coalesce(validation_status, '') AS c5, format('{{:.2f}}', (id % 4) / 3.0E0) AS c6 FROM failures""",
+    "csv_read_back": "SELECT page_id, url, md5(coalesce(html, '')) AS digest FROM pages",
+    "texts_read_back": "SELECT coalesce(source, 'none') AS folder, doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL",
+    "replaced_children": f"WITH parties AS ({VIEWS['parties']}), n AS (SELECT DISTINCT deed FROM parties WHERE deed % 3 = 0 AND relation = 'B') SELECT deed, relation, ordinal, name FROM parties WHERE deed NOT IN (SELECT deed FROM n) UNION ALL SELECT deed, relation, ordinal, lower(name) FROM parties WHERE deed % 3 = 0 AND relation = 'B'",
+    "upserted_attempts": """WITH e AS (SELECT user_id AS document_id, CAST(ascii(event_type) AS INTEGER) AS attempt, ts, event_id AS id, value FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY document_id, attempt, id % 2 ORDER BY ts DESC, id DESC) AS k FROM e)
+        SELECT document_id, attempt, id, value FROM l WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY document_id, attempt ORDER BY id % 2 DESC) = 1""",
+    "small_values": """SELECT c_custkey, right(c_name, 9) AS nine, NULL AS eight, upper(concat('Custo', right(c_name, 4), left(c_mktsegment, 1))) AS pan, CASE WHEN c_nationkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS shown, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS serial,
+        CAST(CASE WHEN 14 + 3 * c_nationkey + 11 <= 40 THEN 2 ELSE 1 END AS INTEGER) AS page, concat(upper(left(c_mktsegment, 1)), lower(substr(c_mktsegment, 2)), ' of the ', upper(left(c_mktsegment, 1)), lower(substr(c_mktsegment, 2))) AS title,
+        concat(c_mktsegment, repeat(' ', CAST(CASE WHEN c_nationkey > 8 THEN 8 ELSE c_nationkey END AS INTEGER)), '|') AS padded FROM customer""",
     "detected": """WITH t AS (SELECT doc_id, left(coalesce(text, ''), 200) AS t FROM documents), n AS (SELECT *, len(regexp_extract_all(t, '[aeiou]')) AS k, len(regexp_extract_all(t, '[A-Za-zÀ-ɏ]')) - len(regexp_extract_all(t, '[aeiou]')) AS l, len(regexp_extract(t, '^[^aeiou]*')) AS k_at, len(regexp_extract(t, '^[^A-Zb-df-hj-np-tv-zÀ-ɏ]*')) AS l_at FROM t),
         s AS (SELECT *, CASE WHEN k + l = 0 THEN 'neutral' WHEN k > l OR k = l AND k_at < l_at THEN 'kannada' ELSE 'latin' END AS script FROM n)
         SELECT doc_id, CASE script WHEN 'kannada' THEN 'kan_Knda' ELSE 'eng_Latn' END AS language, script, CASE WHEN script = 'neutral' THEN CASE WHEN trim(t) = '' THEN 0.0E0 ELSE 1.0E0 END ELSE round(greatest(k, l) / CAST(k + l AS DOUBLE), 6) END AS confidence,

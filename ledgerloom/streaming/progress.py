@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -43,19 +43,44 @@ def run_to_table(rows: DataFrame, path: str, checkpoint: str) -> None:
     rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
-def process_documents(spark: SparkSession, path: str, out: str, checkpoint: str) -> None:
-    """New documents (doc_id, text) through gate, extraction, report and state, each micro-batch as one plan.
+def gated(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the reason why the text can't be a document's, null if it can."""
+    return docs.withColumn("reason", documents.text_gate(F.col("text"), F.lit(1)))
+
+
+def extracted(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the answer that patterns alone give."""
+    return docs.withColumn("answer", scrape.answer(F.col("text")))
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id and the state that the report on an answer leads to."""
+    told = docs.select("doc_id", "answer", "text", F.lit(False).alias("truncated"), F.lit(True).alias("ocr_ok"))
+    return validation.validate(told).select("doc_id", F.col("disposition").alias("state"))
+
+
+#: What each stage does; others of the same shape can stand in for any of them.
+STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {"gate": gated, "extract": extracted, "validate": judged}
+
+
+def through_stages(docs: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """doc_id, state and reason of documents (doc_id, text), batch or stream alike; ``stages`` replaces some of ``STAGES``."""
+    does = STAGES | (stages or {})
+    first = does["gate"](docs)
+    fine = first.filter("reason IS NULL").drop("reason")
+    told = does["validate"](does["extract"](fine)).select("doc_id", "state", F.lit(None).cast("string").alias("reason"))
+    return told.unionByName(first.filter("reason IS NOT NULL").select("doc_id", F.lit("failed").alias("state"), "reason"))
+
+
+def process_documents(spark: SparkSession, path: str, out: str, checkpoint: str, stages: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> None:
+    """New documents (doc_id, text) through their stages, each micro-batch as one plan.
 
     A micro-batch that is run again after a failure overwrites what it wrote.
     """
     docs = spark.readStream.schema("doc_id long, text string").parquet(path)
 
     def run(batch: DataFrame, number: int) -> None:
-        gated = batch.withColumn("reason", documents.text_gate(F.col("text"), F.lit(1)))
-        fine = gated.filter("reason IS NULL").select("doc_id", scrape.answer(F.col("text")).alias("answer"), "text", F.lit(False).alias("truncated"), F.lit(True).alias("ocr_ok"))
-        told = validation.validate(fine).select("doc_id", F.col("disposition").alias("state"), F.lit(None).cast("string").alias("reason"))
-        lost = gated.filter("reason IS NOT NULL").select("doc_id", F.lit("failed").alias("state"), "reason")
-        told.unionByName(lost).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        through_stages(batch, stages).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

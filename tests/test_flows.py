@@ -172,3 +172,15 @@ def test_a_batch_is_done_once(spark):
     rows, seen = callbacks.measured(b.withColumnRenamed("overall_state", "status"))
     rows.write.format("noop").mode("overwrite").save()
     assert seen.get == {"documents": 3, "failed": 0, "processed": 2}
+
+
+def test_stages_can_be_stood_in_for(spark, tmp_path):
+    from ledgerloom.streaming import progress
+
+    docs = spark.createDataFrame([(1, "x" * 50), (2, "short"), (3, None)], "doc_id long, text string")
+    seen = {r["doc_id"]: (r["state"], r["reason"]) for r in progress.through_stages(docs, {"validate": lambda d: d.select("doc_id", F.lit("double").alias("state"))}).collect()}
+    assert seen[1] == ("double", None) and seen[2][0] == seen[3][0] == "failed" and seen[3][1] == "OCR produced no text"
+    docs.write.parquet(f"file://{tmp_path}/in")
+    doubles = {"gate": lambda d: d.withColumn("reason", F.lit(None).cast("string")), "extract": lambda d: d, "validate": lambda d: d.select("doc_id", F.coalesce("text", F.lit("none")).alias("state"))}
+    progress.process_documents(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/check", doubles)
+    assert {r["doc_id"]: r["state"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {1: "x" * 50, 2: "short", 3: "none"}
