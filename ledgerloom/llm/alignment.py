@@ -41,7 +41,7 @@ from ledgerloom.llm.packing import _byte_letters
 from ledgerloom.session import Scratch, table
 
 #: Different units of a chunk, units encoded together, characters of documents taken at a time.
-UNITS, TOGETHER, TAKEN = 250_000, 1024, 2_000_000
+UNITS, TOGETHER, TAKEN = 250_000, 512, 2_000_000
 SALTS = 16
 #: Stands before units that are encoded together, so that the first has a neighbour too.
 ANCHOR = " x"
@@ -122,15 +122,15 @@ class Aligner:
     def _align(self, units: list[str]) -> bool:
         """Align units written one after the other; False if the tokens don't give them back."""
         joined = ANCHOR + "".join(units)
-        ids_a = np.array(self.a.encode(joined, add_special_tokens=False).ids, np.int64)
+        ids_a = np.array(self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
         ids_b = np.array(self.b.encode(joined[1:], num_threads=1), np.int64)
         spelt = joined.encode()
         if any(b"".join(map(table.__getitem__, ids.tolist())) != spelt for table, ids in ((self.spelt_a, ids_a), (self.spelt_b, ids_b))):
             return False
         ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
         edges = np.cumsum([len(ANCHOR), *(len(u.encode()) for u in units)])
-        cuts = np.intersect1d(ends_a, ends_b)
-        if not np.isin(edges, cuts).all():
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)  # no token is empty, so ends rise
+        if (cuts[np.minimum(np.searchsorted(cuts, edges), len(cuts) - 1)] != edges).any():
             return False
         keep_a, keep_b, cuts = ends_a > edges[0], ends_b > edges[0], cuts[cuts > edges[0]]
         ids_a, ids_b, ends_a, ends_b = ids_a[keep_a], ids_b[keep_b], ends_a[keep_a], ends_b[keep_b]
@@ -156,18 +156,18 @@ class Aligner:
         return True
 
 
-def _documents(aligner: Aligner, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, str]]:
+def _documents(aligner: Aligner, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
     """Units, figures and written groups of texts."""
     split_up = [split(t) if t else [] for t in texts]
     aligner.learn(dict.fromkeys(u for units in split_up for u in units))
     figures, groups = aligner.all_figures(), aligner.groups
     for units in split_up:
-        numbers = list(map(aligner.known.__getitem__, units))
+        numbers = np.fromiter(map(aligner.known.__getitem__, units), np.int32, len(units))
         own = figures[numbers]
         if len(own) and own[:, 0].min() >= 0:
-            yield numbers, own.sum(axis=0), "".join(map(groups.__getitem__, numbers))[:-1]
+            yield numbers, own.sum(axis=0), "".join(map(groups.__getitem__, numbers.tolist()))[:-1]
         else:
-            yield [], np.zeros(4, np.int64), ""
+            yield numbers[:0], np.zeros(4, np.int64), ""
 
 
 def _parts(texts: list[str | None]) -> Iterator[slice]:
@@ -230,7 +230,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
             for part in _parts(texts):
                 units, figures, shas = [], [], []
                 for numbers, own, written in _documents(aligner, texts[part]):
-                    units.append(np.array(numbers, np.int32))
+                    units.append(numbers)
                     figures.append(own)
                     shas.append(hashlib.sha256(written.encode()).hexdigest() if written else "")
                 n, own = len(units), np.stack(figures)
