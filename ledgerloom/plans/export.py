@@ -44,18 +44,22 @@ def split(parties: DataFrame) -> DataFrame:
 
 def rows(deeds: DataFrame, parties: DataFrame) -> DataFrame:
     """deeds: deed, serial, deed_date, identity, paise, property_text, address, state, stamp. One row a party, one at least."""
-    sides = split(dedupe(parties).join(deeds.select("deed", "paise"), "deed"))
+    # dealt by deed once: both windows and both joins find their rows together
+    sides = split(dedupe(parties.repartition("deed")).join(deeds.select("deed", "paise"), "deed"))
     person = sides.select("deed", "relation", "ordinal", "share", "name", "father", "gender", "pan", "aadhaar", F.col("address").alias("p_address"))
-    located = deeds.withColumn("_city", city_town(F.col("address")))
-    joined = located.join(person, "deed", "left")
     c, e, none = F.col, lambda x: F.coalesce(x, F.lit("")), F.lit("")
     party = c("relation").isNotNull()
     amount = values.share_text(c("paise"), c("paise") % 100 == 0)
+    # what the deed alone decides is decided once a deed, before its parties multiply it
+    of_deed: dict[str, Column] = {
+        "_serial": c("serial").cast("string"), "_date": values.day_first(c("deed_date").cast("string")), "_identity": values.cell(c("identity")), "_amount": values.cell(amount), "_kind": classify.property_type(c("address"), c("property_text")),
+        "_limits": classify.municipal_limits(c("address"), c("property_text")), "_address": values.cell(c("address")), "_city": e(city_town(c("address"))), "_code": values.pin_code(c("address")), "_state": values.cell(c("state")), "_stamp": values.cell(c("stamp").cast("string")),
+    }
+    joined = deeds.select("deed", *[v.alias(k) for k, v in of_deed.items()]).join(person, "deed", "left")
     given: dict[str, Column] = {
-        "Report Serial Number": c("serial").cast("string"), "Transaction Date": values.day_first(c("deed_date").cast("string")), "Transaction Identity": values.cell(c("identity")),
-        "Transaction Type": e(c("relation")), "Transaction Amount": values.cell(amount), "Property Type": classify.property_type(c("address"), c("property_text")),
-        "Whether property is within municipal limits": classify.municipal_limits(c("address"), c("property_text")), "Property Address": values.cell(c("address")),
-        "City / Town": e(c("_city")), "City/Town (PC-L)": F.when(party, e(c("_city"))).otherwise(none), "Postal Code": values.pin_code(c("address")), "State Code": values.cell(c("state")), "Country Code": F.lit(COUNTRY), "Stamp Value": values.cell(c("stamp").cast("string")),
+        "Report Serial Number": c("_serial"), "Transaction Date": c("_date"), "Transaction Identity": c("_identity"), "Transaction Type": e(c("relation")), "Transaction Amount": c("_amount"), "Property Type": c("_kind"),
+        "Whether property is within municipal limits": c("_limits"), "Property Address": c("_address"), "City / Town": c("_city"), "City/Town (PC-L)": F.when(party, c("_city")).otherwise(none),
+        "Postal Code": c("_code"), "State Code": c("_state"), "Country Code": F.lit(COUNTRY), "Stamp Value": c("_stamp"),
         "Transaction Relation (PC)": e(c("relation")), "Transaction Amount related to the person (PC)": e(c("share")), "Person Name (PC)": values.cell(values.primary_name(c("name"))),
         "Person Type (PC)": F.when(party, classify.person_type(c("pan"), c("father"), c("gender"))).otherwise(none), "Gender (PC)": values.cell(c("gender")),
         "Father's Name (PC)": values.cell(values.primary_name(c("father"))), "PAN (PC)": values.identifier(c("pan")), "Aadhaar Number (PC)": values.identifier(c("aadhaar")),
