@@ -89,7 +89,8 @@ def pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """(key, page_number, body) of marked text."""
     numbers = F.regexp_extract_all(F.col(text), F.lit(PAGE_LINE), F.lit(1))
     bodies = F.slice(F.split(F.col(text), PAGE_LINE), 2, 1_000_000)
-    return docs.select(key, F.inline(F.transform(F.arrays_zip(numbers.alias("n"), bodies.alias("b")), lambda x: F.struct(x["n"].cast("int").alias("page_number"), F.regexp_replace(x["b"], r"^\n|\n$", "").alias("body")))))
+    return docs.select(key, F.inline(F.transform(F.arrays_zip(numbers.alias("n"), bodies.alias("b")),
+        lambda x: F.struct(x["n"].cast("int").alias("page_number"), F.regexp_replace(x["b"], r"^\n|\n$", "").alias("body")))))
 
 
 def full_text(page_rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -155,5 +156,6 @@ def report(before: Column, after: Column) -> Column:
 
 def summary(told: Column) -> Column:
     """A report in a line."""
-    line = F.format_string("%,d -> %,d chars (%+.1f%%), %d pages, %d line ends, %d markers rewritten, %d inserted", told["chars_before"], told["chars_after"], told["percent"], told["pages"], told["line_ends"], told["markers_rewritten"], told["markers_inserted"])
+    line = F.format_string("%,d -> %,d chars (%+.1f%%), %d pages, %d line ends, %d markers rewritten, %d inserted", told["chars_before"],
+        told["chars_after"], told["percent"], told["pages"], told["line_ends"], told["markers_rewritten"], told["markers_inserted"])
     return F.concat(line, F.when(told["tags"] > 0, F.format_string(", %d tags removed", told["tags"])).otherwise(""))

@@ -31,7 +31,8 @@ CODES = (
 # Patterns in the order in which they are tried.
 PATTERNS = (
     (r"exceeds the available context size|n_ctx|too many tokens", "AI_INPUT_TOO_LARGE"),
-    (r"could not be made because the target machine actively refused|EngineNotReadyError|connection refused|URLError|llama-server (exited|did not)|AI server (unreachable|is still loading|is up but not admitting|refused work|did not finish the job)|AI server HTTP 5\d\d", "AI_SERVER_UNAVAILABLE"),
+    (r"could not be made because the target machine actively refused|EngineNotReadyError|connection refused|URLError|llama-server (exited|did not)|AI server (unreachable|is still loading|is up but not admitting|refused work|did not finish the job)|AI server HTTP 5\d\d",
+        "AI_SERVER_UNAVAILABLE"),
     (r"no parseable JSON|no usable JSON|unparseable|empty response", "AI_EXTRACTION_FAILED"),
     (r"out of memory|CUDA out of memory|OutOfMemoryError|MemoryError", "MEMORY_ERROR"),
     (r"timed out|TimeoutExpired|timeout", "TIMEOUT"),

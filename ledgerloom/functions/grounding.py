@@ -73,7 +73,8 @@ def first_json(text: Column) -> Column:
 def shape_problems(answer: Column) -> Column:
     """Which required parts of a parsed answer (a variant) are missing or of the wrong kind."""
     kind = lambda k: F.schema_of_variant(F.try_variant_get(answer, f"$.{k}", "variant"))
-    wrong = [F.when(~F.coalesce(kind(k).startswith(want), F.lit(False)), k) for k, want in (("buyer_details", "ARRAY"), ("seller_details", "ARRAY"), ("property_details", "OBJECT"), ("document_details", "OBJECT"))]
+    wrong = [F.when(~F.coalesce(kind(k).startswith(want), F.lit(False)), k) for k,
+        want in (("buyer_details", "ARRAY"), ("seller_details", "ARRAY"), ("property_details", "OBJECT"), ("document_details", "OBJECT"))]
     return F.array_compact(F.array(*wrong))
 
 

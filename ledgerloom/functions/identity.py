@@ -13,7 +13,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 CANONICAL = r"^[A-Z]{2,4}-\d-\d{5}-\d{4}-\d{2}$"
 FORM = r"\b([A-Z0-9]{2,4})\s*[-–—.]\s*(\d)\s*[-–—.]\s*(\d{4,6})\s*[-–—.]\s*(\d{4})\s*[-–—.]\s*(\d{2})\b"
 LABELS = ("ದಸ್ತಾವೇಜು ಸಂಖ್ಯೆ", "ದಸ್ತಾವೇಜು ಸಂ", "ನಂಬರ", "ದಸ್ತಾವೇಜು ಕ್ರಮಾಂಕ", "ಪುಸ್ತಕದ ದಸ್ತಾವೇಜು", "ನೋಂದಾಯಿಸಿ", "ನೋಂದಣಾಧಿಕಾರಿ", "document number", "document no", "doc number")
-PRIOR = ("vide doc", "vide document", "registered as document", "registered as doc", "earlier document", "previous document", "vide no", "as per document", "mother deed", "parent document", "ಮೂಲ ದಸ್ತಾವೇಜು")
+PRIOR = ("vide doc", "vide document", "registered as document", "registered as doc", "earlier document", "previous document", "vide no",
+    "as per document", "mother deed", "parent document", "ಮೂಲ ದಸ್ತಾವೇಜು")
 BEFORE = 90
 CANDIDATE = ArrayType(StructType([StructField("value", StringType()), *(StructField(f, IntegerType()) for f in ("year", "position", "line"))]))
 
@@ -62,7 +63,8 @@ def scored(docs: DataFrame) -> DataFrame:
 def choose(docs: DataFrame) -> DataFrame:
     """docs: (doc_id, text, source). The number, its confidence and why, for every document."""
     rows = scored(docs)
-    best = rows.groupBy("doc_id").agg(F.max_by("value", F.struct("score", -F.col("position"))).alias("best"), F.max("score").alias("top"), F.countDistinct("value").alias("kinds"), F.collect_set("value").alias("all"))
+    best = rows.groupBy("doc_id").agg(F.max_by("value", F.struct("score", -F.col("position"))).alias("best"), F.max("score").alias("top"),
+        F.countDistinct("value").alias("kinds"), F.collect_set("value").alias("all"))
     second = rows.join(best.select("doc_id", "best"), "doc_id").filter(F.col("value") != F.col("best")).groupBy("doc_id").agg(F.max("score").alias("next"))
     named = docs.select("doc_id", from_file_name(F.col("source")).alias("name"))
     found = named.join(best, "doc_id", "left").join(second, "doc_id", "left")
@@ -73,7 +75,8 @@ def choose(docs: DataFrame) -> DataFrame:
         .when(F.array_contains("all", F.col("name")), 0.8).otherwise(0.0)
     )
     value = F.when(F.col("best").isNull(), F.col("name")).when(confidence == 0.8, F.col("name")).when(confidence > 0, F.col("best")).otherwise("")
-    return found.select("doc_id", F.when(value.rlike(CANONICAL), value).otherwise("").alias("identity"), F.when(value.rlike(CANONICAL), confidence).otherwise(0.0).alias("confidence"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
+    return found.select("doc_id", F.when(value.rlike(CANONICAL), value).otherwise("").alias("identity"),
+        F.when(value.rlike(CANONICAL), confidence).otherwise(0.0).alias("confidence"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
 
 
 def page_of(text: Column, position: Column) -> Column:
@@ -104,4 +107,6 @@ def second_chance(docs: DataFrame, pages: DataFrame, depth: int = 2) -> DataFram
     first = choose(docs)
     both = first.join(again.select("doc_id", F.col("identity").alias("_identity"), F.col("confidence").alias("_confidence")), "doc_id", "left")
     none = (F.col("identity") == "") & F.col("_identity").isNotNull()
-    return both.select("doc_id", F.when(none, F.col("_identity")).otherwise(F.col("identity")).alias("identity"), F.when(none, F.col("_confidence")).otherwise(F.col("confidence")).alias("confidence"), (none & (F.col("_identity") != "")).alias("from_pages"))
+    return both.select("doc_id", F.when(none, F.col("_identity")).otherwise(F.col("identity")).alias("identity"),
+        F.when(none, F.col("_confidence")).otherwise(F.col("confidence")).alias("confidence"),
+        (none & (F.col("_identity") != "")).alias("from_pages"))

@@ -45,7 +45,9 @@ def progress(docs: DataFrame, batches: DataFrame, ids: list[int] | None = None)
 
 def stage_bars(progressed: DataFrame) -> DataFrame:
     """Per batch and stage how far it is: done and failed of all, in percent."""
-    each = [F.struct(F.lit(k).alias("place"), F.lit(s).alias("stage"), F.col(f"{s}_done").alias("done"), F.col(f"{s}_failed").alias("failed"), percent(F.col(f"{s}_done") + F.col(f"{s}_failed"), F.col("total")).alias("percent")) for k, s in enumerate(STAGES, 1)]
+    each = [F.struct(F.lit(k).alias("place"), F.lit(s).alias("stage"), F.col(f"{s}_done").alias("done"),
+        F.col(f"{s}_failed").alias("failed"), percent(F.col(f"{s}_done") + F.col(f"{s}_failed"), F.col("total")).alias("percent")) for k,
+        s in enumerate(STAGES, 1)]
     return progressed.select("batch_id", F.inline(F.array(*each)))
 
 
@@ -56,7 +58,9 @@ def finished(progressed: DataFrame) -> DataFrame:
 def queue_bounds(batches: DataFrame) -> DataFrame:
     """How many wait, the place after the last and the one before the first."""
     own = batches.filter(F.col("state").isin(*WAITING))
-    return own.agg(F.count_if(F.col("state") == "queued").alias("queued"), (F.coalesce(F.max("queue_position"), F.lit(0)) + 1).alias("next_position"), (F.coalesce(F.min("queue_position"), F.lit(0)) - 1).alias("head_position"))
+    return own.agg(F.count_if(F.col("state") == "queued").alias("queued"),
+        (F.coalesce(F.max("queue_position"), F.lit(0)) + 1).alias("next_position"),
+        (F.coalesce(F.min("queue_position"), F.lit(0)) - 1).alias("head_position"))
 
 
 def next_queued(batches: DataFrame) -> DataFrame:
@@ -89,7 +93,8 @@ def pager(pages: DataFrame, size: int, width: int = 5) -> DataFrame:
     last = F.greatest(F.lit(1), F.floor((F.col("total") + size - 1) / size).cast("bigint"))
     first = F.greatest(F.lit(1), F.least(F.col("page") - width // 2, last - (width - 1)))
     shown = pages.select("page", last.alias("pages"), first.alias("first_number"), "total").filter("page BETWEEN 1 AND pages")
-    return shown.select("page", "pages", "first_number", F.least("pages", F.col("first_number") + (width - 1)).alias("last_number"), ((F.col("page") - 1) * size + 1).alias("from_row"), F.least(F.col("page") * size, F.col("total")).alias("to_row"))
+    return shown.select("page", "pages", "first_number", F.least("pages", F.col("first_number") + (width - 1)).alias("last_number"),
+        ((F.col("page") - 1) * size + 1).alias("from_row"), F.least(F.col("page") * size, F.col("total")).alias("to_row"))
 
 
 def actions(batches: DataFrame, progressed: DataFrame) -> DataFrame:
@@ -97,7 +102,8 @@ def actions(batches: DataFrame, progressed: DataFrame) -> DataFrame:
     both = batches.join(progressed, batches["id"] == progressed["batch_id"])
     one = lambda *states: F.col("state").isin(*states)
     open_ = F.col("total") - F.col("processed") - F.col("failed") - F.col("needs_review")
-    return both.select("id", one("draft", "stopped").alias("can_run"), one("queued", "running").alias("can_stop"), one("running", "stopping").alias("needs_force"), open_.alias("pending"), F.bround("percent_settled", 1).alias("percent"))
+    return both.select("id", one("draft", "stopped").alias("can_run"), one("queued", "running").alias("can_stop"),
+        one("running", "stopping").alias("needs_force"), open_.alias("pending"), F.bround("percent_settled", 1).alias("percent"))
 
 
 def dashboard(batches: DataFrame, progressed: DataFrame, order: list[Column], live: int = 20, done: int = 5) -> DataFrame:
@@ -133,7 +139,8 @@ def upload_page(files: DataFrame, queued: int = 0, shown: int = 200) -> tuple[Da
     })
     first = files.orderBy("path").limit(shown)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    listed = first.select(F.row_number().over(Window.orderBy("path")).alias("place"), name.alias("name"), F.regexp_replace(name, r"\.[^.]+$", "").alias("document_id"), values.human_bytes(F.col("bytes")).alias("size"))
+    listed = first.select(F.row_number().over(Window.orderBy("path")).alias("place"), name.alias("name"),
+        F.regexp_replace(name, r"\.[^.]+$", "").alias("document_id"), values.human_bytes(F.col("bytes")).alias("size"))
     return told, listed
 
 
@@ -141,7 +148,9 @@ def processing_page(progressed: DataFrame) -> DataFrame:
     """Per batch: finished of all documents as a line and in whole percent, and how many are still to come."""
     done = F.col("processed") + F.col("failed") + F.col("needs_review")
     share = F.when(F.col("total") > 0, F.lit(100.0) * done / F.col("total")).otherwise(0.0)
-    return progressed.select("batch_id", "total", done.alias("finished"), values.whole_percent(done, F.col("total")).alias("overall_percent"), F.format_string("%d / %d (%.1f%%)", done, "total", share).alias("readout"), F.greatest(F.col("total") - done, F.lit(0)).alias("in_queue"))
+    return progressed.select("batch_id", "total", done.alias("finished"),
+        values.whole_percent(done, F.col("total")).alias("overall_percent"),
+        F.format_string("%d / %d (%.1f%%)", done, "total", share).alias("readout"), F.greatest(F.col("total") - done, F.lit(0)).alias("in_queue"))
 
 
 def in_flight(docs: DataFrame) -> DataFrame:
@@ -182,7 +191,8 @@ def to_head(batches: DataFrame, ids: list[int], resume: bool = True) -> DataFram
     place = F.create_map(*[F.lit(x) for k, i in enumerate(ids) for x in (i, k)])
     found = batches.crossJoin(F.broadcast(head))  # one row
     mine = F.col("id").isin(*ids)
-    new = {"queue_position": F.when(mine, F.col("_head") + F.try_element_at(place, F.col("id").cast("int"))).otherwise(F.col("queue_position")), "state": F.when(mine, "queued").otherwise(F.col("state"))}
+    new = {"queue_position": F.when(mine, F.col("_head") + F.try_element_at(place,
+        F.col("id").cast("int"))).otherwise(F.col("queue_position")), "state": F.when(mine, "queued").otherwise(F.col("state"))}
     if resume and "finished_at" in batches.columns:
         new["finished_at"] = F.when(~mine, F.col("finished_at"))
     return found.withColumns(new).drop("_head")

@@ -45,7 +45,8 @@ def settle(table: VersionedTable, worker: str, stage: str, outcomes: DataFrame)
     def change(docs: DataFrame) -> DataFrame:
         mine = docs.filter((F.col("claimed_by") == worker) & (F.col(f"{stage}_state") == "running")).select("id")
         marked = documents.mark_stage(docs, outcomes.join(mine, "id", "left_semi"), stage)
-        return marked.join(mine.withColumn("_mine", F.lit(True)), "id", "left").withColumn("claimed_by", F.when(F.col("_mine") & (F.col(f"{stage}_state") != "running"), None).otherwise(F.col("claimed_by"))).select(*docs.columns)
+        return marked.join(mine.withColumn("_mine", F.lit(True)), "id", "left").withColumn("claimed_by",
+            F.when(F.col("_mine") & (F.col(f"{stage}_state") != "running"), None).otherwise(F.col("claimed_by"))).select(*docs.columns)
 
     return table.update(change, about=f"{worker} settles {stage}")
 
@@ -88,7 +89,8 @@ def delete_batch(tables: dict[str, VersionedTable], links: list[tuple[str, str,
         return row is None or bool(row["deletable"])
 
     if force:
-        tables["batches"].update(lambda rows: rows.withColumn("state", F.when((F.col("id") == batch) & F.col("state").isin("queued", "running"), "stopping").otherwise(F.col("state"))), about=f"stop {batch}")
+        tables["batches"].update(lambda rows: rows.withColumn("state",
+            F.when((F.col("id") == batch) & F.col("state").isin("queued", "running"), "stopping").otherwise(F.col("state"))), about=f"stop {batch}")
     for k in range(waits + 1):
         if free():
             break

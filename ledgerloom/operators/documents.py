@@ -16,7 +16,8 @@ from ledgerloom.operators.rewrites import STAGES, release_running, upsert
 # Verdicts on files.
 CORRUPT = ("CORRUPTED_PDF", "INCOMPLETE_PDF", "EMPTY_PDF", "PASSWORD_PROTECTED", "INVALID_PDF", "UNREADABLE_PDF", "PDF_PARSE_ERROR", "PDF_RENDER_ERROR")
 RETRYABLE = ("VALID", "PROCESSING_ERROR", "PARTIALLY_CORRUPTED", "UNKNOWN_FAILURE")
-STATUSES = ("VALID", "PROCESSING_ERROR", "CORRUPTED_PDF", "PARTIALLY_CORRUPTED", "INCOMPLETE_PDF", "EMPTY_PDF", "PASSWORD_PROTECTED", "INVALID_PDF", "UNREADABLE_PDF", "PDF_PARSE_ERROR", "PDF_RENDER_ERROR", "UNKNOWN_FAILURE")
+STATUSES = ("VALID", "PROCESSING_ERROR", "CORRUPTED_PDF", "PARTIALLY_CORRUPTED", "INCOMPLETE_PDF", "EMPTY_PDF", "PASSWORD_PROTECTED",
+    "INVALID_PDF", "UNREADABLE_PDF", "PDF_PARSE_ERROR", "PDF_RENDER_ERROR", "UNKNOWN_FAILURE")
 #: Stages with a count of attempts, and how often each is retried.
 LIMITS = {"ocr": 1, "extract": 1}
 CORRUPT_COLUMNS = ("Document", "Batch", "Source Filename", "PDF Status", "Reason", "Pages", "Corrupted Pages", "Error Code", "Retryable", "Validator", "Checked At")
@@ -165,10 +166,13 @@ def requeue_ocr(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def fail_stranded(docs: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Stranded documents fail, with the stage and the attempts for a reason."""
-    lost = stranded(docs, limits).groupBy("id").agg(F.min(F.struct("stage", "attempts")).alias("s")).select("id", F.col("s.stage").alias("stage"), F.concat("s.stage", F.lit(" gave up after "), F.col("s.attempts").cast("string"), F.lit(" attempts")).alias("reason"))
+    lost = stranded(docs, limits).groupBy("id").agg(F.min(F.struct("stage", "attempts")).alias("s")).select("id",
+        F.col("s.stage").alias("stage"), F.concat("s.stage", F.lit(" gave up after "), F.col("s.attempts").cast("string"),
+        F.lit(" attempts")).alias("reason"))
     found = docs.join(lost.select("id", F.col("stage").alias("_stage"), F.col("reason").alias("_why")), "id", "left")
     new = {f"{s}_state": F.when(F.col("_stage").eqNullSafe(F.lit(s)), "failed").otherwise(F.col(f"{s}_state")) for s in STAGES}
-    return found.withColumns(new | {"overall_state": F.when(F.col("_stage").isNotNull(), "failed").otherwise(F.col("overall_state")), "failure_reason": F.coalesce("_why", "failure_reason")}).drop("_stage", "_why")
+    return found.withColumns(new | {"overall_state": F.when(F.col("_stage").isNotNull(), "failed").otherwise(F.col("overall_state")),
+        "failure_reason": F.coalesce("_why", "failure_reason")}).drop("_stage", "_why")
 
 
 def recover(docs: DataFrame, batches: DataFrame, limits: dict[str, int]) -> tuple[DataFrame, DataFrame]:
@@ -226,7 +230,8 @@ def last_failure(failures: DataFrame, keys: list[str]) -> DataFrame:
 
 def history(failures: DataFrame) -> DataFrame:
     """Per document its failures in order, a line each, and the last one's text."""
-    line = F.concat(F.date_format("created_at", "yyyy-MM-dd HH:mm"), F.lit("  "), "stage", F.lit(" #"), F.col("attempt").cast("string"), F.lit(": "), F.coalesce(F.nullif(F.trim("technical"), F.lit("")), F.lit("no detail")))
+    line = F.concat(F.date_format("created_at", "yyyy-MM-dd HH:mm"), F.lit("  "), "stage", F.lit(" #"), F.col("attempt").cast("string"),
+        F.lit(": "), F.coalesce(F.nullif(F.trim("technical"), F.lit("")), F.lit("no detail")))
     lines = attempts_of(failures).select("document_pk", F.struct("created_at", "id", line.alias("line")).alias("l"))
     return lines.groupBy("document_pk").agg(F.sort_array(F.collect_list("l")).alias("l")).select("document_pk", F.array_join("l.line", "\n").alias("history"), F.size("l").alias("n"))
 
@@ -249,7 +254,9 @@ def record_verdicts(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     told = verdicts.select("id", F.col("status").alias("_status"), F.col("page_count").alias("_pages"))
     found = docs.join(told, "id", "left")
     status = F.when((F.col("_status") == "VALID") & (F.col("overall_state") == "failed"), "PROCESSING_ERROR").otherwise(F.col("_status"))
-    return found.withColumns({"page_count": F.when(F.coalesce("page_count", F.lit(0)) == 0, F.coalesce("_pages", "page_count")).otherwise(F.col("page_count")), "validation_status": F.coalesce(status, "validation_status")}).drop("_status", "_pages")
+    return found.withColumns({"page_count": F.when(F.coalesce("page_count", F.lit(0)) == 0,
+        F.coalesce("_pages", "page_count")).otherwise(F.col("page_count")),
+        "validation_status": F.coalesce(status, "validation_status")}).drop("_status", "_pages")
 
 
 def corrupted_report(docs: DataFrame, batches: DataFrame) -> DataFrame:
@@ -259,7 +266,8 @@ def corrupted_report(docs: DataFrame, batches: DataFrame) -> DataFrame:
     given = {
         "Document": text(F.col("document_id")), "Batch": F.col("batch"), "Source Filename": text(F.col("source")), "PDF Status": F.col("validation_status"), "Reason": text(F.col("failure_reason")),
         "Pages": text(F.col("page_count")), "Corrupted Pages": F.coalesce(F.array_join(F.col("corrupted_pages").cast("array<string>"), ", "), F.lit("")), "Error Code": text(F.col("error_code")),
-        "Retryable": F.when(may_retry(F.col("validation_status")), "yes").otherwise("no"), "Validator": text(F.col("validator_version")), "Checked At": F.coalesce(F.date_format("validated_at", "yyyy-MM-dd HH:mm"), F.lit("")),
+        "Retryable": F.when(may_retry(F.col("validation_status")), "yes").otherwise("no"), "Validator": text(F.col("validator_version")),
+            "Checked At": F.coalesce(F.date_format("validated_at", "yyyy-MM-dd HH:mm"), F.lit("")),
     }
     return named.select(*[given[c].alias(c) for c in CORRUPT_COLUMNS])
 
@@ -273,7 +281,8 @@ def needing_translation(docs: DataFrame, persons: DataFrame, batch: int | None =
 
 def seed(docs: DataFrame, after: int) -> DataFrame:
     """New documents from those whose text is read already: numbered after ``after``, they begin at extraction."""
-    return docs.filter("ocr_state = 'done'").select((F.col("id") + after).alias("id"), "document_id", F.lit("done").alias("ocr_state"), *[F.lit("pending").alias(f"{s}_state") for s in STAGES[1:]], F.lit("processing").alias("overall_state"))
+    return docs.filter("ocr_state = 'done'").select((F.col("id") + after).alias("id"), "document_id", F.lit("done").alias("ocr_state"),
+        *[F.lit("pending").alias(f"{s}_state") for s in STAGES[1:]], F.lit("processing").alias("overall_state"))
 
 
 def with_batch_name(rows: DataFrame, batches: DataFrame) -> DataFrame:

@@ -38,7 +38,9 @@ def missing_documents(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 def agreement(compared: DataFrame) -> DataFrame:
     """Per field: compared, equal, equal in letters and digits, and the share of either."""
     same, text = F.count_if(F.col("verdict") == "same"), F.count_if(F.col("verdict").isin("same", "same_text"))
-    return compared.groupBy("field").agg(F.count("*").alias("compared"), same.alias("exact"), text.alias("by_text")).withColumns({"exact_percent": F.round(F.col("exact") * 100.0 / F.col("compared"), 2), "text_percent": F.round(F.col("by_text") * 100.0 / F.col("compared"), 2)})
+    return compared.groupBy("field").agg(F.count("*").alias("compared"), same.alias("exact"),
+        text.alias("by_text")).withColumns({"exact_percent": F.round(F.col("exact") * 100.0 / F.col("compared"), 2),
+        "text_percent": F.round(F.col("by_text") * 100.0 / F.col("compared"), 2)})
 
 
 def faults(compared: DataFrame, most: int = 40) -> DataFrame:

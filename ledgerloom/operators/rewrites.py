@@ -109,7 +109,8 @@ def claim(docs: DataFrame, stage: str, most_attempts: int) -> DataFrame:
     ready = (F.col("overall_state") == "processing") & (F.col(f"{stage}_state") == "pending") & (F.col(f"{stage}_attempts") <= most_attempts)
     for s in STAGES[: STAGES.index(stage)]:
         ready = ready & (F.col(f"{s}_state") == "done")
-    return docs.withColumns({f"{stage}_attempts": F.when(ready, F.col(f"{stage}_attempts") + 1).otherwise(F.col(f"{stage}_attempts")), f"{stage}_state": F.when(ready, "running").otherwise(F.col(f"{stage}_state")), "claimed": ready})
+    return docs.withColumns({f"{stage}_attempts": F.when(ready, F.col(f"{stage}_attempts") + 1).otherwise(F.col(f"{stage}_attempts")),
+        f"{stage}_state": F.when(ready, "running").otherwise(F.col(f"{stage}_state")), "claimed": ready})
 
 
 def next_batch_state(state: Column, in_flight: Column, asked: str) -> Column:

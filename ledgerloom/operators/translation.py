@@ -79,7 +79,8 @@ def translate(items: DataFrame, known: VersionedTable, runner: Runner, scratch:
     return told.filter("wanted").join(done, ["text", "language"]).unionByName(told.filter("NOT wanted"), allowMissingColumns=True).drop("wanted")
 
 
-def repair(docs: DataFrame, persons: DataFrame, known: VersionedTable, runner: Runner, scratch: Scratch, batch: int | None = None, fields: tuple[str, ...] = ("name",), target: str = "eng_Latn") -> DataFrame:
+def repair(docs: DataFrame, persons: DataFrame, known: VersionedTable, runner: Runner, scratch: Scratch, batch: int | None = None,
+    fields: tuple[str, ...] = ("name",), target: str = "eng_Latn") -> DataFrame:
     """Persons of documents that lack a translated name, with ``<field>_translated`` filled from the cache or the runner.
 
     Chooses the documents, translates their persons' fields, and writes what came back beside

@@ -132,7 +132,8 @@ def validate(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()
     parsed_ok = F.col("object").isNotNull()
     schema_ok = parsed_ok & (F.size("problems") == 0)
 
-    checks, flags = [], [F.when(F.col("ocr_ok"), FLAGS["OCR_PASSED"]).otherwise(FLAGS["OCR_FAILED"]), F.when(F.col("truncated"), FLAGS["TRUNCATED"]), F.when(parsed_ok & ~schema_ok, FLAGS["SCHEMA_INVALID"])]
+    checks, flags = [], [F.when(F.col("ocr_ok"), FLAGS["OCR_PASSED"]).otherwise(FLAGS["OCR_FAILED"]),
+        F.when(F.col("truncated"), FLAGS["TRUNCATED"]), F.when(parsed_ok & ~schema_ok, FLAGS["SCHEMA_INVALID"])]
     in_answer = lambda c: parsed_ok & c
     absent = lambda fine, found: ~fine | found.eqNullSafe(F.lit(False))
     if rules.sale_consideration:
@@ -147,21 +148,27 @@ def validate(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()
         flags.append(F.when(in_answer(sale_fine) & (stamp > number(sale)), FLAGS["STAMP_OVER_SALE"]))
     checks.append(F.when(in_answer(~F.coalesce(paid.isin("yes", "no"), F.lit(False))), _check("paid_in_cash", paid, F.lit(False), _none("boolean"))))
     if rules.transaction_date:
-        checks.append(F.when(parsed_ok, F.when(date_given, _check("transaction_date", date, date_fine, date_there)).otherwise(_check("transaction_date", _none("string"), F.lit(False), _none("boolean")))))
+        checks.append(F.when(parsed_ok, F.when(date_given, _check("transaction_date", date, date_fine,
+            date_there)).otherwise(_check("transaction_date", _none("string"), F.lit(False), _none("boolean")))))
         flags.append(F.when(parsed_ok & (~date_given | ~date_fine), FLAGS["WRONG_TXN_DATE"]))
 
     source = grounding.pans_in(grounding.composed(text))
-    claimed = F.array_distinct(F.array_compact(F.flatten(F.array(*[F.transform(F.coalesce(F.col("x")[key], empty), lambda p: F.nullif(F.upper(values.strip(F.coalesce(p["pan_card_number"], F.lit("")))), F.lit(""))) for _, key in SIDES]))))
+    claimed = F.array_distinct(F.array_compact(F.flatten(F.array(*[F.transform(F.coalesce(F.col("x")[key], empty),
+        lambda p: F.nullif(F.upper(values.strip(F.coalesce(p["pan_card_number"], F.lit("")))), F.lit(""))) for _, key in SIDES]))))
     t = t.withColumns({"fees": fees, "source": source, "claimed": claimed})
     t = t.withColumn("extra_pans", F.when(parsed_ok, F.array_sort(F.array_except("source", F.array_compact(F.transform("people", lambda p: p["pan"]))))).otherwise(F.array().cast("array<string>")))
-    t = t.withColumns({"document_checks": F.array_compact(F.array(*checks)), "document_flags": F.array_compact(F.array(*flags)), "stamp_value": stamp, "pan_coverage": F.when(parsed_ok, F.bround(grounding.coverage(F.col("claimed"), F.col("source")), 3)).otherwise(0.0)})
-    person = lambda p: F.struct(*[p[c].alias(c) for c in ("relation", "ordinal", "name", "pan", "discarded_pan", "checks", "flags")], grounding.confidence(p["checks"]).alias("confidence"))
+    t = t.withColumns({"document_checks": F.array_compact(F.array(*checks)), "document_flags": F.array_compact(F.array(*flags)),
+        "stamp_value": stamp, "pan_coverage": F.when(parsed_ok, F.bround(grounding.coverage(F.col("claimed"), F.col("source")), 3)).otherwise(0.0)})
+    person = lambda p: F.struct(*[p[c].alias(c) for c in ("relation", "ordinal", "name", "pan", "discarded_pan", "checks", "flags")],
+        grounding.confidence(p["checks"]).alias("confidence"))
     every = F.concat("document_checks", F.flatten(F.transform("people", lambda p: p["checks"])))
     sure = F.when(parsed_ok, grounding.confidence(every) if rules.confidence else F.lit(1.0)).otherwise(0.0)
     raised = F.concat("document_flags", F.flatten(F.transform("people", lambda p: p["flags"])))
     doubted = F.arrays_overlap(raised, F.array(*[F.lit(f) for f in UNGROUNDED]))
     verdict = F.when(~parsed_ok | ((F.col("pan_coverage") < rules.coverage) & (F.size("extra_pans") >= rules.unmatched)), "retry").when(doubted | ~schema_ok, "review").otherwise("accept")
-    return t.select("doc_id", parsed_ok.alias("parsed"), schema_ok.alias("schema_ok"), "document_flags", "document_checks", F.transform("people", person).alias("persons"), "pan_coverage", "stamp_value", "extra_pans", F.col("fees").alias("fee_candidates"), sure.alias("confidence"), verdict.alias("disposition"), *keep)
+    return t.select("doc_id", parsed_ok.alias("parsed"), schema_ok.alias("schema_ok"), "document_flags", "document_checks",
+        F.transform("people", person).alias("persons"), "pan_coverage", "stamp_value", "extra_pans", F.col("fees").alias("fee_candidates"),
+        sure.alias("confidence"), verdict.alias("disposition"), *keep)
 
 
 def remark_codes() -> Column:
@@ -193,7 +200,8 @@ def field_at(path: Column, answer: Column) -> Column:
     """The value at a path such as ``b1.name``, ``property.state`` or ``document.transaction_date``; null without one."""
     side, place, field = F.regexp_extract(path, r"(?i)^([bs])(\d+)\.", 1), F.regexp_extract(path, r"(?i)^[bs](\d+)\.", 1).try_cast("int"), F.regexp_extract(path, r"\.(\w+)$", 1)
     plain = F.to_json(answer)
-    root = F.when(F.upper(side) == "B", "buyer_details").when(F.upper(side) == "S", "seller_details").when(path.startswith("property."), "property_details").when(path.startswith("document."), "document_details")
+    root = F.when(F.upper(side) == "B", "buyer_details").when(F.upper(side) == "S", "seller_details").when(path.startswith("property."),
+        "property_details").when(path.startswith("document."), "document_details")
     json_path = F.concat(F.lit("$."), root, F.when(side != "", F.concat(F.lit("["), (place - 1).cast("string"), F.lit("]"))).otherwise(""), F.lit("."), field)
     return F.when(root.isNotNull() & ((side == "") | (place >= 1)), F.try_variant_get(F.try_parse_json(plain), json_path, "string"))
 
@@ -223,8 +231,12 @@ def persisted(report: DataFrame) -> dict[str, DataFrame]:
         people.append(x.select("doc_id", F.lit(side).alias("relation"), F.posexplode(F.col("x")[key]).alias("k", "p")).select("doc_id", "relation", (F.col("k") + 1).alias("ordinal"), "p.*"))
     whole = lambda v: values.digits(v).try_cast("decimal(15,0)")
     return {
-        "properties": x.select("doc_id", prop["schedule_c_property_address"].alias("address"), prop["state"].alias("state"), whole(prop["sale_consideration"]).alias("consideration"), whole(prop["registration_fee"]).alias("fee"), F.col("stamp_value").cast("decimal(15,0)").alias("stamp_value"), F.when(prop["paid_in_cash"] == "yes", True).when(prop["paid_in_cash"] == "no", False).alias("paid_in_cash")),
-        "documents": x.select("doc_id", values.persisted_date(F.col("x.document_details.transaction_date")).alias("transaction_date"), F.col("x.document_details.registration_office").alias("registration_office")),
+        "properties": x.select("doc_id", prop["schedule_c_property_address"].alias("address"), prop["state"].alias("state"),
+            whole(prop["sale_consideration"]).alias("consideration"), whole(prop["registration_fee"]).alias("fee"),
+            F.col("stamp_value").cast("decimal(15,0)").alias("stamp_value"),
+            F.when(prop["paid_in_cash"] == "yes", True).when(prop["paid_in_cash"] == "no", False).alias("paid_in_cash")),
+        "documents": x.select("doc_id", values.persisted_date(F.col("x.document_details.transaction_date")).alias("transaction_date"),
+            F.col("x.document_details.registration_office").alias("registration_office")),
         "persons": people[0].unionByName(people[1]),
         "flags": flag_rows(report),
     }

@@ -52,12 +52,16 @@ def rows(deeds: DataFrame, parties: DataFrame) -> DataFrame:
     amount = values.share_text(c("paise"), c("paise") % 100 == 0)
     # what the deed alone decides is decided once a deed, before its parties multiply it
     of_deed: dict[str, Column] = {
-        "_serial": c("serial").cast("string"), "_date": values.day_first(c("deed_date").cast("string")), "_identity": values.cell(c("identity")), "_amount": values.cell(amount), "_kind": classify.property_type(c("address"), c("property_text")),
-        "_limits": classify.municipal_limits(c("address"), c("property_text")), "_address": values.cell(c("address")), "_city": e(city_town(c("address"))), "_code": values.pin_code(c("address")), "_state": values.cell(c("state")), "_stamp": values.cell(c("stamp").cast("string")),
+        "_serial": c("serial").cast("string"), "_date": values.day_first(c("deed_date").cast("string")),
+            "_identity": values.cell(c("identity")), "_amount": values.cell(amount), "_kind": classify.property_type(c("address"), c("property_text")),
+        "_limits": classify.municipal_limits(c("address"), c("property_text")), "_address": values.cell(c("address")),
+            "_city": e(city_town(c("address"))), "_code": values.pin_code(c("address")), "_state": values.cell(c("state")),
+            "_stamp": values.cell(c("stamp").cast("string")),
     }
     joined = deeds.select("deed", *[v.alias(k) for k, v in of_deed.items()]).join(person, "deed", "left")
     given: dict[str, Column] = {
-        "Report Serial Number": c("_serial"), "Transaction Date": c("_date"), "Transaction Identity": c("_identity"), "Transaction Type": e(c("relation")), "Transaction Amount": c("_amount"), "Property Type": c("_kind"),
+        "Report Serial Number": c("_serial"), "Transaction Date": c("_date"), "Transaction Identity": c("_identity"),
+            "Transaction Type": e(c("relation")), "Transaction Amount": c("_amount"), "Property Type": c("_kind"),
         "Whether property is within municipal limits": c("_limits"), "Property Address": c("_address"), "City / Town": c("_city"), "City/Town (PC-L)": F.when(party, c("_city")).otherwise(none),
         "Postal Code": c("_code"), "State Code": c("_state"), "Country Code": F.lit(COUNTRY), "Stamp Value": c("_stamp"),
         "Transaction Relation (PC)": e(c("relation")), "Transaction Amount related to the person (PC)": e(c("share")), "Person Name (PC)": values.cell(values.primary_name(c("name"))),
@@ -77,7 +81,8 @@ def order() -> list[Column]:
 
 def violations(report: DataFrame) -> DataFrame:
     """Cells of coded columns that hold no code of theirs."""
-    cells = report.select("deed", "ordinal", F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"`{k}`").alias("value"), F.array_contains(F.array(*[F.lit(x) for x in v]), F.col(f"`{k}`")).alias("fine")) for k, v in DOMAINS.items()])).alias("c"))
+    cells = report.select("deed", "ordinal", F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"`{k}`").alias("value"),
+        F.array_contains(F.array(*[F.lit(x) for x in v]), F.col(f"`{k}`")).alias("fine")) for k, v in DOMAINS.items()])).alias("c"))
     return cells.filter(~F.col("c.fine")).select("deed", "ordinal", "c.column", "c.value")
 
 
@@ -91,7 +96,8 @@ UNFILLED = {
 
 
 def _cells(report: DataFrame) -> DataFrame:
-    return report.select("deed", "ordinal", F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"`{k}`").alias("value")) for k in COLUMNS])).alias("c")).select("deed", "ordinal", "c.column", "c.value")
+    return report.select("deed", "ordinal", F.explode(F.array(*[F.struct(F.lit(k).alias("column"),
+        F.col(f"`{k}`").alias("value")) for k in COLUMNS])).alias("c")).select("deed", "ordinal", "c.column", "c.value")
 
 
 def untranslated(report: DataFrame) -> DataFrame:
@@ -116,4 +122,6 @@ def failed_report(failed: DataFrame) -> DataFrame:
 def population(report: DataFrame) -> DataFrame:
     """Per column how many cells hold something, in one pass."""
     total = report.agg(F.count("*").alias("n"), *[F.count_if(F.trim(F.col(f"`{k}`")) != "").alias(k) for k in COLUMNS])
-    return total.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"`{k}`").alias("filled")) for k in COLUMNS])).alias("c")).select("c.column", "c.filled", F.round(100 * F.col("c.filled") / F.greatest("n", F.lit(1)), 2).alias("percent"))
+    return total.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("column"),
+        F.col(f"`{k}`").alias("filled")) for k in COLUMNS])).alias("c")).select("c.column", "c.filled",
+        F.round(100 * F.col("c.filled") / F.greatest("n", F.lit(1)), 2).alias("percent"))

@@ -152,7 +152,9 @@ def corrupted_files(v):
 
 @query
 def corrupted_report(v):
-    docs = v.docs.withColumns({"source": F.concat(F.lit("/in/"), "document_id", F.lit(".pdf")), "failure_reason": F.lit(None).cast("string"), "page_count": F.col("ocr_attempts"), "corrupted_pages": F.array(F.lit(1), F.lit(3)), "error_code": F.col("validation_status"), "validator_version": F.lit("1"), "validated_at": F.col("created_at")})
+    docs = v.docs.withColumns({"source": F.concat(F.lit("/in/"), "document_id", F.lit(".pdf")),
+        "failure_reason": F.lit(None).cast("string"), "page_count": F.col("ocr_attempts"), "corrupted_pages": F.array(F.lit(1), F.lit(3)),
+        "error_code": F.col("validation_status"), "validator_version": F.lit("1"), "validated_at": F.col("created_at")})
     named = {c: re.sub(r"\W+", "_", c.lower()) for c in D.CORRUPT_COLUMNS}
     return D.corrupted_report(docs, v.batches).withColumnsRenamed(named)
 
@@ -207,9 +209,11 @@ def batch_actions(v):
 def batch_detail(v):
     """The first documents of a batch's page as rows of the report, by what they are and sell for."""
     page, _ = B.page(v.deeds, 1, 10, [F.col("deed")])
-    shown = page.select("deed", F.col("deed").alias("serial"), "deed_date", F.lit("").alias("identity"), "paise", "property_text", "address", F.lit("Karnataka").alias("state"), F.lit(None).cast("bigint").alias("stamp"))
+    shown = page.select("deed", F.col("deed").alias("serial"), "deed_date", F.lit("").alias("identity"), "paise", "property_text",
+        "address", F.lit("Karnataka").alias("state"), F.lit(None).cast("bigint").alias("stamp"))
     people = v.parties.join(F.broadcast(page.select("deed")), "deed", "left_semi")
-    return export.rows(shown, people).select("deed", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), F.col("Transaction Relation (PC)").alias("relation"), F.col("Property Type").alias("kind"), F.col("Person Name (PC)").alias("name"))
+    return export.rows(shown, people).select("deed", F.coalesce("ordinal", F.lit(0)).alias("ordinal"),
+        F.col("Transaction Relation (PC)").alias("relation"), F.col("Property Type").alias("kind"), F.col("Person Name (PC)").alias("name"))
 
 
 @query
@@ -303,7 +307,8 @@ def identifier_difference(v):
 @query
 def identifier_coverage(v):
     sides = v.parties.groupBy("deed").agg(F.collect_set("person").alias("source"), F.collect_set(F.when(F.col("relation") == "B", F.col("person"))).alias("claimed"))
-    return sides.select("deed", F.size("source").cast("bigint").alias("in_source"), F.size("claimed").cast("bigint").alias("claimed"), F.bround(grounding.coverage(F.col("claimed"), F.col("source")), 3).alias("coverage"))
+    return sides.select("deed", F.size("source").cast("bigint").alias("in_source"), F.size("claimed").cast("bigint").alias("claimed"),
+        F.bround(grounding.coverage(F.col("claimed"), F.col("source")), 3).alias("coverage"))
 
 
 @query
@@ -396,7 +401,8 @@ def request_run(v):
 
 
 def _timed(v: Views) -> DataFrame:
-    return v.batches.withColumns({"started_at": F.when(F.col("id") % 2 == 0, F.to_timestamp(F.lit("2024-01-01"))), "finished_at": F.when(F.col("state") == "completed", F.to_timestamp(F.lit("2024-01-02")))})
+    return v.batches.withColumns({"started_at": F.when(F.col("id") % 2 == 0, F.to_timestamp(F.lit("2024-01-01"))),
+        "finished_at": F.when(F.col("state") == "completed", F.to_timestamp(F.lit("2024-01-02")))})
 
 
 @query
@@ -544,7 +550,9 @@ def probe_results(v):
 @query
 def pressure_reasons(v):
     gib = 1024**3
-    gauges = v.part.select("p_partkey", (F.col("p_size").cast("bigint") * gib).alias("ram_free"), F.lit(100 * gib).alias("ram_total"), (F.col("p_partkey").cast("bigint") % 7 * gib).alias("vram_free"), F.lit(16 * gib).alias("vram_total"), (F.col("p_partkey").cast("bigint") % 5 * gib).alias("disk_free"), F.when(F.col("p_partkey") % 2 == 0, "high").alias("pressure"))
+    gauges = v.part.select("p_partkey", (F.col("p_size").cast("bigint") * gib).alias("ram_free"), F.lit(100 * gib).alias("ram_total"),
+        (F.col("p_partkey").cast("bigint") % 7 * gib).alias("vram_free"), F.lit(16 * gib).alias("vram_total"),
+        (F.col("p_partkey").cast("bigint") % 5 * gib).alias("disk_free"), F.when(F.col("p_partkey") % 2 == 0, "high").alias("pressure"))
     return gauges.select("p_partkey", machine.pressure_reason(gauges).alias("reason"))
 
 
@@ -565,7 +573,8 @@ def failure_panel(v):
 
 @query
 def data_view(v):
-    flags = v.parties.select("deed", "relation", "ordinal", F.explode(F.array_compact(F.array(F.when(F.col("name") == "-", "NO_NAME"), F.when(F.col("aadhaar").isNull() & F.col("pan").isNull(), "NO_ID")))).alias("flag"))
+    flags = v.parties.select("deed", "relation", "ordinal", F.explode(F.array_compact(F.array(F.when(F.col("name") == "-", "NO_NAME"),
+        F.when(F.col("aadhaar").isNull() & F.col("pan").isNull(), "NO_ID")))).alias("flag"))
     return D.data_view(v.deeds, v.parties, flags, page=2)
 
 
@@ -573,7 +582,9 @@ def data_view(v):
 def retention_tally(v):
     scratch = Scratch(v.spark, "retention")
     batches = v.deeds.groupBy(F.col("batch_id").alias("id")).agg(F.min("deed_date").cast("timestamp").alias("created_at"))
-    tables = {"pages": v.deeds.select(F.col("deed").alias("id"), F.col("deed").alias("document_id"), F.col("deed_date").cast("timestamp").alias("created_at")), "logs": v.failures.select("id", "created_at"), "batches": batches, "documents": v.deeds.select(F.col("deed").alias("id"), "batch_id")}
+    tables = {"pages": v.deeds.select(F.col("deed").alias("id"), F.col("deed").alias("document_id"),
+        F.col("deed_date").cast("timestamp").alias("created_at")), "logs": v.failures.select("id", "created_at"), "batches": batches,
+        "documents": v.deeds.select(F.col("deed").alias("id"), "batch_id")}
     kept, tally = retention.run(v.spark, tables, F.to_timestamp(F.lit("1998-06-01")), 30, 30, 1993, scratch.path("archive"))
     left = [kept[t].agg(F.count("*").alias("n")).select(F.lit(f"{t} kept").alias("kind"), "n") for t in ("batches", "documents", "pages")]
     return tally.unionByName(left[0]).unionByName(left[1]).unionByName(left[2])
@@ -589,8 +600,12 @@ def settings_merge(v):
 
 @query
 def overlays(v):
-    spans = v.lineitem.select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_linenumber").alias("page"), F.concat(F.lit("For Government Purpose "), F.col("l_linestatus")).alias("text"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0).alias("colour"), F.lit(9.0).alias("size"))
-    faint = v.lineitem.select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_linenumber").alias("page"), F.concat(F.lit("ordinary wording "), F.col("l_returnflag")).alias("text"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.when(F.col("l_returnflag") == "R", 0xCCCCCC).otherwise(0x101010).alias("colour"), F.lit(9.0).alias("size"))
+    spans = v.lineitem.select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_linenumber").alias("page"),
+        F.concat(F.lit("For Government Purpose "), F.col("l_linestatus")).alias("text"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"),
+        F.lit(0).alias("colour"), F.lit(9.0).alias("size"))
+    faint = v.lineitem.select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_linenumber").alias("page"),
+        F.concat(F.lit("ordinary wording "), F.col("l_returnflag")).alias("text"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"),
+        F.when(F.col("l_returnflag") == "R", 0xCCCCCC).otherwise(0x101010).alias("colour"), F.lit(9.0).alias("size"))
     rows = spans.unionByName(faint)
     pages = rows.groupBy("doc_id").agg(F.countDistinct("page").alias("page_count"))
     return marks.overlays(rows, pages).select("doc_id", "text", F.col("n_pages").cast("bigint").alias("n_pages"))
@@ -598,20 +613,26 @@ def overlays(v):
 
 @query
 def findings(v):
-    rows = v.lineitem.select((F.col("l_orderkey") % 500).alias("doc_id"), F.when(F.col("l_returnflag") == "R", "raster").otherwise("annotation").alias("kind"), F.when(F.col("l_linestatus") == "O", "lossless").otherwise("lossy").alias("fidelity"), F.array(F.col("l_linenumber").cast("int")).alias("pages"))
+    rows = v.lineitem.select((F.col("l_orderkey") % 500).alias("doc_id"),
+        F.when(F.col("l_returnflag") == "R", "raster").otherwise("annotation").alias("kind"),
+        F.when(F.col("l_linestatus") == "O", "lossless").otherwise("lossy").alias("fidelity"),
+        F.array(F.col("l_linenumber").cast("int")).alias("pages"))
     return marks.sorted_findings(rows).select("doc_id", "confirmed", "removable", F.array_join("scanned_pages", ",").alias("scanned_pages"))
 
 
 @query
 def card_profiles(v):
-    cards = v.part.select(F.col("p_partkey").alias("id"), (F.col("p_size").cast("bigint") * 268_435_456).alias("free_bytes"), F.lit(3_900_000_000).alias("parameters"), F.lit(5).cast("bigint").alias("full_layers"), F.lit(29).cast("bigint").alias("sliding_layers"), F.lit(1024).cast("bigint").alias("window"), F.lit(4).cast("bigint").alias("heads"), F.lit(256).cast("bigint").alias("head_size"))
+    cards = v.part.select(F.col("p_partkey").alias("id"), (F.col("p_size").cast("bigint") * 268_435_456).alias("free_bytes"),
+        F.lit(3_900_000_000).alias("parameters"), F.lit(5).cast("bigint").alias("full_layers"), F.lit(29).cast("bigint").alias("sliding_layers"),
+        F.lit(1024).cast("bigint").alias("window"), F.lit(4).cast("bigint").alias("heads"), F.lit(256).cast("bigint").alias("head_size"))
     return machine.profiles(cards, 700 * machine.MIB, 64 * machine.MIB)
 
 
 @query
 def card_batches(v):
     memory = F.col("p_size").cast("bigint") * 268_435_456
-    return v.part.select("p_partkey", machine.batch_sizes(memory).alias("b"), machine.offloaded_layers(F.lit(34), F.lit(150_000_000), memory, F.lit(1_000_000_000)).alias("layers")).select("p_partkey", "b.*", "layers")
+    return v.part.select("p_partkey", machine.batch_sizes(memory).alias("b"),
+        machine.offloaded_layers(F.lit(34), F.lit(150_000_000), memory, F.lit(1_000_000_000)).alias("layers")).select("p_partkey", "b.*", "layers")
 
 
 @query
@@ -629,7 +650,9 @@ def free_memory(v):
 
 @query
 def line_boxes(v):
-    lines = v.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x0"), (F.col("l_quantity") * 2).alias("x1"), F.col("l_linenumber").cast("double").alias("y0"), (F.col("l_linenumber") * 1.5).cast("double").alias("y1"), F.lit(700.0).alias("w"), F.lit(0.0).alias("h"), "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = v.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x0"), (F.col("l_quantity") * 2).alias("x1"),
+        F.col("l_linenumber").cast("double").alias("y0"), (F.col("l_linenumber") * 1.5).cast("double").alias("y1"), F.lit(700.0).alias("w"),
+        F.lit(0.0).alias("h"), "l_partkey", "l_suppkey", "l_extendedprice")
     return folds.normalised_boxes(lines, "w", "h").drop("w", "h")
 
 
@@ -643,7 +666,9 @@ def retryable_verdicts(v):
 def tool_failures(v):
     """An explicit code wins over what the text says."""
     given = F.when(F.col("id") % 5 == 0, "OCR_TIMEOUT")
-    return v.failures.select("id", F.coalesce(given, failure_codes.code(F.col("technical"), F.col("validation_status"))).alias("code"), failure_codes.failed_stage(*[F.when(F.col("stage") == s, "failed").otherwise("done") for s in ("ocr", "extract", "translate", "validate")]).alias("stage"))
+    return v.failures.select("id", F.coalesce(given, failure_codes.code(F.col("technical"), F.col("validation_status"))).alias("code"),
+        failure_codes.failed_stage(*[F.when(F.col("stage") == s, "failed").otherwise("done") for s in ("ocr", "extract", "translate",
+        "validate")]).alias("stage"))
 
 
 _count = lambda cond: f"CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT)"
@@ -658,8 +683,10 @@ _FIRST = f"(SELECT *, row_number() OVER (PARTITION BY deed, relation, {_PARTY_KE
 _SHARES = f"""(SELECT p.deed, p.relation, p.ordinal, p.name, d.paise, count(*) OVER (PARTITION BY p.deed, p.relation) AS n, row_number() OVER (PARTITION BY p.deed, p.relation ORDER BY p.ordinal) AS i
     FROM {_FIRST} AS p JOIN deeds AS d ON p.deed = d.deed WHERE copy = 1 AND name <> '-')"""
 
-_COMPARED = """(SELECT a.document, a.field, CASE WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'lost' WHEN regexp_replace(lower(a.v), '[^a-z0-9]', '', 'g') = regexp_replace(lower(b.v), '[^a-z0-9]', '', 'g') THEN 'same_text' ELSE 'changed' END AS verdict
-    FROM (SELECT document, field, nullif(trim(value), '') AS v FROM first_run) AS a JOIN (SELECT document, field, nullif(trim(value), '') AS v FROM second_run) AS b ON a.document = b.document AND a.field = b.field)"""
+_COMPARED = """(SELECT a.document, a.field, CASE WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'lost' WHEN regexp_replace(lower(a.v),
+            '[^a-z0-9]', '', 'g') = regexp_replace(lower(b.v), '[^a-z0-9]', '', 'g') THEN 'same_text' ELSE 'changed' END AS verdict
+    FROM (SELECT document, field, nullif(trim(value), '') AS v FROM first_run) AS a JOIN (SELECT document, field, nullif(trim(value),
+            '') AS v FROM second_run) AS b ON a.document = b.document AND a.field = b.field)"""
 
 SQL: dict[str, str] = {
     "batch_progress": f"""SELECT b.id AS batch_id, coalesce(total, 0) AS total, {", ".join(f"coalesce({c}, 0) AS {c}" for c in [*(f"{s}_{v}" for s in ("ocr", "extract", "translate", "validate") for v in ("done", "failed")), "processed", "failed", "needs_review"])},
@@ -670,7 +697,8 @@ SQL: dict[str, str] = {
     "in_flight": f"SELECT batch_id, {_count(f'overall_state = {chr(39)}processing{chr(39)} AND {_ANY_RUNNING}')} AS in_flight FROM docs GROUP BY batch_id",
     "pending_and_failed_ocr": f"SELECT batch_id, {_count(chr(39) + 'pending' + chr(39) + ' = ocr_state AND overall_state = ' + chr(39) + 'processing' + chr(39))} AS pending_ocr, {_count(chr(39) + 'failed' + chr(39) + ' = ocr_state')} AS failed_ocr FROM docs GROUP BY batch_id",
     "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("batches", "docs", "failures", "deeds", "parties", "customer", "supplier")),
-    "pdf_status_histogram": f"""SELECT s.status, coalesce(n, 0) AS n FROM (SELECT unnest([{", ".join(f"'{s}'" for s in D.STATUSES)}]) AS status) AS s LEFT JOIN (SELECT validation_status, count(*) AS n FROM docs GROUP BY validation_status) AS c ON s.status = c.validation_status
+    "pdf_status_histogram": f"""SELECT s.status, coalesce(n, 0) AS n FROM (SELECT unnest([{", ".join(f"'{s}'" for s in D.STATUSES)}]) AS status) AS s
+            LEFT JOIN (SELECT validation_status, count(*) AS n FROM docs GROUP BY validation_status) AS c ON s.status = c.validation_status
         UNION ALL SELECT 'CORRUPT', {_count('validation_status IN ' + _CORRUPT)} FROM docs UNION ALL SELECT 'TOTAL', count(validation_status) FROM docs
         UNION ALL SELECT 'RETRYABLE', {_count("validation_status IN ('VALID', 'PROCESSING_ERROR', 'PARTIALLY_CORRUPTED', 'UNKNOWN_FAILURE')")} FROM docs""",
     "job_states": "SELECT state, count(*) AS n FROM batches GROUP BY state",
@@ -678,18 +706,24 @@ SQL: dict[str, str] = {
     "selection_totals": "SELECT user_key, count(*) AS files, CAST(sum(total_bytes) AS BIGINT) AS bytes, count(*) > 1000 OR sum(total_bytes) > 26843545600 AS over_limit FROM batches GROUP BY user_key",
     "language_histogram": "SELECT language, count(*) AS n FROM (SELECT CASE id % 8 WHEN 0 THEN 'kan_Knda' WHEN 1 THEN 'hin_Deva' WHEN 2 THEN 'tam_Taml' WHEN 3 THEN 'tel_Telu' WHEN 4 THEN 'ben_Beng' WHEN 5 THEN 'hin_Deva' WHEN 6 THEN 'eng_Latn' END AS language FROM phrases) AS l WHERE language IS NOT NULL GROUP BY language",
     "identity_accuracy": f"""SELECT doc_id % 4 AS part, count(*) AS total, {_count("identity <> ''")} AS found, {_count("identity = ''")} AS blank, {_count("identity <> '' AND identity = want")} AS agree, {_count("identity <> '' AND identity <> want")} AS disagree, {_count("identity <> '' AND want IS NULL")} AS unknown,
-        round(100.0E0 * {_count("identity <> '' AND identity = want")} / nullif({_count("identity <> '' AND want IS NOT NULL")}, 0), 1) AS percent, {_count("identity <> '' AND identity <> want")} = 0 AND {_count("identity <> ''")} * 10 >= count(*) * 9 AS passed FROM ({textual.IDENTITY_SQL}) AS i GROUP BY doc_id % 4""",
+        round(100.0E0 * {_count("identity <> '' AND identity = want")} / nullif({_count("identity <> '' AND want IS NOT NULL")}, 0),
+            1) AS percent, {_count("identity <> '' AND identity <> want")} = 0 AND {_count("identity <> ''")} * 10 >= count(*) * 9 AS passed
+            FROM ({textual.IDENTITY_SQL}) AS i GROUP BY doc_id % 4""",
     "stranded_documents": """SELECT id, batch_id, 'ocr' AS stage, ocr_attempts AS attempts FROM docs WHERE overall_state = 'processing' AND ocr_state = 'pending' AND ocr_attempts > 2
         UNION ALL SELECT id, batch_id, 'extract', extract_attempts FROM docs WHERE overall_state = 'processing' AND extract_state = 'pending' AND extract_attempts > 1""",
-    "claim_next_per_batch": """SELECT batch_id, id, document_id, 'running' AS extract_state, extract_attempts + 1 AS extract_attempts FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY id) AS k
+    "claim_next_per_batch": """SELECT batch_id, id, document_id, 'running' AS extract_state, extract_attempts + 1 AS extract_attempts
+            FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY id) AS k
         FROM docs WHERE overall_state = 'processing' AND ocr_state = 'done' AND extract_state = 'pending' AND extract_attempts <= 2) AS c WHERE k = 1""",
     "claim_downstream": """SELECT batch_id, id, stage FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY place, id) AS k FROM (
         SELECT batch_id, id, 1 AS place, 'extract' AS stage FROM docs WHERE overall_state = 'processing' AND ocr_state = 'done' AND extract_state = 'pending'
         UNION ALL SELECT batch_id, id, 2, 'validate' FROM docs WHERE overall_state = 'processing' AND ocr_state = 'done' AND extract_state = 'done' AND translate_state = 'done' AND validate_state = 'pending'
-        UNION ALL SELECT batch_id, id, 3, 'translate' FROM docs WHERE overall_state = 'processing' AND ocr_state = 'done' AND extract_state = 'done' AND translate_state = 'pending') AS u) AS s WHERE k = 1""",
+        UNION ALL SELECT batch_id, id, 3, 'translate' FROM docs WHERE overall_state = 'processing' AND ocr_state = 'done' AND extract_state = 'done' AND translate_state = 'pending') AS u) AS s
+            WHERE k = 1""",
     "failed_page": "SELECT id, batch_id, document_id FROM docs WHERE ocr_state = 'failed' ORDER BY batch_id DESC, id LIMIT 25 OFFSET 50",
     "failed_for_batch": "SELECT id, batch_id, document_id, overall_state FROM docs WHERE overall_state = 'failed'",
-    "documents_page_search": """SELECT p.id, p.document_id, c.n_failures, t.total FROM (SELECT id, document_id FROM docs WHERE document_id ILIKE '%c-1%' AND overall_state IN ('failed', 'needs_review') ORDER BY id LIMIT 25 OFFSET 25) AS p
+    "documents_page_search": """SELECT p.id, p.document_id, c.n_failures, t.total FROM (SELECT id, document_id
+            FROM docs WHERE document_id ILIKE '%c-1%' AND overall_state IN ('failed', 'needs_review')
+            ORDER BY id LIMIT 25 OFFSET 25) AS p
         LEFT JOIN (SELECT document_pk, count(*) AS n_failures FROM failures GROUP BY document_pk) AS c ON p.id = c.document_pk
         CROSS JOIN (SELECT count(*) AS total FROM docs WHERE document_id ILIKE '%c-1%' AND overall_state IN ('failed', 'needs_review')) AS t""",
     "corrupted_files": f"SELECT d.id, d.document_id, coalesce(b.name, '') AS batch, d.validation_status, CASE WHEN d.is_retryable IS NOT DISTINCT FROM true THEN 'yes' ELSE 'no' END AS retryable FROM docs AS d LEFT JOIN batches AS b ON d.batch_id = b.id WHERE validation_status IN {_CORRUPT}",
@@ -702,115 +736,190 @@ SQL: dict[str, str] = {
     "pager": """SELECT page, pages, greatest(1, least(page - 2, pages - 4)) AS first_number, least(pages, greatest(1, least(page - 2, pages - 4)) + 4) AS last_number, (page - 1) * 25 + 1 AS from_row, least(page * 25, total) AS to_row
         FROM (SELECT id AS page, greatest(1, (total + 24) // 25) AS pages, total FROM batches CROSS JOIN (SELECT count(*) AS total FROM docs) AS t) AS p WHERE page BETWEEN 1 AND pages""",
     "batch_actions": f"""SELECT b.id, b.state IN ('draft', 'stopped') AS can_run, b.state IN ('queued', 'running') AS can_stop, b.state IN ('running', 'stopping') AS needs_force, coalesce(p.total - p.processed - p.failed - p.needs_review, 0) AS pending,
-        CASE WHEN p.total > 0 THEN round_even(100.0E0 * (p.processed + p.failed + p.needs_review) / p.total, 1) ELSE 0.0E0 END AS percent FROM batches AS b LEFT JOIN {_PROGRESS} AS p ON b.id = p.batch_id""",
+        CASE WHEN p.total > 0 THEN round_even(100.0E0 * (p.processed + p.failed + p.needs_review) / p.total, 1) ELSE 0.0E0 END AS percent
+            FROM batches AS b LEFT JOIN {_PROGRESS} AS p ON b.id = p.batch_id""",
     "year_cutoff": "SELECT batch_id, count(*) AS before_year FROM deeds WHERE year(deed_date) < 1997 GROUP BY batch_id",
     "failure_attempts": "SELECT id, document_pk, stage, row_number() OVER (PARTITION BY document_pk, stage ORDER BY created_at, id) AS attempt FROM failures",
     "failure_last": "SELECT document_pk, id, stage, technical FROM (SELECT *, row_number() OVER (PARTITION BY document_pk ORDER BY created_at DESC, id DESC) AS k FROM failures) AS f WHERE k = 1",
     "latest_attempt": "SELECT document_pk, stage, id FROM (SELECT *, row_number() OVER (PARTITION BY document_pk, stage ORDER BY created_at DESC, id DESC) AS k FROM failures) AS f WHERE k = 1",
     "moving_average_50": "SELECT id, round(avg(CAST(round(value * 100) AS BIGINT)) OVER (ORDER BY created_at, id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 4) AS average FROM docs",
     "completed_edge": """SELECT batch_id, id, created_at FROM (SELECT *, lag(open_now) OVER (PARTITION BY batch_id ORDER BY created_at, id) AS open_before FROM (SELECT batch_id, id, created_at,
-        sum(CASE WHEN overall_state = 'processing' THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id ORDER BY created_at, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS open_now FROM docs) AS p) AS e WHERE open_now = 0 AND open_before > 0""",
-    "report_serials": """SELECT deed, coalesce(explicit, 0) + k - CASE WHEN grp = 0 THEN 0 ELSE 1 END AS serial FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY deed) AS k, max(given) OVER (PARTITION BY grp) AS explicit
-        FROM (SELECT *, sum(CASE WHEN given IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY deed ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM (SELECT deed, CASE WHEN deed % 5 = 0 THEN deed END AS given FROM deeds) AS g) AS s) AS n""",
+        sum(CASE WHEN overall_state = 'processing' THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id ORDER BY created_at, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS open_now
+            FROM docs) AS p) AS e WHERE open_now = 0 AND open_before > 0""",
+    "report_serials": """SELECT deed, coalesce(explicit, 0) + k - CASE WHEN grp = 0 THEN 0 ELSE 1 END AS serial
+            FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY deed) AS k, max(given) OVER (PARTITION BY grp) AS explicit
+        FROM (SELECT *, sum(CASE WHEN given IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY deed ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp
+            FROM (SELECT deed, CASE WHEN deed % 5 = 0 THEN deed END AS given FROM deeds) AS g) AS s) AS n""",
     "party_dedupe": f"SELECT deed, relation, ordinal, name FROM {_FIRST} AS p WHERE copy = 1 AND name <> '-'",
-    "consideration_split": f"""SELECT deed, relation, ordinal, CASE WHEN paise % (100 * n) = 0 THEN CAST(share // 100 AS VARCHAR) ELSE concat(CAST(share // 100 AS VARCHAR), '.', lpad(CAST(share % 100 AS VARCHAR), 2, '0')) END AS share
+    "consideration_split": f"""SELECT deed, relation, ordinal, CASE WHEN paise % (100 * n) = 0 THEN CAST(share // 100 AS VARCHAR) ELSE concat(CAST(share // 100 AS VARCHAR),
+            '.', lpad(CAST(share % 100 AS VARCHAR), 2, '0')) END AS share
         FROM (SELECT *, paise // n + CASE WHEN i <= paise % n THEN 1 ELSE 0 END AS share FROM {_SHARES} AS s) AS t""",
     "person_ordinals": "SELECT deed, relation, person, row_number() OVER (PARTITION BY deed, relation ORDER BY person, name) AS ordinal FROM parties",
     "identifier_difference": "SELECT deed, person FROM (SELECT deed, person FROM parties WHERE relation = 'S' EXCEPT SELECT deed, person FROM parties WHERE relation = 'B') AS x",
     "identifier_coverage": "SELECT deed, count(DISTINCT person) AS in_source, count(DISTINCT CASE WHEN relation = 'B' THEN person END) AS claimed, round_even(CAST(count(DISTINCT CASE WHEN relation = 'B' THEN person END) AS DOUBLE) / count(DISTINCT person), 3) AS coverage FROM parties GROUP BY deed",
-    "anti_insert": """SELECT id, document_id FROM (SELECT id, document_id, row_number() OVER (PARTITION BY document_id ORDER BY id) AS k FROM (SELECT id, document_id FROM docs UNION ALL SELECT id + 1000000, document_id FROM docs) AS c) AS n
+    "anti_insert": """SELECT id, document_id FROM (SELECT id, document_id, row_number() OVER (PARTITION BY document_id
+            ORDER BY id) AS k FROM (SELECT id, document_id FROM docs UNION ALL SELECT id + 1000000, document_id
+            FROM docs) AS c) AS n
         WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM failures AS f WHERE f.document_pk = n.id)""",
     "run_diff": f"SELECT document, field, verdict FROM {_COMPARED} AS c",
-    "run_agreement": f"""SELECT field, count(*) AS compared, {_count("verdict = 'same'")} AS exact, {_count("verdict LIKE 'same%'")} AS by_text, round({_count("verdict = 'same'")} * 100.0E0 / count(*), 2) AS exact_percent, round({_count("verdict LIKE 'same%'")} * 100.0E0 / count(*), 2) AS text_percent FROM {_COMPARED} AS c GROUP BY field""",
+    "run_agreement": f"""SELECT field, count(*) AS compared, {_count("verdict = 'same'")} AS exact, {_count("verdict LIKE 'same%'")} AS by_text, round({_count("verdict = 'same'")} * 100.0E0 / count(*),
+            2) AS exact_percent, round({_count("verdict LIKE 'same%'")} * 100.0E0 / count(*), 2) AS text_percent
+            FROM {_COMPARED} AS c GROUP BY field""",
     "apply_translations": """SELECT p.deed, p.relation, p.ordinal, coalesce(NULLIF(t.name, ''), p.name) AS name, NOT (coalesce(NULLIF(t.name, ''), p.name) IS NOT DISTINCT FROM p.name) AS written
-        FROM parties AS p LEFT JOIN (SELECT deed, relation, ordinal, CASE WHEN deed % 2 = 0 THEN concat('EN ', name) ELSE '' END AS name FROM parties WHERE ordinal = 1) AS t ON p.deed = t.deed AND p.relation = t.relation AND p.ordinal = t.ordinal""",
+        FROM parties AS p LEFT JOIN (SELECT deed, relation, ordinal, CASE WHEN deed % 2 = 0 THEN concat('EN ', name) ELSE '' END AS name
+            FROM parties WHERE ordinal = 1) AS t ON p.deed = t.deed AND p.relation = t.relation AND p.ordinal = t.ordinal""",
     "batch_names": "SELECT d.id, coalesce(b.name, '') AS batch FROM docs AS d LEFT JOIN batches AS b ON d.batch_id = b.id WHERE d.ocr_state = 'failed'",
-    "recover_running": """SELECT id, CASE ocr_state WHEN 'running' THEN 'pending' ELSE ocr_state END AS ocr_state, CASE WHEN ocr_state = 'running' THEN greatest(ocr_attempts - 1, 0) ELSE ocr_attempts END AS ocr_attempts,
+    "recover_running": """SELECT id, CASE ocr_state WHEN 'running' THEN 'pending' ELSE ocr_state END AS ocr_state,
+            CASE WHEN ocr_state = 'running' THEN greatest(ocr_attempts - 1, 0) ELSE ocr_attempts END AS ocr_attempts,
         CASE extract_state WHEN 'running' THEN 'pending' ELSE extract_state END AS extract_state, CASE WHEN extract_state = 'running' THEN greatest(extract_attempts - 1, 0) ELSE extract_attempts END AS extract_attempts,
-        CASE translate_state WHEN 'running' THEN 'pending' ELSE translate_state END AS translate_state, CASE validate_state WHEN 'running' THEN 'pending' ELSE validate_state END AS validate_state FROM docs""",
+        CASE translate_state WHEN 'running' THEN 'pending' ELSE translate_state END AS translate_state, CASE validate_state WHEN 'running' THEN 'pending' ELSE validate_state END AS validate_state
+            FROM docs""",
     "requeue_failed": f"""SELECT id, {", ".join(f"CASE WHEN overall_state = 'failed' THEN 'pending' ELSE {s}_state END AS {s}_state" for s in ("ocr", "extract", "translate", "validate"))},
-        {", ".join(f"CASE WHEN overall_state = 'failed' THEN 0 ELSE {s}_attempts END AS {s}_attempts" for s in ("ocr", "extract"))}, CASE WHEN overall_state = 'failed' THEN 'processing' ELSE overall_state END AS overall_state, overall_state = 'failed' AS requeued FROM docs""",
+        {", ".join(f"CASE WHEN overall_state = 'failed' THEN 0 ELSE {s}_attempts END AS {s}_attempts" for s in ("ocr", "extract"))},
+            CASE WHEN overall_state = 'failed' THEN 'processing' ELSE overall_state END AS overall_state, overall_state = 'failed' AS requeued
+            FROM docs""",
     "requeue_ocr": "SELECT d.id, CASE WHEN f.document_pk IS NOT NULL AND d.ocr_state = 'failed' THEN 'pending' ELSE d.ocr_state END AS ocr_state FROM docs AS d LEFT JOIN (SELECT DISTINCT document_pk FROM failures WHERE stage = 'ocr') AS f ON d.id = f.document_pk",
     "settle_stopping": f"SELECT b.id, CASE WHEN b.state = 'stopping' AND r.batch_id IS NULL THEN 'stopped' ELSE b.state END AS state FROM batches AS b LEFT JOIN (SELECT DISTINCT batch_id FROM docs WHERE overall_state = 'processing' AND {_ANY_RUNNING}) AS r ON b.id = r.batch_id",
     "request_stop": f"""SELECT b.id, CASE b.state WHEN 'queued' THEN 'stopped' WHEN 'running' THEN CASE WHEN r.batch_id IS NULL THEN 'stopped' ELSE 'stopping' END ELSE b.state END AS state, b.state NOT IN ('queued', 'running') AS refused
         FROM batches AS b LEFT JOIN (SELECT DISTINCT batch_id FROM docs WHERE overall_state = 'processing' AND {_ANY_RUNNING}) AS r ON b.id = r.batch_id""",
-    "resume_to_head": """SELECT id, CASE WHEN id IN (9, 3, 15) THEN 'queued' ELSE state END AS state, CASE id WHEN 9 THEN h WHEN 3 THEN h + 1 WHEN 15 THEN h + 2 ELSE queue_position END AS queue_position, CASE WHEN state = 'completed' AND id NOT IN (9, 3, 15) THEN '2024-01-02' END AS finished
+    "resume_to_head": """SELECT id, CASE WHEN id IN (9, 3, 15) THEN 'queued' ELSE state END AS state, CASE id WHEN 9 THEN h WHEN 3 THEN h + 1 WHEN 15 THEN h + 2 ELSE queue_position END AS queue_position,
+            CASE WHEN state = 'completed' AND id NOT IN (9, 3, 15) THEN '2024-01-02' END AS finished
         FROM batches, (SELECT coalesce(min(queue_position), 1) - 3 AS h FROM batches WHERE state IN ('queued', 'running')) AS q""",
-    "mark_stage": """SELECT id, CASE WHEN why IS NOT NULL THEN 'failed' ELSE extract_state END AS extract_state, CASE WHEN why IS NOT NULL THEN 'failed' ELSE overall_state END AS overall_state, coalesce(nullif(why, ''), 'before') AS failure_reason
+    "mark_stage": """SELECT id, CASE WHEN why IS NOT NULL THEN 'failed' ELSE extract_state END AS extract_state,
+            CASE WHEN why IS NOT NULL THEN 'failed' ELSE overall_state END AS overall_state, coalesce(nullif(why, ''),
+            'before') AS failure_reason
         FROM docs LEFT JOIN (SELECT document_pk, arg_max(technical, (created_at, id)) AS why FROM failures WHERE stage = 'extract' GROUP BY document_pk) AS f ON id = document_pk""",
     "finalise_batches": f"SELECT b.id, CASE WHEN b.state = 'running' AND coalesce(p.processing, 0) = 0 THEN 'completed' ELSE b.state END AS state FROM batches AS b LEFT JOIN {_PROGRESS} AS p ON b.id = p.batch_id",
     "fail_stranded": "SELECT id, concat('ocr gave up after ', CAST(ocr_attempts AS VARCHAR(20)), ' attempts') AS reason, 'failed' AS overall_state FROM docs WHERE overall_state = 'processing' AND ocr_state = 'pending' AND ocr_attempts > 2",
     "purge_cascade": "SELECT p.deed, p.relation, p.ordinal FROM parties AS p WHERE NOT EXISTS (SELECT 1 FROM deeds AS d WHERE d.deed = p.deed AND d.deed_date < DATE '1998-01-01')",
     "ttl_purge": "SELECT deed FROM deeds WHERE deed_date >= DATE '1999-06-01' - INTERVAL 30 DAY",
-    "upsert_latest": """SELECT document_pk, id, stage FROM (SELECT *, row_number() OVER (PARTITION BY document_pk ORDER BY newer DESC, created_at DESC, id DESC) AS k FROM (SELECT document_pk, id, stage, created_at, 0 AS newer FROM failures WHERE id % 2 = 0
+    "upsert_latest": """SELECT document_pk, id, stage FROM (SELECT *, row_number() OVER (PARTITION BY document_pk
+            ORDER BY newer DESC, created_at DESC, id DESC) AS k FROM (SELECT document_pk, id, stage, created_at, 0 AS newer
+            FROM failures WHERE id % 2 = 0
         UNION ALL SELECT document_pk, id, stage, created_at, 1 FROM failures WHERE id % 2 <> 0) AS u) AS m WHERE k = 1""",
     "get_or_create_users": "SELECT name FROM (SELECT DISTINCT trim(s_name) AS name FROM supplier UNION SELECT DISTINCT trim(c_name) FROM customer) AS u",
     "delete_guard": f"SELECT b.id, b.state NOT IN ('running', 'stopping') AND r.batch_id IS NULL AS deletable FROM batches AS b LEFT JOIN (SELECT DISTINCT batch_id FROM docs WHERE {_ANY_RUNNING}) AS r ON b.id = r.batch_id",
     "seed_from_ocr": "SELECT id + 2000000 AS id, document_id, 'done' AS ocr_state, 'pending' AS extract_state, 'processing' AS overall_state FROM docs WHERE ocr_state = 'done'",
-    "ocr_outcomes": f"""SELECT id, CASE WHEN ocr_state <> 'failed' THEN 'OCR_P' WHEN is_retryable IS DISTINCT FROM false AND ocr_attempts <= 1 AND (validation_status IS NULL OR validation_status NOT IN {_CORRUPT}) THEN 'retry' ELSE 'OCR_F' END AS outcome FROM docs""",
+    "ocr_outcomes": f"""SELECT id, CASE WHEN ocr_state <> 'failed' THEN 'OCR_P' WHEN is_retryable IS DISTINCT
+            FROM false AND ocr_attempts <= 1 AND (validation_status IS NULL OR validation_status NOT IN {_CORRUPT}) THEN 'retry' ELSE 'OCR_F' END AS outcome
+            FROM docs""",
     "extract_outcomes": "SELECT id, CASE WHEN extract_state = 'done' THEN 'done' WHEN extract_attempts <= 1 THEN 'retry' WHEN value >= 50 THEN 'done_needs_review' ELSE 'failed' END AS outcome FROM docs WHERE ocr_state = 'done'",
-    "pending_translations": """SELECT deed, relation, ordinal, 'name' AS field, 'transliterate' AS operation FROM names WHERE person % 4 IN (0, 1) UNION ALL SELECT deed, relation, ordinal, 'address', 'translate' FROM names WHERE person % 6 = 0""",
+    "pending_translations": """SELECT deed, relation, ordinal, 'name' AS field, 'transliterate' AS operation
+            FROM names WHERE person % 4 IN (0, 1) UNION ALL SELECT deed, relation, ordinal, 'address', 'translate'
+            FROM names WHERE person % 6 = 0""",
     "capabilities": """SELECT id, true AS browse, total_bytes > 0 AS export, total_bytes > 0 AND total_bytes < 800000 AS upload, total_bytes > 0 AND total_bytes < 800000 AND user_key > 5 AS process,
         CASE WHEN total_bytes <= 0 THEN 'database is down' WHEN total_bytes >= 800000 THEN 'disk is full' WHEN user_key <= 5 THEN 'server is down' ELSE '' END AS reason FROM batches""",
     "status_snapshot": "SELECT source, id, hundredths FROM (SELECT batch_id AS source, id, CAST(round(value * 100) AS BIGINT) AS hundredths, row_number() OVER (PARTITION BY batch_id ORDER BY created_at DESC, id DESC) AS k FROM docs) AS s WHERE k = 1",
-    "dashboard": f"""SELECT b.id, b.name, b.state, coalesce(p.total, 0) AS total, coalesce(p.processed, 0) AS processed, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY total_bytes DESC, id) AS k FROM batches) AS b
+    "dashboard": f"""SELECT b.id, b.name, b.state, coalesce(p.total, 0) AS total, coalesce(p.processed, 0) AS processed, k AS place
+            FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY total_bytes DESC, id) AS k
+            FROM batches) AS b
         LEFT JOIN {_PROGRESS} AS p ON b.id = p.batch_id WHERE (b.state IN ('queued', 'running') AND k <= 20) OR (b.state = 'completed' AND k <= 5)""",
     "upload_summary": """SELECT count(*) AS files, CAST(sum(total_bytes) AS BIGINT) AS bytes, count(*) > 1000 AS too_many, sum(total_bytes) > 26843545600 AS too_large,
-        concat_ws(' ', CASE WHEN count(*) > 1000 THEN concat(CAST(count(*) AS VARCHAR), ' files are over the limit of 1000.') END, CASE WHEN sum(total_bytes) > 26843545600 THEN concat(format('{:.1f}', sum(total_bytes) / 1073741824.0E0), ' GB are over the limit of 25 GB.') END, '4 batches are waiting already.') AS messages FROM batches""",
-    "failure_panel": f"""SELECT id, batch_id, f.code, message, greatest(n - 25, 0) AS hidden, can_rerun FROM (SELECT x.*, message, row_number() OVER (PARTITION BY batch_id ORDER BY created_at, id) AS k, count(*) OVER (PARTITION BY batch_id) AS n, bool_or(retryable) OVER (PARTITION BY batch_id) AS can_rerun
+        concat_ws(' ', CASE WHEN count(*) > 1000 THEN concat(CAST(count(*) AS VARCHAR), ' files are over the limit of 1000.') END,
+            CASE WHEN sum(total_bytes) > 26843545600 THEN concat(format('{:.1f}', sum(total_bytes) / 1073741824.0E0),
+            ' GB are over the limit of 25 GB.') END, '4 batches are waiting already.') AS messages FROM batches""",
+    "failure_panel": f"""SELECT id, batch_id, f.code, message, greatest(n - 25, 0) AS hidden, can_rerun
+            FROM (SELECT x.*, message, row_number() OVER (PARTITION BY batch_id ORDER BY created_at, id) AS k, count(*) OVER (PARTITION BY batch_id) AS n, bool_or(retryable) OVER (PARTITION BY batch_id) AS can_rerun
         FROM (SELECT *, {textual.CODE_SQL} AS code FROM failures) AS x JOIN (VALUES {textual.CODES_SQL}) AS c(code, code_stage, message, retryable) ON x.code = c.code) AS f WHERE k <= 25""",
-    "data_view": """SELECT d.deed, p.relation, p.ordinal, p.name, coalesce(concat_ws(', ', CASE WHEN p.deed IS NOT NULL AND aadhaar IS NULL AND pan IS NULL THEN 'NO_ID' END, CASE WHEN name = '-' THEN 'NO_NAME' END), '') AS flags
+    "data_view": """SELECT d.deed, p.relation, p.ordinal, p.name, coalesce(concat_ws(', ', CASE WHEN p.deed IS NOT NULL AND aadhaar IS NULL AND pan IS NULL THEN 'NO_ID' END,
+            CASE WHEN name = '-' THEN 'NO_NAME' END), '') AS flags
         FROM (SELECT deed FROM deeds ORDER BY deed LIMIT 100 OFFSET 100) AS d LEFT JOIN parties AS p ON d.deed = p.deed""",
-    "settings_merge": """SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'Yes' ELSE 'no' END AS value, n_nationkey % 2 = 0 AS "on" FROM nation UNION ALL SELECT r_name, '1', true FROM region""",
-    "stage_concurrency": """SELECT p_partkey, CAST(greatest(1, floor(least(greatest(1, p_size % 17 - 1), floor(greatest(0, CAST(p_size * 40000000 AS BIGINT) - 536870912) / 50331648.0E0)) * CASE WHEN p_size > 40 THEN 1.0E0 WHEN p_size > 20 THEN 0.5E0 WHEN p_size > 10 THEN 0.25E0 ELSE 0.0E0 END)) AS BIGINT) AS slots FROM part""",
+    "settings_merge": """SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'Yes' ELSE 'no' END AS value, n_nationkey % 2 = 0 AS "on"
+            FROM nation UNION ALL SELECT r_name, '1', true FROM region""",
+    "stage_concurrency": """SELECT p_partkey, CAST(greatest(1, floor(least(greatest(1, p_size % 17 - 1),
+            floor(greatest(0, CAST(p_size * 40000000 AS BIGINT) - 536870912) / 50331648.0E0)) * CASE WHEN p_size > 40 THEN 1.0E0 WHEN p_size > 20 THEN 0.5E0 WHEN p_size > 10 THEN 0.25E0 ELSE 0.0E0 END)) AS BIGINT) AS slots
+            FROM part""",
     "run_faults": f"SELECT document, field, verdict FROM {_COMPARED} AS c WHERE verdict NOT IN ('same', 'same_text') ORDER BY document, field LIMIT 40",
     "run_missing": "SELECT DISTINCT document FROM first_run WHERE document % 17 = 0",
-    "requeue_batches": """SELECT b.id, CASE WHEN r.batch_id IS NOT NULL AND state IN ('stopped', 'completed', 'draft') THEN 'queued' ELSE state END AS state, CASE WHEN r.batch_id IS NOT NULL AND state IN ('stopped', 'completed', 'draft') THEN (SELECT max(queue_position) + 1 FROM batches WHERE state IN ('queued', 'running')) ELSE queue_position END AS queue_position
+    "requeue_batches": """SELECT b.id, CASE WHEN r.batch_id IS NOT NULL AND state IN ('stopped', 'completed', 'draft') THEN 'queued' ELSE state END AS state,
+            CASE WHEN r.batch_id IS NOT NULL AND state IN ('stopped', 'completed', 'draft') THEN (SELECT max(queue_position) + 1
+            FROM batches WHERE state IN ('queued', 'running')) ELSE queue_position END AS queue_position
         FROM batches AS b LEFT JOIN (SELECT DISTINCT batch_id FROM docs WHERE overall_state = 'failed') AS r ON b.id = r.batch_id""",
     "mark_overall": """SELECT id, CASE WHEN why IS NOT NULL THEN 'needs_review' ELSE overall_state END AS overall_state, coalesce(nullif(why, ''), 'before') AS failure_reason
         FROM docs LEFT JOIN (SELECT document_pk, arg_max(technical, (created_at, id)) AS why FROM failures WHERE stage = 'ocr' GROUP BY document_pk) AS f ON id = document_pk""",
-    "stage_bars": " UNION ALL ".join(f"SELECT b.id AS batch_id, '{s}' AS stage, coalesce({s}_done, 0) AS done, coalesce({s}_failed, 0) AS failed, CASE WHEN total > 0 THEN 100.0E0 * ({s}_done + {s}_failed) / total ELSE 0.0E0 END AS percent FROM batches AS b LEFT JOIN {_PROGRESS} AS p ON b.id = p.batch_id" for s in ("ocr", "extract", "translate", "validate")),
+    "stage_bars": " UNION ALL ".join(f"SELECT b.id AS batch_id, '{s}' AS stage, coalesce({s}_done, 0) AS done, coalesce({s}_failed, 0) AS failed, CASE WHEN total > 0 THEN 100.0E0 * ({s}_done + {s}_failed) / total ELSE 0.0E0 END AS percent FROM batches AS b LEFT JOIN {_PROGRESS} AS p ON b.id = p.batch_id" for s in ("ocr",
+        "extract", "translate", "validate")),
     "corrupted_report": f"""SELECT document_id AS document, coalesce(b.name, '') AS batch, concat('/in/', document_id, '.pdf') AS source_filename, validation_status AS pdf_status, '' AS reason, CAST(ocr_attempts AS VARCHAR) AS pages, '1, 3' AS corrupted_pages, validation_status AS error_code, 'no' AS retryable, '1' AS validator, strftime(d.created_at, '%Y-%m-%d %H:%M') AS checked_at
         FROM docs AS d LEFT JOIN batches AS b ON d.batch_id = b.id WHERE validation_status IN {_CORRUPT}""",
     "scheduler_choice": "SELECT id, state, true AS started FROM batches WHERE state = 'queued' ORDER BY queue_position, id LIMIT 1",
     "batch_detail": f"""SELECT d.deed, coalesce(p.ordinal, 0) AS ordinal, coalesce(p.relation, '') AS relation, kind, coalesce(trim(string_split(name, '@')[1]), '') AS name
-        FROM (SELECT deed, coalesce({textual.KIND_SQL('address')}, {textual.KIND_SQL('property_text')}, 'X') AS kind FROM deeds ORDER BY deed LIMIT 10) AS d LEFT JOIN (SELECT * FROM {_FIRST} AS c WHERE copy = 1 AND name <> '-') AS p ON d.deed = p.deed""",
-    "document_texts": """SELECT doc_id, CAST(length(concat('===== PAGE 1 =====', chr(10), regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t]+(\\n|$)', '\\1', 'g'), '(?i)</?[a-z][^<>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g'))) AS INTEGER) AS n_chars FROM documents""",
-    "run_guards": """SELECT id, CASE WHEN state IN ('draft', 'stopped') THEN '' ELSE concat('A batch that is ', state, ' can''t be started.') END AS message, CASE WHEN state IN ('queued', 'running') THEN '' ELSE concat('A batch that is ', state, ' can''t be stopped.') END AS stop_message FROM batches""",
-    "failure_history": """SELECT document_pk, md5(string_agg(concat(strftime(created_at, '%Y-%m-%d %H:%M'), '  ', stage, ' #', CAST(attempt AS VARCHAR), ': ', CASE WHEN trim(technical) = '' THEN 'no detail' ELSE technical END), chr(10) ORDER BY created_at, id)) AS digest, count(*) AS n
+        FROM (SELECT deed, coalesce({textual.KIND_SQL('address')}, {textual.KIND_SQL('property_text')}, 'X') AS kind
+            FROM deeds ORDER BY deed LIMIT 10) AS d LEFT JOIN (SELECT * FROM {_FIRST} AS c WHERE copy = 1 AND name <> '-') AS p ON d.deed = p.deed""",
+    "document_texts": """SELECT doc_id, CAST(length(concat('===== PAGE 1 =====', chr(10), regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+            '[ \\t]+(\\n|$)', '\\1', 'g'), '(?i)</?[a-z][^<>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g'))) AS INTEGER) AS n_chars
+            FROM documents""",
+    "run_guards": """SELECT id, CASE WHEN state IN ('draft', 'stopped') THEN '' ELSE concat('A batch that is ', state, ' can''t be started.') END AS message,
+            CASE WHEN state IN ('queued', 'running') THEN '' ELSE concat('A batch that is ', state, ' can''t be stopped.') END AS stop_message
+            FROM batches""",
+    "failure_history": """SELECT document_pk, md5(string_agg(concat(strftime(created_at, '%Y-%m-%d %H:%M'),
+            '  ', stage, ' #', CAST(attempt AS VARCHAR), ': ', CASE WHEN trim(technical) = '' THEN 'no detail' ELSE technical END),
+            chr(10) ORDER BY created_at, id)) AS digest, count(*) AS n
         FROM (SELECT *, row_number() OVER (PARTITION BY document_pk, stage ORDER BY created_at, id) AS attempt FROM failures) AS f GROUP BY document_pk""",
-    "append_failures": f"""SELECT id, document_pk, stage, x.code, retryable, row_number() OVER (PARTITION BY document_pk, stage ORDER BY created_at, id) AS attempt FROM (SELECT *, {textual.CODE_SQL} AS code FROM failures) AS x JOIN (VALUES {textual.CODES_SQL}) AS c(code, code_stage, message, retryable) ON x.code = c.code""",
+    "append_failures": f"""SELECT id, document_pk, stage, x.code, retryable, row_number() OVER (PARTITION BY document_pk, stage
+            ORDER BY created_at, id) AS attempt FROM (SELECT *, {textual.CODE_SQL} AS code FROM failures) AS x
+            JOIN (VALUES {textual.CODES_SQL}) AS c(code, code_stage, message, retryable) ON x.code = c.code""",
     "seconds_per_document": "SELECT round(avg(h), 4) AS seconds FROM (SELECT CAST(round(value * 100) AS BIGINT) AS h FROM docs ORDER BY created_at DESC, id DESC LIMIT 50) AS l",
     "export_names": "SELECT id, concat(regexp_replace(concat(name, ' / ಮನೆ (1)'), '[^\\p{L}\\p{N}_-]', '_', 'g'), '_failed_20250304_0506.csv') AS file FROM batches",
-    "recovery": """SELECT 'document' AS kind, id, concat(CASE WHEN lost THEN 'failed' WHEN ocr_state = 'running' THEN 'pending' ELSE ocr_state END, '/', CASE extract_state WHEN 'running' THEN 'pending' ELSE extract_state END, '/', CASE WHEN lost THEN 'failed' ELSE overall_state END, '/', CASE WHEN lost THEN 'ocr gave up after 3 attempts' ELSE '' END) AS state
-        FROM (SELECT *, overall_state = 'processing' AND ocr_state = 'pending' AND ocr_attempts = 3 AS lost FROM docs) AS d UNION ALL SELECT 'batch', id, CASE state WHEN 'stopping' THEN 'stopped' ELSE state END FROM batches""",
+    "recovery": """SELECT 'document' AS kind, id, concat(CASE WHEN lost THEN 'failed' WHEN ocr_state = 'running' THEN 'pending' ELSE ocr_state END, '/', CASE extract_state WHEN 'running' THEN 'pending' ELSE extract_state END, '/',
+            CASE WHEN lost THEN 'failed' ELSE overall_state END, '/', CASE WHEN lost THEN 'ocr gave up after 3 attempts' ELSE '' END) AS state
+        FROM (SELECT *, overall_state = 'processing' AND ocr_state = 'pending' AND ocr_attempts = 3 AS lost
+            FROM docs) AS d UNION ALL SELECT 'batch', id, CASE state WHEN 'stopping' THEN 'stopped' ELSE state END
+            FROM batches""",
     "request_run": "SELECT id, CASE WHEN state IN ('draft', 'stopped') THEN 'queued' ELSE state END AS state, state NOT IN ('draft', 'stopped') AS refused FROM batches",
-    "set_states": """SELECT id, CASE state WHEN 'queued' THEN 'running' WHEN 'stopping' THEN 'stopped' ELSE state END AS state, CASE WHEN id % 2 = 0 THEN '2024-01-01' WHEN state = 'queued' THEN '2024-02-01' END AS started, CASE state WHEN 'completed' THEN '2024-01-02' WHEN 'stopping' THEN '2024-02-01' END AS finished FROM batches""",
+    "set_states": """SELECT id, CASE state WHEN 'queued' THEN 'running' WHEN 'stopping' THEN 'stopped' ELSE state END AS state,
+            CASE WHEN id % 2 = 0 THEN '2024-01-01' WHEN state = 'queued' THEN '2024-02-01' END AS started, CASE state WHEN 'completed' THEN '2024-01-02' WHEN 'stopping' THEN '2024-02-01' END AS finished
+            FROM batches""",
     "record_verdicts": "SELECT id, CASE WHEN validation_status = 'VALID' AND overall_state = 'failed' THEN 'PROCESSING_ERROR' ELSE validation_status END AS validation_status, CASE WHEN ocr_attempts = 0 AND validation_status IS NOT NULL THEN 7 ELSE ocr_attempts END AS page_count FROM docs",
     "translate_outcomes": "SELECT deed, CASE WHEN max(CASE WHEN person % 4 IN (0, 1) THEN 1 ELSE 0 END) = 1 THEN 'done' ELSE 'skipped' END AS outcome FROM names GROUP BY deed",
-    "text_gates": """SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'OCR produced no text' WHEN length(trim(text)) < 40 * (doc_id % 40 + 1) THEN concat('only ', CAST(length(trim(text)) AS VARCHAR), ' characters across ', CAST(doc_id % 40 + 1 AS VARCHAR), ' pages: no usable text layer') END AS reason FROM documents""",
-    "translation_tally": """SELECT language, 'script' AS reason, count(*) AS items, count(DISTINCT text) AS texts, count(DISTINCT CASE WHEN language = 'kan_Knda' AND (SELECT count(*) FROM names WHERE person % 4 = 0) > 0 THEN text END) AS hits, count(DISTINCT text) - count(DISTINCT CASE WHEN language = 'kan_Knda' AND (SELECT count(*) FROM names WHERE person % 4 = 0) > 0 THEN text END) AS misses
-        FROM (SELECT text, CASE id % 8 WHEN 0 THEN 'kan_Knda' WHEN 1 THEN 'hin_Deva' WHEN 2 THEN 'tam_Taml' WHEN 3 THEN 'tel_Telu' WHEN 4 THEN 'ben_Beng' WHEN 5 THEN 'mar_Deva' END AS language FROM phrases) AS l WHERE language IS NOT NULL GROUP BY language""",
+    "text_gates": """SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'OCR produced no text' WHEN length(trim(text)) < 40 * (doc_id % 40 + 1) THEN concat('only ', CAST(length(trim(text)) AS VARCHAR),
+            ' characters across ', CAST(doc_id % 40 + 1 AS VARCHAR), ' pages: no usable text layer') END AS reason
+            FROM documents""",
+    "translation_tally": """SELECT language, 'script' AS reason, count(*) AS items, count(DISTINCT text) AS texts, count(DISTINCT
+            CASE WHEN language = 'kan_Knda' AND (SELECT count(*) FROM names WHERE person % 4 = 0) > 0 THEN text END) AS hits, count(DISTINCT text) - count(DISTINCT
+            CASE WHEN language = 'kan_Knda' AND (SELECT count(*) FROM names WHERE person % 4 = 0) > 0 THEN text END) AS misses
+        FROM (SELECT text, CASE id % 8 WHEN 0 THEN 'kan_Knda' WHEN 1 THEN 'hin_Deva' WHEN 2 THEN 'tam_Taml' WHEN 3 THEN 'tel_Telu' WHEN 4 THEN 'ben_Beng' WHEN 5 THEN 'mar_Deva' END AS language
+            FROM phrases) AS l WHERE language IS NOT NULL GROUP BY language""",
     "untranslated_items": "SELECT id FROM phrases WHERE id % 8 < 6 AND id % 3 <> 0",
     "assigned_answers": "SELECT id, CASE id % 3 WHEN 1 THEN concat('EN ', CAST(id AS VARCHAR)) WHEN 2 THEN ' ' END AS translated, CASE WHEN id % 3 <> 1 THEN 'the answer is empty' END AS error FROM phrases",
-    "probe_results": """SELECT id, CASE WHEN total_bytes <= 0 THEN 'down' WHEN state = 'running' AND user_key > 5 THEN 'up' WHEN state IN ('running', 'queued') THEN 'degraded' WHEN user_key > 20 THEN 'down' ELSE 'loading' END AS availability FROM batches""",
-    "pressure_reasons": """SELECT p_partkey, CASE WHEN p_size < 10 THEN concat('Not enough free memory: ', CAST(p_size AS VARCHAR), '.0 GB of 100.0 GB.') WHEN p_partkey % 7 < 2 THEN concat('Graphics memory is full: ', CAST(p_partkey % 7 AS VARCHAR), '.0 GB of 16.0 GB free.')
-        WHEN p_partkey % 5 = 1 THEN 'Only 1.0 GB of disk space is free.' ELSE concat('The server isn''t accepting work (', CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'pressure' END, ').') END AS reason FROM part""",
-    "retention_tally": """WITH b AS (SELECT batch_id, min(deed_date) AS first FROM deeds GROUP BY batch_id), g AS (SELECT batch_id FROM b WHERE first < DATE '1993-01-01'), old AS (SELECT deed FROM deeds WHERE deed_date < DATE '1998-05-02')
-        SELECT 'pages' AS kind, count(*) AS n FROM old UNION ALL SELECT 'logs', count(*) FROM failures WHERE created_at < TIMESTAMP '1998-05-02' UNION ALL SELECT 'batches', count(*) FROM g UNION ALL SELECT 'documents', count(*) FROM deeds WHERE batch_id IN (SELECT batch_id FROM g)
-        UNION ALL SELECT 'batches kept', count(*) FROM b WHERE batch_id NOT IN (SELECT batch_id FROM g) UNION ALL SELECT 'documents kept', count(*) FROM deeds WHERE batch_id NOT IN (SELECT batch_id FROM g)
+    "probe_results": """SELECT id, CASE WHEN total_bytes <= 0 THEN 'down' WHEN state = 'running' AND user_key > 5 THEN 'up' WHEN state IN ('running', 'queued') THEN 'degraded' WHEN user_key > 20 THEN 'down' ELSE 'loading' END AS availability
+            FROM batches""",
+    "pressure_reasons": """SELECT p_partkey, CASE WHEN p_size < 10 THEN concat('Not enough free memory: ', CAST(p_size AS VARCHAR),
+            '.0 GB of 100.0 GB.') WHEN p_partkey % 7 < 2 THEN concat('Graphics memory is full: ', CAST(p_partkey % 7 AS VARCHAR),
+            '.0 GB of 16.0 GB free.')
+        WHEN p_partkey % 5 = 1 THEN 'Only 1.0 GB of disk space is free.' ELSE concat('The server isn''t accepting work (',
+            CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'pressure' END, ').') END AS reason FROM part""",
+    "retention_tally": """WITH b AS (SELECT batch_id, min(deed_date) AS first FROM deeds GROUP BY batch_id),
+            g AS (SELECT batch_id FROM b WHERE first < DATE '1993-01-01'), old AS (SELECT deed FROM deeds
+            WHERE deed_date < DATE '1998-05-02')
+        SELECT 'pages' AS kind, count(*) AS n FROM old UNION ALL SELECT 'logs', count(*) FROM failures
+            WHERE created_at < TIMESTAMP '1998-05-02' UNION ALL SELECT 'batches', count(*) FROM g UNION ALL
+            SELECT 'documents', count(*) FROM deeds WHERE batch_id IN (SELECT batch_id FROM g)
+        UNION ALL SELECT 'batches kept', count(*) FROM b WHERE batch_id NOT IN (SELECT batch_id FROM g)
+            UNION ALL SELECT 'documents kept', count(*) FROM deeds WHERE batch_id NOT IN (SELECT batch_id
+            FROM g)
         UNION ALL SELECT 'pages kept', count(*) FROM deeds WHERE batch_id NOT IN (SELECT batch_id FROM g) AND deed_date >= DATE '1998-05-02'""",
-    "overlays": """SELECT s.doc_id, text, n AS n_pages FROM (SELECT doc_id, text, count(DISTINCT page) AS n FROM (SELECT l_orderkey % 1000 AS doc_id, l_linenumber AS page, concat('For Government Purpose ', l_linestatus) AS text FROM lineitem
+    "overlays": """SELECT s.doc_id, text, n AS n_pages FROM (SELECT doc_id, text, count(DISTINCT page) AS n
+            FROM (SELECT l_orderkey % 1000 AS doc_id, l_linenumber AS page, concat('For Government Purpose ', l_linestatus) AS text
+            FROM lineitem
         UNION ALL SELECT l_orderkey % 1000, l_linenumber, 'ordinary wording R' FROM lineitem WHERE l_returnflag = 'R') AS t GROUP BY doc_id, text) AS s
-        JOIN (SELECT l_orderkey % 1000 AS doc_id, count(DISTINCT l_linenumber) AS pages FROM lineitem GROUP BY l_orderkey % 1000) AS p ON s.doc_id = p.doc_id WHERE n >= greatest(2, floor(pages * 0.6E0))""",
+        JOIN (SELECT l_orderkey % 1000 AS doc_id, count(DISTINCT l_linenumber) AS pages FROM lineitem
+            GROUP BY l_orderkey % 1000) AS p ON s.doc_id = p.doc_id WHERE n >= greatest(2, floor(pages * 0.6E0))""",
     "findings": """SELECT l_orderkey % 500 AS doc_id, CAST(sum(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) AS BIGINT) AS confirmed, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS removable,
         coalesce(array_to_string(list_sort(list_distinct(list(l_linenumber) FILTER (WHERE l_returnflag = 'R'))), ','), '') AS scanned_pages FROM lineitem GROUP BY l_orderkey % 500""",
-    "card_profiles": """WITH c AS (SELECT p_partkey AS id, floor(CAST(p_size AS BIGINT) * 268435456 * 0.92E0) * 0.95E0 AS budget FROM part), r AS (SELECT * FROM (VALUES (1, 24576), (2, 20480), (3, 16384)) AS a(i, context), (VALUES (1, 'f16', 2.0E0), (2, 'q8_0', 1.09E0)) AS b(j, cache, element), (VALUES (1, 'BF16', 16.0E0), (2, 'Q8_0', 8.5E0), (3, 'Q6_K', 6.6E0), (4, 'Q5_K_M', 5.8E0), (5, 'Q4_K_M', 5.1E0)) AS d(k, weights, bits)),
-        n AS (SELECT i, j, k, context, cache, weights, s, floor((5 * context * s + 29 * least(context * s, 1024)) * 2 * 4 * 256 * element) + floor(3900000000 * bits / 8) + 734003200 + (s - 1) * 67108864 AS need FROM r, (VALUES (1), (2), (3), (4)) AS q(s)),
+    "card_profiles": """WITH c AS (SELECT p_partkey AS id, floor(CAST(p_size AS BIGINT) * 268435456 * 0.92E0) * 0.95E0 AS budget
+            FROM part), r AS (SELECT * FROM (VALUES (1, 24576), (2, 20480), (3, 16384)) AS a(i, context),
+            (VALUES (1, 'f16', 2.0E0), (2, 'q8_0', 1.09E0)) AS b(j, cache, element), (VALUES (1, 'BF16', 16.0E0),
+            (2, 'Q8_0', 8.5E0), (3, 'Q6_K', 6.6E0), (4, 'Q5_K_M', 5.8E0), (5, 'Q4_K_M', 5.1E0)) AS d(k, weights, bits)),
+        n AS (SELECT i, j, k, context, cache, weights, s, floor((5 * context * s + 29 * least(context * s, 1024)) * 2 * 4 * 256 * element) + floor(3900000000 * bits / 8) + 734003200 + (s - 1) * 67108864 AS need
+            FROM r, (VALUES (1), (2), (3), (4)) AS q(s)),
         f AS (SELECT c.id, i, j, k, context, cache, weights, max(s) AS slots, min(s) AS one FROM c JOIN n ON need <= budget GROUP BY c.id, i, j, k, context, cache, weights HAVING min(s) = 1),
         g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i, j, k) AS place FROM f) SELECT c.id, context, cache, weights, slots FROM c LEFT JOIN g ON c.id = g.id AND place = 1""",
-    "card_batches": """SELECT p_partkey, CASE WHEN p_size >= 40 THEN 32 WHEN p_size >= 24 THEN 16 ELSE 4 END AS detector, CASE WHEN p_size >= 40 THEN 256 WHEN p_size >= 24 THEN 64 ELSE 16 END AS recognition, CAST(greatest(0, least(34, floor((CAST(p_size AS BIGINT) * 268435456 - 1000000000) / 150000000.0E0))) AS INTEGER) AS layers FROM part""",
-    "free_memory": """SELECT p_partkey, round(least(1.0E0, (p_size / 2.0E0 + p_partkey % 30) / 50.0E0), 6) AS share, p_size >= 10 OR least(1.0E0, (p_size / 2.0E0 + p_partkey % 30) / 50.0E0) >= 0.08E0 AS admits FROM part""",
+    "card_batches": """SELECT p_partkey, CASE WHEN p_size >= 40 THEN 32 WHEN p_size >= 24 THEN 16 ELSE 4 END AS detector,
+            CASE WHEN p_size >= 40 THEN 256 WHEN p_size >= 24 THEN 64 ELSE 16 END AS recognition, CAST(greatest(0, least(34, floor((CAST(p_size AS BIGINT) * 268435456 - 1000000000) / 150000000.0E0))) AS INTEGER) AS layers
+            FROM part""",
+    "free_memory": """SELECT p_partkey, round(least(1.0E0, (p_size / 2.0E0 + p_partkey % 30) / 50.0E0),
+            6) AS share, p_size >= 10 OR least(1.0E0, (p_size / 2.0E0 + p_partkey % 30) / 50.0E0) >= 0.08E0 AS admits
+            FROM part""",
     "line_boxes": "SELECT l_orderkey, l_linenumber, round(l_quantity / 700.0E0, 5) AS x0, round(l_quantity * 2 / 700.0E0, 5) AS x1, CAST(l_linenumber AS DOUBLE) AS y0, round(l_linenumber * 1.5E0, 5) AS y1, l_partkey, l_suppkey, l_extendedprice FROM lineitem",
     "retryable_verdicts": f"SELECT id, coalesce(validation_status IN {_CORRUPT}, false) AS corrupt, coalesce(validation_status NOT IN {_CORRUPT}, true) AS retryable FROM docs",
     "tool_failures": f"SELECT id, CASE WHEN id % 5 = 0 THEN 'OCR_TIMEOUT' ELSE {textual.CODE_SQL_NO_STAGE} END AS code, stage FROM failures",

@@ -20,8 +20,10 @@ NOISY = """SELECT doc_id, concat(CASE WHEN doc_id % 2 = 0 THEN replace(text, chr
     CASE WHEN doc_id % 3 = 0 THEN concat('  ', chr(10), chr(10), chr(10), chr(10), 'end <b>bold</b> XXXX XXXX 1234') ELSE '' END,
     CASE WHEN doc_id % 5 = 0 THEN concat(chr(10), '==============================') ELSE '' END) AS text FROM documents"""
 #: Money as it is written.
-MONEY = """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN concat(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)), '=00') WHEN 1 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)) WHEN 2 THEN concat('Rs. ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)))
-    WHEN 3 THEN concat('-', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20))) WHEN 4 THEN '=cmd' ELSE '' END AS amount, CAST(floor(o_totalprice) AS BIGINT) AS rupees, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS day FROM orders"""
+MONEY = """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN concat(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)),
+            '=00') WHEN 1 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)) WHEN 2 THEN concat('Rs. ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)))
+    WHEN 3 THEN concat('-', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20))) WHEN 4 THEN '=cmd' ELSE '' END AS amount, CAST(floor(o_totalprice) AS BIGINT) AS rupees, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS day
+            FROM orders"""
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, *inputs: str) -> DataFrame:
@@ -42,7 +44,8 @@ def page_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", cleanup.page_markers(F.regexp_replace("text", "\n", "\f")).alias("text"))
     rows = cleanup.pages(docs)
     again = cleanup.full_text(rows).withColumnRenamed("text", "joined")
-    return docs.join(again, "doc_id", "left").join(rows.groupBy("doc_id").agg(F.count("*").alias("pages")), "doc_id", "left").select("doc_id", "pages", (F.md5("text") == F.md5("joined")).alias("same"))
+    return docs.join(again, "doc_id", "left").join(rows.groupBy("doc_id").agg(F.count("*").alias("pages")), "doc_id",
+        "left").select("doc_id", "pages", (F.md5("text") == F.md5("joined")).alias("same"))
 
 
 def fit_to_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,8 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("amount")
     return _view(spark, sf_dir, MONEY, "orders").select(
-        "id", values.cell(a).alias("cell"), values.amount(a).alias("rupees"), values.all_digits(a).alias("all_digits"), values.consideration(a).cast("bigint").alias("consideration"), values.day_first(F.col("day")).alias("day_first"))
+        "id", values.cell(a).alias("cell"), values.amount(a).alias("rupees"), values.all_digits(a).alias("all_digits"),
+            values.consideration(a).cast("bigint").alias("consideration"), values.day_first(F.col("day")).alias("day_first"))
 
 
 def stamp_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +88,18 @@ def property_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def party_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parties(spark, sf_dir).select("deed", "relation", "ordinal", classify.person_type(F.col("pan"), F.lit(""), F.col("gender")).alias("person_type"), classify.identification_type(F.col("pan"), F.col("aadhaar")).alias("id_type"),
+    return _parties(spark, sf_dir).select("deed", "relation", "ordinal",
+        classify.person_type(F.col("pan"), F.lit(""), F.col("gender")).alias("person_type"),
+        classify.identification_type(F.col("pan"), F.col("aadhaar")).alias("id_type"),
         classify.address_type(F.col("address"), F.col("pan")).alias("address_type"), values.primary_name(F.col("name")).alias("primary_name"), values.pan_valid(F.col("pan")).alias("pan_valid"))
 
 
 def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every party of every deed in 42 columns."""
     d = F.col("deed")
-    deeds = _deeds(spark, sf_dir).select("deed", d.alias("serial"), "deed_date", F.concat(F.lit("ABC-1-"), F.lpad((d % 100000).cast("string"), 5, "0"), F.lit("-2025-26")).alias("identity"), "paise", "property_text", "address", F.lit("Karnataka").alias("state"), F.floor(F.col("paise") / 10000).cast("bigint").alias("stamp"))
+    deeds = _deeds(spark, sf_dir).select("deed", d.alias("serial"), "deed_date",
+        F.concat(F.lit("ABC-1-"), F.lpad((d % 100000).cast("string"), 5, "0"), F.lit("-2025-26")).alias("identity"), "paise", "property_text",
+        "address", F.lit("Karnataka").alias("state"), F.floor(F.col("paise") / 10000).cast("bigint").alias("stamp"))
     return export.rows(deeds, _parties(spark, sf_dir))
 
 
@@ -134,7 +142,8 @@ def failure_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return _view(spark, sf_dir, VIEWS["phrases"], "documents").select(F.col("id").alias("doc_id"), language.script(t).alias("script"), language.language(t).alias("language"), language.needs_translation(t).alias("translate"))
+    return _view(spark, sf_dir, VIEWS["phrases"], "documents").select(F.col("id").alias("doc_id"), language.script(t).alias("script"),
+        language.language(t).alias("language"), language.needs_translation(t).alias("translate"))
 
 
 def names_in_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +158,10 @@ def numbered_documents(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     number = lambda n, y: F.concat(F.lit("ABC-1-"), (d + n).cast("string"), F.lit(f"-{y}-{(y + 1) % 100}"))
     wanted = F.when(d % 3 != 0, F.when(d % 5 == 0, number(40000, 2025)).otherwise(number(10000, 2025)))
-    return documents.select("doc_id", wanted.alias("wanted"), F.concat_ws("\n", F.lit("===== PAGE 1 ====="), F.when(d % 3 != 0, F.concat(F.lit("document number "), number(10000, 2025))), F.when(d % 4 == 0, F.concat(F.lit("vide doc "), number(20000, 2019))), F.col("text")).alias("text"), F.concat(F.lit("/in/"), F.when(d % 6 == 0, number(30000, 2024)).otherwise(d.cast("string")), F.lit(".pdf")).alias("source"))
+    return documents.select("doc_id", wanted.alias("wanted"),
+        F.concat_ws("\n", F.lit("===== PAGE 1 ====="), F.when(d % 3 != 0, F.concat(F.lit("document number "), number(10000, 2025))),
+        F.when(d % 4 == 0, F.concat(F.lit("vide doc "), number(20000, 2019))), F.col("text")).alias("text"),
+        F.concat(F.lit("/in/"), F.when(d % 6 == 0, number(30000, 2024)).otherwise(d.cast("string")), F.lit(".pdf")).alias("source"))
 
 
 def identified(documents: DataFrame) -> DataFrame:
@@ -165,14 +177,20 @@ def grounding_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     pan = F.concat(F.lit("ABCPE"), F.lpad((d % 10000).cast("string"), 4, "0"), F.lit("K"))
     aadhaar = (F.lit(200000000000) + d).cast("string")
-    docs = table(spark, sf_dir, "documents").select("doc_id", pan.alias("pan"), aadhaar.alias("aadhaar"), F.lit("SELLER NAME").alias("name"), F.concat(F.when(d % 3 == 0, pan).otherwise(F.lit("")), F.lit(" "), F.when(d % 2 == 0, F.regexp_replace(aadhaar, r"(\d{4})", "$1 ")).otherwise(F.lit("")), F.lit(" SELLER NAME sold for 15,00,000=00 registration fee: 200.00 "), F.col("text")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", pan.alias("pan"), aadhaar.alias("aadhaar"),
+        F.lit("SELLER NAME").alias("name"), F.concat(F.when(d % 3 == 0, pan).otherwise(F.lit("")), F.lit(" "),
+        F.when(d % 2 == 0, F.regexp_replace(aadhaar, r"(\d{4})", "$1 ")).otherwise(F.lit("")),
+        F.lit(" SELLER NAME sold for 15,00,000=00 registration fee: 200.00 "), F.col("text")).alias("text"))
     t = docs.withColumn("norm", grounding.match_form(F.col("text")))
     flags = grounding.person_flags(F.col("pan"), F.col("aadhaar"), F.col("name"), F.col("text"), F.col("norm"))
     sums = F.array_compact(F.array(F.when(~grounding.amount_in(F.when(d % 5 == 0, "15000000").otherwise("1500000"), F.col("text")), "WRONG_CONSIDERATION")))
     source = grounding.pans_in(F.col("text"))
     covered = grounding.coverage(F.array("pan"), source)
-    out = t.select("doc_id", F.concat(flags, sums).alias("flags"), F.bround(covered, 3).alias("coverage"), F.size(F.array_except(source, F.array("pan"))).alias("unmatched"), grounding.fee_candidates(F.col("text")).alias("fees"))
-    return out.select("doc_id", grounding.remarks(F.col("flags")).alias("remarks"), "coverage", "unmatched", F.array_join("fees", ",").alias("fees"), grounding.disposition(F.lit(True), F.lit(True), F.col("coverage"), F.col("unmatched"), F.col("flags")).alias("disposition"))
+    out = t.select("doc_id", F.concat(flags, sums).alias("flags"), F.bround(covered, 3).alias("coverage"),
+        F.size(F.array_except(source, F.array("pan"))).alias("unmatched"), grounding.fee_candidates(F.col("text")).alias("fees"))
+    return out.select("doc_id", grounding.remarks(F.col("flags")).alias("remarks"), "coverage", "unmatched",
+        F.array_join("fees", ",").alias("fees"), grounding.disposition(F.lit(True), F.lit(True), F.col("coverage"), F.col("unmatched"),
+        F.col("flags")).alias("disposition"))
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +226,8 @@ def mock_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (ocr_cleanup, page_roundtrip, fit_to_context, boilerplate_lines, amounts, stamp_values, indian_amounts, property_codes, party_codes, export_rows_42, column_population, coded_column_violations, untranslated_cells, unpopulated_columns, towns,
+    for f in (ocr_cleanup, page_roundtrip, fit_to_context, boilerplate_lines, amounts, stamp_values, indian_amounts, property_codes,
+        party_codes, export_rows_42, column_population, coded_column_violations, untranslated_cells, unpopulated_columns, towns,
         failure_codes, scripts, names_in_latin, identities, grounding_verdicts, pressure_levels, circuit_breaker, stream_progress, batch_twin, mock_extraction)
 }
 
@@ -230,7 +249,8 @@ KIND_SQL = _KIND
 _TOWN, _VILLAGE = r"municipal|corporation|\bBBMP\b", r"grama\s*panchayat|gram\s*panchayat|village\s+panchayat"
 _NUMBER = lambda n, y: f"concat('ABC-1-', CAST(doc_id + {n} AS VARCHAR), '-{y}-{(y + 1) % 100}')"
 IDENTITY_SQL = f"""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN {_NUMBER(10000, 2025)} WHEN doc_id % 4 = 0 THEN {_NUMBER(20000, 2019)} WHEN doc_id % 6 = 0 THEN {_NUMBER(30000, 2024)} ELSE '' END AS identity,
-    CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN 0.85E0 WHEN doc_id % 3 <> 0 OR doc_id % 4 = 0 THEN 0.95E0 WHEN doc_id % 6 = 0 THEN 0.6E0 ELSE 0.0E0 END AS confidence, CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS kinds,
+    CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN 0.85E0 WHEN doc_id % 3 <> 0 OR doc_id % 4 = 0 THEN 0.95E0 WHEN doc_id % 6 = 0 THEN 0.6E0 ELSE 0.0E0 END AS confidence,
+            CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS kinds,
     CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 5 = 0 THEN {_NUMBER(40000, 2025)} ELSE {_NUMBER(10000, 2025)} END END AS want FROM documents"""
 _CODE = f"coalesce(CASE validation_status {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in failures.VERDICTS.items())} END, {_first_hit('technical', failures.PATTERNS)}, CASE stage {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in failures.STAGE_CODES.items())} END, 'UNKNOWN_ERROR')"
 CODE_SQL = _CODE
@@ -243,21 +263,31 @@ _GROUP = "CASE WHEN length(r) <= 3 THEN r ELSE concat(reverse(regexp_replace(rev
 
 ORACLES: dict[str, str] = {
     "identities": f"SELECT doc_id, identity, confidence, CAST(kinds AS BIGINT) AS kinds FROM ({IDENTITY_SQL}) AS i",
-    "ocr_cleanup": f"""WITH n AS ({NOISY}), a AS (SELECT doc_id, concat('===== PAGE 1 =====', chr(10), regexp_replace(replace(text, chr(13), ''), '[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F-\\x9F]', '', 'g')) AS t FROM n),
-        b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^[=\\-]{{20,}}[ \\t]*$', '', 'g'), '(?i)</?[a-z][^<>]*>', '', 'g') AS t FROM a), c AS (SELECT doc_id, regexp_replace(t, '(?i)X{{4}}[ -]?X{{4}}[ -]?\\d{{4}}', '', 'g') AS t FROM b)
-        SELECT doc_id, md5(concat(regexp_replace(regexp_replace(regexp_replace(t, '(?m)[ \\t]+$', '', 'g'), '\\n{{3,}}', concat(chr(10), chr(10)), 'g'), '^\\s+|\\s+$', '', 'g'), chr(10))) AS digest FROM c""",
+    "ocr_cleanup": f"""WITH n AS ({NOISY}), a AS (SELECT doc_id, concat('===== PAGE 1 =====', chr(10),
+            regexp_replace(replace(text, chr(13), ''), '[\\x00-\\x08\\x0B\\x0E-\\x1F\\x7F-\\x9F]', '', 'g')) AS t
+            FROM n),
+        b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^[=\\-]{{20,}}[ \\t]*$', '', 'g'),
+            '(?i)</?[a-z][^<>]*>', '', 'g') AS t FROM a), c AS (SELECT doc_id, regexp_replace(t, '(?i)X{{4}}[ -]?X{{4}}[ -]?\\d{{4}}', '', 'g') AS t
+            FROM b)
+        SELECT doc_id, md5(concat(regexp_replace(regexp_replace(regexp_replace(t, '(?m)[ \\t]+$', '', 'g'),
+            '\\n{{3,}}', concat(chr(10), chr(10)), 'g'), '^\\s+|\\s+$', '', 'g'), chr(10))) AS digest
+            FROM c""",
     "page_roundtrip": "SELECT doc_id, CAST(CASE WHEN contains(text, chr(10)) THEN len(string_split(text, chr(10))) ELSE 1 END AS BIGINT) AS pages, true AS same FROM documents",
     "fit_to_context": "SELECT doc_id, md5(CASE WHEN length(text) <= 1000 THEN text ELSE concat(left(text, 595), chr(10), '[...]', chr(10), right(text, 398)) END) AS digest, length(text) > 1000 AS trimmed FROM documents",
-    "boilerplate_lines": """WITH s AS (SELECT doc_id % 50 AS doc_id, doc_id AS page, unnest(string_split(concat('Office of the Registrar', chr(10), text), chr(10))) AS line FROM documents), l AS (SELECT DISTINCT doc_id, page, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM s), t AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY doc_id)
+    "boilerplate_lines": """WITH s AS (SELECT doc_id % 50 AS doc_id, doc_id AS page, unnest(string_split(concat('Office of the Registrar', chr(10),
+            text), chr(10))) AS line FROM documents), l AS (SELECT DISTINCT doc_id, page, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line
+            FROM s), t AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY doc_id)
         SELECT l.doc_id, line, count(*) AS n FROM l JOIN t ON l.doc_id = t.doc_id WHERE length(line) >= 12 GROUP BY l.doc_id, line, pages HAVING count(*) >= greatest(2, pages * 6 // 10)""",
     "amounts": f"""WITH m AS ({MONEY}) SELECT id, {_MONEY_CELL} AS cell, CASE WHEN amount = '=cmd' OR amount = '' THEN NULL WHEN amount LIKE '%=00' THEN rupees WHEN amount LIKE 'Rs%' THEN rupees ELSE rupees END AS rupees,
-        TRY_CAST(nullif(regexp_replace(amount, '[^0-9]', '', 'g'), '') AS BIGINT) AS all_digits, CASE WHEN id % 6 IN (1, 2) THEN rupees WHEN id % 6 = 3 THEN -rupees END AS consideration, strftime(CAST(day AS DATE), '%d-%m-%Y') AS day_first FROM m""",
+        TRY_CAST(nullif(regexp_replace(amount, '[^0-9]', '', 'g'), '') AS BIGINT) AS all_digits, CASE WHEN id % 6 IN (1, 2) THEN rupees WHEN id % 6 = 3 THEN -rupees END AS consideration, strftime(CAST(day AS DATE),
+            '%d-%m-%Y') AS day_first FROM m""",
     "stamp_values": f"WITH m AS ({MONEY}) SELECT id, CAST(floor(rupees * CASE WHEN CAST(day AS DATE) < DATE '1998-06-01' THEN 0.5E0 ELSE 1.0E0 END * 1.5E0 + 0.5E0) AS BIGINT) AS stamp FROM m",
     "indian_amounts": f"WITH m AS ({MONEY}), t AS (SELECT id, CAST(rupees AS VARCHAR) AS r FROM m) SELECT id, CASE WHEN length(r) <= 3 THEN r WHEN length(r) <= 5 THEN concat(left(r, length(r) - 3), ',', right(r, 3)) ELSE concat(left(r, length(r) - 5), ',', substr(r, length(r) - 4, 2), ',', right(r, 3)) END AS grouped FROM t",
     "property_codes": f"""{_with("deeds")} SELECT deed, coalesce({_KIND("coalesce(address, '')")}, {_KIND("property_text")}, 'X') AS property_type,
         CASE WHEN regexp_matches(b, '(?i){_TOWN}') AND NOT regexp_matches(b, '(?i){_VILLAGE}') THEN 'Yes' WHEN regexp_matches(b, '(?i){_VILLAGE}') AND NOT regexp_matches(b, '(?i){_TOWN}') THEN 'No' ELSE '' END AS municipal,
         CASE WHEN address LIKE '%Mysuru%' THEN right(address, 6) ELSE '' END AS pin FROM (SELECT *, concat_ws(' ', address, property_text) AS b FROM deeds) AS d""",
-    "party_codes": f"""{_with("parties")} SELECT deed, relation, ordinal, coalesce(CASE {_HOLDER} {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in classify.HOLDERS.items())} END, CASE WHEN coalesce(gender, '') <> '' THEN 'Individual' END, '') AS person_type,
+    "party_codes": f"""{_with("parties")} SELECT deed, relation, ordinal, coalesce(CASE {_HOLDER} {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in classify.HOLDERS.items())} END,
+            CASE WHEN coalesce(gender, '') <> '' THEN 'Individual' END, '') AS person_type,
         CASE WHEN pan IS NOT NULL THEN 'C' WHEN aadhaar IS NOT NULL THEN 'G' ELSE '' END AS id_type,
         CASE WHEN address = '' THEN '5' WHEN address LIKE 'Registered%' THEN '4' WHEN {_HOLDER} IN ('C', 'F', 'T', 'A', 'B', 'L', 'J', 'G') THEN '3' WHEN regexp_matches(address, '(?i){_WORK}') AND regexp_matches(address, '(?i){_HOME}') THEN '1'
             WHEN regexp_matches(address, '(?i){_WORK}') THEN '3' WHEN regexp_matches(address, '(?i){_HOME}') THEN '2' ELSE '5' END AS address_type,
@@ -268,7 +298,9 @@ ORACLES: dict[str, str] = {
         (['kan_Knda', 'hin_Deva', 'tam_Taml', 'tel_Telu', 'ben_Beng', 'mar_Deva', 'eng_Latn', 'eng_Latn'])[doc_id % 8 + 1] AS language, doc_id % 8 < 6 AS translate FROM documents""",
     "batch_twin": "SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM events GROUP BY user_id, event_type",
     "stream_progress": "SELECT user_id, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM events GROUP BY user_id, event_type",
-    "towns": f"""{_with('deeds')} SELECT deed, CASE deed % {len(PLACES)} WHEN 0 THEN 'Hubli' WHEN 1 THEN 'Kolar' WHEN 2 THEN 'Mandya' ELSE CASE WHEN address LIKE '%Mysuru%' THEN 'Mysuru' WHEN deed % {len(PLACES)} = 3 THEN 'Hosur' WHEN deed % {len(PLACES)} = 5 THEN 'Sira' ELSE '' END END AS town FROM deeds""",
+    "towns": f"""{_with('deeds')} SELECT deed, CASE deed % {len(PLACES)} WHEN 0 THEN 'Hubli' WHEN 1 THEN 'Kolar' WHEN 2 THEN 'Mandya' ELSE
+            CASE WHEN address LIKE '%Mysuru%' THEN 'Mysuru' WHEN deed % {len(PLACES)} = 3 THEN 'Hosur' WHEN deed % {len(PLACES)} = 5 THEN 'Sira' ELSE '' END END AS town
+            FROM deeds""",
     "mock_extraction": "SELECT doc_id, doc_id AS found FROM documents",
 }
 
@@ -283,16 +315,28 @@ _PLACE = f"""CASE WHEN p.address = '' THEN '5' WHEN p.address LIKE 'Registered%'
     WHEN regexp_matches(p.address, '(?i){_WORK}') THEN '3' WHEN regexp_matches(p.address, '(?i){_HOME}') THEN '2' ELSE '5' END"""
 _MONEY = lambda x, whole: f"CASE WHEN {whole} THEN CAST({x} // 100 AS VARCHAR) ELSE concat(CAST({x} // 100 AS VARCHAR), '.', lpad(CAST({x} % 100 AS VARCHAR), 2, '0')) END"
 _TOLD = {
-    1: "CAST(d.deed AS VARCHAR)", 3: "strftime(deed_date, '%d-%m-%Y')", 4: "concat('ABC-1-', lpad(CAST(d.deed % 100000 AS VARCHAR), 5, '0'), '-2025-26')", 5: "coalesce(relation, '')", 6: _MONEY("paise", "paise % 100 = 0"),
+    1: "CAST(d.deed AS VARCHAR)", 3: "strftime(deed_date, '%d-%m-%Y')",
+        4: "concat('ABC-1-', lpad(CAST(d.deed % 100000 AS VARCHAR), 5, '0'), '-2025-26')", 5: "coalesce(relation, '')",
+        6: _MONEY("paise", "paise % 100 = 0"),
     7: f"coalesce({_KIND('d.address')}, {_KIND('property_text')}, 'X')",
     8: f"CASE WHEN regexp_matches(concat_ws(' ', d.address, property_text), '(?i){_TOWN}') THEN CASE WHEN regexp_matches(concat_ws(' ', d.address, property_text), '(?i){_VILLAGE}') THEN '' ELSE 'Yes' END WHEN regexp_matches(concat_ws(' ', d.address, property_text), '(?i){_VILLAGE}') THEN 'No' ELSE '' END",
-    9: "coalesce(d.address, '')", 10: "CASE WHEN d.address LIKE '%Mysuru%' THEN 'Mysuru' ELSE '' END", 11: "CASE WHEN d.address LIKE '%Mysuru%' THEN right(d.address, 6) ELSE '' END", 12: "'Karnataka'", 13: "'IN'", 14: "CAST(paise // 10000 AS VARCHAR)",
-    16: "coalesce(relation, '')", 17: "CASE WHEN p.deed IS NULL THEN '' ELSE " + _MONEY("(paise // n + CASE WHEN i <= paise % n THEN 1 ELSE 0 END)", "paise % (100 * n) = 0") + " END", 18: "coalesce(trim(string_split(name, '@')[1]), '')", 19: f"CASE WHEN p.deed IS NULL THEN '' ELSE {_PERSON} END",
-    20: "coalesce(gender, '')", 21: "coalesce(father, '')", 22: "coalesce(pan, '')", 23: "coalesce(aadhaar, '')", 25: "CASE WHEN pan IS NOT NULL THEN 'C' WHEN aadhaar IS NOT NULL THEN 'G' ELSE '' END", 28: "CASE WHEN p.deed IS NULL THEN '' ELSE 'IN' END",
-    29: f"CASE WHEN p.deed IS NULL THEN '5' ELSE {_PLACE} END", 30: "coalesce(p.address, '')", 31: "CASE WHEN p.deed IS NOT NULL AND d.address LIKE '%Mysuru%' THEN 'Mysuru' ELSE '' END", 32: "CASE WHEN p.address LIKE '%570001' THEN '570001' WHEN p.address LIKE '%560 015' THEN '560015' ELSE '' END", 34: "CASE WHEN p.deed IS NULL THEN '' ELSE 'IN' END",
+    9: "coalesce(d.address, '')", 10: "CASE WHEN d.address LIKE '%Mysuru%' THEN 'Mysuru' ELSE '' END",
+        11: "CASE WHEN d.address LIKE '%Mysuru%' THEN right(d.address, 6) ELSE '' END", 12: "'Karnataka'", 13: "'IN'",
+        14: "CAST(paise // 10000 AS VARCHAR)",
+    16: "coalesce(relation, '')", 17: "CASE WHEN p.deed IS NULL THEN '' ELSE " + _MONEY("(paise // n + CASE WHEN i <= paise % n THEN 1 ELSE 0 END)",
+        "paise % (100 * n) = 0") + " END", 18: "coalesce(trim(string_split(name, '@')[1]), '')",
+        19: f"CASE WHEN p.deed IS NULL THEN '' ELSE {_PERSON} END",
+    20: "coalesce(gender, '')", 21: "coalesce(father, '')", 22: "coalesce(pan, '')", 23: "coalesce(aadhaar, '')",
+        25: "CASE WHEN pan IS NOT NULL THEN 'C' WHEN aadhaar IS NOT NULL THEN 'G' ELSE '' END",
+        28: "CASE WHEN p.deed IS NULL THEN '' ELSE 'IN' END",
+    29: f"CASE WHEN p.deed IS NULL THEN '5' ELSE {_PLACE} END", 30: "coalesce(p.address, '')",
+        31: "CASE WHEN p.deed IS NOT NULL AND d.address LIKE '%Mysuru%' THEN 'Mysuru' ELSE '' END",
+        32: "CASE WHEN p.address LIKE '%570001' THEN '570001' WHEN p.address LIKE '%560 015' THEN '560015' ELSE '' END",
+        34: "CASE WHEN p.deed IS NULL THEN '' ELSE 'IN' END",
 }
 _REPORT = f"{_with('deeds', 'parties')}, {_PLACED}, report AS (SELECT d.deed, coalesce(ordinal, 0) AS ordinal, {', '.join(f'{_TOLD.get(k, chr(39) * 2)} AS c{k:02d}' for k in range(1, 43))} FROM deeds AS d LEFT JOIN placed AS p ON d.deed = p.deed)"
-_FILLED = " UNION ALL ".join(f"SELECT '{c.replace(chr(39), chr(39) * 2)}' AS \"column\", CAST(sum(CASE WHEN trim(c{k:02d}) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS filled, round(100.0E0 * sum(CASE WHEN trim(c{k:02d}) <> '' THEN 1 ELSE 0 END) / greatest(count(*), 1), 2) AS percent FROM report" for k, c in enumerate(export.COLUMNS, 1))
+_FILLED = " UNION ALL ".join(f"SELECT '{c.replace(chr(39), chr(39) * 2)}' AS \"column\", CAST(sum(CASE WHEN trim(c{k:02d}) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS filled, round(100.0E0 * sum(CASE WHEN trim(c{k:02d}) <> '' THEN 1 ELSE 0 END) / greatest(count(*), 1), 2) AS percent FROM report" for k,
+    c in enumerate(export.COLUMNS, 1))
 _WHY = " ".join(f"WHEN '{c.replace(chr(39), chr(39) * 2)}' THEN '{w}'" for c, w in export.UNFILLED.items())
 ORACLES |= {
     "export_rows_42": f"{_REPORT} SELECT * FROM report",
@@ -300,23 +344,35 @@ ORACLES |= {
     "unpopulated_columns": f"{_REPORT} SELECT \"column\", CASE \"column\" {_WHY} ELSE 'not found in the deeds' END AS reason FROM ({_FILLED}) AS f WHERE filled = 0",
     "coded_column_violations": f"{_REPORT} SELECT 'Property Type' AS \"column\", 'Q' AS value, count(*) AS n FROM report WHERE deed % 10 = 0 HAVING count(*) > 0",
     "untranslated_cells": f"{_REPORT} SELECT 'Property Address' AS \"column\", concat('ಮನೆ ', CAST(min(deed) AS VARCHAR)) AS value FROM report WHERE deed % 7 = 0",
-    "names_in_latin": f"""{_with("parties")} SELECT deed, relation, ordinal, concat_ws(' ', (['ಮಂಜುನಾಥ', 'रमेश कुमार', 'முருகன்', 'రామారావు', 'রহিম', 'ગણેશ', 'Ravi'])[deed % 7 + 1], name) AS name, concat_ws(' ', (['Manjunatha', 'Ramesh Kumar', 'Murukan', 'Ramaravu', 'Rahim', 'Ganesh', 'Ravi'])[deed % 7 + 1], name) AS latin FROM parties""",
-    "grounding_verdicts": """WITH a AS (SELECT doc_id, concat('ABCPE', lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0'), 'K') AS pan, CAST(200000000000 + doc_id AS VARCHAR) AS aadhaar, coalesce(text, '') AS t FROM documents),
-        b AS (SELECT *, concat(CASE WHEN doc_id % 3 = 0 THEN pan ELSE '' END, ' ', CASE WHEN doc_id % 2 = 0 THEN concat(left(aadhaar, 4), ' ', substr(aadhaar, 5, 4), ' ', right(aadhaar, 4), ' ') ELSE '' END, ' SELLER NAME sold for 15,00,000=00 registration fee: 200.00 ', t) AS text FROM a WHERE t IS NOT NULL),
+    "names_in_latin": f"""{_with("parties")} SELECT deed, relation, ordinal, concat_ws(' ', (['ಮಂಜುನಾಥ', 'रमेश कुमार', 'முருகன்', 'రామారావు', 'রহিম', 'ગણેશ', 'Ravi'])[deed % 7 + 1], name) AS name, concat_ws(' ', (['Manjunatha', 'Ramesh Kumar', 'Murukan', 'Ramaravu', 'Rahim', 'Ganesh', 'Ravi'])[deed % 7 + 1], name) AS latin
+            FROM parties""",
+    "grounding_verdicts": """WITH a AS (SELECT doc_id, concat('ABCPE', lpad(CAST(doc_id % 10000 AS VARCHAR),
+            4, '0'), 'K') AS pan, CAST(200000000000 + doc_id AS VARCHAR) AS aadhaar, coalesce(text, '') AS t
+            FROM documents),
+        b AS (SELECT *, concat(CASE WHEN doc_id % 3 = 0 THEN pan ELSE '' END, ' ', CASE WHEN doc_id % 2 = 0 THEN concat(left(aadhaar, 4),
+            ' ', substr(aadhaar, 5, 4), ' ', right(aadhaar, 4), ' ') ELSE '' END, ' SELLER NAME sold for 15,00,000=00 registration fee: 200.00 ', t) AS text
+            FROM a WHERE t IS NOT NULL),
         c AS (SELECT *, list_distinct(regexp_extract_all(upper(text), '\\b[A-Z]{5}[0-9]{4}[A-Z]\\b')) AS source, upper(regexp_replace(text, '[\\s\\-.,:;/\\\\|_()\\[\\]{}]+', '', 'g')) AS norm FROM b),
         d AS (SELECT *, contains(norm, pan) AS pan_there, contains(norm, aadhaar) AS aadhaar_there, doc_id % 5 = 0 AND NOT regexp_matches(text, '(^|[^0-9])1[\\s,]*5[\\s,]*0[\\s,]*0[\\s,]*0[\\s,]*0[\\s,]*0[\\s,]*0($|[^0-9])') AS wrong,
-            CASE WHEN len(source) = 0 THEN 1.0E0 ELSE round_even(CASE WHEN list_contains(source, pan) THEN 1.0E0 ELSE 0.0E0 END / len(source), 3) END AS coverage, CAST(len(list_filter(source, lambda x: x <> pan)) AS INTEGER) AS unmatched FROM c)
-        SELECT doc_id, concat_ws(' ', CASE WHEN pan_there THEN 'PAN_MATCHED' ELSE 'HALLUCINATED_PAN' END, CASE WHEN NOT aadhaar_there THEN 'WRONG_AADHAAR' END, CASE WHEN wrong THEN 'WRONG_CONSIDERATION' END) AS remarks, coverage, unmatched, '200' AS fees,
+            CASE WHEN len(source) = 0 THEN 1.0E0 ELSE round_even(CASE WHEN list_contains(source, pan) THEN 1.0E0 ELSE 0.0E0 END / len(source),
+            3) END AS coverage, CAST(len(list_filter(source, lambda x: x <> pan)) AS INTEGER) AS unmatched
+            FROM c)
+        SELECT doc_id, concat_ws(' ', CASE WHEN pan_there THEN 'PAN_MATCHED' ELSE 'HALLUCINATED_PAN' END,
+            CASE WHEN NOT aadhaar_there THEN 'WRONG_AADHAAR' END, CASE WHEN wrong THEN 'WRONG_CONSIDERATION' END) AS remarks, coverage, unmatched, '200' AS fees,
             CASE WHEN coverage < 0.6E0 AND unmatched >= 2 THEN 'retry' WHEN NOT pan_there OR NOT aadhaar_there OR wrong THEN 'review' ELSE 'accept' END AS disposition FROM d""",
     # folds, a step at a time
-    "pressure_levels": """WITH RECURSIVE e AS (SELECT *, CASE WHEN free <= 0.08E0 THEN 3 WHEN free <= 0.15E0 THEN 2 WHEN free <= 0.25E0 THEN 1 ELSE 0 END AS now, CASE WHEN free <= 0.08E0 + 0.05E0 THEN 3 WHEN free <= 0.15E0 + 0.05E0 THEN 2 WHEN free <= 0.25E0 + 0.05E0 THEN 1 ELSE 0 END AS eased
+    "pressure_levels": """WITH RECURSIVE e AS (SELECT *, CASE WHEN free <= 0.08E0 THEN 3 WHEN free <= 0.15E0 THEN 2 WHEN free <= 0.25E0 THEN 1 ELSE 0 END AS now,
+            CASE WHEN free <= 0.08E0 + 0.05E0 THEN 3 WHEN free <= 0.15E0 + 0.05E0 THEN 2 WHEN free <= 0.25E0 + 0.05E0 THEN 1 ELSE 0 END AS eased
         FROM (SELECT user_id AS source, event_id AS id, ts, event_id * 37 % 100 / 100.0E0 AS free, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) AS s),
-        r AS (SELECT source, id, ts, free, k, now AS level FROM e WHERE k = 1 UNION ALL SELECT e.source, e.id, e.ts, e.free, e.k, CASE WHEN e.now >= r.level THEN e.now ELSE least(r.level, e.eased) END FROM r JOIN e ON e.source = r.source AND e.k = r.k + 1)
+        r AS (SELECT source, id, ts, free, k, now AS level FROM e WHERE k = 1 UNION ALL SELECT e.source, e.id, e.ts, e.free, e.k,
+            CASE WHEN e.now >= r.level THEN e.now ELSE least(r.level, e.eased) END FROM r JOIN e ON e.source = r.source AND e.k = r.k + 1)
         SELECT source, id, ts, free, (['normal', 'elevated', 'high', 'critical'])[level + 1] AS level, level < 3 OR free >= 0.08E0 AS admitted FROM r""",
     "circuit_breaker": """WITH RECURSIVE e AS (SELECT user_id AS source, event_id AS id, ts, event_id % 3 = 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
         r AS (SELECT source, id, ts, ok, k, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS f, CAST(NULL AS TIMESTAMP) AS opened FROM e WHERE k = 1 UNION ALL
-        SELECT source, id, ts, ok, k, state, CASE WHEN state = 'open' THEN f WHEN ok THEN 0 ELSE f + 1 END, CASE WHEN state = 'open' THEN opened WHEN ok THEN NULL WHEN f + 1 >= 2 THEN ts ELSE opened END
-        FROM (SELECT e.source, e.id, e.ts, e.ok, e.k, r.f, r.opened, CASE WHEN r.opened IS NULL THEN 'closed' WHEN epoch(e.ts) - epoch(r.opened) >= 15 THEN 'half_open' ELSE 'open' END AS state FROM r JOIN e ON e.source = r.source AND e.k = r.k + 1) AS n)
+        SELECT source, id, ts, ok, k, state, CASE WHEN state = 'open' THEN f WHEN ok THEN 0 ELSE f + 1 END,
+            CASE WHEN state = 'open' THEN opened WHEN ok THEN NULL WHEN f + 1 >= 2 THEN ts ELSE opened END
+        FROM (SELECT e.source, e.id, e.ts, e.ok, e.k, r.f, r.opened, CASE WHEN r.opened IS NULL THEN 'closed' WHEN epoch(e.ts) - epoch(r.opened) >= 15 THEN 'half_open' ELSE 'open' END AS state
+            FROM r JOIN e ON e.source = r.source AND e.k = r.k + 1) AS n)
         SELECT source, id, ts, ok, state FROM r""",
 }
 

@@ -67,7 +67,9 @@ def rule_settings(rules: dict[str, bool], thresholds: dict[str, str]) -> list[tu
 
 def save_rules(stored: DataFrame, rules: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Stored settings (key, value) after saving rules (key, enabled) and thresholds (key, value); of equal keys the greatest value counts."""
-    new = rules.select(F.concat(F.lit("rule_"), "key").alias("key"), F.when(F.col("enabled"), "true").otherwise("false").alias("value")).unionByName(thresholds.select("key", F.col("value").cast("string").alias("value")))
+    new = rules.select(F.concat(F.lit("rule_"), "key").alias("key"),
+        F.when(F.col("enabled"), "true").otherwise("false").alias("value")).unionByName(thresholds.select("key",
+        F.col("value").cast("string").alias("value")))
     return set_values(stored, new.groupBy("key").agg(F.max("value").alias("value")))
 
 

@@ -28,7 +28,9 @@ def people(pans: Column, aadhaars: Column, side: str) -> Column:
     def one(x: Column, i: Column) -> Column:
         shown = lambda v: F.coalesce(v, F.lit("None"))
         mark = F.upper(F.substring(F.sha2(F.concat(F.lit(side), shown(x["pan"]), shown(x["aadhaar"]), i.cast("string")), 256), 1, 6))
-        return F.struct(F.concat(F.lit(f"MOCK {side}"), (i + 1).cast("string"), F.lit(" "), mark).alias("name"), none.alias("gender"), none.alias("father_name"), x["aadhaar"].alias("aadhaar_number"), x["pan"].alias("pan_card_number"), none.alias("address"), F.lit(STATE).alias("state"))
+        return F.struct(F.concat(F.lit(f"MOCK {side}"), (i + 1).cast("string"), F.lit(" "), mark).alias("name"), none.alias("gender"),
+            none.alias("father_name"), x["aadhaar"].alias("aadhaar_number"), x["pan"].alias("pan_card_number"), none.alias("address"),
+            F.lit(STATE).alias("state"))
 
     return F.transform(F.arrays_zip(pans.alias("pan"), aadhaars.alias("aadhaar")), one)
 

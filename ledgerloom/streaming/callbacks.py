@@ -16,7 +16,8 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 ROWS = "query string, batch long, name string, figures string"
 #: Figures of documents by their state.
-FIGURES: dict[str, Callable[[], Column]] = {"documents": lambda: F.count(F.lit(1)), "failed": lambda: F.count_if(F.col("status") == "failed"), "processed": lambda: F.count_if(F.col("status") == "processed")}
+FIGURES: dict[str, Callable[[], Column]] = {"documents": lambda: F.count(F.lit(1)),
+    "failed": lambda: F.count_if(F.col("status") == "failed"), "processed": lambda: F.count_if(F.col("status") == "processed")}
 
 
 def observed(rows: DataFrame, name: str, figures: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
