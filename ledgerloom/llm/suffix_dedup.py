@@ -81,9 +81,9 @@ BYTES = Rule(number=0, length=LENGTH, least=80, block=32, width=1, across=False)
 WORDS = Rule(number=1, length=51, least=10, block=16, width=8, across=True)
 RULES = {r.number: r for r in (BYTES, WORDS)}
 #: Symbols of one round of window search; a power of two, since places share a word with hashes.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Members of collections that are built together, in whole collections; and of one that isn't built in a task.
-MEMBERS, LARGE = 50_000, 1000
+MEMBERS, LARGE = 20_000, 1000
 #: At most so many collections are large: the bound rises with the number of members.
 LARGE_KEYS = 10_000
 #: Words of more bytes are hashed apart.
