@@ -114,11 +114,14 @@ def boilerplate(lines: DataFrame, least_pages: int = 3, least_chars: int = 12) -
 
 def without_headers(page_rows: DataFrame, key: str = "doc_id", least_pages: int = 3) -> DataFrame:
     """(key, page_number, body) without the lines that recur on most pages of a document."""
-    lines = page_rows.select(key, "page_number", F.posexplode(F.split("body", "\n")).alias("place", "line"))
-    common = boilerplate(lines.select(F.col(key).alias("doc_id"), F.col("page_number").alias("page"), "line"), least_pages).select(F.col("doc_id").alias(key), F.col("line").alias("_bare"))
-    kept = lines.withColumn("_bare", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).join(common, [key, "_bare"], "left_anti")
-    bodies = kept.groupBy(key, "page_number").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "line")))["line"], "\n").alias("body"))
-    return page_rows.select(key, "page_number").join(bodies, [key, "page_number"], "left").withColumn("body", F.coalesce("body", F.lit("")))
+    lines = page_rows.select(key, "page_number", F.explode(F.split("body", "\n")).alias("line"))
+    common = boilerplate(lines.select(F.col(key).alias("doc_id"), F.col("page_number").alias("page"), "line"), least_pages)
+    # a line of six tenths of the pages: a document has few more of them than a page has lines
+    lists = common.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("line").alias("_common"))
+    none = F.array().cast("array<string>")
+    kept = F.filter(F.split("body", "\n"), lambda x: ~F.array_contains(F.coalesce("_common", none), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+    found = page_rows.join(lists, F.col(key) == F.col("_key"), "left")
+    return found.select(key, "page_number", F.coalesce(F.array_join(kept, "\n"), F.lit("")).alias("body"))
 
 
 def composed(t: Column) -> Column:
