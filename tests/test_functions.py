@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,7 +84,9 @@ def test_failure_code(spark, text, want):
 
 @pytest.mark.parametrize(("text", "want"), [('```json\n{"a": 1}\n``` done', '{"a": 1}'), ('{"a":"}{"} tail', '{"a": "}{"}'), ('{"a":1}{"b":2}', '{"a": 1}'), ('{"a": ', None), (None, None)])
 def test_first_json(spark, text, want):
-    assert one(spark, grounding.first_json(F.col("t")), t=(text, "string")) == want
+    found = one(spark, grounding.first_json(F.col("t")), t=(text, "string"))
+    # objects are compared: Spark's parser writes them without spaces, Python's with
+    assert (found and json.loads(found)) == (want and json.loads(want))
 
 
 def test_grounding(spark):
