@@ -147,7 +147,7 @@ def upload_page(files: DataFrame, queued: int = 0, shown: int = 200) -> tuple[Da
 def processing_page(progressed: DataFrame) -> DataFrame:
     """Per batch: finished of all documents as a line and in whole percent, and how many are still to come."""
     done = F.col("processed") + F.col("failed") + F.col("needs_review")
-    share = F.when(F.col("total") > 0, F.lit(100.0) * done / F.col("total")).otherwise(0.0)
+    share = F.when(F.col("total") > 0, F.bround(F.lit(100.0) * done / F.col("total"), 1)).otherwise(0.0)  # halves to even
     return progressed.select("batch_id", "total", done.alias("finished"),
         values.whole_percent(done, F.col("total")).alias("overall_percent"),
         F.format_string("%d / %d (%.1f%%)", done, "total", share).alias("readout"), F.greatest(F.col("total") - done, F.lit(0)).alias("in_queue"))
