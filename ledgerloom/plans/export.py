@@ -55,7 +55,7 @@ def rows(deeds: DataFrame, parties: DataFrame) -> DataFrame:
         "_serial": c("serial").cast("string"), "_date": values.day_first(c("deed_date").cast("string")),
             "_identity": values.cell(c("identity")), "_amount": values.cell(amount), "_kind": classify.property_type(c("address"), c("property_text")),
         "_limits": classify.municipal_limits(c("address"), c("property_text")), "_address": values.cell(c("address")),
-            "_city": e(city_town(c("address"))), "_code": values.pin_code(c("address")), "_state": values.cell(c("state")),
+            "_city": e(city_town(c("address"))), "_code": values.pin_code(c("address"), own=c("deed")), "_state": values.cell(c("state")),
             "_stamp": values.cell(c("stamp").cast("string")),
     }
     joined = deeds.select("deed", *[v.alias(k) for k, v in of_deed.items()]).join(person, "deed", "left")

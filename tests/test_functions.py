@@ -165,3 +165,11 @@ def test_own_number_is_no_pin_code(spark):
     assert one(spark, values.pin_code(F.col("t"), own=F.col("n")), **given) == ""
     assert one(spark, values.pin_code(F.col("t")), **given) == "150000"
     assert one(spark, values.pin_code(F.lit("No. 150000, Mysuru - 560001"), own=F.lit(150000)), **given) == "560001"
+
+
+def test_report_takes_no_deed_for_a_pin_code(spark):
+    from ledgerloom.plans import export
+
+    deeds = spark.sql("SELECT 150001L AS deed, 1 AS serial, DATE '2025-01-01' AS deed_date, '' AS identity, 100L AS paise, '' AS property_text, 'Hobli, 150001' AS address, '' AS state, 1L AS stamp")
+    parties = spark.sql("SELECT 150001L AS deed, 'S' AS relation, 1 AS ordinal, 1L AS person, 'A' AS name, '' AS aadhaar, '' AS pan, '' AS gender, '' AS father, '' AS address")
+    assert export.rows(deeds, parties).first()["Postal Code"] == ""
