@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # The number's form, and words before it that speak for or against it.
-CANONICAL = r"^[A-Z]{2,4}-\d-\d{5}-\d{4}-\d{2}$"
-FORM = r"\b([A-Z0-9]{2,4})\s*[-–—.]\s*(\d)\s*[-–—.]\s*(\d{4,6})\s*[-–—.]\s*(\d{4})\s*[-–—.]\s*(\d{2})\b"
+CANONICAL = r"^[A-Z]{2,4}-\d-(?:\d{5}|[1-9]\d{5,8})-\d{4}-\d{2}$"
+FORM = r"\b([A-Z0-9]{2,4})\s*[-–—.]\s*(\d)\s*[-–—.]\s*(\d{4,9})\s*[-–—.]\s*(\d{4})\s*[-–—.]\s*(\d{2})\b"
 LABELS = ("ದಸ್ತಾವೇಜು ಸಂಖ್ಯೆ", "ದಸ್ತಾವೇಜು ಸಂ", "ನಂಬರ", "ದಸ್ತಾವೇಜು ಕ್ರಮಾಂಕ", "ಪುಸ್ತಕದ ದಸ್ತಾವೇಜು", "ನೋಂದಾಯಿಸಿ", "ನೋಂದಣಾಧಿಕಾರಿ", "document number", "document no", "doc number")
 PRIOR = ("vide doc", "vide document", "registered as document", "registered as doc", "earlier document", "previous document", "vide no",
     "as per document", "mother deed", "parent document", "ಮೂಲ ದಸ್ತಾವೇಜು")
@@ -29,7 +29,7 @@ def candidates(texts: pd.Series) -> pd.Series:
         for m in form.finditer(text or ""):
             office, series, serial, year, tail = m.groups()
             if any(c.isalpha() for c in office):
-                number = str(int(serial))[-5:].zfill(5)
+                number = str(int(serial)).zfill(5)  # significant digits stay, however many
                 out.append({"value": f"{office.translate(letters)}-{series}-{number}-{year}-{tail}", "year": int(year), "position": m.start(), "line": text.count("\n", 0, m.start()) + 1})
         return out
 

@@ -173,3 +173,9 @@ def test_report_takes_no_deed_for_a_pin_code(spark):
     deeds = spark.sql("SELECT 150001L AS deed, 1 AS serial, DATE '2025-01-01' AS deed_date, '' AS identity, 100L AS paise, '' AS property_text, 'Hobli, 150001' AS address, '' AS state, 1L AS stamp")
     parties = spark.sql("SELECT 150001L AS deed, 'S' AS relation, 1 AS ordinal, 1L AS person, 'A' AS name, '' AS aadhaar, '' AS pan, '' AS gender, '' AS father, '' AS address")
     assert export.rows(deeds, parties).first()["Postal Code"] == ""
+
+
+def test_long_serials_keep_their_digits(spark):
+    rows = [(1, "document number ABC-1-100000-2025-26", ""), (2, "document number ABC-1-000123-2025-26", ""), (3, "none", "XYZ-1-1234567-2024-25.pdf"), (4, "ABC-1-100123-2025-26 ABC-1-00123-2025-26", "")]
+    got = {r["doc_id"]: r["identity"] for r in identity.choose(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1: "ABC-1-100000-2025-26", 2: "ABC-1-00123-2025-26", 3: "XYZ-1-1234567-2024-25", 4: ""}
