@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,7 +37,12 @@ def composed(text: Column) -> Column:
 
 def match_form(text: Column) -> Column:
     """Composed, in upper case, without white space and separators."""
-    return F.upper(F.regexp_replace(composed(text), r"(?U)[\s\-.,:;/\\|_()\[\]{}]+", ""))
+    return bare_form(composed(text))
+
+
+def bare_form(text: Column) -> Column:
+    """A composed text in upper case, without white space and separators."""
+    return F.upper(F.regexp_replace(text, r"(?U)[\s\-.,:;/\\|_()\[\]{}]+", ""))
 
 
 @F.pandas_udf(StringType())
@@ -60,13 +66,24 @@ def _first_json_anywhere(texts: pd.Series) -> pd.Series:
     return texts.map(find)
 
 
-def first_json(text: Column) -> Column:
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it; functions over arrays share nothing by themselves."""
+    return F.transform(F.array(value), f)[0]
+
+
+def object_at_brace(text: Column) -> Column:
+    """The object (a variant) that begins at the first brace of an answer; null where none does."""
+    return F.try_parse_json(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*", 0), F.lit("")))
+
+
+def first_json(text: Column, found: Column | None = None) -> Column:
     """The first complete JSON object within a model's answer, as text; null without one.
 
     Spark's parser reads the object that begins at the first brace and stops at its end; only
-    answers that have none there go to Python.
+    answers that have none there go to Python. ``found`` is ``object_at_brace`` of the text,
+    where a column holds it.
     """
-    found = F.try_parse_json(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*", 0), F.lit("")))
+    found = object_at_brace(text) if found is None else found
     return F.coalesce(F.to_json(found), _first_json_anywhere(F.when(found.isNull(), text)))
 
 
@@ -97,10 +114,10 @@ def amount_in(value: Column, raw: Column) -> Column:
 def name_in(name: Column, norm: Column) -> Column:
     """The whole name, or two of its longer words, or its only longer word."""
     words = F.filter(F.split(F.coalesce(name, F.lit("")), r"(?U)\s+"), lambda w: F.length(w) >= 3)
-    bare = lambda w: F.upper(F.regexp_replace(w, r"(?U)[\s\-.,:;/\\|_()\[\]{}]+", ""))
-    hits = F.size(F.filter(words, lambda w: (bare(w) != "") & F.contains(norm, bare(w))))
-    whole = bare(F.coalesce(name, F.lit("")))
-    return ((whole != "") & F.contains(norm, whole)) | (hits >= 2) | ((F.size(words) == 1) & (hits == 1))
+    there = lambda w: let(bare_form(w), lambda b: (b != "") & F.contains(norm, b))
+    hits = lambda ws: F.size(F.filter(ws, there))
+    by_words = let(words, lambda ws: let(hits(ws), lambda n: (n >= 2) | ((F.size(ws) == 1) & (n == 1))))
+    return there(F.coalesce(name, F.lit(""))) | by_words
 
 
 def date_in(value: Column, norm: Column) -> Column:
@@ -117,16 +134,17 @@ def near(pan: Column, aadhaar: Column, text: Column, window: int = NEAR) -> Colu
     spaced = F.array_join(F.split(digits(aadhaar), ""), r"[\s\-.]*")
     upper = F.upper(text)
 
-    def places(subject: Column, pattern: Column) -> Column:
-        found = F.regexp_extract_all(subject, pattern, F.lit(0))
-        parts = F.split(subject, pattern)
+    def places(found: Column, parts: Column) -> Column:
         size = lambda k: F.length(F.get(parts, k)) + F.when(k > 0, F.length(F.get(found, k - 1))).otherwise(0)
         return F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0), lambda s, i: s + size(i)))
 
-    there = lambda subject, pattern: F.when(F.size(F.split(subject, pattern)) > 1, places(subject, pattern))
-    p, a = there(upper, F.upper(pan)), there(text, spaced)
+    def there(subject: Column, pattern: Column) -> Column:
+        found = lambda parts: let(F.regexp_extract_all(subject, pattern, F.lit(0)), lambda f: places(f, parts))
+        return let(F.split(subject, pattern), lambda parts: F.when(F.size(parts) > 1, found(parts)))
+
     usable = (F.coalesce(pan, F.lit("")) != "") & aadhaar_valid(aadhaar)
-    return F.when(usable, F.exists(p, lambda x: F.exists(a, lambda y: F.abs(x - y) <= window)))
+    close = lambda p: let(there(text, spaced), lambda a: F.exists(p, lambda x: F.exists(a, lambda y: F.abs(x - y) <= window)))
+    return F.when(usable, let(there(upper, F.upper(pan)), lambda p: F.when(p.isNotNull(), close(p))))
 
 
 def fee_candidates(text: Column, least: int = FEE_FROM, most: int = FEE_TO) -> Column:

@@ -68,52 +68,65 @@ def _compact(items: list[Column], kind: str) -> Column:
     return F.array_compact(F.array(*items)).cast(f"array<{kind}>")
 
 
-def _person(relation: str, rules: Rules):
-    """For F.transform: what is found about a person; text and norm are columns of the row."""
+def _persons(people: Column, relation: str, rules: Rules) -> Column:
+    """What is found about the persons of a side; text and norm are columns of the row.
+
+    Each step is a pass over the array, so that a value is worked out once and then named.
+    """
     text, norm = F.col("text"), F.col("norm")
 
-    def one(x: Column, i: Column) -> Column:
+    def given(x: Column, i: Column) -> Column:
         pan = F.nullif(F.upper(values.strip(F.coalesce(x["pan_card_number"], F.lit("")))), F.lit(""))
-        aadhaar, name = x["aadhaar_number"], x["name"]
-        pan_fine, pan_there = values.pan_valid(pan), F.contains(norm, pan) if rules.against_text else _none("boolean")
-        own_fine = values.aadhaar_valid(aadhaar)
-        own_there = F.when(own_fine, grounding.aadhaar_in(aadhaar, norm, text)) if rules.against_text else _none("boolean")
-        name_there = grounding.name_in(name, norm) if rules.against_text else _none("boolean")
-        far = grounding.near(pan, aadhaar, text, rules.near) == F.lit(False)
-        lost = ~pan_fine | pan_there.eqNullSafe(F.lit(False))
+        return F.struct((i + 1).alias("ordinal"), x["name"].alias("name"), pan.alias("pan"), x["aadhaar_number"].alias("aadhaar"),
+            values.pan_valid(pan).alias("pan_fine"), values.aadhaar_valid(x["aadhaar_number"]).alias("own_fine"))
+
+    def found(x: Column) -> Column:
+        there = {
+            "pan_there": F.contains(norm, x["pan"]), "own_there": F.when(x["own_fine"], grounding.aadhaar_in(x["aadhaar"], norm, text)),
+            "name_there": grounding.name_in(x["name"], norm),
+        }
+        far = grounding.near(x["pan"], x["aadhaar"], text, rules.near) == F.lit(False)
+        return F.struct(*[x[c].alias(c) for c in ("ordinal", "name", "pan", "aadhaar", "pan_fine", "own_fine")],
+            *[(c if rules.against_text else _none("boolean")).alias(k) for k, c in there.items()], far.alias("far"))
+
+    def told(x: Column) -> Column:
+        name, pan, aadhaar, far = x["name"], x["pan"], x["aadhaar"], x["far"]
+        lost = ~x["pan_fine"] | x["pan_there"].eqNullSafe(F.lit(False))
         checks, flags = [], []
         if rules.pan:
-            checks.append(F.when(pan.isNotNull(), _check("pan", pan, pan_fine, pan_there)))
+            checks.append(F.when(pan.isNotNull(), _check("pan", pan, x["pan_fine"], x["pan_there"])))
             flags.append(F.when(pan.isNotNull(), F.when(lost, FLAGS["HALLUCINATED_PAN"]).otherwise(FLAGS["PAN_MATCHED"])))
         if rules.aadhaar:
-            checks.append(F.when(_given(aadhaar), _check("aadhaar", aadhaar, own_fine, own_there)))
-            flags.append(F.when(_given(aadhaar) & (~own_fine | own_there.eqNullSafe(F.lit(False))), FLAGS["WRONG_AADHAAR"]))
-        checks.append(F.when(_given(name), _check("name", name, F.lit(True), name_there)))
-        flags.append(F.when(_given(name) & name_there.eqNullSafe(F.lit(False)), FLAGS["NAME_NOT_IN_OCR"]))
+            checks.append(F.when(_given(aadhaar), _check("aadhaar", aadhaar, x["own_fine"], x["own_there"])))
+            flags.append(F.when(_given(aadhaar) & (~x["own_fine"] | x["own_there"].eqNullSafe(F.lit(False))), FLAGS["WRONG_AADHAAR"]))
+        checks.append(F.when(_given(name), _check("name", name, F.lit(True), x["name_there"])))
+        flags.append(F.when(_given(name) & x["name_there"].eqNullSafe(F.lit(False)), FLAGS["NAME_NOT_IN_OCR"]))
         checks.append(F.when(far, _check("pan_aadhaar_proximity", _none("string"), F.lit(True), F.lit(False), F.lit(FAR))))
         flags.append(F.when(far, FLAGS["PAN_AADHAAR_FAR"]))
         kept = F.when(pan.isNotNull() & ~lost, pan) if rules.pan else _none("string")
         return F.struct(
-            F.lit(relation).alias("relation"), (i + 1).alias("ordinal"), name.alias("name"), kept.alias("pan"),
+            F.lit(relation).alias("relation"), x["ordinal"].alias("ordinal"), name.alias("name"), kept.alias("pan"),
             F.when(pan.isNotNull() & lost, pan).alias("discarded_pan") if rules.pan else _none("string").alias("discarded_pan"),
             F.array_compact(F.array(*checks)).alias("checks"), F.array_compact(F.array(*flags)).alias("flags"),
         )
 
-    return one
+    return F.transform(F.transform(F.transform(people, given), found), told)
 
 
 def parsed(docs: DataFrame) -> DataFrame:
     """docs: doc_id, answer, text. Adds the first object of the answer: as it is, in the known shape, and its faults."""
-    found = docs.withColumn("object", grounding.first_json(F.col("answer")))
-    return found.withColumns({"x": F.from_json("object", ANSWER), "problems": grounding.shape_problems(F.try_parse_json("object"))})
+    found = docs.withColumn("first", grounding.object_at_brace(F.col("answer")))
+    found = found.withColumn("object", grounding.first_json(F.col("answer"), F.col("first")))
+    whole = F.coalesce("first", F.try_parse_json("object"))
+    return found.withColumns({"x": F.from_json("object", ANSWER), "problems": grounding.shape_problems(whole)}).drop("first")
 
 
 def validate(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
     """docs: doc_id, answer, text, truncated, ocr_ok. A report for each, beside the columns to keep (``x`` is the parsed answer)."""
     clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
-    known = parsed(docs.withColumn("text", clean)).withColumn("norm", grounding.match_form(F.col("text")))
+    known = parsed(docs.withColumn("text", clean)).withColumn("plain", grounding.composed(F.col("text"))).withColumn("norm", grounding.bare_form(F.col("plain")))
     empty = F.array().cast(f"array<{PERSON}>")
-    people = F.concat(*[F.transform(F.coalesce(F.col("x")[key], empty), _person(side, rules)) for side, key in SIDES])
+    people = F.concat(*[_persons(F.coalesce(F.col("x")[key], empty), side, rules) for side, key in SIDES])
     t = known.withColumn("people", people)
     text, norm, prop, date = F.col("text"), F.col("norm"), F.col("x.property_details"), F.col("x.document_details.transaction_date")
     there = lambda fine, found: F.when(fine, found) if rules.against_text else _none("boolean")
@@ -121,13 +134,15 @@ def validate(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()
     number = lambda v: values.digits(v).try_cast("bigint")
 
     sale, fee = prop["sale_consideration"], prop["registration_fee"]
-    sale_fine, fee_fine = digits_only(sale), digits_only(fee)
-    sale_there, fee_there = there(sale_fine, grounding.amount_in(sale, text)), there(fee_fine, grounding.amount_in(fee, text))
-    fees = grounding.fee_candidates(text, rules.fee_from, rules.fee_to)
+    # looked up once, as columns: what follows names them many times
+    t = t.withColumns({"sale_there": there(digits_only(sale), grounding.amount_in(sale, text)), "fee_there": there(digits_only(fee), grounding.amount_in(fee, text)),
+        "date_there": there(values.date_plausible(date), grounding.date_in(date, norm)),
+        "fees": grounding.fee_candidates(text, rules.fee_from, rules.fee_to), "source": grounding.pans_in(F.col("plain"))})
+    sale_fine, fee_fine, sale_there, fee_there = digits_only(sale), digits_only(fee), F.col("sale_there"), F.col("fee_there")
     other = fee_fine & (F.size("fees") > 0) & ~F.array_contains("fees", number(fee))
     fee_score = F.when(other, F.least(grounding.check_score(fee_fine, fee_there), F.lit(OTHER_FEE))).otherwise(grounding.check_score(fee_fine, fee_there))
     date_given, date_fine = _given(date), values.date_plausible(date)
-    date_there = there(date_fine, grounding.date_in(date, norm))
+    date_there = F.col("date_there")
     paid = prop["paid_in_cash"]
     parsed_ok = F.col("object").isNotNull()
     schema_ok = parsed_ok & (F.size("problems") == 0)
@@ -152,10 +167,9 @@ def validate(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()
             date_there)).otherwise(_check("transaction_date", _none("string"), F.lit(False), _none("boolean")))))
         flags.append(F.when(parsed_ok & (~date_given | ~date_fine), FLAGS["WRONG_TXN_DATE"]))
 
-    source = grounding.pans_in(grounding.composed(text))
     claimed = F.array_distinct(F.array_compact(F.flatten(F.array(*[F.transform(F.coalesce(F.col("x")[key], empty),
         lambda p: F.nullif(F.upper(values.strip(F.coalesce(p["pan_card_number"], F.lit("")))), F.lit(""))) for _, key in SIDES]))))
-    t = t.withColumns({"fees": fees, "source": source, "claimed": claimed})
+    t = t.withColumn("claimed", claimed)
     t = t.withColumn("extra_pans", F.when(parsed_ok, F.array_sort(F.array_except("source", F.array_compact(F.transform("people", lambda p: p["pan"]))))).otherwise(F.array().cast("array<string>")))
     t = t.withColumns({"document_checks": F.array_compact(F.array(*checks)), "document_flags": F.array_compact(F.array(*flags)),
         "stamp_value": stamp, "pan_coverage": F.when(parsed_ok, F.bround(grounding.coverage(F.col("claimed"), F.col("source")), 3)).otherwise(0.0)})
@@ -208,9 +222,10 @@ def field_at(path: Column, answer: Column) -> Column:
 
 def flag_rows(report: DataFrame) -> DataFrame:
     """A row a flag: the document's without a person, each person's with relation and ordinal; codes of 12 characters."""
-    of_person = report.select("doc_id", F.inline("persons")).select("doc_id", "relation", F.col("ordinal").cast("int").alias("ordinal"), F.explode("flags").alias("flag"))
-    of_document = report.select("doc_id", F.lit(None).cast("string").alias("relation"), F.lit(None).cast("int").alias("ordinal"), F.explode("document_flags").alias("flag"))
-    return of_document.unionByName(of_person).withColumn("flag", F.left("flag", F.lit(12)))
+    row = lambda relation, ordinal, flag: F.struct(relation.alias("relation"), ordinal.cast("int").alias("ordinal"), F.left(flag, F.lit(12)).alias("flag"))
+    of_document = F.transform("document_flags", lambda f: row(_none("string"), _none("int"), f))
+    of_persons = F.flatten(F.transform("persons", lambda p: F.transform(p["flags"], lambda f: row(p["relation"], p["ordinal"], f))))
+    return report.select("doc_id", F.inline(F.concat(of_document, of_persons)))  # one pass: the report isn't worked out for each kind
 
 
 def outcome(disposition: Column) -> tuple[Column, Column]:

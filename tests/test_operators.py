@@ -389,3 +389,13 @@ def test_attempts_are_replaced_by_later_answers(spark):
     at = datetime.datetime(2024, 1, 1)
     got = D.upsert_attempts(rows((1, 1, 1, at, "a"), (1, 2, 2, at, "b")), rows((1, 2, 3, at, "c"), (1, 2, 4, at, "d"), (2, 1, 5, at, "e")))
     assert sorted((r["document_id"], r["attempt"], r["raw"]) for r in got.collect()) == [(1, 1, "a"), (1, 2, "d"), (2, 1, "e")]
+
+
+def test_flags_take_one_pass_over_the_report(spark):
+    from ledgerloom.operators import validation
+
+    docs = spark.createDataFrame([(1, '{"buyer_details": [{"name": "A B", "pan_card_number": "ABCPE1234K"}]}', "A B", False, True), (2, "none", "", True, True)],
+        "doc_id long, answer string, text string, truncated boolean, ocr_ok boolean")
+    rows = validation.flag_rows(validation.validate(docs))
+    assert {(r["doc_id"], r["relation"], r["ordinal"], r["flag"]) for r in rows.collect()} >= {(1, "B", 1, "HPAN"), (1, None, None, "SCH"), (2, None, None, "TRC")}
+    assert "Union" not in rows._jdf.queryExecution().optimizedPlan().toString()
