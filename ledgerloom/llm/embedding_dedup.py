@@ -3,10 +3,12 @@
 A bounded sample gives reference points (pivots). Every vector is described by its ``NEAR``
 nearest pivots, nearest first. The order says where a vector is posted: in the inverted lists
 of the pairs that its first pivots form (``PAIRS``, by rank), so vectors that differ only in
-what comes later meet, and those whose nearest pivots differ don't. A list longer than
-``LONG`` is split by the permutation's next pivots: its vectors are posted under each of
-their next ``NEXT`` pivots beyond the pair. What meets in a list and shares ``SHARED`` or
-more of its pivots is a candidate, which the cosine in double precision decides.
+what comes later meet, and those whose nearest pivots differ don't. What meets in a list and
+shares ``SHARED`` or more of its pivots is a candidate, which the cosine in double precision
+decides. A list longer than ``LONG`` is split without losing a candidate: its vectors are
+posted under the lowest ``NEXT`` of their pivots beyond the pair, and two that share enough
+pivots beyond the pair have one of these in common. Without pivots beyond the pair a list
+stays whole.
 
 Only numbers travel while lists are counted, split and cut; a vector is read again once its
 lists are known and goes to them directly. Equal vectors (by two 64-bit hashes) are one
@@ -51,8 +53,9 @@ SEED = "pivots-1"
 NEAR, SHARED = 8, 4
 #: Ranks of the pivots whose pairs are the lists that a vector is posted in.
 PAIRS = ((0, 1), (0, 2), (1, 2), (0, 3))
-#: Entries of a list that isn't split, and the next pivots that split it.
-LONG, NEXT = 2048, 3
+#: Entries of a list that isn't split, and the most pivots beyond the pair that split it: sets
+#: of NEAR - 2 with SHARED - 2 or more in common meet in their lowest NEAR - SHARED + 1.
+LONG, NEXT = 2048, NEAR - SHARED + 1
 TILE = 256
 #: Bits of a pivot's number within a list's key: lower, higher, and the next pivot plus 1, or 0.
 BITS = 21
@@ -124,7 +127,8 @@ def describe(vectors: DataFrame, points: dict[int, np.ndarray]) -> DataFrame:
 def _lists(near: str) -> str:
     """SQL: the lists of a description, each a struct of its base key and the next pivots."""
     key = lambda i, j: f"shiftleft(shiftleft(CAST(least({near}[{i}], {near}[{j}]) AS BIGINT), {BITS}) + greatest({near}[{i}], {near}[{j}]), {BITS})"
-    after = lambda i, j: f"slice(array_except({near}, array({near}[{i}], {near}[{j}])), 1, {NEXT})"
+    kept = f"size({near}) - least({SHARED}, size({near})) + 1"
+    after = lambda i, j: f"slice(array_sort(array_except({near}, array({near}[{i}], {near}[{j}]))), 1, {kept})"
     one = lambda k, i, j: f"IF(size({near}) > {j}, struct({k} AS place, {key(i, j)} AS list, {after(i, j)} AS next), NULL)"
     alone = f"struct(0 AS place, shiftleft(shiftleft(CAST({near}[0] AS BIGINT), {BITS}) + {near}[0], {BITS}) AS list, CAST(array() AS ARRAY<INT>) AS next)"
     return f"IF(size({near}) = 1, array({alone}), array_compact(array({', '.join(one(k, i, j) for k, (i, j) in enumerate(PAIRS))})))"
@@ -143,9 +147,9 @@ def keys_of(near: np.ndarray, longs: np.ndarray) -> np.ndarray:
             continue
         base = (np.minimum(big[:, i], big[:, j]) << 2 * BITS) + (np.maximum(big[:, i], big[:, j]) << BITS)
         split = longs >> k & 1 == 1
-        after = [c for c in range(m) if c not in (i, j)][:NEXT]
-        for t, c in enumerate(after):
-            out[:, k * NEXT + t] = np.where(split, base + big[:, c] + 1, -1)
+        after = np.sort(np.delete(big, [i, j], axis=1), axis=1)[:, : m - min(SHARED, m) + 1]
+        for t in range(after.shape[1]):
+            out[:, k * NEXT + t] = np.where(split, base + after[:, t] + 1, -1)
         out[:, k * NEXT] = np.where(split, out[:, k * NEXT], base)
     return out
 
@@ -155,7 +159,8 @@ def posted(merged: DataFrame, scratch: Scratch) -> DataFrame:
     own = ["vec", "h1", "h2"]
     lists = merged.select(*own, F.expr(f"inline({_lists('near')})"))
     counts = lists.groupBy("list").count().filter("count > 1").select("list", (F.col("count") > LONG).alias("long"))
-    keyed = lists.join(counts, "list").withColumn("key", F.explode(F.expr("IF(long, transform(next, c -> list + c + 1), array(list))")))
+    keyed = lists.join(counts, "list").withColumn("long", F.expr("long AND size(next) > 0"))
+    keyed = keyed.withColumn("key", F.explode(F.expr("IF(long, transform(next, c -> list + c + 1), array(list))")))
     keyed = scratch.keep("keyed", keyed.select(*own, "key", F.expr("IF(long, shiftleft(1, place), 0)").alias("bit")))
     tiles = keyed.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     placed = keyed.join(tiles, "key").select(*own, "bit", F.struct("key", F.expr("CAST(pmod(xxhash64(vec, h1), tiles) AS INT) AS tile"), "tiles").alias("place"))

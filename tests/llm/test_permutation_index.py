@@ -78,3 +78,24 @@ def test_awkward_vectors(spark):
     assert got[105]["component_id"] == got[104]["component_id"] == 104 and got[104]["kept"] and not got[105]["kept"]
     assert got[106]["n_links"] == 1 and got[107]["component_id"] == 106 and got[108]["n_links"] == 0
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in (100, 101, 102, 103))
+
+
+def test_split_lists_lose_no_candidate(spark):
+    rng = np.random.default_rng(5)
+    # nearest first, these agree in the pair and in three pivots that come last
+    some = [[0, 1, 2, 3, 4, 5, 6, 7], [0, 1, 8, 9, 10, 5, 6, 7]]
+    some += [[0, 1, *(rng.permutation(9)[:6] + 2)] for _ in range(200)]
+    near = np.array(some)
+    posts = [set(k[k >= 0].tolist()) for k in ed.keys_of(near, np.ones(len(near), np.int64))]
+    assert all(a & b for k, a in enumerate(posts) for j, b in enumerate(posts) if len(set(some[k]) & set(some[j])) >= ed.SHARED)
+    # a split entry's places are those that its keys say
+    rows = spark.createDataFrame([(some[0],)], "near array<int>").selectExpr(f"inline({ed._lists('near')})").collect()
+    told = {r["list"] + c + 1 for r in rows for c in r["next"]}
+    assert told == {k for k in ed.keys_of(near[:1], np.array([15]))[0].tolist() if k >= 0}
+
+
+def test_a_long_list_of_the_only_pivot_stays_whole(spark, monkeypatch):
+    monkeypatch.setattr(ed, "LONG", 4)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.ones((12, 1)), rng.normal(size=(12, 7)) * 0.01], axis=1)
+    assert {r["n_links"] for r in run(spark, x).values()} == {11}
