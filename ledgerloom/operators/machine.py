@@ -29,24 +29,23 @@ def weight_bytes(parameters: Column, bits: Column) -> Column:
     return F.floor(parameters * bits / 8).cast("bigint")
 
 
-def _rungs(spark) -> DataFrame:
-    rows = [(i * 100 + j * 10 + k, context, cache, element, name, bits) for i, context in enumerate(CONTEXTS) for j, (cache, element) in enumerate(CACHES) for k, (name, bits) in enumerate(WEIGHTS)]
-    return spark.createDataFrame(rows, "rung int, context long, cache string, element double, weights string, bits double")
+def _rungs() -> Column:
+    rows = [(context, cache, element, name, bits) for context in CONTEXTS for cache, element in CACHES for name, bits in WEIGHTS]
+    return F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(row, ("context", "cache", "element", "weights", "bits"), strict=True)]) for row in rows])
 
 
 def profiles(cards: DataFrame, overhead: int, per_slot: int, most_used: float = 0.95) -> DataFrame:
     """cards: id, free_bytes and the model's parameters, full_layers, sliding_layers, window, heads, head_size.
 
-    For each card the first settings that fit, and how many sequences at once; null where none fits.
+    For each card the first settings that fit, and how many sequences at once; null where none
+    fits. The thirty settings are tried within the card's row, so nothing is joined or shuffled.
     """
     geometry = ("full_layers", "sliding_layers", "window", "heads", "head_size")
     budget = F.floor(F.col("free_bytes") * (1 - HEADROOM)) * most_used
-    of = lambda context, n: kv_bytes(context * n, *[F.col(c) for c in geometry], F.col("element")) + weight_bytes(F.col("parameters"), F.col("bits")) + overhead + (n - 1) * per_slot
-    # thirty settings against each card
-    tried = cards.crossJoin(F.broadcast(_rungs(cards.sparkSession))).filter(of(F.col("context"), 1) <= budget)
-    first = tried.withColumn("slots", F.coalesce(*[F.when(of(F.col("context"), n) <= budget, n) for n in SLOTS], F.lit(1)))
-    best = first.groupBy("id").agg(F.min_by(F.struct("context", "cache", "weights", "slots"), "rung").alias("p"))
-    return cards.select("id").join(best, "id", "left").select("id", "p.context", "p.cache", "p.weights", "p.slots")
+    of = lambda r, n: kv_bytes(r["context"] * n, *[F.col(c) for c in geometry], r["element"]) + weight_bytes(F.col("parameters"), r["bits"]) + overhead + (n - 1) * per_slot
+    told = cards.withColumn("p", F.get(F.filter(_rungs(), lambda r: of(r, 1) <= budget), 0))
+    slots = F.coalesce(*[F.when(of(F.col("p"), n) <= budget, n) for n in SLOTS], F.when(F.col("p").isNotNull(), 1))
+    return told.select("id", "p.context", "p.cache", "p.weights", slots.alias("slots"))
 
 
 def offloaded_layers(layers: Column, layer_bytes: Column, free: Column, fixed: Column) -> Column:

@@ -399,3 +399,12 @@ def test_flags_take_one_pass_over_the_report(spark):
     rows = validation.flag_rows(validation.validate(docs))
     assert {(r["doc_id"], r["relation"], r["ordinal"], r["flag"]) for r in rows.collect()} >= {(1, "B", 1, "HPAN"), (1, None, None, "SCH"), (2, None, None, "TRC")}
     assert "Union" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cards_are_profiled_within_their_rows(spark):
+    cards = spark.sql("SELECT id AS id, id * 1073741824 AS free_bytes, 3900000000L AS parameters, 5L AS full_layers, 29L AS sliding_layers, 1024L AS window, 4L AS heads, 256L AS head_size FROM range(40)")
+    told = machine.profiles(cards, 700 * machine.MIB, 64 * machine.MIB)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    rows = {r["id"]: r for r in told.collect()}
+    assert len(rows) == 40 and rows[0]["context"] is None and rows[0]["slots"] is None and rows[39]["weights"] == "BF16"
