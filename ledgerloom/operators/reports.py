@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import language, values
 
+#: Rows of a part when two runs are compared.
+PART = 500_000
+
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows of each table, by name."""
@@ -20,11 +23,23 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     """Both: document, field, value. A row a field of documents that both runs have, with a verdict.
 
-    Empty and null are one; values are compared as they are and folded.
+    Empty and null are one; values are compared as they are and folded. Both runs are dealt by
+    document once, into so many parts that one holds about ``PART`` rows whatever the input.
     """
-    both = baseline.select("document").distinct().join(candidate.select("document").distinct(), "document")
-    side = lambda df, name: df.join(both, "document", "left_semi").select("document", "field", F.nullif(values.strip("value"), F.lit("")).alias(name))
-    joined = side(baseline, "old").join(side(candidate, "new"), ["document", "field"], "full_outer")
+    side = lambda df, first: df.filter("document IS NOT NULL").select("document", "field", F.nullif(values.strip("value"), F.lit("")).alias("value"), F.lit(first).alias("first"))
+    parts = max(1, -(-(baseline.count() + candidate.count()) // PART))
+    dealt = side(baseline, True).unionByName(side(candidate, False)).repartition(parts, "document")
+    of = lambda mine: F.collect_list(F.when(mine, F.struct("value")))
+    fields = dealt.groupBy("document", "field").agg(of(F.col("first")).alias("a"), of(~F.col("first")).alias("b"))
+    own = Window.partitionBy("document")
+    both = fields.withColumns({"in_a": F.max(F.size("a") > 0).over(own), "in_b": F.max(F.size("b") > 0).over(own)}).filter("in_a AND in_b")
+    pair = lambda a, b: F.struct(a["value"].alias("old"), b["value"].alias("new"))
+    none = F.lit(None).cast(fields.schema["a"].dataType.elementType)
+    left, right = F.transform("a", lambda a: pair(a, none)), F.transform("b", lambda b: pair(none, b))
+    met = F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: pair(a, b))))
+    # a field without a name is no other's field
+    pairs = F.when(F.col("field").isNull() | (F.size("a") == 0) | (F.size("b") == 0), F.concat(left, right)).otherwise(met)
+    joined = both.select("document", "field", F.inline(pairs))
     old, new = F.col("old"), F.col("new")
     verdict = F.when(old.eqNullSafe(new), "same").when(old.isNull(), "added").when(new.isNull(), "lost").when(values.fold(old) == values.fold(new), "same_text").otherwise("changed")
     return joined.withColumn("verdict", verdict)

@@ -408,3 +408,13 @@ def test_cards_are_profiled_within_their_rows(spark):
     assert "Join" not in plan and "Aggregate" not in plan
     rows = {r["id"]: r for r in told.collect()}
     assert len(rows) == 40 and rows[0]["context"] is None and rows[0]["slots"] is None and rows[39]["weights"] == "BF16"
+
+
+def test_runs_are_compared_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(reports, "PART", 10)
+    first = spark.sql("SELECT id AS document, f AS field, CAST(id AS STRING) AS value FROM range(40) CROSS JOIN (SELECT explode(array('a', 'b', NULL)) AS f)")
+    second = first.filter("document < 30 AND NOT (document = 1 AND field = 'b')").withColumn("value", F.expr("IF(document % 2 = 0, value, 'x')"))
+    told = reports.compare(first.unionByName(first.filter("document = 3 AND field = 'a'")), second)
+    assert "RepartitionByExpression [document" in told._jdf.queryExecution().optimizedPlan().toString() and told.rdd.getNumPartitions() >= 20
+    n = {(r["field"], r["verdict"]): r["count"] for r in told.groupBy("field", "verdict").count().collect()}
+    assert n == {("a", "same"): 15, ("a", "changed"): 16, ("b", "same"): 15, ("b", "changed"): 14, ("b", "lost"): 1, (None, "lost"): 30, (None, "added"): 29}
