@@ -95,15 +95,12 @@ UNFILLED = {
 }
 
 
-def _cells(report: DataFrame) -> DataFrame:
-    return report.select("deed", "ordinal", F.explode(F.array(*[F.struct(F.lit(k).alias("column"),
-        F.col(f"`{k}`").alias("value")) for k in COLUMNS])).alias("c")).select("deed", "ordinal", "c.column", "c.value")
-
-
 def untranslated(report: DataFrame) -> DataFrame:
-    """Per column the first cell that holds letters of another script."""
-    found = _cells(report).filter(language.needs_translation(F.col("value")))
-    return found.groupBy("column").agg(F.min_by("value", F.struct("deed", "ordinal")).alias("value"))
+    """Per column the first cell that holds letters of another script, in one pass that keeps a cell a column."""
+    first = lambda k: F.min_by(F.col(f"`{k}`"), F.when(language.needs_translation(F.col(f"`{k}`")), F.struct("deed", "ordinal"))).alias(k)
+    found = report.agg(*[first(k) for k in COLUMNS])
+    cells = F.array(*[F.struct(F.lit(k).alias("column"), F.col(f"`{k}`").alias("value")) for k in COLUMNS])
+    return found.select(F.inline(cells)).filter("value IS NOT NULL")
 
 
 def unpopulated(report: DataFrame) -> DataFrame:

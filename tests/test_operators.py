@@ -418,3 +418,13 @@ def test_runs_are_compared_in_parts_of_bounded_size(spark, monkeypatch):
     assert "RepartitionByExpression [document" in told._jdf.queryExecution().optimizedPlan().toString() and told.rdd.getNumPartitions() >= 20
     n = {(r["field"], r["verdict"]): r["count"] for r in told.groupBy("field", "verdict").count().collect()}
     assert n == {("a", "same"): 15, ("a", "changed"): 16, ("b", "same"): 15, ("b", "changed"): 14, ("b", "lost"): 1, (None, "lost"): 30, (None, "added"): 29}
+
+
+def test_untranslated_cells_are_found_in_one_pass(spark):
+    row = {c: "" for c in export.COLUMNS}
+    rows = [(2, 1, {**row, "Remarks": "ಮನೆ two", "City / Town": "é ٣"}), (1, None, {**row, "Remarks": "plain"}), (1, 1, {**row, "Remarks": "ಮನೆ one"})]
+    report = spark.createDataFrame([(d, o, *r.values()) for d, o, r in rows], f"deed long, ordinal int, {', '.join(f'`{c}` string' for c in export.COLUMNS)}")
+    told = export.untranslated(report)
+    assert [tuple(r) for r in told.collect()] == [("Remarks", "ಮನೆ one")]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # cells aren't made rows before they are told
