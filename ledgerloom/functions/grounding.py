@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ledgerloom.functions.language import let
 from ledgerloom.functions.values import ISO_DATE, PAN_ANYWHERE, aadhaar_valid, amount, digits, pan_valid
 
 # Where a fee is named, and which flags mean that a value isn't grounded.
@@ -66,11 +66,6 @@ def _first_json_anywhere(texts: pd.Series) -> pd.Series:
     return texts.map(find)
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once, however often f names it; functions over arrays share nothing by themselves."""
-    return F.transform(F.array(value), f)[0]
-
-
 def object_at_brace(text: Column) -> Column:
     """The object (a variant) that begins at the first brace of an answer; null where none does."""
     return F.try_parse_json(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*", 0), F.lit("")))
