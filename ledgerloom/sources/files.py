@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +86,79 @@ def same_header(spark: SparkSession, path: str, columns: tuple[str, ...]) -> lis
     return [(k, a, b) for k, (a, b) in enumerate(pairs) if a != b]
 
 
+def _quotes(lines: pa.Array) -> np.ndarray:
+    return pc.count_substring(lines, '"').to_numpy(zero_copy_only=False)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per split of a file: whether it turns open quotes into closed ones, and whether it has a line that begins closed if the first begins open."""
+    odd: dict[int, bool] = {}
+    begins: dict[int, bool] = {}
+    for batch in batches:
+        blocks, quotes = batch.column("block").to_numpy(), _quotes(batch.column("value"))
+        edges = np.flatnonzero(np.diff(blocks, prepend=-1))
+        for a, b in zip(edges, [*edges[1:], len(blocks)], strict=True):
+            block = int(blocks[a])
+            before = (odd.get(block, False) + np.cumsum(quotes[a:b]) - quotes[a:b]) % 2 == 1
+            begins[block] = begins.get(block, False) or bool(before.any())
+            odd[block] = bool((odd.get(block, False) + quotes[a:b].sum()) % 2)
+    yield pa.RecordBatch.from_arrays([pa.array(list(odd), pa.int64()), pa.array(list(odd.values()), pa.bool_()), pa.array([begins[k] for k in odd], pa.bool_())], names=["block", "odd", "begins"])
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records after the head of one CSV file with CRLF, as text; its parts are read by as many tasks as it has splits.
+
+    A cell may hold line ends, so a line begins a record only if an even number of quotes
+    stands before it. A first pass tells that number's parity for each split (a row a split
+    comes to the driver), a second one joins the lines of records. The few records that run
+    over splits are joined from their pieces. The head is one line.
+    """
+    lines = spark.read.option("lineSep", "\r\n").text(path).select(F.col("_metadata.file_block_start").alias("block"), "value")
+    starts: dict[int, tuple[bool, int]] = {}  # of each split: whether it begins within a record, and where that began
+    inside, began = False, 0
+    for block, odd, begins in sorted(map(tuple, lines.mapInArrow(_ends, "block long, odd boolean, begins boolean").collect())):
+        starts[block] = inside, began
+        began = block if not inside or begins else began
+        inside ^= odd
+
+    def made(found: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["began", "block", "record"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, inside, first = None, [], False, False
+
+        def left() -> list[tuple[int | None, int, str]]:
+            """What a split ends with: a piece of a record of this split, or of an earlier one."""
+            return [(starts[at][1] if first else at, at, "\r\n".join(held))] if held else []
+
+        for batch in batches:
+            found: list[tuple[int | None, int, str]] = []
+            for block, line, quotes in zip(batch.column("block").to_pylist(), batch.column("value").to_pylist(), _quotes(batch.column("value")).tolist(), strict=True):
+                if block != at:
+                    found += left()
+                    at, held, (inside, _) = block, [], starts[block]
+                    first = inside  # the piece belongs to a record that began before
+                    if not block:
+                        continue  # the head
+                held.append(line)
+                inside ^= bool(quotes % 2)
+                if not inside:
+                    found += left() if first else [(None, at, "\r\n".join(held))]
+                    held, first = [], False
+            yield made(found)
+        yield made(left())
+
+    told = lines.mapInArrow(joined, "began long, block long, record string")
+    pieces = told.filter("began IS NOT NULL").groupBy("began").agg(F.array_join(F.sort_array(F.collect_list(F.struct("block", "record")))["record"], "\r\n").alias("record"))
+    return told.filter("began IS NULL").select("record").unionByName(pieces.select("record")).filter("record <> ''")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of one CSV file with a head, CRLF and quotes doubled in quoted cells, read by many tasks."""
+    options = {"escape": '"', "multiLine": "true"}
+    return csv_records(spark, path).select(F.inline(F.array(F.from_csv("record", schema, options))))
+
+
 def recognised(rows: DataFrame, raw: Column, pages: Column, least: int = documents.LEAST_CHARS) -> DataFrame:
     """rows with text, lines, bad_lines and reason of an engine's answer: malformed, without text, or with too little a page."""
     told = rows.withColumns({"_answer": nested.recognised(raw), "_pages": pages})

@@ -231,6 +231,27 @@ def test_one_file_of_many_ranges_equals_a_csv_writer(spark, data, tmp_path):
     assert sinks.write_csv(spark.createDataFrame([(None,)], "a string"), ("a",), str(tmp_path / "one.csv")) == 1 and (tmp_path / "one.csv").read_bytes().endswith(b'a\r\n""\r\n')
 
 
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    cells = ["plain", 'a "q"', "x,\r\n\r\ny", '"\r\n"', "\n", "", "\r\n" * 40, "é\r\n" * 3 + '"', "long " * 60, ' "\r\n,"\r\n ']
+    want = [(k, cells[k % 10] or None, cells[k * 7 % 10 - 3] or None) for k in range(100)]
+    frame = spark.createDataFrame(want, "k long, a string, b string")
+    sinks.write_csv(frame, ("k", "a", "b"), f"file://{tmp_path}/c.csv", ["k"])
+    sinks.write_csv(frame.limit(0), ("k", "a", "b"), f"file://{tmp_path}/none.csv", ["k"])
+    size = (tmp_path / "c.csv").stat().st_size
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for most in (10_000_000, 2048, 300):  # one split, and some that end within records
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            got = files.read_csv(spark, f"file://{tmp_path}/c.csv", "k long, a string, b string")
+            assert sorted(map(tuple, got.collect())) == want, most
+            assert files.csv_records(spark, f"file://{tmp_path}/c.csv").rdd.getNumPartitions() > size // (2 * most), most
+        assert files.read_csv(spark, f"file://{tmp_path}/none.csv", "k long, a string, b string").count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_exports_are_named_and_violations_told(spark, tmp_path):
     rows = [{c: "" for c in export.COLUMNS} | {"Transaction Type": "Q", "Property Type": "A", "Address Type (PC-L)": "1", "Property Address": "ಮನೆ"}]
     df = spark.createDataFrame([(1, 1, *rows[0].values())], "deed long, ordinal long, " + ", ".join(f"`{c}` string" for c in export.COLUMNS))
