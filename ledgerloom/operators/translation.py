@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import language
 from ledgerloom.operators.documents import needing_translation
-from ledgerloom.operators.rewrites import fill
 from ledgerloom.session import Scratch
 from ledgerloom.sources.versions import VersionedTable
 
@@ -63,8 +62,15 @@ def translate(items: DataFrame, known: VersionedTable, runner: Runner, scratch:
     Null and empty texts, those without letters, and those of the target language without
     another script's letters ask for none and come back with nulls.
     """
-    told = scratch.keep("detected", items.withColumns({"language": language.language(F.col("text")), "wanted": language.wants(F.col("text"), target)}))
-    wanted = told.filter("wanted").select("text", "language").distinct().withColumns({"target": F.lit(target), "hash": F.xxhash64("text", "language", F.lit(target))})
+    told = translated_texts(items, known, runner, scratch, target, rounds)
+    return items.join(told, "text", "left").withColumn("language", F.coalesce("language", language.language(F.lit(""))))
+
+
+def translated_texts(items: DataFrame, known: VersionedTable, runner: Runner, scratch: Scratch, target: str = "eng_Latn", rounds: int = ROUNDS) -> DataFrame:
+    """items: text. Each text once, nulls left out, with what ``translate`` adds; its language is told once, however many items have it."""
+    texts = items.select("text").filter("text IS NOT NULL").distinct()
+    told = scratch.keep("detected", texts.withColumns({"language": language.language(F.col("text")), "wanted": language.wants(F.col("text"), target)}))
+    wanted = told.filter("wanted").select("text", "language").withColumns({"target": F.lit(target), "hash": F.xxhash64("text", "language", F.lit(target))})
     stored = known.read().filter(F.col("target") == target).groupBy(*KEY).agg(F.max("translated").alias("translated"))
     looked_up = scratch.keep("looked_up", wanted.join(stored, KEY, "left"))
     misses = looked_up.filter("translated IS NULL").select(F.col("hash").alias("id"), "text", "language")
@@ -76,7 +82,7 @@ def translate(items: DataFrame, known: VersionedTable, runner: Runner, scratch:
         known.append(fresh.select(F.xxhash64("text", "language", F.lit(target)).alias("hash"), "text", "language", F.lit(target).alias("target"), "translated"), about="answers")
     hits = looked_up.filter("translated IS NOT NULL").select("text", "language", "translated", F.lit(True).alias("from_cache"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
     done = hits.unionByName(answers.select("text", "language", "translated", F.lit(False).alias("from_cache"), "attempts", "error"))
-    return told.filter("wanted").join(done, ["text", "language"]).unionByName(told.filter("NOT wanted"), allowMissingColumns=True).drop("wanted")
+    return done.unionByName(told.filter("NOT wanted").drop("wanted"), allowMissingColumns=True)
 
 
 def repair(docs: DataFrame, persons: DataFrame, known: VersionedTable, runner: Runner, scratch: Scratch, batch: int | None = None,
@@ -85,13 +91,19 @@ def repair(docs: DataFrame, persons: DataFrame, known: VersionedTable, runner: R
 
     Chooses the documents, translates their persons' fields, and writes what came back beside
     the originals; a field without an answer keeps what it had. ``written`` says which rows changed.
+    Persons are computed once, and each distinct text is looked at once; rows then take its translation.
     """
-    chosen = needing_translation(docs, persons, batch).select(F.col("id").alias("document_id"))
-    own = ["document_id", "relation", "ordinal"]
-    each = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text"), F.col(f"{f}_translated").alias("had")) for f in fields]))
-    lacking = persons.join(chosen, "document_id", "left_semi").select(*own, each).filter(F.coalesce("had", F.lit("")) == "")
-    translated = translate(lacking.drop("had").withColumn("id", F.xxhash64(*own, "field")), known, runner, scratch, target)
+    kept = scratch.keep("persons", persons)
+    chosen = needing_translation(docs, kept, batch).select(F.col("id").alias("document_id"), F.lit(True).alias("_chosen"))
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    asked = kept.join(chosen, "document_id", "left").withColumns({f"_{f}": F.when(F.col("_chosen") & empty(F.col(f"{f}_translated")), F.col(f)) for f in fields})
+    told = translated_texts(asked.select(F.explode(F.array(*[f"_{f}" for f in fields])).alias("text")), known, runner, scratch, target)
     # what has no letters of another script is its own translation
-    value = F.coalesce("translated", F.when(~language.wants(F.col("text"), target), F.col("text")))
-    wide = translated.groupBy(*own).agg(*[F.max(F.when(F.col("field") == f, value)).alias(f"{f}_translated") for f in fields])
-    return fill(persons, wide, own, [f"{f}_translated" for f in fields])
+    shown = told.select("text", F.coalesce("translated", F.when(~language.wants(F.col("text"), target), F.col("text"))).alias("_value"))
+    shown = scratch.keep("shown", shown.filter("_value <> ''"))
+    fixed = asked
+    for f in fields:
+        fixed = fixed.join(shown.select(F.col("text").alias(f"_{f}"), F.col("_value").alias(f"_new_{f}")), f"_{f}", "left")
+    written = F.array_contains(F.array(*[F.col(f"_new_{f}").isNotNull() for f in fields]), True)
+    values = {f"{f}_translated": F.coalesce(f"_new_{f}", f"{f}_translated") for f in fields}
+    return fixed.select(*[values.get(c, F.col(c)).alias(c) for c in kept.columns], written.alias("written"))

@@ -131,6 +131,22 @@ def test_repair_writes_what_is_lacking(spark, tmp_path):
     assert got == {(1, "B", 1): ("EN ರಾಜು", True), (1, "S", 1): ("Asha", True), (2, "B", 1): ("had", False), (3, "B", 1): ("EN राम", True), (3, "B", 2): (None, False)}
 
 
+def test_repeated_texts_are_looked_at_once(spark, tmp_path):
+    names = ["ರಾಜು", "राम", "-", "", "Asha", None]
+    rows = [(k // 2, "BS"[k % 2], 1, names[k % 6], names[(k + 1) % 6], "had" if k % 5 == 0 else None, None) for k in range(120)]
+    people = spark.createDataFrame(rows, "document_id long, relation string, ordinal int, name string, father string, name_translated string, father_translated string")
+    docs = spark.createDataFrame([(k, k % 2) for k in range(60)], "id long, batch_id long")
+    run = lambda items: items.filter("text <> 'राम'").select("id", F.concat(F.lit("EN "), "text").alias("text"))
+    scratch = Scratch(spark, "t")
+    fixed = translation.repair(docs, people, translation.cache(spark, f"file://{tmp_path}/cache", 4), run, scratch, 1, ("name", "father")).collect()
+    assert spark.read.parquet(scratch.path("detected")).count() == 5  # of 200 cells
+    shown = {"ರಾಜು": "EN ರಾಜು", "-": "-", "Asha": "Asha"}
+    lacking = {d for d, _, _, name, _, had, _ in rows if name and not had and d % 2}
+    want = {(d, r, o): (had or (d in lacking and shown.get(n)) or None, (d in lacking and shown.get(f)) or None) for d, r, o, n, f, had, _ in rows}
+    assert {(r.document_id, r.relation, r.ordinal): (r.name_translated, r.father_translated) for r in fixed} == want and len(fixed) == len(rows)
+    assert {(r.document_id, r.relation) for r in fixed if r.written} == {k[:2] for k, v in want.items() if v != (next(x[5] for x in rows if x[:3] == k), None)}
+
+
 def fold(rows, limits, idle, last):
     out = {}
     for doc, _, ts, ok, retryable in sorted(rows, key=lambda r: (r[2], r[1])):
