@@ -12,30 +12,29 @@ DEPTH = 8
 LINE = "array<array<string>>"
 
 
-def entries(path: Column, value: Column) -> Column:
-    """The children of a variant with their paths; a value that is none of object or list is its own only child."""
-    members = F.try_variant_get(value, "$", "map<string,variant>")
-    items = F.try_variant_get(value, "$", "array<variant>")
-    pair = lambda p, v: F.struct(p.alias("path"), v.alias("value"))
-    of_object = F.transform(F.map_entries(members), lambda e: pair(F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), e["value"]))
-    of_list = F.transform(items, lambda v, k: pair(F.concat(path, F.lit("["), k.cast("string"), F.lit("]")), v))
-    return F.when(members.isNotNull() & ~F.is_variant_null(value), of_object).when(items.isNotNull() & ~F.is_variant_null(value), of_list).otherwise(F.array(pair(path, value)))
+def text_of(value: Column) -> Column:
+    """A variant as text: JSON for objects and lists, empty for null; null for empty objects and lists, which have no leaf."""
+    text = F.coalesce(F.try_variant_get(value, "$", "string"), F.when(~F.is_variant_null(value), F.to_json(value)), F.lit(""))
+    return F.when(text.isin("{}", "[]") & F.to_json(value).isin("{}", "[]"), F.lit(None)).otherwise(text)
 
 
 def flatten(rows: DataFrame, keys: list[str], answer: Column, depth: int = DEPTH) -> DataFrame:
     """keys, path and value (trimmed text; null is empty) for every leaf of a JSON text; names of fields needn't be known.
 
     Each level is one explode of the level before, so rows are neither shuffled nor read
-    again. What lies deeper than ``depth`` levels is told as its JSON text; empty objects and
-    lists, and texts that aren't JSON, have no leaf.
+    again; a leaf is read once and passes the levels below as its text. What lies deeper than
+    ``depth`` levels is told as its JSON text; empty objects and lists, and texts that aren't
+    JSON, have no leaf.
     """
-    names = [f"_{k}" for k in range(len(keys))]
-    at = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit("").alias("path"), F.try_parse_json(answer).alias("value")).filter("value IS NOT NULL")
+    names, spark, c = [f"_{k}" for k in range(len(keys))], rows.sparkSession, F.col
+    at = rows.select(*[c(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit("").alias("path"), F.try_parse_json(answer).alias("held"), F.lit(None).cast("string").alias("text")).filter("held IS NOT NULL")
     for _ in range(depth):
-        at = at.select(*names, F.inline(entries(F.col("path"), F.col("value"))))
-    text = F.coalesce(F.try_variant_get("value", "$", "string"), F.when(~F.is_variant_null("value"), F.to_json("value")), F.lit(""))
-    hollow = F.coalesce(F.to_json("value").isin("{}", "[]"), F.lit(False))
-    return at.filter(~hollow & (F.col("path") != "")).select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "path", F.trim(text).alias("value"))
+        children = at.lateralJoin(spark.tvf.variant_explode_outer(c("held").outer()))
+        path = F.when(c("pos").isNull(), c("path")).when(c("key").isNull(), F.concat("path", F.lit("["), c("pos").cast("string"), F.lit("]"))).when(c("path") == "", c("key")).otherwise(F.concat("path", F.lit("."), "key"))
+        read = F.when(c("pos").isNull() & c("held").isNotNull(), text_of(c("held"))).otherwise(c("text"))
+        at = children.select(*names, path.alias("path"), c("value").alias("held"), read.alias("text"))
+    told = at.withColumn("text", F.when(c("held").isNull(), c("text")).otherwise(text_of(c("held")))).filter("text IS NOT NULL AND path <> ''")
+    return told.select(*[c(n).alias(k) for k, n in zip(keys, names, strict=True)], "path", F.trim("text").alias("value"))
 
 
 def differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

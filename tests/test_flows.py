@@ -83,6 +83,19 @@ def test_any_answer_is_flattened(spark):
     assert [tuple(r) for r in nested.flatten(deep, ["doc"], F.col("answer"), 2).collect()] == [(1, "a.b", '{"c":1}')]
 
 
+def test_leaves_are_read_once(spark):
+    rows = [(1, json.dumps({"a": {"b": "{}", "c": {}, "d": [[], [None, "[]"]]}, "e": [{"f": 1e3, "g": True}], "": {"h": ""}, "i": {"": 2.50}})), (2, "null"), (3, "[1, [2]]"), (4, '"text"')]
+    given = spark.createDataFrame(rows, "doc long, answer string")
+    found = nested.flatten(given, ["doc"], F.col("answer"))
+    assert sorted(map(tuple, found.collect())) == sorted([
+        (1, "a.b", "{}"), (1, "a.d[1][0]", ""), (1, "a.d[1][1]", "[]"), (1, "e[0].f", "1000"), (1, "e[0].g", "true"), (1, "h", ""), (1, "i.", "2.5"), (3, "[0]", "1"), (3, "[1][0]", "2"),
+    ])
+    for depth, want in ((1, [(3, "[0]", "1"), (3, "[1]", "[2]")]), (2, [(3, "[0]", "1"), (3, "[1][0]", "2")])):
+        assert sorted(map(tuple, nested.flatten(given.filter("doc = 3"), ["doc"], F.col("answer"), depth).collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "map<string,variant>" not in plan and "array<variant>" not in plan  # no child is built anew at every level
+
+
 def test_answers_of_recognition(spark, tmp_path):
     text = "x" * 50
     given = {
