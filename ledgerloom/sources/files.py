@@ -86,6 +86,52 @@ def same_header(spark: SparkSession, path: str, columns: tuple[str, ...]) -> lis
     return [(k, a, b) for k, (a, b) in enumerate(pairs) if a != b]
 
 
+def store_of(path: str):
+    """The store that Arrow opens for a path, and the path within it; one without a scheme is a mounted folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def files_in_folders(spark: SparkSession, path: str) -> DataFrame:
+    """folder, name and content of every file in the folders of a path; hidden ones are left out.
+
+    Tasks list the folders, one a folder, and read the files, so that the driver holds no list
+    of them and no task is opened for a few of them.
+    """
+    from pyarrow import fs
+
+    def listed(batches: Iterator[pa.RecordBatch], folders: bool) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(path)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                found = store.get_file_info(fs.FileSelector(f"{root}/{folder}" if folder else root))
+                names = [x.base_name for x in found if x.type == (fs.FileType.Directory if folders else fs.FileType.File) and x.base_name[0] != "."]
+                for k in range(0, len(names), 10_000):
+                    own = names[k : k + 10_000]
+                    yield pa.RecordBatch.from_pydict({"folder": own} if folders else {"folder": [folder] * len(own), "name": own})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(path)
+        rows: list[tuple[str, str, bytes]] = []
+        size = 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.binary()))], names=["folder", "name", "content"])
+        for batch in batches:
+            for folder, name in zip(batch.column("folder").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                with store.open_input_stream(f"{root}/{folder}/{name}", compression=None) as file:
+                    rows.append((folder, name, file.read()))
+                size += len(rows[-1][2])
+                if size > 1 << 23 or len(rows) == 10_000:
+                    yield made()
+                    rows, size = [], 0
+        yield made()
+
+    top = spark.createDataFrame([("",)], "folder string").mapInArrow(lambda b: listed(b, True), "folder string")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = top.repartition(tasks, "folder").mapInArrow(lambda b: listed(b, False), "folder string, name string")
+    return names.repartition(tasks, "folder", "name").mapInArrow(read, "folder string, name string, content binary")
+
+
 def _quotes(lines: pa.Array) -> np.ndarray:
     return pc.count_substring(lines, '"').to_numpy(zero_copy_only=False)
 

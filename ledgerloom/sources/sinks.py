@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ledgerloom.sources.files import store_of
 from ledgerloom.sources.versions import Store
 
 MARK, LINE_END = "\ufeff", "\r\n"
@@ -96,9 +97,10 @@ def export_report(report: DataFrame, folder: str, name: str, now: datetime, fail
 class TextFiles(DataSource):
     """Sink for rows of folder, name, text: a file ``<path>/<folder>/<name>.txt`` for each.
 
-    Tasks write each file beside its place and rename it, so a file is there whole or not at
-    all, and a task that is run again writes the same. Stores are those that Arrow opens by
-    the path's scheme; a path without one is a folder that all executors mount.
+    Tasks write each file in a folder of their own beside the others and rename it, so a file
+    is there whole or not at all, and a task that is run again writes the same; tasks that
+    write to one folder meet there once a file. Stores are those that Arrow opens by the
+    path's scheme; a path without one is a folder that all executors mount.
     """
 
     @classmethod
@@ -129,20 +131,20 @@ class _TextWriter(DataSourceWriter):
         self.path = path
 
     def write(self, rows: Iterator) -> _Files:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
-        made, n = set(), 0
+        store, root = store_of(self.path)
+        own, made, n = f"{root}/.{uuid.uuid4().hex}", set(), 0
+        store.create_dir(own, recursive=True)
         for row in rows:
             folder, name = f"{root}/{safe_name(row['folder'] or '')}", safe_name(row["name"] or "")
             if folder not in made:
                 store.create_dir(folder, recursive=True)
                 made.add(folder)
-            waiting = f"{folder}/.{name}.{uuid.uuid4().hex}"
+            waiting = f"{own}/{n}"
             with store.open_output_stream(waiting) as out:
                 out.write(row["text"].encode())
             store.move(waiting, f"{folder}/{name}.txt")
             n += 1
+        store.delete_dir(own)
         return _Files(n)
 
     def commit(self, messages: list) -> None:

@@ -276,6 +276,18 @@ def test_text_files_and_notes(spark, tmp_path):
     assert found == {"in_a/one.txt": "new", "in_b/three.txt": "b", "_/_x.txt": "y"}
 
 
+def test_tasks_list_and_read_files(spark, tmp_path):
+    rows = [(f"f {k % 3}", f"d%20 {k}.gz", "é" * k) for k in range(60)]
+    sinks.write_texts(spark.createDataFrame(rows, "folder string, name string, text string"), f"file://{tmp_path}/out")
+    (tmp_path / "out" / "f 0" / ".hidden").write_text("x")
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith(".")]
+    found = files.files_in_folders(spark, f"file://{tmp_path}/out")
+    assert found.rdd.getNumPartitions() == 4  # 60 files of some bytes open no task each
+    assert sorted(map(tuple, found.collect())) == sorted((a, f"{b}.txt", c.encode()) for a, b, c in rows)
+    (tmp_path / "none").mkdir()
+    assert files.files_in_folders(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_files_are_told_by_name_and_bytes(spark, tmp_path):
     (tmp_path / "g.pdf").write_bytes(b"%PDF-x.4 x %%EOF")
     for name, data in (("a.pdf", b"%PDF-1.4 x %%EOF"), ("b.PDF", b"%PDF-1.4 cut"), ("c.pdf", b"hello"), ("d.txt", b"%PDF-1.4 %%EOF"), ("e.pdf", b""), ("f.pdf", b"\n" * 2000 + b"%PDF-1.4 %%EOF")):
