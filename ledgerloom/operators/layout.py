@@ -23,19 +23,29 @@ BOX = ("x0", "y0", "x1", "y1")
 
 def rows_of(tops: np.ndarray, bottoms: np.ndarray) -> np.ndarray:
     """The row of each line; lines come by their tops. Rows count from 0 as they begin."""
-    row = np.empty(len(tops), np.int64)
-    begin, end = np.empty(len(tops)), np.empty(len(tops))  # of the rows so far
-    n = 0
-    for k, (top, bottom) in enumerate(zip(tops, bottoms, strict=True)):
-        slack, middle = np.maximum((end[:n] - begin[:n]) * SHARE, LEAST), (top + bottom) / 2
-        fits = np.flatnonzero((begin[:n] - slack <= middle) & (middle <= end[:n] + slack))
-        if len(fits):
-            row[k] = fits[0]
-            begin[row[k]], end[row[k]] = min(begin[row[k]], top), max(end[row[k]], bottom)
+    middles = (tops + bottoms) / 2
+    # a row whose band ends above all middles to come is never met again; few others are open at once
+    least = np.minimum.accumulate(middles[::-1])[::-1].tolist()
+    row, rows, most = [], 0, 16
+    opened: list[list] = []  # number, begin, end, and the band with its tolerance
+    for top, bottom, middle, coming in zip(tops.tolist(), bottoms.tolist(), middles.tolist(), least, strict=True):
+        if opened and (opened[0][4] < coming or len(opened) > most):
+            opened = [r for r in opened if r[4] >= coming]
+            most = max(16, 2 * len(opened))
+        for r in opened:
+            if r[3] <= middle <= r[4]:
+                if top < r[1] or bottom > r[2]:
+                    r[1], r[2] = min(r[1], top), max(r[2], bottom)
+                    slack = max((r[2] - r[1]) * SHARE, LEAST)
+                    r[3], r[4] = r[1] - slack, r[2] + slack
+                row.append(r[0])
+                break
         else:
-            row[k], begin[n], end[n] = n, top, bottom
-            n += 1
-    return row
+            slack = max((bottom - top) * SHARE, LEAST)
+            opened.append([rows, top, bottom, top - slack, bottom + slack])
+            row.append(rows)
+            rows += 1
+    return np.array(row, np.int64)
 
 
 def set_line(columns: list[int], texts: list[str]) -> str:

@@ -7,6 +7,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import nested
@@ -56,6 +57,28 @@ def test_pages_keep_their_columns(spark):
     assert layout.pages(lines.filter(F.lit(False)), ["doc_id", "page"]).count() == 0
 
 
+def test_rows_of_long_pages():
+    """As the plain search over all rows so far; a page of many rows takes time in proportion to its lines."""
+    rng = np.random.default_rng(7)
+    for n, tall in ((1, 5), (60, 400), (300, 30), (300, 3000)):
+        tops = np.sort(rng.integers(0, n * 9, n)).astype(float)
+        bottoms = tops + rng.integers(-15, tall, n)  # some boxes stand upside down
+        want, bands = [], []
+        for top, bottom in zip(tops, bottoms, strict=True):
+            fits = [k for k, (a, b) in enumerate(bands) if a - max((b - a) * 0.35, 10) <= (top + bottom) / 2 <= b + max((b - a) * 0.35, 10)]
+            k = fits[0] if fits else len(bands)
+            bands[k:k + 1] = [(min(bands[k][0], top), max(bands[k][1], bottom)) if fits else (top, bottom)]
+            want.append(k)
+        assert layout.rows_of(tops, bottoms).tolist() == want
+    took = []
+    for n in (20_000, 160_000):
+        tops = np.arange(n) * 25.0
+        began = time.process_time()
+        assert layout.rows_of(tops, tops + 12)[-1] == n - 1
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.01)
+
+
 def leaves(value, path=""):
     if isinstance(value, dict):
         for k, v in value.items():
