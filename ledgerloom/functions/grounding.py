@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ledgerloom.functions import cleanup
 from ledgerloom.functions.language import let
 from ledgerloom.functions.values import ISO_DATE, PAN_ANYWHERE, aadhaar_valid, amount, digits, pan_valid
 
@@ -23,10 +24,10 @@ GROUNDING_FLAGS = ("WRONG_CONSIDERATION", "WRONG_STAMP_VALUE", "WRONG_AADHAAR",
 COVERAGE, UNMATCHED, NEAR, FEE_FROM, FEE_TO = 0.6, 2, 250, 100, 1_000_000
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
     """Compatibility composition, which Spark has no function for."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return cleanup.one_by_one(texts, lambda t: unicodedata.normalize("NFKC", t))
 
 
 def composed(text: Column) -> Column:
@@ -45,16 +46,16 @@ def bare_form(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, r"(?U)[\s\-.,:;/\\|_()\[\]{}]+", ""))
 
 
-@F.pandas_udf(StringType())
-def _first_json_anywhere(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _first_json_anywhere(texts: pa.Array) -> pa.Array:
     """The first complete JSON object within a model's answer, as text; null without one.
 
     Decoding is tried at each opening brace; one inside a failed object is tried in turn.
     """
     decode = json.JSONDecoder().raw_decode
 
-    def find(t: str | None) -> str | None:
-        at = (t or "").find("{")
+    def find(t: str) -> str | None:
+        at = t.find("{")
         while at >= 0:
             try:
                 found, _ = decode(t, at)
@@ -63,7 +64,7 @@ def _first_json_anywhere(texts: pd.Series) -> pd.Series:
                 at = t.find("{", at + 1)
         return None
 
-    return texts.map(find)
+    return cleanup.one_by_one(texts, find)
 
 
 def object_at_brace(text: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +181,15 @@ def test_long_serials_keep_their_digits(spark):
     rows = [(1, "document number ABC-1-100000-2025-26", ""), (2, "document number ABC-1-000123-2025-26", ""), (3, "none", "XYZ-1-1234567-2024-25.pdf"), (4, "ABC-1-100123-2025-26 ABC-1-00123-2025-26", "")]
     got = {r["doc_id"]: r["identity"] for r in identity.choose(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == {1: "ABC-1-100000-2025-26", 2: "ABC-1-00123-2025-26", 3: "XYZ-1-1234567-2024-25", 4: ""}
+
+
+def test_texts_are_taken_one_by_one():
+    """The batch isn't turned into Python strings; what is held beside it is the result."""
+    texts = pa.array(["é" * 200_000 + str(k) if k % 3 else None for k in range(60)] + ["", "x"])
+    tracemalloc.start()
+    got = cleanup.one_by_one(texts, lambda t: t.upper() if t != "x" else None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.type == pa.string() and got.to_pylist() == [t and t.upper() for t in texts.to_pylist()[:-1]] + [None]
+    assert peak < 2.5 * texts.nbytes, (peak, texts.nbytes)  # a list of strings and their results would add two more
+    assert cleanup.one_by_one(texts[:0], str.upper).to_pylist() == [] and cleanup.one_by_one(texts[58:61], str.lower).to_pylist() == texts.to_pylist()[58:61]
