@@ -7,6 +7,7 @@ import tracemalloc
 
 import pyarrow as pa
 import pytest
+from pyspark.util import PythonEvalType
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify, cleanup, failures, grounding, identity, language, places, values
@@ -193,3 +194,10 @@ def test_texts_are_taken_one_by_one():
     assert got.type == pa.string() and got.to_pylist() == [t and t.upper() for t in texts.to_pylist()[:-1]] + [None]
     assert peak < 2.5 * texts.nbytes, (peak, texts.nbytes)  # a list of strings and their results would add two more
     assert cleanup.one_by_one(texts[:0], str.upper).to_pylist() == [] and cleanup.one_by_one(texts[58:61], str.lower).to_pylist() == texts.to_pylist()[58:61]
+
+
+def test_python_functions_get_arrow_batches(spark):
+    shown = spark.createDataFrame([("é",)], "t string").select(cleanup.composed(F.col("t")).alias("a"), grounding.composed(F.col("t")).alias("b"), grounding.first_json(F.col("t")).alias("c"))
+    plan = shown._jdf.queryExecution().analyzed().toString()
+    assert tuple(shown.first()) == ("é", "é", None)
+    assert {x.evalType for x in (cleanup._nfc, grounding.nfkc, grounding._first_json_anywhere)} == {PythonEvalType.SQL_SCALAR_ARROW_UDF} and "_nfc" in plan
