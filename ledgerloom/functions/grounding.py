@@ -85,10 +85,20 @@ def first_json(text: Column, found: Column | None = None) -> Column:
 
 def shape_problems(answer: Column) -> Column:
     """Which required parts of a parsed answer (a variant) are missing or of the wrong kind."""
-    kind = lambda k: F.schema_of_variant(F.try_variant_get(answer, f"$.{k}", "variant"))
-    wrong = [F.when(~F.coalesce(kind(k).startswith(want), F.lit(False)), k) for k,
-        want in (("buyer_details", "ARRAY"), ("seller_details", "ARRAY"), ("property_details", "OBJECT"), ("document_details", "OBJECT"))]
-    return F.array_compact(F.array(*wrong))
+    there = lambda k, kind: F.try_variant_get(answer, f"$.{k}", kind).isNotNull()
+    wrong = [F.when(~there(k, kind), k) for k, kind in (("buyer_details", "array<variant>"), ("seller_details", "array<variant>"),
+        ("property_details", "map<string,variant>"), ("document_details", "map<string,variant>"))]
+    return words(wrong)
+
+
+def words(given: list[Column]) -> Column:
+    """Those of some words without spaces that aren't null, in order.
+
+    ``array_compact`` is a function over arrays, in which each word's condition would be worked out
+    uncompiled, and anew where another names it too.
+    """
+    joined = F.concat_ws(" ", *given)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
 
 def pans_in(text: Column) -> Column:
@@ -138,9 +148,10 @@ def near(pan: Column, aadhaar: Column, text: Column, window: int = NEAR) -> Colu
         found = lambda parts: let(F.regexp_extract_all(subject, pattern, F.lit(0)), lambda f: places(f, parts))
         return let(F.split(subject, pattern), lambda parts: F.when(F.size(parts) > 1, found(parts)))
 
+    literal = lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     usable = (F.coalesce(pan, F.lit("")) != "") & aadhaar_valid(aadhaar)
     close = lambda p: let(there(text, spaced), lambda a: F.exists(p, lambda x: F.exists(a, lambda y: F.abs(x - y) <= window)))
-    return F.when(usable, let(there(upper, F.upper(pan)), lambda p: F.when(p.isNotNull(), close(p))))
+    return F.when(usable, let(there(upper, literal(F.upper(pan))), lambda p: F.when(p.isNotNull(), close(p))))
 
 
 def fee_candidates(text: Column, least: int = FEE_FROM, most: int = FEE_TO) -> Column:
@@ -153,8 +164,13 @@ def coverage(claimed: Column, source: Column) -> Column:
     return F.when(F.size(source) == 0, 1.0).otherwise(F.size(F.array_intersect(claimed, source)) / F.greatest(F.size(source), F.lit(1)))
 
 
+def check_points(format_ok: Column, present: Column) -> Column:
+    """The score of a check in hundredths."""
+    return F.when(format_ok.eqNullSafe(F.lit(False)), 0).when(present.eqNullSafe(F.lit(False)), 25).when(present.eqNullSafe(F.lit(True)), 100).otherwise(60)
+
+
 def check_score(format_ok: Column, present: Column) -> Column:
-    return F.when(format_ok.eqNullSafe(F.lit(False)), 0.0).when(present.eqNullSafe(F.lit(False)), 0.25).when(present.eqNullSafe(F.lit(True)), 1.0).otherwise(0.6)
+    return check_points(format_ok, present) / F.lit(100.0)
 
 
 def confidence(checks: Column) -> Column:

@@ -6,6 +6,7 @@ source text is read where it is and never copied to a row for each person.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,9 +26,10 @@ PERSON = "struct<name:string,gender:string,father_name:string,aadhaar_number:str
 PROPERTY = "struct<schedule_c_property_address:string,state:string,sale_consideration:string,registration_fee:string,paid_in_cash:string>"
 DOCUMENT = "struct<transaction_date:string,registration_office:string>"
 ANSWER = f"struct<buyer_details:array<{PERSON}>,seller_details:array<{PERSON}>,property_details:{PROPERTY},document_details:{DOCUMENT}>"
+PERSON_FIELDS = ("relation", "ordinal", "name", "pan", "discarded_pan", "checks", "flags", "confidence")
 SIDES = (("B", "buyer_details"), ("S", "seller_details"))
-#: The score of a fee that the text names otherwise is at most this; identifiers far apart score so.
-OTHER_FEE, FAR = 0.7, 0.4
+#: In hundredths: the score of a fee that the text names otherwise is at most this; identifiers far apart score so.
+OTHER_FEE, FAR = 70, 40
 
 
 @dataclass(frozen=True)
@@ -59,75 +61,119 @@ def _given(value: Column) -> Column:
     return F.coalesce(value, F.lit("")) != ""
 
 
-def _check(field: str, value: Column, format_ok: Column, present: Column, score: Column | None = None) -> Column:
-    score = grounding.check_score(format_ok, present) if score is None else score
+def _check(field: str, value: Column, format_ok: Column, present: Column, points: Column | None = None) -> Column:
+    score = grounding.check_score(format_ok, present) if points is None else points / F.lit(100.0)
     return F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), format_ok.alias("format_ok"), present.alias("present"), score.alias("score"))
 
 
-def _compact(items: list[Column], kind: str) -> Column:
-    return F.array_compact(F.array(*items)).cast(f"array<{kind}>")
+def _side(people: Column, relation: str) -> Column:
+    """What is looked up of the persons of a side; numbers without white space around them, an empty text for none."""
+    def given(x: Column, i: Column) -> Column:
+        pan = F.upper(values.strip(F.coalesce(x["pan_card_number"], F.lit(""))))
+        return F.struct(F.lit(relation).alias("relation"), (i + 1).alias("ordinal"), x["name"].alias("name"), pan.alias("pan"),
+            x["aadhaar_number"].alias("aadhaar"), values.digits(x["aadhaar_number"]).alias("own"))
+
+    return F.transform(people, given)
 
 
-def _persons(people: Column, relation: str, rules: Rules) -> Column:
-    """What is found about the persons of a side; text and norm are columns of the row.
+def _found(x: Column | dict[str, Column], rules: Rules) -> list[Column]:
+    """What the source says of a person, beside what was given; ``x`` is an element of an array or a row.
 
-    Each step is a pass over the array, so that a value is worked out once and then named.
+    The text and its forms are columns of the row. A look that is dear comes after those that can spare it.
     """
-    text, norm = F.col("text"), F.col("norm")
+    norm, text, bare = F.col("norm"), F.col("text"), F.regexp_replace("text", r"(?U)[\s\-.]", "")
+    own_fine = F.length(x["own"]) == 12
+    there = {
+        "pan_there": F.contains(norm, x["pan"]),
+        # what stands in an unchanged text without some separators stands there without all of them
+        "own_there": F.when(own_fine, F.contains(norm, x["own"]) | (F.col("altered") & F.contains(bare, x["own"]))),
+        "name_there": grounding.name_in(x["name"], norm),
+    }
+    # no two places of a text that isn't longer than the window are farther apart
+    upper = F.upper(text)
+    apart = (x["pan"] != "") & own_fine & (F.length(upper) > rules.near) & F.contains(upper, x["pan"])
+    far = F.coalesce(F.when(apart, grounding.near(x["pan"], x["aadhaar"], text, rules.near) == F.lit(False)), F.lit(False))
+    return [*[x[c].alias(c) for c in ("relation", "ordinal", "name", "pan", "aadhaar")], x["pan"].rlike(values.PAN).alias("pan_fine"), own_fine.alias("own_fine"),
+        *[(c if rules.against_text else _none("boolean")).alias(k) for k, c in there.items()], far.alias("far")]
+
+
+def _given_checks(x: Column | dict[str, Column], rules: Rules) -> list[tuple[str, Column, Column, Column, Column]]:
+    """Of a person that was looked up: each check's name, whether it is made, its value, its form and its presence."""
+    checks = []
+    if rules.pan:
+        checks.append(("pan", x["pan"] != "", x["pan"], x["pan_fine"], x["pan_there"]))
+    if rules.aadhaar:
+        checks.append(("aadhaar", _given(x["aadhaar"]), x["aadhaar"], x["own_fine"], x["own_there"]))
+    return [*checks, ("name", _given(x["name"]), x["name"], F.lit(True), x["name_there"])]
+
+
+def _points(x: Column | dict[str, Column], rules: Rules) -> Column:
+    """The sum of a person's scores, in hundredths."""
+    own = [F.when(made, grounding.check_points(fine, there)).otherwise(0) for _, made, _, fine, there in _given_checks(x, rules)]
+    return sum(own, F.when(x["far"], FAR).otherwise(0))
+
+
+def _checked(x: Column | dict[str, Column], rules: Rules) -> Column:
+    """How many checks a person has."""
+    return sum((made.cast("int") for _, made, *_ in _given_checks(x, rules)), x["far"].cast("int"))
+
+
+def _doubted(x: Column | dict[str, Column], rules: Rules) -> Column:
+    """Whether the source doesn't bear a person's numbers out."""
+    doubts = [made & grounding.suspect(fine, there) for field, made, _, fine, there in _given_checks(x, rules) if field != "name"]
+    return functools.reduce(lambda a, b: a | b, doubts, x["far"])
+
+
+def _told(x: Column | dict[str, Column], rules: Rules) -> dict[str, Column]:
+    """What a report says about a person that was looked up."""
+    made = _given_checks(x, rules)
+    checks = [F.when(given, _check(field, value, fine, there)) for field, given, value, fine, there in made]
+    checks.append(F.when(x["far"], _check("pan_aadhaar_proximity", _none("string"), F.lit(True), F.lit(False), F.lit(FAR))))
+    lost = ~x["pan_fine"] | x["pan_there"].eqNullSafe(F.lit(False))
+    raised = {
+        "pan": lambda given, _: F.when(given, F.when(lost, FLAGS["HALLUCINATED_PAN"]).otherwise(FLAGS["PAN_MATCHED"])),
+        "aadhaar": lambda given, doubt: F.when(given & doubt, FLAGS["WRONG_AADHAAR"]), "name": lambda given, doubt: F.when(given & doubt, FLAGS["NAME_NOT_IN_OCR"]),
+    }
+    flags = [raised[field](given, grounding.suspect(fine, there)) for field, given, _, fine, there in made]
+    flags.append(F.when(x["far"], FLAGS["PAN_AADHAAR_FAR"]))
+    pan = lambda c: F.when((x["pan"] != "") & c, x["pan"]) if rules.pan else _none("string")
+    return {
+        "relation": x["relation"], "ordinal": x["ordinal"], "name": x["name"], "pan": pan(~lost), "discarded_pan": pan(lost),
+        "checks": F.array_compact(F.array(*checks)), "flags": grounding.words(flags), "confidence": _mean(_points(x, rules), _checked(x, rules)),
+    }
 
-    def given(x: Column, i: Column) -> Column:
-        pan = F.nullif(F.upper(values.strip(F.coalesce(x["pan_card_number"], F.lit("")))), F.lit(""))
-        return F.struct((i + 1).alias("ordinal"), x["name"].alias("name"), pan.alias("pan"), x["aadhaar_number"].alias("aadhaar"),
-            values.pan_valid(pan).alias("pan_fine"), values.aadhaar_valid(x["aadhaar_number"]).alias("own_fine"))
-
-    def found(x: Column) -> Column:
-        there = {
-            "pan_there": F.contains(norm, x["pan"]), "own_there": F.when(x["own_fine"], grounding.aadhaar_in(x["aadhaar"], norm, text)),
-            "name_there": grounding.name_in(x["name"], norm),
-        }
-        far = grounding.near(x["pan"], x["aadhaar"], text, rules.near) == F.lit(False)
-        return F.struct(*[x[c].alias(c) for c in ("ordinal", "name", "pan", "aadhaar", "pan_fine", "own_fine")],
-            *[(c if rules.against_text else _none("boolean")).alias(k) for k, c in there.items()], far.alias("far"))
-
-    def told(x: Column) -> Column:
-        name, pan, aadhaar, far = x["name"], x["pan"], x["aadhaar"], x["far"]
-        lost = ~x["pan_fine"] | x["pan_there"].eqNullSafe(F.lit(False))
-        checks, flags = [], []
-        if rules.pan:
-            checks.append(F.when(pan.isNotNull(), _check("pan", pan, x["pan_fine"], x["pan_there"])))
-            flags.append(F.when(pan.isNotNull(), F.when(lost, FLAGS["HALLUCINATED_PAN"]).otherwise(FLAGS["PAN_MATCHED"])))
-        if rules.aadhaar:
-            checks.append(F.when(_given(aadhaar), _check("aadhaar", aadhaar, x["own_fine"], x["own_there"])))
-            flags.append(F.when(_given(aadhaar) & (~x["own_fine"] | x["own_there"].eqNullSafe(F.lit(False))), FLAGS["WRONG_AADHAAR"]))
-        checks.append(F.when(_given(name), _check("name", name, F.lit(True), x["name_there"])))
-        flags.append(F.when(_given(name) & x["name_there"].eqNullSafe(F.lit(False)), FLAGS["NAME_NOT_IN_OCR"]))
-        checks.append(F.when(far, _check("pan_aadhaar_proximity", _none("string"), F.lit(True), F.lit(False), F.lit(FAR))))
-        flags.append(F.when(far, FLAGS["PAN_AADHAAR_FAR"]))
-        kept = F.when(pan.isNotNull() & ~lost, pan) if rules.pan else _none("string")
-        return F.struct(
-            F.lit(relation).alias("relation"), x["ordinal"].alias("ordinal"), name.alias("name"), kept.alias("pan"),
-            F.when(pan.isNotNull() & lost, pan).alias("discarded_pan") if rules.pan else _none("string").alias("discarded_pan"),
-            F.array_compact(F.array(*checks)).alias("checks"), F.array_compact(F.array(*flags)).alias("flags"),
-        )
-
-    return F.transform(F.transform(F.transform(people, given), found), told)
-
-
-def parsed(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, answer, text. Adds the first object of the answer: as it is, in the known shape, and its faults."""
+
+def _mean(points: Column, n: Column) -> Column:
+    """The mean of so many scores, whose sum in hundredths is a whole number and the same in any order."""
+    return F.when(n == 0, 0.0).otherwise(F.bround(points / F.lit(100.0) / F.greatest(n, F.lit(1)), 3))
+
+
+def parsed(docs: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """docs: doc_id, answer, text. Adds the first object of the answer: as it is, in the known shape, and its faults.
+
+    ``more`` are columns to add, which go to Python together with the answers.
+    """
     found = docs.withColumn("first", grounding.object_at_brace(F.col("answer")))
-    found = found.withColumn("object", grounding.first_json(F.col("answer"), F.col("first")))
+    found = found.withColumns({"object": grounding.first_json(F.col("answer"), F.col("first"))} | (more or {}))
     whole = F.coalesce("first", F.try_parse_json("object"))
     return found.withColumns({"x": F.from_json("object", ANSWER), "problems": grounding.shape_problems(whole)}).drop("first")
 
 
-def validate(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
-    """docs: doc_id, answer, text, truncated, ocr_ok. A report for each, beside the columns to keep (``x`` is the parsed answer)."""
+def _read(docs: DataFrame) -> DataFrame:
+    """The parsed answer, the persons it names, and the forms of the text that they are looked up in."""
     clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
-    known = parsed(docs.withColumn("text", clean)).withColumn("plain", grounding.composed(F.col("text"))).withColumn("norm", grounding.bare_form(F.col("plain")))
+    known = parsed(docs.withColumn("text", clean), {"plain": grounding.composed(F.col("text"))})
     empty = F.array().cast(f"array<{PERSON}>")
-    people = F.concat(*[_persons(F.coalesce(F.col("x")[key], empty), side, rules) for side, key in SIDES])
-    t = known.withColumn("people", people)
+    people = F.concat(*[_side(F.coalesce(F.col("x")[key], empty), side) for side, key in SIDES])
+    return known.withColumns({"norm": grounding.bare_form(F.col("plain")), "altered": F.col("plain") != F.col("text"), "people": people})
+
+
+def validate(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = (), person: tuple[str, ...] = PERSON_FIELDS) -> DataFrame:  # noqa: B008
+    """docs: doc_id, answer, text, truncated, ocr_ok. A report for each, beside the columns to keep (``x`` is the parsed answer).
+
+    ``person`` names what is wanted of the persons.
+    """
+    t = _read(docs).withColumn("seen", F.transform("people", lambda x: F.struct(*_found(x, rules))))
     text, norm, prop, date = F.col("text"), F.col("norm"), F.col("x.property_details"), F.col("x.document_details.transaction_date")
     there = lambda fine, found: F.when(fine, found) if rules.against_text else _none("boolean")
     digits_only = lambda v: F.coalesce(values.strip(v).rlike(r"^\d+$"), F.lit(False))
@@ -140,51 +186,65 @@ def validate(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] = ()
         "fees": grounding.fee_candidates(text, rules.fee_from, rules.fee_to), "source": grounding.pans_in(F.col("plain"))})
     sale_fine, fee_fine, sale_there, fee_there = digits_only(sale), digits_only(fee), F.col("sale_there"), F.col("fee_there")
     other = fee_fine & (F.size("fees") > 0) & ~F.array_contains("fees", number(fee))
-    fee_score = F.when(other, F.least(grounding.check_score(fee_fine, fee_there), F.lit(OTHER_FEE))).otherwise(grounding.check_score(fee_fine, fee_there))
     date_given, date_fine = _given(date), values.date_plausible(date)
     date_there = F.col("date_there")
     paid = prop["paid_in_cash"]
     parsed_ok = F.col("object").isNotNull()
     schema_ok = parsed_ok & (F.size("problems") == 0)
 
-    checks, flags = [], [F.when(F.col("ocr_ok"), FLAGS["OCR_PASSED"]).otherwise(FLAGS["OCR_FAILED"]),
+    checks, points, made, flags = [], [], [], [F.when(F.col("ocr_ok"), FLAGS["OCR_PASSED"]).otherwise(FLAGS["OCR_FAILED"]),
         F.when(F.col("truncated"), FLAGS["TRUNCATED"]), F.when(parsed_ok & ~schema_ok, FLAGS["SCHEMA_INVALID"])]
     in_answer = lambda c: parsed_ok & c
     absent = lambda fine, found: ~fine | found.eqNullSafe(F.lit(False))
+
+    def check(given: Column, field: str, value: Column, fine: Column, found: Column, most: Column | None = None) -> None:
+        scored = grounding.check_points(fine, found)
+        scored = scored if most is None else F.least(scored, most)
+        checks.append(F.when(given, _check(field, value, fine, found, scored)))
+        points.append(F.when(given, scored).otherwise(0))
+        made.append(F.when(given, 1).otherwise(0))
+
     if rules.sale_consideration:
-        checks.append(F.when(in_answer(sale.isNotNull()), _check("sale_consideration", sale, sale_fine, sale_there)))
+        check(in_answer(sale.isNotNull()), "sale_consideration", sale, sale_fine, sale_there)
         flags.append(F.when(in_answer(sale.isNotNull()) & absent(sale_fine, sale_there), FLAGS["WRONG_CONSIDERATION"]))
     if rules.registration_fee:
-        checks.append(F.when(in_answer(fee.isNotNull()), _check("registration_fee", fee, fee_fine, fee_there, fee_score)))
+        check(in_answer(fee.isNotNull()), "registration_fee", fee, fee_fine, fee_there, F.when(other, OTHER_FEE))
         flags.append(F.when(in_answer(fee.isNotNull()) & absent(fee_fine, fee_there), FLAGS["WRONG_STAMP_VALUE"]))
     stamp = _none("bigint")
     if rules.registration_fee and rules.stamp_value:
         stamp = F.when(fee_fine, values.stamp_value(number(fee), values.calendar_date(date), rules.cutoff, rules.multiplier))
         flags.append(F.when(in_answer(sale_fine) & (stamp > number(sale)), FLAGS["STAMP_OVER_SALE"]))
-    checks.append(F.when(in_answer(~F.coalesce(paid.isin("yes", "no"), F.lit(False))), _check("paid_in_cash", paid, F.lit(False), _none("boolean"))))
+    check(in_answer(~F.coalesce(paid.isin("yes", "no"), F.lit(False))), "paid_in_cash", paid, F.lit(False), _none("boolean"))
     if rules.transaction_date:
-        checks.append(F.when(parsed_ok, F.when(date_given, _check("transaction_date", date, date_fine,
-            date_there)).otherwise(_check("transaction_date", _none("string"), F.lit(False), _none("boolean")))))
+        check(parsed_ok, "transaction_date", F.when(date_given, date), date_given & date_fine, F.when(date_given, date_there))
         flags.append(F.when(parsed_ok & (~date_given | ~date_fine), FLAGS["WRONG_TXN_DATE"]))
 
-    claimed = F.array_distinct(F.array_compact(F.flatten(F.array(*[F.transform(F.coalesce(F.col("x")[key], empty),
-        lambda p: F.nullif(F.upper(values.strip(F.coalesce(p["pan_card_number"], F.lit("")))), F.lit(""))) for _, key in SIDES]))))
+    claimed = F.array_distinct(F.col("people.pan"))
     t = t.withColumn("claimed", claimed)
-    t = t.withColumn("extra_pans", F.when(parsed_ok, F.array_sort(F.array_except("source", F.array_compact(F.transform("people", lambda p: p["pan"]))))).otherwise(F.array().cast("array<string>")))
-    t = t.withColumns({"document_checks": F.array_compact(F.array(*checks)), "document_flags": F.array_compact(F.array(*flags)),
+    # what stands in the source is well formed and there, so a party that claims it has it
+    unclaimed = F.array_except("source", "claimed") if rules.pan else F.col("source")
+    t = t.withColumn("extra_pans", F.when(parsed_ok, F.array_sort(unclaimed)).otherwise(F.array().cast("array<string>")))
+    of_persons = lambda count: F.aggregate("seen", F.lit(0), lambda s, x: s + count(x, rules))
+    t = t.withColumns({"document_checks": F.array_compact(F.array(*checks)), "document_flags": grounding.words(flags),
+        "points": sum(points, of_persons(_points)), "made": sum(made, of_persons(_checked)), "doubted": F.exists("seen", lambda x: _doubted(x, rules)),
         "stamp_value": stamp, "pan_coverage": F.when(parsed_ok, F.bround(grounding.coverage(F.col("claimed"), F.col("source")), 3)).otherwise(0.0)})
-    person = lambda p: F.struct(*[p[c].alias(c) for c in ("relation", "ordinal", "name", "pan", "discarded_pan", "checks", "flags")],
-        grounding.confidence(p["checks"]).alias("confidence"))
-    every = F.concat("document_checks", F.flatten(F.transform("people", lambda p: p["checks"])))
-    sure = F.when(parsed_ok, grounding.confidence(every) if rules.confidence else F.lit(1.0)).otherwise(0.0)
-    raised = F.concat("document_flags", F.flatten(F.transform("people", lambda p: p["flags"])))
-    doubted = F.arrays_overlap(raised, F.array(*[F.lit(f) for f in UNGROUNDED]))
+    of_person = lambda x: F.struct(*[_told(x, rules)[k].alias(k) for k in person])
+    sure = F.when(parsed_ok, _mean(F.col("points"), F.col("made")) if rules.confidence else F.lit(1.0)).otherwise(0.0)
+    doubted = F.arrays_overlap("document_flags", F.array(*[F.lit(f) for f in UNGROUNDED])) | F.col("doubted")
     verdict = F.when(~parsed_ok | ((F.col("pan_coverage") < rules.coverage) & (F.size("extra_pans") >= rules.unmatched)), "retry").when(doubted | ~schema_ok, "review").otherwise("accept")
     return t.select("doc_id", parsed_ok.alias("parsed"), schema_ok.alias("schema_ok"), "document_flags", "document_checks",
-        F.transform("people", person).alias("persons"), "pan_coverage", "stamp_value", "extra_pans", F.col("fees").alias("fee_candidates"),
+        F.transform("seen", of_person).alias("persons"), "pan_coverage", "stamp_value", "extra_pans", F.col("fees").alias("fee_candidates"),
         sure.alias("confidence"), verdict.alias("disposition"), *keep)
 
 
+def persons(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """docs as for ``validate``. What its reports say of persons, a row each; the documents' own values aren't worked out."""
+    # an inner one would have all that comes before it worked out twice, to leave out who has no persons
+    one = _read(docs).select("doc_id", "text", "norm", "altered", F.inline_outer("people")).filter("relation IS NOT NULL")
+    seen = one.select("doc_id", *_found({c: F.col(c) for c in one.columns}, rules))
+    return seen.select("doc_id", *[c.alias(k) for k, c in _told({c: F.col(c) for c in seen.columns}, rules).items()])
+
+
 def remark_codes() -> Column:
     """Of a report's row: the document's codes in order without repeats, with the identifiers of no party."""
     extra = F.when(F.size("extra_pans") > 0, F.array(F.concat(F.lit(f"{FLAGS['EXTRA_OCR_PANS']}:"), F.array_join("extra_pans", ",")))).otherwise(F.array().cast("array<string>"))
@@ -197,8 +257,8 @@ def remarks(report: DataFrame) -> DataFrame:
 
 
 def person_remarks(report: DataFrame) -> DataFrame:
-    """A row a person: remark codes in order, without repeats, and the confidence."""
-    one = report.select("doc_id", F.inline("persons"))
+    """A row a person: remark codes in order, without repeats, and the confidence; of a report, or of persons by row."""
+    one = report.select("doc_id", F.inline("persons")) if "persons" in report.columns else report
     return one.select("doc_id", "relation", "ordinal", grounding.remarks(F.col("flags")).alias("remarks"), "confidence", "pan", "discarded_pan")
 
 

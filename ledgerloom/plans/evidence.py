@@ -20,8 +20,8 @@ SEPARATORS = r"[\s\-.,:;/\\|_()\[\]{}]+"
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, answer, text, truncated, ocr_ok for each deed: what its rows say, and a text that bears out most of it."""
-    for t in ("orders", "lineitem"):
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    table(spark, sf_dir, "lineitem").repartition("l_orderkey").createOrReplaceTempView("lineitem")  # once, for all that follows
     p, d = spark.sql(VIEWS["parties"]), spark.sql(VIEWS["deeds"])
     said = F.concat_ws(" ", F.when(F.col("person") % 5 != 0, F.col("name")).otherwise("SOMEBODY ELSE"),
         F.when(F.col("person") % 7 != 0, F.col("pan")), F.when(F.col("person") % 11 != 0, F.regexp_replace("aadhaar", r"(\d{4})(?=\d)", "$1 ")))

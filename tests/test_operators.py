@@ -461,3 +461,19 @@ def test_untranslated_cells_are_found_in_one_pass(spark):
     assert [tuple(r) for r in told.collect()] == [("Remarks", "ಮನೆ one")]
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")  # cells aren't made rows before they are told
+
+
+def _docs(spark, told, text):
+    return spark.createDataFrame([(1, told, text, False, True), (2, "none", "", False, True)], "doc_id long, answer string, text string, truncated boolean, ocr_ok boolean")
+
+
+def test_a_document_is_reported_without_the_checks_of_persons(spark):
+    told = V.validate(_docs(spark, answer(), TEXT)).select("doc_id", "disposition", "confidence", "document_flags")
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "discarded_pan" not in plan  # one way to Python; what isn't asked for isn't built
+    assert [(r["disposition"], r["confidence"]) for r in told.orderBy("doc_id").collect()] == [("accept", 1.0), ("retry", 0.0)]
+
+
+def test_a_pan_is_no_pattern(spark):
+    text = "A(B*C " + "filler " * 60 + "1234 5678 9012 Ramesh Kumar Rs 15,00,000 and 15,000 on 04-03-2025"
+    assert report(spark, answer({"pan_card_number": "A(B*C"}), text).first()["persons"][0]["flags"] == ["HPAN", "PAF"]
