@@ -51,7 +51,7 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_persons(spark, sf_dir):
-    return V.person_remarks(_report(spark, sf_dir)).select(F.col("doc_id").alias("deed"), "relation", "ordinal", "remarks", "confidence", "pan", "discarded_pan")
+    return V.person_remarks(V.persons(extractions(spark, sf_dir))).select(F.col("doc_id").alias("deed"), "relation", "ordinal", "remarks", "confidence", "pan", "discarded_pan")
 
 
 def validation_documents(spark, sf_dir):

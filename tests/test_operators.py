@@ -477,3 +477,11 @@ def test_a_document_is_reported_without_the_checks_of_persons(spark):
 def test_a_pan_is_no_pattern(spark):
     text = "A(B*C " + "filler " * 60 + "1234 5678 9012 Ramesh Kumar Rs 15,00,000 and 15,000 on 04-03-2025"
     assert report(spark, answer({"pan_card_number": "A(B*C"}), text).first()["persons"][0]["flags"] == ["HPAN", "PAF"]
+
+
+def test_persons_by_row_are_those_of_reports(spark):
+    docs = _docs(spark, answer({"name": "SOMEONE ELSE"}), TEXT)
+    rows = V.persons(docs)
+    assert [tuple(r) for r in V.person_remarks(rows).collect()] == [tuple(r) for r in V.person_remarks(V.validate(docs)).collect()]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1  # an inner explode would work the answers out a second time
