@@ -80,7 +80,8 @@ def final_states(spark, sf_dir):
 
 def persisted_rows(spark, sf_dir):
     """Every row that a report writes, as its table's name, its document and its values."""
-    kept = Scratch(spark, "persisted").keep("report", V.validate(extractions(spark, sf_dir), keep=("x",)))
+    report = V.validate(extractions(spark, sf_dir), keep=("x",), person=("relation", "ordinal", "flags"))
+    kept = Scratch(spark, "persisted").keep("report", report.select("doc_id", "x", "stamp_value", "document_flags", "persons"))
     parts = V.persisted(kept)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     shown = {
