@@ -485,3 +485,10 @@ def test_persons_by_row_are_those_of_reports(spark):
     assert [tuple(r) for r in V.person_remarks(rows).collect()] == [tuple(r) for r in V.person_remarks(V.validate(docs)).collect()]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1  # an inner explode would work the answers out a second time
+
+
+def test_dates_are_real_and_written_in_ten_characters(spark):
+    from ledgerloom.functions import values
+
+    told = spark.createDataFrame([("2024-02-29",), ("2025-02-29",), ("0000-01-01",), ("2025-01-01\n",), ("2025-1-1",), (None,)], "d string")
+    assert [str(r[0]) for r in told.select(values.calendar_date(F.col("d"))).collect()] == ["2024-02-29", *["None"] * 5]
